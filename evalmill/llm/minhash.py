@@ -8,7 +8,8 @@ shingle sets (of 64-bit shingle hashes).
 Copies first collapse into classes by a digest of the set. In every band bucket
 all classes are then compared with its smallest one, which ties large groups
 together without all pairs. Only buckets that still span several components are
-compared further, in blocks of bounded size, and there only across components.
+compared further, in blocks of bounded size, and there only across components;
+members whose own hashes rule out any link there are left out before.
 
 Defined results: null and empty texts, and texts without words, are components
 of their own with 0 shingles; a text shorter than a shingle is one shingle;
@@ -39,14 +40,14 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class NearDup:
-    """width: words a shingle. percent: least similarity of a link. slack: standard errors that the estimate may fall short."""
+    """width: words a shingle. percent: least similarity of a link. slack: standard errors that the estimate may fall short. block: hashes that a block of a bucket holds."""
 
     width: int = 5
     percent: int = 80
     bands: int = 24
     rows: int = 5
     slack: float = 5.0
-    block: int = 256
+    block: int = 65_536
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -192,28 +193,35 @@ def least_estimate(settings: NearDup) -> float:
     return j - settings.slack * math.sqrt(p * (1 - p) / MINIMA) / (1 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, settings: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame, settings: NearDup, id_col: str, text_col: str) -> DataFrame:
+    """id and the sorted shingle hashes of the documents whose id is in ``ids``."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(ids, "id")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(settings.width)
         for pdf in batches:
             texts_ = pdf["text"].tolist()
-            found = [s.tobytes() for part in batches_of(texts_) for s in shingler.sets(texts_[part])]
+            found = [s.view(np.int64) for part in batches_of(texts_) for s in shingler.sets(texts_[part])]
             yield pd.DataFrame({"id": pdf["id"], "hashes": found})
 
-    sets = cut(texts.mapInPandas(hashed, "id long, hashes binary"))
+    return texts.mapInPandas(hashed, "id long, hashes array<long>")
+
+
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sets of distinct hashes reach the threshold."""
+    both = np.sort(np.concatenate([p, q]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, settings: NearDup, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = cut(shingle_sets(docs, ids, settings, id_col, text_col))
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([p, q]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= settings.percent * (len(p) + len(q) - common))
+            keep = [similar(x, y, settings.percent) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
             yield pdf.loc[keep, ["a", "b"]]
 
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
@@ -221,47 +229,81 @@ def confirm(pairs: DataFrame, docs: DataFrame, settings: NearDup, id_col: str, t
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(linked, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, settings: NearDup) -> DataFrame:
-    """Pairs of different components inside each bucket whose estimate is high enough.
+def linkable_members(members: DataFrame, sets: DataFrame, settings: NearDup) -> DataFrame:
+    """members (band, id, component) with their set sizes n, less those that can't have a link in their bucket.
 
-    members: band, id, component, bits. Members of a bucket's largest component
-    are not compared with each other. Blocks bound what one task compares.
+    Of the n hashes of a document, those that no other member of any such bucket
+    holds are in no intersection; with the bucket's smallest set size this bounds
+    the similarity to any partner from above, so that no link is lost.
     """
-    per = members.groupBy("band", "component").agg(F.count("*").alias("n"))
-    size = per.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_all > n_main")
-    blocks = settings.block
-    held = members.join(size, "band")
-    main = F.col("component") == F.col("main")
-    main_blocks, rest_blocks = F.ceil(F.col("n_main") / blocks), F.ceil((F.col("n_all") - F.col("n_main")) / blocks)
+    held = sets.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    alone = held.where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    sized = sets.select("id", F.size("hashes").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("shared"))
+    rows = members.join(sized, "id")
+    least = rows.groupBy("band").agg(F.min("n").alias("n_min"))
+    partner = F.greatest("n_min", "shared")
+    possible = 100 * F.col("shared") >= settings.percent * (F.col("n") + partner - F.col("shared"))
+    return rows.join(least, "band").where(possible).select("band", "id", "component", "n")
+
+
+def across(members: DataFrame, sets: DataFrame, signed: DataFrame, settings: NearDup) -> DataFrame:
+    """Links (a, b) between components inside buckets, enough to join what belongs together.
+
+    members: band, id, component, n. Members of a bucket's largest component are
+    not compared with each other. Blocks of about ``block`` hashes bound what one
+    task compares; a pair is looked at in the first band that it shares, by its
+    bits first, then on the full sets. Only links leave a task, no pairs.
+    """
+    per = members.groupBy("band", "component").agg(F.sum("n").alias("n"))
+    size = per.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main_component"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("parts")).where("parts > 1")
+    main = F.col("component") == F.col("main_component")
+    main_blocks, rest_blocks = F.ceil(F.col("n_main") / settings.block), F.ceil((F.col("n_all") - F.col("n_main")) / settings.block)
     own = F.pmod(F.xxhash64("id"), F.when(main, main_blocks).otherwise(rest_blocks))
+    held = members.join(size, "band").select("band", "id", "component", main.alias("main"), own.alias("own"), main_blocks.alias("main_blocks"), rest_blocks.alias("rest_blocks"))
     # Block pairs: (rest i, main j) and (rest i, rest j) with i <= j; the second is named below zero.
-    to_rest = F.transform(F.sequence(F.lit(0), rest_blocks - 1), lambda i: F.struct(i.alias("i"), own.alias("j")))
-    to_main = F.transform(F.sequence(F.lit(0), main_blocks - 1), lambda j: F.struct(own.alias("i"), j.alias("j")))
-    among = F.transform(F.sequence(F.lit(0), rest_blocks - 1), lambda i: F.struct(F.least(i, own).alias("i"), (-1 - F.greatest(i, own)).alias("j")))
-    dealt = held.withColumn("at", F.explode(F.when(main, to_rest).otherwise(F.concat(to_main, among))))
-    groups = dealt.groupBy("band", "at").agg(F.collect_list(F.struct("id", "component", "bits")).alias("rows")).where("size(rows) > 1")
+    i_own, rest, mains = F.col("own"), F.sequence(F.lit(0).cast("long"), F.col("rest_blocks") - 1), F.sequence(F.lit(0).cast("long"), F.col("main_blocks") - 1)
+    to_rest = F.transform(rest, lambda i: F.struct(i.alias("i"), i_own.alias("j")))
+    to_main = F.transform(mains, lambda j: F.struct(i_own.alias("i"), j.alias("j")))
+    among = F.transform(rest, lambda i: F.struct(F.least(i, i_own).alias("i"), (-1 - F.greatest(i, i_own)).alias("j")))
+    dealt = held.withColumn("at", F.explode(F.when(F.col("main"), to_rest).otherwise(F.concat(to_main, among)))).select("band", "at", "id", "component", "main", "own")
+    full = dealt.join(sets, "id").join(signed.select("id", "bits", "bands"), "id")
+    groups = full.groupBy("band", "at").agg(F.collect_list(F.struct("id", "component", "main", "own", "bits", "bands", "hashes")).alias("rows")).where("size(rows) > 1")
     least = least_estimate(settings)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mask = _U(sum(1 << i for i in range(0, 64, BITS)))
         for pdf in batches:
             out = []
-            for rows in pdf["rows"]:
-                ids = np.array([r["id"] for r in rows], np.int64)
-                comps = np.array([r["component"] for r in rows], np.int64)
+            for band, at, rows in zip(pdf["band"], pdf["at"], pdf["rows"], strict=True):
                 bits = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
-                for i in range(len(ids) - 1):
+                bands = np.array([r["bands"] for r in rows], np.int64)
+                side = np.array([r["main"] if at["j"] >= 0 else r["own"] for r in rows], np.int64)
+                alike = at["j"] < 0 and at["i"] == -1 - at["j"]  # a block with itself: all its pairs
+                root = {r["component"]: r["component"] for r in rows}
+
+                def find(c: int, root: dict = root) -> int:
+                    while root[c] != c:
+                        root[c] = c = root[root[c]]
+                    return c
+
+                for i in range(len(rows) - 1):
                     x = bits[i + 1 :] ^ bits[i]
+                    folded = x.copy()
                     for k in range(1, BITS):
-                        x = x | (x >> _U(1)) if k == 1 else x | ((bits[i + 1 :] ^ bits[i]) >> _U(k))
-                    share = 1 - np.bitwise_count(x & mask).sum(axis=1) / MINIMA
-                    j = (share - 2.0**-BITS) / (1 - 2.0**-BITS)
-                    for m in np.flatnonzero((j >= least) & (comps[i + 1 :] != comps[i])):
-                        p, q = int(ids[i]), int(ids[i + 1 + m])
-                        out.append((min(p, q), max(p, q)))
+                        folded |= x >> _U(k)
+                    j = 1 - np.bitwise_count(folded & mask).sum(axis=1) / MINIMA
+                    j = (j - 2.0**-BITS) / (1 - 2.0**-BITS)
+                    same = bands[i + 1 :] == bands[i]
+                    first = bands[i][same.argmax(axis=1)] == band
+                    near = (j >= least) & first & (alike | (side[i + 1 :] != side[i]))
+                    for m in i + 1 + np.flatnonzero(near):
+                        p, q = find(rows[i]["component"]), find(rows[m]["component"])
+                        if p != q and similar(np.asarray(rows[i]["hashes"]), np.asarray(rows[m]["hashes"]), settings.percent):
+                            root[p] = q
+                            out.append((int(rows[i]["id"]), int(rows[m]["id"])))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return groups.select("rows").mapInPandas(compare, "a long, b long").where("a <> b").distinct()
+    return groups.mapInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, settings: NearDup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,9 +327,9 @@ def near_duplicates(docs: DataFrame, settings: NearDup, id_col: str = "doc_id",
 
     parted = filed.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = parted.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("band")
-    members = parted.join(split, "band").join(bits, "id")
-    more = cut(_across(members, settings).join(tested, ["a", "b"], "left_anti"))
-    links = links.union(confirm(more, docs, settings, id_col, text_col))
+    members = cut(parted.join(split, "band"))
+    sets = cut(shingle_sets(docs, members.select("id").distinct(), settings, id_col, text_col))
+    links = links.union(across(linkable_members(members, sets, settings), sets, reps, settings))
     parts = connected_components(links)
 
     found = rows.select("id", "n_shingles", "rep").join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
