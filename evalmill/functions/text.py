@@ -68,3 +68,11 @@ def seed_of(path: Column) -> Column:
 def stable_id(prefix: str, text: Column) -> Column:
     """A reproducible id from a text."""
     return F.concat(F.lit(prefix), F.pmod(F.xxhash64(text), F.lit(10_000_000_000)).cast("string"))
+
+
+def hashed_vector(items: Column, buckets: int) -> Column:
+    """Counts of the items by hash bucket as a map bucket -> weight of length 1 (empty for no items)."""
+    hashed = F.transform(items, lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
+    counts = F.transform(F.array_distinct(hashed), lambda b: F.struct(b.alias("bucket"), F.size(F.filter(hashed, lambda h: h == b)).cast("double").alias("n")))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c["n"] * c["n"]))
+    return F.map_from_entries(F.transform(counts, lambda c: F.struct(c["bucket"], c["n"] / norm)))

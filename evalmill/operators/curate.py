@@ -142,3 +142,21 @@ def blank_missing(df: DataFrame, shares: dict[str, float], key: str, seed: int =
         return F.pmod(F.xxhash64(F.lit(seed), F.lit(c), F.col(key)), F.lit(1_000_000)) / 1_000_000
 
     return df.withColumns({c: F.when(draw(c) < p, F.lit("")).otherwise(F.col(c)) for c, p in shares.items()})
+
+
+def scaled(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
+    """Columns on [-1, 1] by the bounds of the rows where ``train`` holds; constant columns become 0."""
+    bounds = df.where(train).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    wide = df.crossJoin(F.broadcast(bounds))  # one row of bounds
+    unit = {c: F.when(F.col(f"__hi_{c}") > F.col(f"__lo_{c}"), 2 * (F.col(c) - F.col(f"__lo_{c}")) / (F.col(f"__hi_{c}") - F.col(f"__lo_{c}")) - 1).otherwise(0.0) for c in columns}
+    return wide.withColumns(unit).select(*df.columns)
+
+
+def entity_table(df: DataFrame, key: str, attribute: str, order: str) -> DataFrame:
+    """Distinct keys with their first attribute in the order."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(attribute, order).alias(attribute))
+
+
+def pair_values(df: DataFrame, row: str, column: str, value: str, order: str) -> DataFrame:
+    """(row, column, value) of a pair matrix in coordinates; the last value of a pair wins."""
+    return df.groupBy(row, column).agg(F.max_by(value, order).alias(value))

@@ -123,3 +123,55 @@ def bootstrap_difference(df: DataFrame, keys: list[str], id_col: str, y: str, p:
     spread = means.groupBy(*keys).agg(interval.alias("i"), F.avg((F.col("d") <= 0).cast("int")).alias("share_not_above_0"))
     seen = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("__gain").alias("difference"))
     return seen.join(spread, keys).select(*keys, "n", "difference", F.col("i")[0].alias("low"), F.col("i")[1].alias("high"), "share_not_above_0")
+
+
+def concordance(df: DataFrame, keys: list[str], id_col: str, y: str = "y", p: str = "p", block: int = 2048) -> DataFrame:
+    """Concordance index per group over all pairs with y_i > y_j; a tied prediction counts one half; null without such pairs.
+
+    Quadratic by definition: rows are dealt to blocks, and each pair of blocks
+    is compared in one task of bounded size, so that no pair of rows leaves it.
+    """
+    import numpy as np
+    import pandas as pd
+
+    seen = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*keys, id_col, F.col(y).cast("double").alias("__y"), F.col(p).cast("double").alias("__p"))
+    sizes = seen.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("__blocks"))
+    dealt = seen.join(sizes, keys).withColumn("__own", F.pmod(F.xxhash64(id_col), F.col("__blocks")))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1), lambda j: F.struct(F.least(F.col("__own"), j).alias("i"), F.greatest(F.col("__own"), j).alias("j")))
+    placed = dealt.withColumn("__at", F.explode(others)).groupBy(*keys, "__at").agg(F.collect_list(F.struct("__own", "__y", "__p")).alias("rows"))
+
+    def count(batches):
+        for pdf in batches:
+            found = []
+            for at, rows in zip(pdf["__at"], pdf["rows"], strict=True):
+                own, yy, pp = (np.array([r[c] for r in rows], float) for c in ("__own", "__y", "__p"))
+                a = own == at["i"]
+                b = own == at["j"]
+                up = yy[a][:, None] - yy[b][None]
+                d = pp[a][:, None] - pp[b][None]
+                if at["i"] == at["j"]:  # each pair is seen from both sides
+                    used, good, tied = up > 0, (up > 0) & (d > 0), (up > 0) & (d == 0)
+                else:
+                    used, good, tied = up != 0, up * d > 0, (up != 0) & (d == 0)
+                found.append((float(used.sum()), float(good.sum()) + 0.5 * float(tied.sum())))
+            out = pdf[keys].copy()
+            out["pairs"], out["good"] = [f[0] for f in found], [f[1] for f in found]
+            yield pd.DataFrame(out)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seen.schema.fields if f.name in keys)
+    parts = placed.mapInPandas(count, f"{kinds}, pairs double, good double")
+    return parts.groupBy(*keys).agg(F.when(F.sum("pairs") > 0, F.sum("good") / F.sum("pairs")).alias("ci"))
+
+
+def approximate_concordance(df: DataFrame, id_col: str, y: str, p: str, pairs: int = 200_000, seed: int = 0) -> DataFrame:
+    """Concordance over pairs of rows drawn by hash: every row meets, in each of some rounds, the next row of a seeded hash order in its bucket."""
+    from pyspark.sql import Window
+
+    seen = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(id_col, F.col(y).alias("__y"), F.col(p).alias("__p"))
+    n = max(seen.count(), 1)
+    rounds = max(1, -(-pairs // n))
+    drawn = seen.withColumn("__round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("__h", F.xxhash64(F.lit(seed), "__round", id_col))
+    w = Window.partitionBy("__round", F.pmod("__h", F.lit(max(1, n // 1000)))).orderBy("__h", id_col)
+    met = drawn.withColumns({"__y2": F.lead("__y").over(w), "__p2": F.lead("__p").over(w)}).where("__y2 is not null and __y <> __y2")
+    agree = (F.col("__y") - F.col("__y2")) * (F.col("__p") - F.col("__p2"))
+    return met.agg(F.count("*").alias("n_pairs"), F.avg(F.when(agree > 0, 1.0).when(agree == 0, 0.5).otherwise(0.0)).alias("ci"))

@@ -97,3 +97,46 @@ def shortcut_audit(near: DataFrame, rows: DataFrame, id_col: str, label_col: str
     top = kept.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k)
     per = top.groupBy("condition", "query_id").agg(F.count("*").alias("n"), F.avg("y_r").alias("m"), F.avg((F.col("y_r") == F.col("y_q")).cast("int")).alias("agree"))
     return per.groupBy("condition").agg(F.count("*").alias("n_queries"), F.avg("n").alias("mean_neighbours"), F.avg("m").alias("mean_label"), F.avg("agree").alias("agreement"))
+
+
+def multi_view(queries: DataFrame, reference: DataFrame, id_col: str, label_col: str, views: dict[str, str], k: int = 8) -> DataFrame:
+    """Neighbour label summaries per view in one wide table, a column ``{view}_{statistic}`` each.
+
+    A view takes part where its vector is present (not null nor empty) on both
+    sides and the reference has at least two such rows; zeros otherwise.
+    """
+    out = queries.select(F.col(id_col).alias("query_id"))
+    for view, column in views.items():
+        here = [d.where(F.size(F.coalesce(column, F.array().cast("array<double>"))) > 0) for d in (queries, reference)]
+        rows = here[1] if here[1].limit(2).count() == 2 else here[1].limit(0)
+        found = label_summary(queries, cosine_top_k(here[0], rows, id_col, column, k), reference, id_col, label_col)
+        out = out.join(found.select("query_id", *[F.col(c).alias(f"{view}_{c}") for c in found.columns[1:]]), "query_id")
+    return out
+
+
+def exposure(near: DataFrame, rows: DataFrame, id_col: str, same: dict[str, str], high: float = 0.85) -> DataFrame:
+    """Per query the share of neighbours that have each named attribute in common, and of those with high similarity."""
+    attributes = list(dict.fromkeys(same.values()))
+    q = rows.select(F.col(id_col).alias("query_id"), *[F.col(a).alias(f"q_{a}") for a in attributes])
+    r = rows.select(F.col(id_col).alias("ref_id"), *[F.col(a).alias(f"r_{a}") for a in attributes])
+    shares = [F.avg(F.coalesce(F.col(f"q_{a}") == F.col(f"r_{a}"), F.lit(False)).cast("int")).alias(f"share_{n}") for n, a in same.items()]
+    return near.join(q, "query_id").join(r, "ref_id").groupBy("query_id").agg(*shares, F.avg((F.col("sim") >= high).cast("int")).alias("share_high"))
+
+
+def reliance(fused: Column, current: Column, retrieved: Column) -> Column:
+    """How far a fused probability has moved from the current towards the retrieved one, in [0, 1]."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.abs(fused - current) / (F.abs(retrieved - current) + 1e-8)))
+
+
+def encoded_once(df: DataFrame, text_col: str, encode, width: int, cache: DataFrame | None = None, name: str = "vec") -> DataFrame:
+    """Adds a vector per text: each distinct text is encoded once, cached ones (text, vec) are reused, empty and null texts get zeros.
+
+    ``encode`` maps an iterator of pandas frames with a column text to frames
+    with text and vec.
+    """
+    wanted = df.where(F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0).select(F.col(text_col).alias("text")).distinct()
+    new = wanted if cache is None else wanted.join(cache.select("text"), "text", "left_anti")
+    table = new.mapInPandas(encode, "text string, vec array<double>")
+    table = table if cache is None else table.unionByName(cache.select("text", "vec"))
+    zero = F.array_repeat(F.lit(0.0), width)
+    return df.join(table.select(F.col("text").alias(text_col), F.col("vec").alias("__vec")), text_col, "left").withColumn(name, F.coalesce("__vec", zero)).drop("__vec")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import curate, fuse, metrics, report, retrieve, split
+from ..operators import curate, fuse, metrics, report, retrieve, significance, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -420,6 +420,72 @@ def text_functions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.shortened(text, 60).alias("short"), T.presence(text).alias("present"), T.encoded(text, "abcdefghijklmnopqrstuvwxyz", 8).alias("codes"))
 
 
+@query(f"""WITH {PRED} SELECT lang, model, round(sum(CASE WHEN p > p2 THEN 1 WHEN p = p2 THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 6) AS ci
+  FROM long JOIN (SELECT lang, model, y AS y2, p AS p2 FROM long) b USING (lang, model) WHERE y > y2 GROUP BY ALL""")
+def concordance_index(spark, sf_dir):
+    return rounded(metrics.concordance(long_predictions(spark, sf_dir), ["lang", "model"], "doc_id"))
+
+
+@query()
+def approximate_concordance(spark, sf_dir):
+    return rounded(metrics.approximate_concordance(predictions(spark, sf_dir), "doc_id", "y", "p_size"))
+
+
+@query()
+def paired_significance(spark, sf_dir):
+    return rounded(significance.paired_tests(runs(spark, sf_dir), ["priority"], "year", "kind", "metric", "A", "N"))
+
+
+CASE_TOP = "SELECT lang, doc_id, model, kind, r::INT AS rank, round(size, 6) AS size FROM (SELECT *, row_number() OVER (PARTITION BY lang, model ORDER BY size DESC, doc_id) AS r FROM {0}) WHERE r <= 3"
+
+
+@query(f"""WITH {PRED}, e AS (SELECT lang, doc_id, model, 'error' AS kind, abs(p - y) AS size FROM long),
+  w AS (SELECT lang, doc_id, model, 'decision' AS kind, abs(p - 0.5) AS size FROM long WHERE (p >= 0.5)::INT <> y),
+  d AS (SELECT lang, doc_id, NULL::VARCHAR AS model, 'disagreement' AS kind, max(p) - min(p) AS size FROM long GROUP BY ALL HAVING count(DISTINCT p >= 0.5) > 1)
+  {CASE_TOP.format('e')} UNION ALL {CASE_TOP.format('w')} UNION ALL {CASE_TOP.format('d')}""")
+def case_mining(spark, sf_dir):
+    return rounded(significance.cases(long_predictions(spark, sf_dir), ["lang"], "doc_id", "model", "y", "p", 3))
+
+
+@query(f"""WITH {COS} SELECT query_id, round(avg((q.label = r.label)::INT), 6) AS share_label, round(avg((sim >= 0.5)::INT), 6) AS share_high
+  FROM k JOIN v q ON q.vec_id = query_id JOIN v r ON r.vec_id = ref_id WHERE rank <= 8 GROUP BY 1""")
+def neighbour_exposure(spark, sf_dir):
+    v, near = _near(spark, sf_dir, 8)
+    return rounded(retrieve.exposure(near, v, "vec_id", {"label": "label"}, 0.5))
+
+
+@query(f"""WITH {COS} SELECT query_id, round(sum(sim * label) / sum(sim), 6) AS predicted FROM k JOIN v ON v.vec_id = ref_id WHERE rank <= 8 GROUP BY 1 HAVING sum(sim) > 0""")
+def neighbour_regression(spark, sf_dir):
+    v, near = _near(spark, sf_dir, 8)
+    return rounded(fuse.neighbour_regression(near, v, "vec_id", "label"))
+
+
+@query()
+def multi_view_neighbours(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") < 5).cast("int").alias("y"), "embedding", F.when(F.col("vec_id") % 3 > 0, F.slice("embedding", 1, 16)).alias("head"))
+    return rounded(retrieve.multi_view(v.where("vec_id % 20 = 0"), v, "vec_id", "y", {"joint": "embedding", "head": "head"}))
+
+
+@query(f"""WITH {PRED}, c AS (SELECT *, abs(p_size - p_hash) AS c, 0.7 * p_hash + 0.3 * p_size AS f FROM pred),
+  e AS (SELECT lang, list_distinct([quantile_cont(c, 0.25), quantile_cont(c, 0.5), quantile_cont(c, 0.75)]) AS e FROM c GROUP BY 1)
+  SELECT lang, 1 + len(list_filter(e, lambda x: c > x)) AS quartile, count(*) AS n, round(avg(greatest(0, least(1, abs(f - p_hash) / (abs(p_size - p_hash) + 1e-8)))), 4) AS reliance FROM c JOIN e USING (lang) GROUP BY ALL""")
+def branch_reliance(spark, sf_dir):
+    rows = predictions(spark, sf_dir).withColumn("c", F.abs(F.col("p_size") - F.col("p_hash")))
+    moved = retrieve.reliance(0.7 * F.col("p_hash") + 0.3 * F.col("p_size"), F.col("p_hash"), F.col("p_size"))
+    return rounded(report.quartiles(rows.withColumn("m", moved), ["lang"], "c").groupBy("lang", "quartile").agg(F.count("*").alias("n"), F.round(F.avg("m"), 4).alias("reliance")))
+
+
+@query(f"""WITH {ACT}, b AS (SELECT min(value) AS lo, max(value) AS hi FROM act WHERE year < 1999) SELECT row_id, round(2 * (value - lo) / (hi - lo) - 1, 6) AS value FROM act, b""")
+def scaled_values(spark, sf_dir):
+    return rounded(curate.scaled(activities(spark, sf_dir).select("row_id", "year", "value"), ["value"], F.col("year") < 1999).select("row_id", "value"))
+
+
+@query(f"WITH {ACT} SELECT left_id, right_id, arg_max(value, (year, row_id, value)) AS value FROM act GROUP BY ALL")
+def pair_values(spark, sf_dir):
+    rows = activities(spark, sf_dir).withColumn("o", F.struct("year", "row_id", "value"))
+    return curate.pair_values(rows, "left_id", "right_id", "value", "o")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

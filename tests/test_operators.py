@@ -132,3 +132,33 @@ def test_entry_imports_and_flagship(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tails_and_signed_ranks():
+    import numpy as np
+
+    from evalmill.operators.significance import signed_rank, t_tail
+
+    # Values of printed tables.
+    assert t_tail(2.776, 4) == pytest.approx(0.05, abs=2e-4) and t_tail(12.706, 1) == pytest.approx(0.05, abs=2e-4) and t_tail(0.0, 5) == 1.0
+    assert signed_rank(np.array([1.0, 2, 3, 4, 5])) == (0.0, 0.0625)
+    assert signed_rank(np.zeros(3)) == (0.0, 1.0)
+
+
+def test_concordance_over_blocks(spark):
+    df = spark.createDataFrame([(i, (i * 7) % 23, float((i * 5) % 11)) for i in range(50)], "id long, y int, p double").withColumn("k", F.lit(1))
+    rows = [(r.y, r.p) for r in df.collect()]
+    pairs = [(a, b) for a in rows for b in rows if a[0] > b[0]]
+    want = sum(1.0 if a[1] > b[1] else 0.5 if a[1] == b[1] else 0.0 for a, b in pairs) / len(pairs)
+    assert metrics.concordance(df, ["k"], "id", block=8).first()["ci"] == pytest.approx(want)
+
+
+def test_encoder_runs_once_per_text(spark):
+    def encode(batches):
+        for b in batches:
+            yield b.assign(vec=[[float(len(t)), 1.0] for t in b["text"]])
+
+    df = spark.createDataFrame([("aa",), ("aa",), ("",), (None,), ("b",)], "t string")
+    cache = spark.createDataFrame([("b", [9.0, 9.0])], "text string, vec array<double>")
+    got = retrieve.encoded_once(df, "t", encode, 2, cache)
+    assert sorted((r.t or "", r.vec) for r in got.collect()) == [("", [0.0, 0.0]), ("", [0.0, 0.0]), ("aa", [2.0, 1.0]), ("aa", [2.0, 1.0]), ("b", [9.0, 9.0])]
