@@ -34,8 +34,11 @@ def fit_classifier(df: DataFrame, label: str = "label", c: float = 1.0, least: i
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     if sum(counts.values()) < least or len(counts) < 2 or min(counts.values()) < least_per_class:
         return None
-    model = LogisticRegression(labelCol=label, weightCol="weight", regParam=1 / (c * sum(counts.values())), standardization=False)
-    return model.fit(balanced_weights(df, label))
+    model = LogisticRegression(labelCol=label, weightCol="weight", regParam=1 / (c * sum(counts.values())), standardization=False, maxIter=40)
+    rows = balanced_weights(df, label).select("features", label, "weight").persist()
+    fitted = model.fit(rows)
+    rows.unpersist()
+    return fitted
 
 
 def predict(model, df: DataFrame, name: str, fallback: Column) -> DataFrame:
@@ -96,3 +99,44 @@ def neighbour_regression(near: DataFrame, values: DataFrame, id_col: str, value:
     w = F.sum("sim")
     return joined.groupBy("query_id").agg(F.when(w > 0, F.sum(F.col("sim") * F.col("v")) / w).otherwise(F.avg("v")).alias("predicted"))
 
+
+
+def arbitration_target(y: str, current: str, retrieved: str) -> Column:
+    """1 where the current probability has a lower or equal squared error."""
+    def err(p: str) -> Column:
+        return (F.col(p) - F.col(y)) * (F.col(p) - F.col(y))
+
+    return (err(current) <= err(retrieved)).cast("double")
+
+
+def arbitrated(val: DataFrame, df: DataFrame, order: list[str], anchor: str = "anchor", y: str = "y", current: str = "current", retrieved: str = "retrieved", folds: int = 3, seed: int = 0) -> tuple[DataFrame, float]:
+    """Conflict-aware arbitration, fitted on ``val`` and applied to ``df``.
+
+    Both tables have a vector ``features`` and a column ``anchor``. A gate learns
+    which probability to trust and a probe learns how reliable the gate's choice
+    is; both are cross-fitted on ``val`` so that the anchor's strength (21 values,
+    smallest Brier score, then the smallest) is chosen on rows not trained on.
+    Returns ``df`` with full, no_gate, no_probe and no_anchor, and the strength.
+    """
+    def mixed(gate: Column, trust: Column, strength: Column | float, use_gate: bool = True) -> Column:
+        g = gate if use_gate else F.lit(0.5)
+        fused = g * F.col(current) + (1 - g) * F.col(retrieved)
+        s = strength * (1 - trust)
+        return (1 - s) * fused + s * F.col(anchor)
+
+    # The fits read these small tables many times; persisted rows can be computed anew if an executor is lost.
+    target = val.withColumn("__gate_y", arbitration_target(y, current, retrieved)).persist()
+    mean = target.agg(F.avg("__gate_y")).first()[0]
+    share = F.lit(0.5 if mean is None else float(mean))
+    gated = cross_fitted(target, "__gate_y", order, folds, seed, "__gate").persist()
+    right = ((F.col("__gate") * F.col(current) + (1 - F.col("__gate")) * F.col(retrieved) >= 0.5).cast("double") == F.col(y)).cast("double")
+    probed = cross_fitted(gated.withColumn("__right", right).drop("fold"), "__right", order, folds, seed + 1, "__trust").persist()
+    tried = probed.withColumn("strength", F.explode(F.array(*[F.lit(g) for g in GRID]))).withColumn("__p", mixed(F.col("__gate"), F.col("__trust"), F.col("strength")))
+    scored = tried.groupBy("strength").agg(F.round(F.avg((F.col("__p") - F.col(y)) * (F.col("__p") - F.col(y))), 12).alias("brier"))
+    best = scored.agg(F.min_by("strength", F.struct("brier", "strength"))).first()[0]
+    strength = 0.0 if best is None else float(best)
+    gate, probe = fit_classifier(target, "__gate_y", 0.5), fit_classifier(probed.withColumnRenamed("weight", "__w") if "weight" in probed.columns else probed, "__right", 0.5)
+    out = predict(probe, predict(gate, df, "__gate", share), "__trust", F.lit(0.5))
+    g, t = F.col("__gate"), F.col("__trust")
+    made = {"full": mixed(g, t, strength), "no_gate": mixed(g, t, strength, False), "no_probe": mixed(g, F.lit(0.5), strength), "no_anchor": mixed(g, t, 0.0)}
+    return out.withColumns(made).drop("__gate", "__trust"), strength

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import curate, fuse, metrics, report, retrieve, significance, split
+from ..operators import curate, fuse, metrics, project, report, retrieve, significance, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -420,8 +420,9 @@ def text_functions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.shortened(text, 60).alias("short"), T.presence(text).alias("present"), T.encoded(text, "abcdefghijklmnopqrstuvwxyz", 8).alias("codes"))
 
 
-@query(f"""WITH {PRED} SELECT lang, model, round(sum(CASE WHEN p > p2 THEN 1 WHEN p = p2 THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 6) AS ci
-  FROM long JOIN (SELECT lang, model, y AS y2, p AS p2 FROM long) b USING (lang, model) WHERE y > y2 GROUP BY ALL""")
+@query(f"""WITH {PRED}, c AS (SELECT lang, model, sum(CASE WHEN p > p2 THEN 1 WHEN p = p2 THEN 0.5 ELSE 0 END)::DOUBLE / count(*) AS ci
+  FROM long JOIN (SELECT lang, model, y AS y2, p AS p2 FROM long) b USING (lang, model) WHERE y > y2 GROUP BY ALL)
+  SELECT lang, model, round(ci, 6) AS ci FROM (SELECT DISTINCT lang, model FROM long WHERE y IS NOT NULL AND p IS NOT NULL) g LEFT JOIN c USING (lang, model)""")
 def concordance_index(spark, sf_dir):
     return rounded(metrics.concordance(long_predictions(spark, sf_dir), ["lang", "model"], "doc_id"))
 
@@ -486,6 +487,35 @@ def pair_values(spark, sf_dir):
     return curate.pair_values(rows, "left_id", "right_id", "value", "o")
 
 
+@query()
+def conflict_aware_arbitration(spark, sf_dir):
+    rows = predictions(spark, sf_dir).where("y is not null").withColumns({"y": F.col("y").cast("double"), "current": F.col("p_size"), "retrieved": F.col("p_hash"), "anchor": F.lit(0.5), "mask": T.presence(F.col("lang")).cast("double")})
+    ready = fuse.gate_features(rows.select("doc_id", "y", "current", "retrieved", "anchor", "mask"), "current", "retrieved", [], ["mask"])
+    parts = split.split_random(ready, ["doc_id"], seed=6, train=0.5, val=0.2)
+    fused, _ = fuse.arbitrated(parts.where("split <> 'test'").drop("split"), parts.where("split = 'test'").drop("split"), ["doc_id"], folds=2)
+    return rounded(fused.select("doc_id", "full", "no_gate", "no_probe", "no_anchor"))
+
+
+@query(f"""WITH {PRED} SELECT doc_id, 'p' AS model, v AS variant, prob FROM (SELECT doc_id, 'clean' AS v, p_hash AS prob FROM pred UNION ALL SELECT doc_id, 'missing', p_size FROM pred)""")
+def long_predictions_form(spark, sf_dir):
+    wide = predictions(spark, sf_dir).select("doc_id", F.col("p_hash").alias("p_prob_clean"), F.col("p_size").alias("p_prob_missing"))
+    return project.long_form(wide, ["doc_id"])
+
+
+@query(f"""WITH {ACT}, p(kind, active, inactive, up) AS (VALUES ('A', 20000.0::DOUBLE, 40000.0::DOUBLE, false), ('N', 50000.0, 30000.0, true))
+  SELECT row_id, kind, CASE WHEN (up AND value >= active) OR (NOT up AND value <= active) THEN 1 ELSE 0 END AS label FROM act JOIN p USING (kind)
+  WHERE (up AND (value >= active OR value <= inactive)) OR (NOT up AND (value <= active OR value >= inactive))""")
+def label_by_policy(spark, sf_dir):
+    policy = spark.createDataFrame([("A", 20000.0, 40000.0, False), ("N", 50000.0, 30000.0, True)], "kind string, active double, inactive double, greater_is_better boolean")
+    return project.label_policy(activities(spark, sf_dir), policy, "kind", "value").select("row_id", "kind", "label")
+
+
+@query(f"""WITH {ACT} SELECT row_id, round(9 - log10(value), 6) AS y, (value <= 30000)::INT AS binary_label, kind AS "group" FROM act WHERE value > 0""")
+def regression_frame(spark, sf_dir):
+    rows = activities(spark, sf_dir).withColumn("l", (F.col("value") <= 30000).cast("int"))
+    return rounded(project.project(project.regression_rows(rows, "value", "l"), {"row_id": "row_id", "y": "y", "binary_label": "binary_label", "group": "kind"}))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

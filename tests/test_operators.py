@@ -162,3 +162,24 @@ def test_encoder_runs_once_per_text(spark):
     cache = spark.createDataFrame([("b", [9.0, 9.0])], "text string, vec array<double>")
     got = retrieve.encoded_once(df, "t", encode, 2, cache)
     assert sorted((r.t or "", r.vec) for r in got.collect()) == [("", [0.0, 0.0]), ("", [0.0, 0.0]), ("aa", [2.0, 1.0]), ("aa", [2.0, 1.0]), ("b", [9.0, 9.0])]
+
+
+def test_projections(spark):
+    from evalmill.operators import project
+
+    df = spark.createDataFrame([(1, "AB12C", "true", '{"a": "x"}', "5"), (2, "ab", "no", '{"a": " "}', "-1")], "id long, acc string, flag string, js string, v string")
+    assert values(df.select(project.looks_like_accession(F.col("acc")).alias("a"), project.is_complete(F.col("js"), ["a"]).alias("b")), "a", "b") == [(True, True), (False, False)]
+    assert values(project.replay_missing(df, {"acc": "flag"}), "acc") == [("",), ("ab",)]
+    assert values(project.regression_rows(df, "v", "id"), "id", "binary_label") == [(1, 1)]
+    assert values(project.shortlist(df, "acc", ["ab", "zz"]), "id", "position") == [(2, 1)]
+    with pytest.raises(Exception):
+        project.with_predictions(df, df.where("id = 1").select("id", F.lit(0.5).alias("p")), "id").collect()
+    assert project.with_predictions(df, df.select("id", F.lit(0.5).alias("p")), "id").count() == 2
+    wide = spark.createDataFrame([(1, 0.1, 0.2)], "id int, m_prob_clean double, m_prob double")
+    assert sorted(values(project.long_form(wide, ["id"]), "model", "prob")) == [("m", 0.1), ("m", 0.2)]
+
+
+def test_scaling_and_pairs(spark):
+    df = spark.createDataFrame([(1, 0.0, "train"), (1, 10.0, "train"), (2, 15.0, "test")], "k int, v double, s string")
+    assert sorted(r[0] for r in curate.scaled(df, ["v"], F.col("s") == "train").select("v").collect()) == [-1.0, 1.0, 2.0]
+    assert sorted(values(curate.pair_values(df, "k", "s", "v", "v"), "k", "v")) == [(1, 10.0), (2, 15.0)]
