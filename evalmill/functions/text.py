@@ -76,3 +76,19 @@ def hashed_vector(items: Column, buckets: int) -> Column:
     counts = F.transform(F.array_distinct(hashed), lambda b: F.struct(b.alias("bucket"), F.size(F.filter(hashed, lambda h: h == b)).cast("double").alias("n")))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c["n"] * c["n"]))
     return F.map_from_entries(F.transform(counts, lambda c: F.struct(c["bucket"], c["n"] / norm)))
+
+
+def threshold_slug(value: Column) -> Column:
+    """A threshold in nM as a name: ``t100nm``, ``t0p5nm``."""
+    plain = F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"\.?0+$", "")
+    return F.concat(F.lit("t"), F.replace(plain, F.lit("."), F.lit("p")), F.lit("nm"))
+
+
+def described(payload: Column, fallback: Column) -> Column:
+    """The recommended name and the first functional comment (its first two texts) of a JSON record; the fallback if both are empty."""
+    record = F.from_json(payload, "proteinDescription struct<recommendedName: struct<fullName: struct<value: string>>>, comments array<struct<commentType: string, texts: array<struct<value: string>>>>")
+    name = record["proteinDescription"]["recommendedName"]["fullName"]["value"]
+    texts = F.transform(F.filter(record["comments"], lambda c: c["commentType"] == "FUNCTION"), lambda c: F.filter(F.transform(F.slice(c["texts"], 1, 2), lambda t: t["value"]), lambda v: F.length(v) > 0))
+    first = F.get(F.filter(texts, lambda t: F.size(t) > 0), F.lit(0))
+    found = F.trim(F.concat_ws(" ", F.array(F.nullif(name, F.lit(""))), first))
+    return F.when(F.length(found) > 0, found).otherwise(fallback)

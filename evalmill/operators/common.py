@@ -28,29 +28,50 @@ def hash_order(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
-def above(df: DataFrame, keys: list[str], score: str, sums: dict[str, Column]) -> DataFrame:
+def hash_unit(seed: int, *columns: str) -> Column:
+    """The hash order as a number in (0, 1] that falls as the order rises."""
+    return 1 - F.conv(F.substring(hash_order(seed, *columns), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the further columns of ``right``; null keys are equal, no keys mean one row on the right."""
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(named[f"__r_{k}"]) for k in keys], F.lit(True))
+    return left.join(named if keys else F.broadcast(named), on, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def in_unit(df: DataFrame, keys: list[str], value: str, name: str = "__unit", rising: bool = False) -> DataFrame:
+    """Adds the place of the value between its group's bounds, in [0, 1]; with ``rising`` the smallest value gets 1."""
+    bounds = df.groupBy(*keys).agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
+    v, lo, hi = F.col(value).cast("double"), F.col("__lo"), F.col("__hi")
+    place = F.when(hi > lo, ((hi - v) if rising else (v - lo)) / (hi - lo)).otherwise(F.lit(0.0))
+    return joined(df, bounds, keys).withColumn(name, place).drop("__lo", "__hi")
+
+
+def above(df: DataFrame, keys: list[str], score: str, sums: dict[str, Column], order: Column | None = None) -> DataFrame:
     """Adds to each row the sums over all rows of its group with a higher score in [0, 1], or an equal one.
 
     Two levels, so that a large group is not ordered in one task: totals of
-    ``BINS`` score ranges first, then an order inside each range.
+    ``BINS`` score ranges first, then an order inside each range: by falling
+    score, or by ``order`` where the score only places a row.
     """
     binned = df.withColumn("__bin", F.least(F.floor(F.col(score) * BINS), F.lit(BINS)))
     totals = binned.groupBy(*keys, "__bin").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
     higher = Window.partitionBy(*keys).orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "__bin", *[F.coalesce(F.sum(f"__{n}").over(higher), F.lit(0)).alias(f"__{n}") for n in sums])
-    inside = Window.partitionBy(*keys, "__bin").orderBy(F.desc(score))
+    inside = Window.partitionBy(*keys, "__bin").orderBy(F.desc(score) if order is None else order)
     counted = binned.withColumns({f"__in_{n}": F.sum(c).over(inside) for n, c in sums.items()})
     found = counted.alias("l").join(totals.alias("r"), reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__bin"]]))
     return found.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], *[(F.col(f"l.__in_{n}") + F.col(f"r.__{n}")).alias(n) for n in sums])
 
 
-def ranked(df: DataFrame, keys: list[str], score: str, *ties: str, name: str = "rank") -> DataFrame:
-    """Adds the position by falling score in [0, 1] inside the group, ties by the given columns; two levels as in ``above``."""
+def ranked(df: DataFrame, keys: list[str], score: str, *ties: str, name: str = "rank", order: Column | None = None) -> DataFrame:
+    """Adds the position by falling score in [0, 1] (or by ``order``) inside the group, ties by the given columns; two levels as in ``above``."""
     binned = df.withColumn("__bin", F.least(F.floor(F.col(score) * BINS), F.lit(BINS)))
     totals = binned.groupBy(*keys, "__bin").agg(F.count("*").alias("__n"))
     higher = Window.partitionBy(*keys).orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__n", F.coalesce(F.sum("__n").over(higher), F.lit(0)))
-    inside = Window.partitionBy(*keys, "__bin").orderBy(F.desc(score), *ties)
+    inside = Window.partitionBy(*keys, "__bin").orderBy(F.desc(score) if order is None else order, *ties)
     counted = binned.withColumn("__in", F.row_number().over(inside))
     found = counted.alias("l").join(totals.alias("r"), reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__bin"]]))
     return found.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], (F.col("l.__in") + F.col("r.__n")).alias(name))

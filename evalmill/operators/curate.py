@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_order, require_columns
+from .common import hash_order, hash_unit, in_unit, joined, ranked, require_columns
 
 
 def clean_measurements(df: DataFrame, value: str, required: list[str], kinds: list[str] | None = None, kind: str | None = None) -> DataFrame:
@@ -116,19 +116,39 @@ def quotas(strata: DataFrame, limit: int, order: list[str]) -> DataFrame:
 
 
 def sample_by_quota(df: DataFrame, keys: list[str], limit: int, order: list[str], seed: int = 0) -> DataFrame:
-    """Rows chosen per stratum by hash order up to its quota."""
+    """Rows chosen per stratum by hash order up to its quota; a table within the limit stays whole."""
     held = quotas(df.groupBy(*keys).agg(F.count("*").alias("n")), limit, keys).select(*keys, "quota")
-    place = Window.partitionBy(*keys).orderBy(hash_order(seed, *order), *order)
-    return df.withColumn("__r", F.row_number().over(place)).join(held, keys).where(F.col("__r") <= F.col("quota")).drop("__r", "quota")
+    placed = ranked(df.withColumn("__unit", hash_unit(seed, *order)), keys, "__unit", *order, name="__r", order=F.asc(hash_order(seed, *order)))
+    return joined(placed, held, keys).where(F.col("__r") <= F.col("quota")).drop("__r", "__unit", "quota")
 
 
 def evenly_spaced(df: DataFrame, group: str, value: str, order: list[str], most: int) -> DataFrame:
     """At most ``most`` rows of each group, at even positions of the order by value, both ends kept."""
-    w = Window.partitionBy(group)
-    placed = df.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(value, *order)) - 1)
+    placed = ranked(in_unit(df, [group], value, rising=True), [group], "__unit", *order, name="__r", order=F.asc_nulls_last(value))
+    sized = joined(placed, df.groupBy(group).agg(F.count("*").alias("__n")), [group]).withColumn("__r", F.col("__r") - 1)
     m = F.least(F.col("__n"), F.lit(most))
     wanted = F.when(m == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.bround(i * (F.col("__n") - 1) / (m - 1)).cast("long")))
-    return placed.where(F.array_contains(wanted, F.col("__r").cast("long"))).drop("__n", "__r")
+    return sized.where(F.array_contains(wanted, F.col("__r").cast("long"))).drop("__n", "__r", "__unit")
+
+
+def balanced_cohort(df: DataFrame, group: str, year: str, kind: str, value: str, row_id: str, most_groups: int, most_rows: int, edges: tuple[int, ...] = (2014, 2019), seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A bounded cohort over groups, and its manifest of one row per group.
+
+    Groups are drawn by quota inside strata of first year (up to each edge, and
+    beyond) and first kind; of each chosen group, rows at even ranks of the value
+    stay. Rows without group, year or value are dropped. A limit of 0 keeps all.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(year).isNotNull() & F.col(value).isNotNull())
+    first = F.min(F.when(F.col(kind).isNotNull(), F.struct(F.col(year).alias("a"), F.col(kind).alias("b"))))["b"]
+    meta = rows.groupBy(group).agg(F.count("*").alias("candidate_rows"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), first.alias("first_kind"), F.min(value).alias("min_value"), F.median(value).alias("median_value"), F.max(value).alias("max_value"))
+    period = sum([(F.col("first_year") > e).cast("int") for e in edges], F.lit(0))
+    meta = meta.withColumn("stratum", F.concat_ws("|", period.cast("string"), F.coalesce("first_kind", F.lit(""))))
+    chosen = (sample_by_quota(meta.select(group, "stratum"), ["stratum"], most_groups, [group], seed) if most_groups > 0 else meta).select(group).withColumn("selected", F.lit(True))
+    cohort = joined(rows, chosen, [group]).drop("selected")
+    cohort = evenly_spaced(cohort, group, value, [row_id], most_rows) if most_rows > 0 else cohort
+    kept = cohort.groupBy(group).agg(F.count("*").alias("retained_rows"))
+    manifest = joined(joined(meta, chosen, [group], "left"), kept, [group], "left")
+    return cohort, manifest.withColumns({"selected": F.coalesce("selected", F.lit(False)), "retained_rows": F.coalesce("retained_rows", F.lit(0).cast("long"))})
 
 
 def sample_rows(df: DataFrame, n: int, order: list[str], seed: int = 0) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_order
+from .common import hash_order, hash_unit, ranked
 from .metrics import ranking
 
 GRID = tuple(i / 20 for i in range(21))
@@ -49,8 +49,38 @@ def predict(model, df: DataFrame, name: str, fallback: Column) -> DataFrame:
 
 
 def fold_of(df: DataFrame, label: str, order: list[str], folds: int, seed: int = 0) -> DataFrame:
-    """Adds ``fold``: stratified by hash, so that no order over all rows is needed."""
-    return df.withColumn("fold", F.pmod(F.conv(F.substring(hash_order(seed, *order), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int"))
+    """Adds ``fold``, stratified: the place in a hash order inside each label, modulo the number of folds."""
+    placed = ranked(df.withColumn("__unit", hash_unit(seed, *order)), [label], "__unit", *order, name="__place", order=F.asc(hash_order(seed, *order)))
+    return placed.withColumn("fold", F.pmod(F.col("__place") - 1, F.lit(folds)).cast("int")).drop("__unit", "__place")
+
+
+def fit_calibrated(df: DataFrame, label: str, order: list[str], folds: int = 3, c: float = 1.0, seed: int = 0) -> list[tuple]:
+    """Per fold a class-balanced classifier of the other folds and a sigmoid of its margin, fitted on the fold; no more folds than rows of the smaller class, empty where that is under two."""
+    counts = [r[1] for r in df.groupBy(label).count().collect()]
+    folds = min(folds, *counts) if len(counts) == 2 else 0
+    if folds < 2:
+        return []
+    dealt = fold_of(df, label, order, folds, seed).persist()
+    fitted = []
+    for f in range(folds):
+        model = fit_classifier(dealt.where(F.col("fold") != f), label, c)
+        if model is not None:
+            held = model.transform(dealt.where(F.col("fold") == f)).select(label, F.array(vector_to_array("rawPrediction")[1]).alias("m"))
+            fitted.append((model, LogisticRegression(featuresCol="m", labelCol=label, maxIter=40).fit(held.select(label, array_to_vector("m").alias("m")))))
+    dealt.unpersist()
+    return fitted
+
+
+def predict_calibrated(models: list[tuple], df: DataFrame, name: str) -> DataFrame:
+    """Adds the mean of the calibrated probabilities; 0.5 where there is no model."""
+    out, parts = df, []
+    for i, (model, sigmoid) in enumerate(models):
+        slope, bias = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
+        margin = vector_to_array("rawPrediction")[1]
+        out = model.transform(out).withColumn(f"__p{i}", 1 / (1 + F.exp(-(slope * margin + bias)))).drop("rawPrediction", "probability", "prediction")
+        parts.append(F.col(f"__p{i}"))
+    mean = sum(parts[1:], parts[0]) / len(parts) if parts else F.lit(0.5)
+    return out.withColumn(name, mean).drop(*[f"__p{i}" for i in range(len(models))])
 
 
 def cross_fitted(df: DataFrame, label: str, order: list[str], folds: int = 3, seed: int = 0, name: str = "p") -> DataFrame:
@@ -100,7 +130,6 @@ def neighbour_regression(near: DataFrame, values: DataFrame, id_col: str, value:
     return joined.groupBy("query_id").agg(F.when(w > 0, F.sum(F.col("sim") * F.col("v")) / w).otherwise(F.avg("v")).alias("predicted"))
 
 
-
 def arbitration_target(y: str, current: str, retrieved: str) -> Column:
     """1 where the current probability has a lower or equal squared error."""
     def err(p: str) -> Column:

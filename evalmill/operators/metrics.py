@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import above, ranked
+from .common import above, in_unit, joined, ranked
 
 #: Edges of ten equal bins as floating-point multiples of 0.1.
 EDGES = tuple(i * 0.1 for i in range(1, 10))
@@ -56,8 +56,7 @@ def risk_at(df: DataFrame, keys: list[str], id_col: str, coverage: float = 0.8,
     size = placed.groupBy(*keys).agg(F.count("*").alias("__n"))
     share = F.lit(coverage) * F.col("__n")
     keep = F.greatest(F.lit(1), F.floor(share) if rounding == "floor" else F.ceil(share))
-    held = placed.join(size, keys) if keys else placed.crossJoin(F.broadcast(size))
-    return held.where(F.col("rank") <= keep).groupBy(*keys).agg(F.avg("__wrong").alias("risk"))
+    return joined(placed, size, keys).where(F.col("rank") <= keep).groupBy(*keys).agg(F.avg("__wrong").alias("risk"))
 
 
 def risk_coverage(df: DataFrame, keys: list[str], id_col: str, y: str = "y", p: str = "p") -> DataFrame:
@@ -96,6 +95,35 @@ def regression(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     return seen.groupBy(*keys).agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.corr(y, p).alias("pearson"))
 
 
+def average_ranks(df: DataFrame, keys: list[str], value: str, weight: str, name: str = "rank") -> DataFrame:
+    """keys, value and the rank of each distinct value by falling order, ties sharing the average of their places."""
+    counts = df.groupBy(*keys, value).agg(F.sum(weight).alias("__c"))
+    found = above(in_unit(counts, keys, value), keys, "__unit", {"__upto": F.col("__c")}, F.desc(value))
+    return found.select(*keys, value, (F.col("__upto") - (F.col("__c") - 1) / 2).alias(name))
+
+
+def spearman(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
+    """Rank correlation per group, ties averaged (null if a side is constant).
+
+    Rows are counted by (y, p) first; the mean rank is (n + 1) / 2 on both sides.
+    """
+    seen = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*keys, F.col(y).cast("double").alias("__y"), F.col(p).cast("double").alias("__p")).agg(F.count("*").alias("__w"))
+    placed = joined(joined(seen, average_ranks(seen, keys, "__y", "__w", "__ry"), [*keys, "__y"]), average_ranks(seen, keys, "__p", "__w", "__rp"), [*keys, "__p"])
+    w, a, b = F.col("__w"), F.col("__ry"), F.col("__rp")
+    sums = placed.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
+    centre = F.col("n") * (F.col("n") + 1.0) * (F.col("n") + 1.0) / 4
+    var = (F.col("aa") - centre) * (F.col("bb") - centre)
+    return sums.select(*keys, "n", F.when(var > 0, (F.col("ab") - centre) / F.sqrt(var)).alias("spearman"))
+
+
+def evaluate(df: DataFrame, keys: list[str], id_col: str, y: str = "y", p: str = "p") -> DataFrame:
+    """Ranking, calibration, risk at 80 % and classification metrics per group in one table."""
+    out = ranking(df, keys, y, p)
+    for part in (ece(df, keys, y, p), risk_at(df, keys, id_col, y=y, p=p), classification(df, keys, y, p)):
+        out = joined(out, part, keys)
+    return out.withColumn("ap_lift", F.col("ap") - F.col("prevalence"))
+
+
 def threshold_sweep(df: DataFrame, keys: list[str], value: str, p: str, thresholds: list[float]) -> DataFrame:
     """Ranking metrics after relabelling by each threshold of the value."""
     marked = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_unit, joined, ranked
+
 
 def summary(df: DataFrame, keys: list[str], metrics: list[str], sample: bool = False) -> DataFrame:
     """Per group and metric: n, mean, deviation (population or sample), 95 % half-width (0 for one value); nulls and NaN skipped, null keys kept."""
@@ -27,6 +29,16 @@ def distinct_list(column: str) -> Column:
     return F.array_join(F.array_sort(F.collect_set(F.col(column).cast("string"))), ",")
 
 
+def content_digest(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Per group a digest of the distinct values that depends on no order: SHA-1 of their number and the sum of 60 bits of each value's MD5.
+
+    Both parts add up before the shuffle, so that no group is gathered.
+    """
+    part = F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 15), 16, 10).cast("decimal(38,0)")
+    distinct = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.lit(1).alias("__one"))
+    return distinct.groupBy(*keys).agg(F.count("*").alias("n_values"), F.sha1(F.concat_ws(":", F.count("*").cast("string"), F.sum(part).cast("string"))).alias("digest"))
+
+
 def mode_of(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """The most frequent value of each group, the smallest on ties."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__n"))
@@ -42,12 +54,12 @@ def average_rank(df: DataFrame, condition: list[str], metric: str, descending: b
 
 
 def equal_bins(df: DataFrame, keys: list[str], score: str, ties: list[str], bins: int) -> DataFrame:
-    """Adds a bin 1..q of equal counts by rank: ``max(1, ceil((r-1)*q/(n-1)))`` with q the smaller of bins and n."""
-    w = Window.partitionBy(*keys)
-    placed = df.withColumn("__r", F.row_number().over(w.orderBy(score, *ties))).withColumn("__n", F.count("*").over(w))
+    """Adds a bin 1..q of equal counts by rising score: ``max(1, ceil((r-1)*q/(n-1)))`` with q the smaller of bins and n; nulls come last."""
+    placed = ranked(in_unit(df, keys, score, rising=True), keys, "__unit", *ties, name="__r", order=F.asc_nulls_last(score))
+    sized = joined(placed, df.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
     q, n = F.least(F.lit(bins), F.col("__n")), F.col("__n")
     b = F.when(n == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("__r") - 1) * q / (n - 1))))
-    return placed.withColumn("bin", b.cast("int")).drop("__r", "__n")
+    return sized.withColumn("bin", b.cast("int")).drop("__r", "__n", "__unit")
 
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -517,10 +517,13 @@ def regression_frame(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import reports  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 

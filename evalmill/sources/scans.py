@@ -39,6 +39,20 @@ def read_metrics(spark: SparkSession, paths: list[str], metrics: list[str], spli
     return rows.select("run_dir", seed.alias("seed"), "dataset", "split_mode", "model", F.col("m.selected_model").alias("selected_model"), *[F.col(f"m.{split}.{n}").alias(n) for n in metrics])
 
 
+def read_predictions(spark: SparkSession, files: dict[str, str], schema: T.StructType | str, header: DataFrame | None = None) -> DataFrame:
+    """Prediction files by metric split (name -> glob), with metric_split and run_dir; a header of one row per run_dir is joined if given."""
+    out = None
+    for split, path in files.items():
+        part = read_csv(spark, path, schema).withColumns({"metric_split": F.lit(split), "run_dir": F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)})
+        out = part if out is None else out.unionByName(part)
+    return out if header is None else out.join(header, "run_dir", "left")
+
+
+def read_benchmark(spark: SparkSession, path: str, schema: T.StructType | str, row_id: str = "sample_id") -> DataFrame:
+    """A benchmark table; raises if it lacks the row id."""
+    return require_columns(read_csv(spark, path, schema), row_id)
+
+
 def read_flat_metrics(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with every required field, and the (file, raw) of the others, malformed documents included."""
     whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
