@@ -50,6 +50,7 @@ def as_vector(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 def run_suite(df: DataFrame, id_col: str, label: str, variants: dict[str, Features | Blend | Select], part: str = "split", folds: int = 3) -> DataFrame:
     """id, part, label, model, p of every variant on the rows outside ``train``; variants may name earlier ones."""
+    df = df.persist()  # read by every fit; lost parts are computed anew
     train = df.where(F.col(part) == "train").withColumn("label", F.col(label).cast("double"))
     rest = df.where(F.col(part) != "train")
     for name, v in variants.items():
@@ -90,7 +91,7 @@ def direct_regression(df: DataFrame, id_col: str, value: str, columns: tuple[str
     The penalty with the smallest RMSE on val is taken, the first on ties;
     ``neighbours`` has query_id and predicted; rows without neighbours get the train mean.
     """
-    rows = as_vector(df.where(F.col(value).isNotNull()).withColumn("label", F.col(value).cast("double")), columns)
+    rows = as_vector(df.where(F.col(value).isNotNull()).withColumn("label", F.col(value).cast("double")), columns).persist()
     train, rest = rows.where(F.col(part) == "train"), rows.where(F.col(part) != "train")
     best = None
     for a in alphas:

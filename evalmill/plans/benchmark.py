@@ -23,12 +23,17 @@ class Columns:
     value: str = "value"
     year: str = "year"
 
+    @property
+    def identity(self) -> list[str]:
+        """Columns that order rows; row ids alone may repeat."""
+        return [self.row_id, self.left, self.right]
+
 
 def public_subset(df: DataFrame, texts: DataFrame, c: Columns, size: int, most_groups: int, active: float, inactive: float | None = None, blank: float = 0.05, seed: int = 42) -> DataFrame:
     """Rows of the most frequent groups, labelled, sampled to a size, with a text per group (its id where there is none); a share of the texts is blanked."""
     clean = curate.clean_measurements(df, c.value, [c.left, c.right])
     labelled = curate.label_with_gap(curate.top_groups(clean, c.right, most_groups), c.value, active, inactive)
-    drawn = curate.sample_rows(labelled, size, [c.row_id], seed).withColumn("__own", F.col(c.right).cast("string"))
+    drawn = curate.sample_rows(labelled, size, c.identity, seed).withColumn("__own", F.col(c.right).cast("string"))
     told = curate.look_up(drawn, texts, c.right, "text", own="__own").drop("__own")
     return curate.blank_missing(told, {"text": blank}, c.row_id, seed).withColumn("sample_id", T.stable_id("s", F.col(c.row_id).cast("string")))
 
@@ -46,7 +51,7 @@ def official_splits(parts: dict[str, DataFrame], names: dict[str, str], texts: D
 def context_subset(df: DataFrame, contexts: DataFrame, texts: DataFrame, c: Columns, size: int, active: float, seed: int = 42) -> DataFrame:
     """Measurements of described contexts, sampled, labelled at one threshold, with the context's and the group's text composed."""
     described = curate.clean_measurements(df, c.value, [c.left, c.right, c.context]).join(contexts.select(c.context, "context_text"), c.context)
-    drawn = curate.sample_rows(described, size, [c.row_id], seed)
+    drawn = curate.sample_rows(described, size, c.identity, seed)
     told = curate.look_up(drawn, texts, c.right, "group_text", default="")
     made = told.withColumn("text", T.composed(F.col("context_text"), F.col("group_text"), F.col(c.right).cast("string")))
     return made.withColumn("label", (F.col(c.value) <= active).cast("int"))
@@ -61,7 +66,7 @@ def build(df: DataFrame, c: Columns, describe: list[str], low: float, high: floa
 
 def modes(c: Columns) -> dict[str, tuple[str, list[str]]]:
     """Split modes by name: the kind of split and its columns."""
-    return {"random": ("random", [c.row_id]), "right_cold": ("group", [c.right]), "context_cold": ("group", [c.context]), "temporal": ("time", [c.year])}
+    return {"random": ("random", c.identity), "right_cold": ("group", [c.right]), "context_cold": ("group", [c.context]), "temporal": ("time", [c.year])}
 
 
 def all_splits(df: DataFrame, c: Columns, seed: int = 0) -> DataFrame:
@@ -96,7 +101,7 @@ def consumer_splits(df: DataFrame, c: Columns, mode: str, most: dict[str, int],
     out = None
     for part in split.PARTS:
         held = rows.where(F.col("split") == part)
-        held = curate.sample_rows(held, most[part], [c.row_id], seed) if most.get(part) else held
+        held = curate.sample_rows(held, most[part], c.identity, seed) if most.get(part) else held
         out = held if out is None else out.unionByName(held)
     return out
 

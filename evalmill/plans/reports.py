@@ -12,6 +12,11 @@ from .registry import ACT, BIN, PRED, RUNS, _split_sql, activities, long_predict
 ROLES = benchmark.Columns()
 
 
+def _hashed(seed: int) -> str:
+    """The order of rows that ``Columns.identity`` gives."""
+    return f"md5('{seed}|' || row_id || '|' || left_id || '|' || right_id), row_id, left_id, right_id"
+
+
 @query(f"""WITH {ACT}, r AS (SELECT kind, rank() OVER (PARTITION BY kind ORDER BY value) + (count(*) OVER (PARTITION BY kind, value) - 1) / 2 AS a,
   rank() OVER (PARTITION BY kind ORDER BY year) + (count(*) OVER (PARTITION BY kind, year) - 1) / 2 AS b FROM act)
   SELECT kind, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r GROUP BY 1""")
@@ -69,18 +74,18 @@ def _conflict(spark, sf_dir):
     return audit.conflict_report(rows, ["lang"], "doc_id", "y", "p_size", "p_hash", ["fused"])
 
 
-@query(f"""WITH {CONFLICT} SELECT lang, conflict_bin, model, n, round(mean_conflict, 6) AS mean_conflict, round(median_conflict, 6) AS median_conflict, round(brier, 6) AS brier,
-  round(current_brier, 6) AS current_brier, round(current_brier - brier, 6) AS brier_gain, round(accuracy, 6) AS accuracy,
+@query(f"""WITH {CONFLICT} SELECT lang, conflict_bin, model, n, round(mean_conflict, 12) AS mean_conflict, round(median_conflict, 12) AS median_conflict, round(brier, 12) AS brier,
+  round(current_brier, 12) AS current_brier, round(current_brier - brier, 12) AS brier_gain, round(accuracy, 12) AS accuracy,
   CASE model WHEN 'p_size' THEN 'current' WHEN 'p_hash' THEN 'retrieved' ELSE 'fused' END AS family FROM per""")
 def conflict_report(spark, sf_dir):
-    return rounded(_conflict(spark, sf_dir)[0].select("lang", "conflict_bin", "model", "n", "mean_conflict", "median_conflict", "brier", "current_brier", "brier_gain", "accuracy", "family"))
+    return rounded(_conflict(spark, sf_dir)[0].select("lang", "conflict_bin", "model", "n", "mean_conflict", "median_conflict", "brier", "current_brier", "brier_gain", "accuracy", "family"), 12)
 
 
-@query(f"""WITH {CONFLICT} SELECT conflict_bin, model, count(DISTINCT lang) AS runs, sum(n)::BIGINT AS total_n, count(g) AS n_brier_gain, round(avg(g), 6) AS mean_brier_gain,
-  round(stddev_pop(g), 6) AS std_brier_gain, round(CASE WHEN count(g) > 1 THEN 1.96 * stddev_pop(g) / sqrt(count(g)) ELSE 0 END, 6) AS ci95_brier_gain
+@query(f"""WITH {CONFLICT} SELECT conflict_bin, model, count(DISTINCT lang) AS runs, sum(n)::BIGINT AS total_n, count(g) AS n_brier_gain, round(avg(g), 12) AS mean_brier_gain,
+  round(stddev_pop(g), 12) AS std_brier_gain, round(CASE WHEN count(g) > 1 THEN 1.96 * stddev_pop(g) / sqrt(count(g)) ELSE 0 END, 12) AS ci95_brier_gain
   FROM (SELECT *, current_brier - brier AS g FROM per) GROUP BY ALL""")
 def conflict_summary(spark, sf_dir):
-    return rounded(audit.pooled(_conflict(spark, sf_dir)[0], ["conflict_bin", "model"], "lang", ["brier_gain"]))
+    return rounded(audit.pooled(_conflict(spark, sf_dir)[0], ["conflict_bin", "model"], "lang", ["brier_gain"]), 12)
 
 
 @query(f"""WITH {CONFLICT} SELECT lang, doc_id, y, p_size AS current_p, p_hash AS retrieved_p, round(conflict, 6) AS conflict, conflict_bin FROM b""")
@@ -206,8 +211,8 @@ def main_table(spark, sf_dir):
 
 
 @query(f"""WITH {ACT}, k AS (SELECT right_id FROM act GROUP BY 1 ORDER BY count(*) DESC, right_id LIMIT 5),
-  l AS (SELECT row_id, right_id, (value <= 20000)::INT AS label FROM act WHERE right_id IN (FROM k) AND value > 0 AND (value <= 20000 OR value >= 40000)),
-  d AS (SELECT * FROM l ORDER BY md5('42|' || row_id), row_id LIMIT 400)
+  l AS (SELECT row_id, left_id, right_id, (value <= 20000)::INT AS label FROM act WHERE right_id IN (FROM k) AND value > 0 AND (value <= 20000 OR value >= 40000)),
+  d AS (SELECT * FROM l ORDER BY {_hashed(42)} LIMIT 400)
   SELECT row_id, label, coalesce(nullif(trim(s_name), ''), right_id::VARCHAR) AS text FROM d LEFT JOIN supplier ON s_suppkey = right_id AND s_acctbal > 0""")
 def public_subset(spark, sf_dir):
     texts = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("right_id"), F.col("s_name").alias("text"))
@@ -223,7 +228,7 @@ def official_splits(spark, sf_dir):
     return benchmark.official_splits(parts, {"Y": "value"}, texts, ROLES, 20000.0, 40000.0).select("row_id", "split", "label", "text")
 
 
-@query(f"""WITH {ACT}, d AS (SELECT row_id, right_id, value, c_mktsegment FROM act JOIN customer ON c_custkey = context_id WHERE value > 0 AND c_acctbal > 0 ORDER BY md5('42|' || row_id), row_id LIMIT 300)
+@query(f"""WITH {ACT}, d AS (SELECT row_id, right_id, value, c_mktsegment FROM act JOIN customer ON c_custkey = context_id WHERE value > 0 AND c_acctbal > 0 ORDER BY {_hashed(42)} LIMIT 300)
   SELECT row_id, (value <= 30000)::INT AS label, trim(c_mktsegment) || ' [SEP] ' || coalesce(nullif(trim(s_name), ''), '') AS text FROM d LEFT JOIN supplier ON s_suppkey = right_id AND s_acctbal > 0""")
 def context_subset(spark, sf_dir):
     contexts = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("context_id"), F.col("c_mktsegment").alias("context_text"))
@@ -241,7 +246,7 @@ def benchmark_build(spark, sf_dir):
 
 
 SPLITS = f"""{ACT}, gr AS (SELECT DISTINCT right_id FROM act), gc AS (SELECT DISTINCT context_id FROM act), gy AS (SELECT DISTINCT year FROM act),
-  dealt AS (SELECT 'random' AS mode, split, row_id, left_id, right_id, context_id, value, year FROM {_split_sql('act', "md5('1|' || row_id), row_id")}
+  dealt AS (SELECT 'random' AS mode, split, row_id, left_id, right_id, context_id, value, year FROM {_split_sql('act', _hashed(1))}
     UNION ALL SELECT 'right_cold', split, row_id, left_id, right_id, context_id, value, year FROM act JOIN {_split_sql('gr', "md5('1|' || right_id), right_id")} USING (right_id)
     UNION ALL SELECT 'context_cold', split, row_id, left_id, right_id, context_id, value, year FROM act JOIN {_split_sql('gc', "md5('1|' || context_id), context_id")} USING (context_id)
     UNION ALL SELECT 'temporal', split, row_id, left_id, right_id, context_id, value, year FROM act JOIN {_split_sql('gy', 'year')} USING (year))"""
@@ -256,7 +261,7 @@ def split_descriptives(spark, sf_dir):
     return rounded(t.withColumn("mean_value", F.round("mean_value", 4)))
 
 
-@query(f"""WITH {SPLITS} SELECT row_id, split, round(9 - log10(value), 6) AS y FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('1|' || row_id), row_id) AS r FROM dealt WHERE mode = 'right_cold' AND value > 0)
+@query(f"""WITH {SPLITS} SELECT row_id, split, round(9 - log10(value), 6) AS y FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {_hashed(1)}) AS r FROM dealt WHERE mode = 'right_cold' AND value > 0)
   WHERE split = 'test' OR r <= 200""")
 def consumer_splits(spark, sf_dir):
     rows = activities(spark, sf_dir).select(*KEPT, (F.col("value") <= 30000).cast("int").alias("label"))
