@@ -96,3 +96,8 @@ def selection_instability(df: DataFrame, run: list[str], model: str, metric: str
     picked = F.max(F.when(F.col(model) == F.col(chosen), F.col(metric)))
     t = df.groupBy(*run).agg(best.alias("best"), F.max(metric).alias("__top"), F.max(chosen).alias("chosen"), picked.alias("__own"))
     return t.select(*run, "best", "chosen", (F.col("best") == F.col("chosen")).alias("match"), F.round(F.col("__top") - F.col("__own"), 12).alias("gap"))
+
+
+def instability_summary(instability: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group of ``selection_instability``: runs, share of agreement, mean and largest gap."""
+    return instability.groupBy(*keys).agg(F.count("*").alias("runs"), F.avg(F.col("match").cast("int")).alias("match_rate"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"))

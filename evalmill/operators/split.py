@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_order
+from .common import hash_order, hash_unit, joined, ranked
 
 PARTS = ("train", "val", "test")
 
@@ -35,9 +35,21 @@ def split_random(df: DataFrame, order: list[str], seed: int = 0, train: float =
     return placed.withColumn("split", part_of(F.col("__at"), F.col("__all"), train, val)).select(*df.columns, "split")
 
 
-def split_by_group(df: DataFrame, group: str, seed: int = 0, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """All rows of a group in one part; rows without a group are dropped."""
-    placed = _positions(df.where(F.col(group).isNotNull()).select(group).distinct(), [hash_order(seed, group), F.col(group)])
+def too_few(df: DataFrame, column: str) -> bool:
+    """Whether the column has fewer than three distinct values: one more pass over that column."""
+    return df.select(column).distinct().limit(3).count() < 3
+
+
+def split_by_group(df: DataFrame, group: str, seed: int = 0, train: float = 0.7, val: float = 0.15, rows: list[str] | None = None) -> DataFrame:
+    """All rows of a group in one part; rows without a group are dropped.
+
+    With ``rows``, columns that tell rows apart, a table of fewer than three
+    groups is split by rows instead.
+    """
+    known = df.where(F.col(group).isNotNull())
+    if rows and too_few(known, group):
+        return split_random(known, rows, seed, train, val)
+    placed = _positions(known.select(group).distinct(), [hash_order(seed, group), F.col(group)])
     return df.join(placed.withColumn("split", part_of(F.col("__at"), F.col("__all"), train, val)).select(group, "split"), group)
 
 
@@ -48,9 +60,21 @@ def split_by_pair(df: DataFrame, first: str, second: str, seed: int = 0, train:
     return b.where("split = __first").drop("__first")
 
 
-def split_by_time(df: DataFrame, year: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """Whole years in order; rows without a year are dropped. The table of distinct years is ordered whole."""
-    years = df.where(F.col(year).isNotNull()).select(year).distinct()
+def split_by_time(df: DataFrame, year: str, train: float = 0.7, val: float = 0.15, rows: list[str] | None = None) -> DataFrame:
+    """Whole years in order; rows without a year are dropped. The table of distinct years is ordered whole.
+
+    With ``rows``, columns that tell rows apart, a table of fewer than three years
+    is cut by rows instead: years in order, rows of a year in hash order.
+    """
+    known = df.where(F.col(year).isNotNull())
+    if rows and too_few(known, year):
+        sizes = known.groupBy(year).agg(F.count("*").alias("__n"))
+        before = Window.orderBy(year).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.select(year, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+        placed = ranked(known.withColumn("__unit", hash_unit(0, *rows)), [year], "__unit", *rows, name="__at", order=F.asc(hash_order(0, *rows)))
+        part = part_of(F.col("__at") + F.col("__before"), F.col("__all"), train, val)
+        return joined(placed, sizes, [year]).withColumn("split", part).select(*df.columns, "split")
+    years = known.select(year).distinct()
     placed = years.withColumn("__at", F.row_number().over(Window.orderBy(year))).withColumn("__all", F.count("*").over(Window.partitionBy()))
     return df.join(placed.withColumn("split", part_of(F.col("__at"), F.col("__all"), train, val)).select(year, "split"), year)
 

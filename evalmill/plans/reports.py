@@ -134,6 +134,13 @@ def component_deltas(spark, sf_dir):
     return rounded(audit.component_deltas(runs(spark, sf_dir), ["priority", "year"], "kind", "metric", {"mask": ("A", "N"), "retrieval": ("R", "A")}), 4)
 
 
+@query(f"""WITH {RUNS}, s AS (SELECT priority, year, arg_max(kind, (metric, kind)) = 'N' AS match, round(max(metric) - max(metric) FILTER (kind = 'N'), 12) AS gap FROM runs GROUP BY ALL)
+  SELECT priority, count(*) AS runs, round(avg(match::INT), 6) AS match_rate, round(avg(gap), 6) AS mean_gap, round(max(gap), 6) AS max_gap FROM s GROUP BY 1""")
+def instability_summary(spark, sf_dir):
+    found = report.selection_instability(runs(spark, sf_dir).withColumn("chosen", F.lit("N")), ["priority", "year"], "kind", "metric", "chosen")
+    return rounded(report.instability_summary(found, ["priority"]))
+
+
 GRID = f"""{PRED}, x AS (SELECT lang, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS part, p_hash AS p, threshold, (p_size >= threshold)::INT AS y
     FROM pred, (VALUES (0.02::DOUBLE), (0.1), (0.9)) v(threshold)),
   f AS (SELECT lang, threshold, string_agg(part, ',' ORDER BY part) AS one_class_in FROM (SELECT lang, threshold, part FROM x GROUP BY ALL HAVING count(DISTINCT y) < 2) GROUP BY ALL)"""

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalmill.functions import text as T
-from evalmill.operators import audit, curate, fuse, metrics, report, suite
+from evalmill.operators import audit, curate, fuse, metrics, report, split, suite
 from evalmill.sources import scans
 
 
@@ -151,3 +151,13 @@ def test_prediction_scan_joins_the_header(spark, tmp_path):
     assert [(m, r, d) for m, r, d in sorted((x["metric_split"], x["run_dir"], x["dataset"]) for x in got.collect())] == [("test", "a_s1", "d"), ("test", "b_s2", None), ("val", "a_s1", "d")]
     with pytest.raises(ValueError):
         scans.read_benchmark(spark, f"{tmp_path}/a_s1/predictions.csv", "id string, label int")
+
+
+def test_few_groups_or_years_split_by_rows(spark):
+    df = spark.createDataFrame([(i, f"g{i % 2}", 2000 + i % 2) for i in range(6)] + [(9, None, None)], "id int, g string, y int")
+    for found in (split.split_by_group(df, "g", rows=["id"]), split.split_by_time(df, "y", rows=["id"])):
+        assert {r["split"]: r["count"] for r in found.groupBy("split").count().collect()} == {"train": 4, "val": 1, "test": 1}
+    ends = {r["split"]: (r["a"], r["b"]) for r in split.split_by_time(df, "y", rows=["id"]).groupBy("split").agg(F.min("y").alias("a"), F.max("y").alias("b")).collect()}
+    assert ends["train"][1] <= ends["val"][0] and ends["val"][1] <= ends["test"][0]
+    wide = df.withColumn("g", F.col("id"))
+    assert sorted(map(tuple, split.split_by_group(wide, "g", rows=["id"]).select("id", "split").collect())) == sorted(map(tuple, split.split_by_group(wide, "g").select("id", "split").collect()))
