@@ -121,20 +121,35 @@ def mix(
 def schedule(spark, sources: DataFrame, block_words: int, bins: int = 1024, chunk: int = 4096) -> DataFrame:
     """Filled slots: s, block, slot, and ``until``, the word of the source's stream that the slot stops at."""
     total = sources.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count("*")).first()
-    drawn = math.ceil(1.02 * total[0]) + 16 * total[1]
     below = Window.orderBy(F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
     share = F.lit(float(max(total[0], 1)))
     lo = F.coalesce(F.sum("need").over(below), F.lit(0))
     ranges = sources.where("need > 0").withColumn("lo", lo / share).withColumn("hi", (lo + F.col("need")) / share)
     last_bin = F.greatest(F.ceil(F.col("hi") * bins) - 1, F.floor(F.col("lo") * bins))
-    ranges = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), last_bin)))
-    points = spark.range(drawn).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("p")).withColumn("bin", F.floor(F.col("p") * bins))
-    hit = (F.col("p") >= F.col("lo")) & (F.col("p") < F.col("hi"))
-    drawn_slots = points.join(ranges, "bin").where(hit).select("slot", "s", "source_size", "limit", "blocks", "need", F.floor(F.col("slot") / chunk).alias("part"))
-    counts = drawn_slots.groupBy("s", "part").agg(F.count("*").alias("n"))
+
+    def drawn(begin: int, end: int, wanted: DataFrame) -> DataFrame:
+        """The slots begin to end - 1 that fall on the wanted ranges."""
+        dealt = wanted.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), last_bin)))
+        points = spark.range(begin, end).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("p")).withColumn("bin", F.floor(F.col("p") * bins))
+        hit = (F.col("p") >= F.col("lo")) & (F.col("p") < F.col("hi"))
+        return points.join(dealt, "bin").where(hit).select("slot", "s", "source_size", "limit", "blocks", "need", F.floor(F.col("slot") / chunk).alias("part"))
+
+    # The points of a small range may lag behind its share: more are drawn, for such sources only, until each has its slots.
+    begin, surplus, wanted, slots, counts = 0, math.ceil(0.02 * total[0]) + 16 * total[1], ranges, None, None
+    end = total[0] + surplus
+    while True:
+        found = drawn(begin, end, wanted)
+        n = cut(found.groupBy("s", "part").agg(F.count("*").alias("n")))
+        slots, counts = (found, n) if slots is None else (slots.unionByName(found), counts.unionByName(n))
+        have = counts.groupBy("s").agg(F.sum("n").alias("have"))
+        wanted = cut(ranges.join(have, "s", "left").where("need > coalesce(have, 0)").drop("have"))
+        if wanted.isEmpty():
+            break
+        begin, end, surplus = end, end + 2 * surplus, 2 * surplus
     before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.groupBy("s", "part").agg(F.sum("n").alias("n"))
     firsts = counts.select("s", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("s", "part").orderBy("slot")
-    ranked = drawn_slots.withColumn("r", F.row_number().over(inside) - 1).join(firsts, ["s", "part"]).withColumn("rank", F.col("r") + F.col("first")).where(F.col("rank") < F.col("need"))
+    ranked = slots.withColumn("r", F.row_number().over(inside) - 1).join(firsts, ["s", "part"]).withColumn("rank", F.col("r") + F.col("first")).where(F.col("rank") < F.col("need"))
     passed = F.floor(F.col("rank") / F.col("blocks"))
     return ranked.select("s", (F.col("rank") % F.col("blocks")).alias("block"), "slot", F.least("source_size", F.col("limit") - passed * F.col("source_size")).alias("until"))

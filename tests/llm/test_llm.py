@@ -124,6 +124,15 @@ def test_mixing_limits_and_reruns(spark, odd, none):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
 
 
+def test_mixing_fills_every_slot_of_small_sources(spark):
+    """One source of 33 000 one-word blocks, 16 of one to three between it and another large one."""
+    sizes = [33_000, *[1 + i % 3 for i in range(16)], 17_000]
+    table = [((f"{i:02}",), f"{i:02}", n, float(n), n, n, n) for i, n in enumerate(sizes)]
+    sources = spark.createDataFrame(table, "s struct<source string>, source string, source_size long, target double, limit long, blocks long, need long")
+    slots = mixing.schedule(spark, sources, 1).groupBy("s.source").agg(F.count("*"), F.countDistinct("block")).collect()
+    assert sorted(tuple(r) for r in slots) == [(f"{i:02}", n, n) for i, n in enumerate(sizes)]
+
+
 # near-duplicates
 
 
