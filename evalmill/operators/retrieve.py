@@ -7,47 +7,53 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import joined
+from .metrics import evaluate
 
-def cosine_top_k(queries: DataFrame, reference: DataFrame, id_col: str, vec_col: str, k: int = 8, query_block: int = 1024, reference_block: int = 8192) -> DataFrame:
-    """query_id, rank, ref_id, sim of the k most similar other rows; a zero vector has similarity 0; ties to the smaller id.
 
-    Blocks of queries meet blocks of references; block counts follow row counts.
-    """
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
+def _best(s: np.ndarray, rid: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest similarities above -inf, ties to the smaller id."""
+    best = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+    best = best[s[best] > -np.inf]
+    return best[np.lexsort((rid[best], -s[best]))][:k]
+
+
+def _in_blocks(queries: DataFrame, reference: DataFrame, id_col: str, vec_col: str, further: dict[str, Column], meet, schema: str, query_block: int, reference_block: int) -> DataFrame:
+    """Blocks of queries meet blocks of references as (id, v, further columns); block counts follow row counts."""
     def counted(df: DataFrame, block: int) -> int:
         return max(1, -(-df.count() // block))
 
-    rows = [d.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")) for d in (queries, reference)]
+    rows = [d.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), *[c.alias(n) for n, c in further.items()]) for d in (queries, reference)]
     nq, nr = counted(rows[0], query_block), counted(rows[1], reference_block)
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = rows[0].select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb"), every(nr).alias("rb"))
-    right = rows[1].select("id", "v", every(nq).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"))
+    left = rows[0].select("id", "v", *further, F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb"), every(nr).alias("rb"))
+    right = rows[1].select("id", "v", *further, every(nq).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"))
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, schema)
 
-    def unit(v: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(v, axis=1, keepdims=True)
-        return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
+def cosine_top_k(queries: DataFrame, reference: DataFrame, id_col: str, vec_col: str, k: int = 8, query_block: int = 1024, reference_block: int = 8192) -> DataFrame:
+    """query_id, rank, ref_id, sim of the k most similar other rows; a zero vector has similarity 0; ties to the smaller id."""
     def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(r):
-            rid, ru = r["id"].to_numpy(), unit(np.stack(r["v"].to_numpy()))
+            rid, ru = r["id"].to_numpy(), _unit(np.stack(r["v"].to_numpy()))
             for start in range(0, len(q), 256):
                 part = q.iloc[start : start + 256]
-                sims = unit(np.stack(part["v"].to_numpy())) @ ru.T
+                sims = _unit(np.stack(part["v"].to_numpy())) @ ru.T
                 for i, one in enumerate(part["id"].to_numpy()):
                     s = np.where(rid == one, -np.inf, sims[i])
-                    if len(s) > k:
-                        best = np.flatnonzero(s >= np.partition(s, -k)[-k])
-                    else:
-                        best = np.arange(len(s))
-                    best = best[np.lexsort((rid[best], -s[best]))][:k]
-                    out += [(one, rid[j], s[j]) for j in best if s[j] > -np.inf]
+                    out += [(one, rid[j], s[j]) for j in _best(s, rid, k)]
         return pd.DataFrame(out, columns=["query_id", "ref_id", "sim"])
 
-    near = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, "query_id long, ref_id long, sim double")
-    return top_k(near, k)
+    return top_k(_in_blocks(queries, reference, id_col, vec_col, {}, meet, "query_id long, ref_id long, sim double", query_block, reference_block), k)
 
 
 def top_k(near: DataFrame, k: int) -> DataFrame:
@@ -67,36 +73,71 @@ def set_top_k(queries: DataFrame, reference: DataFrame, id_col: str, set_col: st
 
 def label_summary(queries: DataFrame, near: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """Per query: weighted and plain mean label, deviation, mean and largest similarity, count of ones; zeros where there is no neighbour."""
-    joined = near.join(labels.select(F.col(id_col).alias("ref_id"), F.col(label_col).cast("double").alias("y")), "ref_id")
+    found = near.join(labels.select(F.col(id_col).alias("ref_id"), F.col(label_col).cast("double").alias("y")), "ref_id")
     w = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sim"))) + 1e-6
     stats = {"mean_label": F.avg("y"), "std_label": F.stddev_pop("y"), "mean_sim": F.avg("sim"), "max_sim": F.max("sim"), "n_ones": F.sum("y"), "weighted_label": F.sum(F.col("y") * w) / F.sum(w)}
-    found = joined.groupBy("query_id").agg(*[c.alias(n) for n, c in stats.items()])
+    found = found.groupBy("query_id").agg(*[c.alias(n) for n, c in stats.items()])
     return queries.select(F.col(id_col).alias("query_id")).join(found, "query_id", "left").select("query_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in stats])
 
 
-def shortcut_audit(near: DataFrame, rows: DataFrame, id_col: str, label_col: str, same: dict[str, str], k: int, high: float = 0.85) -> DataFrame:
-    """How neighbours answer when shortcuts are removed.
+def shortcut_scores(queries: DataFrame, reference: DataFrame, id_col: str, vec_col: str, label_col: str, same: dict[str, str | tuple[str, ...]], k: int, high: float = 0.85, query_block: int = 1024, reference_block: int = 8192) -> DataFrame:
+    """Per condition and query: y, n, score, agreement, mean_sim of the k nearest legal rows of the whole reference.
 
-    near holds more than k neighbours per query. Conditions: original, without
-    those that share each named attribute, without those of high similarity, and
-    without all of them. Per condition: queries answered, mean neighbours, mean
-    of the neighbours' label, its agreement with the query's own.
+    Conditions: original, without those that share each named attribute (all of
+    them where several are named; null is never shared), without those of high
+    similarity, and without all of them. The score is the mean label of the
+    neighbours, the reference's prevalence where there is none. ``label_free`` is
+    the mean similarity of the original neighbours, 0 without any.
     """
-    attributes = list(dict.fromkeys(same.values()))
-    q = rows.select(F.col(id_col).alias("query_id"), F.col(label_col).cast("double").alias("y_q"), *[F.col(a).alias(f"q_{a}") for a in attributes])
-    r = rows.select(F.col(id_col).alias("ref_id"), F.col(label_col).cast("double").alias("y_r"), *[F.col(a).alias(f"r_{a}") for a in attributes])
-    both = near.join(q, "query_id").join(r, "ref_id")
-    banned = {f"no_same_{n}": F.coalesce(F.col(f"q_{a}") == F.col(f"r_{a}"), F.lit(False)) for n, a in same.items()}
-    banned["no_high_similarity"] = F.col("sim") >= high
-    anything = F.lit(False)
-    for b in banned.values():
-        anything = anything | b
-    tests = {"original": F.lit(False), **banned, "no_shortcut": anything}
-    kept = both.withColumn("condition", F.explode(F.filter(F.array(*[F.when(~t, F.lit(n)) for n, t in tests.items()]), lambda c: c.isNotNull())))
-    best = Window.partitionBy("condition", "query_id").orderBy(F.desc("sim"), "ref_id")
-    top = kept.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k)
-    per = top.groupBy("condition", "query_id").agg(F.count("*").alias("n"), F.avg("y_r").alias("m"), F.avg((F.col("y_r") == F.col("y_q")).cast("int")).alias("agree"))
-    return per.groupBy("condition").agg(F.count("*").alias("n_queries"), F.avg("n").alias("mean_neighbours"), F.avg("m").alias("mean_label"), F.avg("agree").alias("agreement"))
+    groups = {n: (a,) if isinstance(a, str) else tuple(a) for n, a in same.items()}
+    columns = {a: f"a{i}" for i, a in enumerate(dict.fromkeys(a for g in groups.values() for a in g))}
+    conditions = ["original", *[f"no_same_{n}" for n in groups], "no_high_similarity", "no_shortcut"]
+
+    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            rid, ry, ru = r["id"].to_numpy(), r["y"].to_numpy(), _unit(np.stack(r["v"].to_numpy()))
+            codes = {c: np.split(pd.factorize(pd.concat([q[c], r[c]]))[0], [len(q)]) for c in columns.values()}
+            for start in range(0, len(q), 256):
+                part = q.iloc[start : start + 256]
+                sims = _unit(np.stack(part["v"].to_numpy())) @ ru.T
+                for i, one in enumerate(part["id"].to_numpy()):
+                    s = np.where(rid == one, -np.inf, sims[i])
+                    shared = {c: (b == a[start + i]) & (b >= 0) for c, (a, b) in codes.items()}
+                    banned = [np.zeros(len(s), bool), *[np.logical_and.reduce([shared[columns[a]] for a in g]) for g in groups.values()], s >= high]
+                    banned.append(np.logical_or.reduce(banned))
+                    for name, ban in zip(conditions, banned, strict=True):
+                        out += [(name, one, rid[j], s[j], ry[j]) for j in _best(np.where(ban, -np.inf, s), rid, k)]
+        return pd.DataFrame(out, columns=["condition", "query_id", "ref_id", "sim", "y_r"])
+
+    y = F.col(label_col).cast("double")
+    further = {"y": y, **{c: F.col(a).cast("string") for a, c in columns.items()}}
+    found = _in_blocks(queries, reference, id_col, vec_col, further, meet, "condition string, query_id long, ref_id long, sim double, y_r double", query_block, reference_block)
+    order = Window.partitionBy("condition", "query_id").orderBy(F.desc("sim"), "ref_id")
+    near = found.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
+    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("query_id"), y.alias("y"), F.explode(F.array(*map(F.lit, conditions))).alias("condition"))
+    stats = [F.count("ref_id").alias("n"), F.avg("y_r").alias("score"), F.avg((F.col("y_r") == F.col("y")).cast("int")).alias("agreement"), F.avg("sim").alias("mean_sim")]
+    per = asked.join(near, ["condition", "query_id"], "left").groupBy("condition", "query_id", "y").agg(*stats)
+    rate = reference.where(F.col(vec_col).isNotNull()).agg(F.avg(y).alias("__rate"))
+    both = F.when(F.col("condition") == "original", F.array(F.lit("original"), F.lit("label_free"))).otherwise(F.array("condition"))
+    told = per.crossJoin(F.broadcast(rate)).withColumn("condition", F.explode(both))
+    score = F.when(F.col("condition") == "label_free", F.coalesce("mean_sim", F.lit(0.0))).otherwise(F.coalesce("score", "__rate"))
+    return told.select("condition", "query_id", "y", "n", score.alias("score"), "agreement", "mean_sim")
+
+
+def shortcut_audit(scores: DataFrame) -> DataFrame:
+    """How neighbours answer when shortcuts are removed, from ``shortcut_scores``.
+
+    Per condition: queries (those without neighbours too), mean neighbours, mean
+    score, its neighbours' agreement with the query's own label, mean similarity.
+    """
+    return scores.groupBy("condition").agg(F.count("*").alias("n_queries"), F.avg("n").alias("mean_neighbours"), F.avg("score").alias("mean_label"), F.avg("agreement").alias("agreement"), F.avg("mean_sim").alias("mean_sim"))
+
+
+def shortcut_metrics(scores: DataFrame) -> DataFrame:
+    """The audit and the metrics of the scores as predictions per condition."""
+    rows = scores.persist()  # read by each metric
+    return joined(shortcut_audit(rows), evaluate(rows, ["condition"], "query_id", "y", "score"), ["condition"])
 
 
 def multi_view(queries: DataFrame, reference: DataFrame, id_col: str, label_col: str, views: dict[str, str], k: int = 8) -> DataFrame:

@@ -372,15 +372,24 @@ def neighbour_labels(spark, sf_dir):
     return rounded(retrieve.label_summary(v.where("vec_id % 20 = 0"), near, labels, "vec_id", "y"))
 
 
+def _shortcut_scores(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
+    return retrieve.shortcut_scores(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", "y", {"label": "label"}, 5, 0.5)
+
+
 @query(f"""WITH {COS}, b AS (SELECT query_id, ref_id, sim, (q.label < 5)::INT AS yq, (r.label < 5)::INT AS yr, q.label = r.label AS s, sim >= 0.5 AS h FROM k JOIN v q ON q.vec_id = query_id JOIN v r ON r.vec_id = ref_id WHERE rank <= 30),
   c AS (SELECT 'original' AS condition, * FROM b UNION ALL SELECT 'no_same_label', * FROM b WHERE NOT s UNION ALL SELECT 'no_high_similarity', * FROM b WHERE NOT h UNION ALL SELECT 'no_shortcut', * FROM b WHERE NOT s AND NOT h),
   t AS (SELECT *, row_number() OVER (PARTITION BY condition, query_id ORDER BY sim DESC, ref_id) AS r FROM c),
   p AS (SELECT condition, query_id, count(*) AS n, avg(yr) AS m, avg((yr = yq)::INT) AS a FROM t WHERE r <= 5 GROUP BY ALL)
   SELECT condition, count(*) AS n_queries, round(avg(n), 6) AS mean_neighbours, round(avg(m), 6) AS mean_label, round(avg(a), 6) AS agreement FROM p GROUP BY 1""")
 def shortcut_audit(spark, sf_dir):
-    v, near = _near(spark, sf_dir, 30)
-    rows = v.select("vec_id", "label", (F.col("label") < 5).cast("int").alias("y"))
-    return rounded(retrieve.shortcut_audit(near, rows, "vec_id", "y", {"label": "label"}, 5, 0.5))
+    t = retrieve.shortcut_audit(_shortcut_scores(spark, sf_dir)).where("condition <> 'label_free'")
+    return rounded(t.drop("mean_sim"))
+
+
+@query()
+def shortcut_metrics(spark, sf_dir):
+    return rounded(retrieve.shortcut_metrics(_shortcut_scores(spark, sf_dir)))
 
 
 @query(r"""WITH s AS (SELECT DISTINCT item_id, unnest(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)))) AS g FROM benchmark WHERE length(text) >= 3),

@@ -78,6 +78,21 @@ def test_neighbours_exclude_self(spark):
     assert found[1]["mean_label"] == 1.0 and found[1]["n_ones"] == 1.0
 
 
+def test_shortcut_audit_looks_beyond_a_hot_label(spark):
+    near = [(i, [1.0, i / 1000], "hot", 1) for i in range(60)]
+    rows = [*near, (100, [0.0, 1.0], "far", 0), (101, [0.1, 1.0], None, 1), (102, [0.0, 1.0], "far", 0)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, a string, y int")
+    scores = retrieve.shortcut_scores(df.where("id in (0, 100)"), df, "id", "v", "y", {"a": "a", "pair": ("a", "y")}, 2, 0.5, 1, 7)
+    got = {(r.condition, r.query_id): (r.n, round(r.score, 6)) for r in scores.collect()}
+    assert got["original", 0] == (2, 1.0) and got["original", 100] == (2, 0.5)
+    assert got["no_same_a", 0] == got["no_same_pair", 0] == got["no_high_similarity", 0] == got["no_shortcut", 0] == (2, 0.5)
+    assert got["no_same_a", 100] == (2, 1.0) and got["label_free", 0][0] == 2 and got["label_free", 0][1] > 0.99
+    alone = retrieve.shortcut_scores(df.where("id = 0"), df.where("id < 60"), "id", "v", "y", {"a": "a"}, 2, 0.5)
+    assert {r.condition: (r.n, r.score) for r in alone.collect()}["no_shortcut"] == (0, 1.0)
+    told = {r.condition: r for r in retrieve.shortcut_metrics(scores).collect()}
+    assert len(told) == 6 and told["no_same_a"].n_queries == 2 and told["no_same_a"].auroc == 0.0
+
+
 def test_blend_prefers_the_stronger_signal(spark):
     rows = [(i, i % 2, 0.2 + 0.6 * (i % 2), 0.5) for i in range(20)]
     df = spark.createDataFrame(rows, "id int, y int, p double, q double").withColumn("k", F.lit(1))
