@@ -19,9 +19,15 @@ def usable(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.where(F.col(y).isNotNull() & F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")))
 
 
-def ranking(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def _times(weight: str | None) -> Column:
+    """How often a row counts: a positive whole number where a column is named."""
+    return F.lit(1) if weight is None else F.col(weight)
+
+
+def ranking(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
     """Per group: n, n_pos, AUROC (ties averaged; null if one class) and average precision (ties grouped; null without positives)."""
-    scores = usable(df, y, p).groupBy(*keys, p).agg(F.sum(y).alias("pos"), (F.count("*") - F.sum(y)).alias("neg"))
+    pos = F.sum(_times(weight) * F.col(y))
+    scores = usable(df, y, p).groupBy(*keys, p).agg(pos.alias("pos"), (F.sum(_times(weight)) - pos).alias("neg"))
     summed = above(scores, keys, p, {"tp": F.col("pos"), "fp": F.col("neg")})
     pairs = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
@@ -34,15 +40,16 @@ def bin_of(p: Column) -> Column:
     return sum([(p >= e).cast("int") for e in EDGES], F.lit(0))
 
 
-def calibration(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def calibration(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
     """Per group and bin: count, mean probability, positive rate, their gap."""
-    t = usable(df, y, p).groupBy(*keys, bin_of(F.col(p)).alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("rate"))
+    w = _times(weight)
+    t = usable(df, y, p).groupBy(*keys, bin_of(F.col(p)).alias("bin")).agg(F.sum(w).alias("n"), (F.sum(w * F.col(p)) / F.sum(w)).alias("mean_p"), (F.sum(w * F.col(y)) / F.sum(w)).alias("rate"))
     return t.withColumn("gap", F.abs(F.col("mean_p") - F.col("rate")))
 
 
-def ece(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def ece(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
     """Expected calibration error per group."""
-    return calibration(df, keys, y, p).groupBy(*keys).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
+    return calibration(df, keys, y, p, weight).groupBy(*keys).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
 
 
 def _confident(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -59,6 +66,16 @@ def risk_at(df: DataFrame, keys: list[str], id_col: str, coverage: float = 0.8,
     return joined(placed, size, keys).where(F.col("rank") <= keep).groupBy(*keys).agg(F.avg("__wrong").alias("risk"))
 
 
+def weighted_risk_at(df: DataFrame, keys: list[str], id_col: str, weight: str, coverage: float = 0.8, y: str = "y", p: str = "p") -> DataFrame:
+    """``risk_at`` (floor) over rows that count ``weight`` times each; the last row kept may count in part."""
+    rows = _confident(df, y, p).withColumn("__order", F.struct((-F.col("__conf")).alias("c"), F.col(id_col).alias("id")))
+    placed = above(rows, keys, "__conf", {"__upto": F.col(weight)}, F.asc("__order"))
+    keep = F.greatest(F.lit(1), F.floor(F.lit(coverage) * F.col("__n")))
+    taken = F.greatest(F.lit(0), F.least(F.col(weight), F.col("__keep") - (F.col("__upto") - F.col(weight))))
+    sized = rows.groupBy(*keys).agg(F.sum(weight).alias("__n")).withColumn("__keep", keep)
+    return joined(placed, sized, keys).groupBy(*keys).agg((F.sum(taken * F.col("__wrong")) / F.max("__keep")).alias("risk"))
+
+
 def risk_coverage(df: DataFrame, keys: list[str], id_col: str, y: str = "y", p: str = "p") -> DataFrame:
     """Per row in order of confidence: coverage and the error rate so far."""
     from pyspark.sql import Window
@@ -141,16 +158,38 @@ def poisson_weight(seed: int, replicate: Column, id_col: str) -> Column:
     return count
 
 
-def bootstrap_difference(df: DataFrame, keys: list[str], id_col: str, y: str, p: str, q: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """Per group: observed difference of Brier scores (q less p), 95 % percentile interval, share of replicates at or below 0."""
-    gain = (F.col(q) - F.col(y)) * (F.col(q) - F.col(y)) - (F.col(p) - F.col(y)) * (F.col(p) - F.col(y))
-    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull() & F.col(q).isNotNull()).select(*keys, id_col, gain.alias("__gain"))
-    drawn = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", poisson_weight(seed, F.col("__b"), id_col))
-    means = drawn.groupBy(*keys, "__b").agg((F.sum(F.col("__w") * F.col("__gain")) / F.nullif(F.sum("__w"), F.lit(0))).alias("d"))
-    interval = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
-    spread = means.groupBy(*keys).agg(interval.alias("i"), F.avg((F.col("d") <= 0).cast("int")).alias("share_not_above_0"))
-    seen = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("__gain").alias("difference"))
-    return seen.join(spread, keys).select(*keys, "n", "difference", F.col("i")[0].alias("low"), F.col("i")[1].alias("high"), "share_not_above_0")
+BOOTSTRAPPED = ("ap", "auroc", "ece", "risk", "brier")
+
+
+def bootstrap_difference(df: DataFrame, keys: list[str], id_col: str, y: str, p: str, q: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """Per group and metric (AUPRC, AUROC, ECE, risk at 80 %, Brier): n, both observed values, their difference (q less p), its 95 % percentile interval, shares of replicates at or below and at or above 0, replicates used.
+
+    A replicate counts each row by a Poisson weight, the same for both sides;
+    those with one class are left out.
+    """
+    rows = usable(usable(df, y, p), y, q).select(*keys, F.col(id_col).alias("__id"), F.col(y).alias("__y"), F.col(p).cast("double").alias("__p"), F.col(q).cast("double").alias("__q"))
+    # Replicate -1 is the observed table.
+    drawn = rows.withColumn("__b", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    drawn = drawn.withColumn("__w", F.when(F.col("__b") == -1, 1).otherwise(poisson_weight(seed, F.col("__b"), "__id"))).where("__w > 0")
+    sides = F.explode(F.array(F.struct(F.lit("p").alias("side"), F.col("__p").alias("v")), F.struct(F.lit("q").alias("side"), F.col("__q").alias("v"))))
+    long = drawn.withColumn("__s", sides).select(*keys, "__id", "__y", "__w", "__b", F.col("__s.side").alias("__side"), F.col("__s.v").alias("__v"))
+    by = [*keys, "__b", "__side"]
+    gap = F.col("__v") - F.col("__y")
+    made = ranking(long, by, "__y", "__v", "__w")
+    brier = long.groupBy(*by).agg((F.sum(F.col("__w") * gap * gap) / F.sum("__w")).alias("brier"))
+    for part in (ece(long, by, "__y", "__v", "__w"), weighted_risk_at(long, by, "__id", "__w", y="__y", p="__v"), brier):
+        made = joined(made, part, by)
+    both = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in BOOTSTRAPPED]))
+    # A replicate without two classes has no AUROC; the observed values stay.
+    tall = made.where("__b = -1 or auroc is not null").withColumn("__m", both).select(*by, "n", F.col("__m.metric").alias("metric"), F.col("__m.value").alias("value"))
+    sided = [F.max(F.when(F.col("__side") == side, F.col("value"))).alias(f"value_{side}") for side in "pq"]
+    pairs = tall.groupBy(*keys, "metric", "__b").agg(F.max("n").alias("n"), *sided).withColumn("d", F.col("value_q") - F.col("value_p"))
+    seen, d = F.col("__b") == -1, F.when(F.col("__b") >= 0, F.col("d"))
+    found = pairs.groupBy(*keys, "metric").agg(
+        *[F.max(F.when(seen, F.col(c))).alias(n) for c, n in (("n", "n"), ("value_p", "value_p"), ("value_q", "value_q"), ("d", "difference"))],
+        F.percentile(d, F.array(F.lit(0.025), F.lit(0.975))).alias("i"), F.avg((d <= 0).cast("int")).alias("share_not_above_0"), F.avg((d >= 0).cast("int")).alias("share_not_below_0"), F.count(d).alias("replicates"),
+    )
+    return found.select(*keys, "metric", "n", "value_p", "value_q", "difference", F.col("i")[0].alias("low"), F.col("i")[1].alias("high"), "share_not_above_0", "share_not_below_0", "replicates")
 
 
 def concordance(df: DataFrame, keys: list[str], id_col: str, y: str = "y", p: str = "p", block: int = 2048) -> DataFrame:

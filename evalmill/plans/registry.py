@@ -277,7 +277,7 @@ def threshold_sweep(spark, sf_dir):
 
 @query()
 def bootstrap_difference(spark, sf_dir):
-    return rounded(metrics.bootstrap_difference(predictions(spark, sf_dir), ["lang"], "doc_id", "y", "p_size", "p_hash", replicates=100))
+    return rounded(metrics.bootstrap_difference(predictions(spark, sf_dir), ["lang"], "doc_id", "y", "p_size", "p_hash", replicates=1000))
 
 
 RUNS = f"""{ACT}, runs AS (SELECT priority, kind, year, round(avg(value), 4) AS metric FROM act GROUP BY ALL)"""

@@ -64,6 +64,27 @@ def test_metrics_by_hand(spark):
     assert [r[0] for r in spark.createDataFrame([(0.3,), (0.30000000000000004,), (1.0,)], "p double").select(metrics.bin_of(F.col("p"))).collect()] == [2, 3, 9]
 
 
+def test_bootstrap_of_five_metrics(spark):
+    rows = [(i, (i * 7) % 3 % 2, ((i * 5) % 11) / 10, ((i * 3) % 7) / 6) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, y int, p double, q double").withColumn("k", F.lit("a"))
+    got = {r.metric: r for r in metrics.bootstrap_difference(df, ["k"], "id", "y", "p", "q", replicates=20).collect()}
+    drawn = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("w", metrics.poisson_weight(0, F.col("b"), "id"))
+    # Each row as often as its weight, so that the metrics need none.
+    again = drawn.withColumn("id", F.explode(F.expr("transform(sequence(1, w + 1), i -> id * 100L + i)"))).where("id % 100 <= w").persist()
+
+    def told(d, keys, p):
+        return {r["b"] if "b" in keys else -1: r for r in metrics.evaluate(d.select(*keys, "id", "y", F.col(p).alias("p")), keys, "id").collect()}
+
+    seen = [told(df, ["k"], c)[-1] for c in "pq"]
+    a, b = told(again, ["b"], "p"), told(again, ["b"], "q")
+    assert set(got) == {"ap", "auroc", "ece", "risk", "brier"} and len(a) == 20
+    for m, r in got.items():
+        d = sorted(b[i][m] - a[i][m] for i in a)
+        assert (r.n, r.replicates) == (40, 20) and r.difference == pytest.approx(seen[1][m] - seen[0][m])
+        assert r.low == pytest.approx(d[0] + 0.475 * (d[1] - d[0])) and r.high == pytest.approx(d[18] + 0.525 * (d[19] - d[18]))
+        assert r.share_not_above_0 == pytest.approx(sum(x <= 1e-12 for x in d) / 20, abs=0.051) and r.share_not_below_0 == pytest.approx(sum(x >= -1e-12 for x in d) / 20, abs=0.051)
+
+
 def test_equal_count_bins(spark):
     found = report.equal_bins(spark.range(10).withColumn("k", F.lit(1)), ["k"], "id", [], 4).groupBy("bin").count().orderBy("bin").collect()
     assert [r[1] for r in found] == [3, 2, 2, 3]
