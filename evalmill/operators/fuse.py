@@ -22,6 +22,14 @@ def gate_features(df: DataFrame, p: str, q: str, stats: list[str], masks: list[s
     return VectorAssembler(inputCols=[p, q, "__gap", "__abs", *stats, *masks, "__missing"], outputCol="features").transform(wide).drop("__gap", "__abs", "__missing")
 
 
+def reliability_features(df: DataFrame, p: str, q: str, gate: str, stats: list[str], masks: list[str], name: str = "reliability") -> DataFrame:
+    """Adds a vector: both probabilities, the gated one, the gate's weight of ``p``, disagreement, confidence, neighbour statistics, masks, missing count."""
+    gated = F.col(gate) * F.col(p) + (1 - F.col(gate)) * F.col(q)
+    missing = F.lit(len(masks)) - sum([F.col(m) for m in masks], F.lit(0))
+    wide = df.withColumns({"__gated": gated, "__abs": F.abs(F.col(p) - F.col(q)), "__sure": F.abs(gated - 0.5) * 2, "__missing": missing.cast("double")})
+    return VectorAssembler(inputCols=[p, q, "__gated", gate, "__abs", "__sure", *stats, *masks, "__missing"], outputCol=name).transform(wide).drop("__gated", "__abs", "__sure", "__missing")
+
+
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """Adds ``weight``: n / (2 * rows of the label)."""
     n = df.groupBy(label).agg(F.count("*").alias("__n"))
@@ -29,13 +37,13 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(n), label).join(F.broadcast(total)).withColumn("weight", F.col("__all") / (2.0 * F.col("__n"))).drop("__n", "__all")
 
 
-def fit_classifier(df: DataFrame, label: str = "label", c: float = 1.0, least: int = 6, least_per_class: int = 2):
-    """A class-balanced logistic regression on ``features``; None where rows or classes are too few."""
+def fit_classifier(df: DataFrame, label: str = "label", c: float = 1.0, least: int = 6, least_per_class: int = 2, features: str = "features"):
+    """A class-balanced logistic regression on a vector; None where rows or classes are too few."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     if sum(counts.values()) < least or len(counts) < 2 or min(counts.values()) < least_per_class:
         return None
-    model = LogisticRegression(labelCol=label, weightCol="weight", regParam=1 / (c * sum(counts.values())), standardization=False, maxIter=40)
-    rows = balanced_weights(df, label).select("features", label, "weight").persist()
+    model = LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", regParam=1 / (c * sum(counts.values())), standardization=False, maxIter=40)
+    rows = balanced_weights(df, label).select(features, label, "weight").persist()
     fitted = model.fit(rows)
     rows.unpersist()
     return fitted
@@ -83,11 +91,14 @@ def predict_calibrated(models: list[tuple], df: DataFrame, name: str) -> DataFra
     return out.withColumn(name, mean).drop(*[f"__p{i}" for i in range(len(models))])
 
 
-def cross_fitted(df: DataFrame, label: str, order: list[str], folds: int = 3, seed: int = 0, name: str = "p") -> DataFrame:
-    """Each row's probability from the model of the other folds; 0.5 where a fold can't be fitted."""
-    dealt, out = fold_of(df, label, order, folds, seed), None
+def cross_fitted(df: DataFrame, label: str, order: list[str], folds: int = 3, seed: int = 0, name: str = "p", c: float = 1.0, features: str = "features", by: str | None = None, to_mean: bool = False) -> DataFrame:
+    """Each row's probability from the model of the other folds, dealt by the label or by ``by``; where a fold can't be fitted 0.5, or the mean label of the other folds."""
+    dealt, out = fold_of(df, by or label, order, folds, seed), None
     for f in range(folds):
-        part = predict(fit_classifier(dealt.where(F.col("fold") != f), label), dealt.where(F.col("fold") == f), name, F.lit(0.5))
+        others = dealt.where(F.col("fold") != f)
+        model = fit_classifier(others, label, c, features=features)
+        mean = others.agg(F.avg(label)).first()[0] if to_mean and model is None else None
+        part = predict(model, dealt.where(F.col("fold") == f), name, F.lit(0.5 if mean is None else float(mean)))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -138,13 +149,17 @@ def arbitration_target(y: str, current: str, retrieved: str) -> Column:
     return (err(current) <= err(retrieved)).cast("double")
 
 
-def arbitrated(val: DataFrame, df: DataFrame, order: list[str], anchor: str = "anchor", y: str = "y", current: str = "current", retrieved: str = "retrieved", folds: int = 3, seed: int = 0) -> tuple[DataFrame, float]:
+def arbitrated(val: DataFrame, df: DataFrame, order: list[str], anchor: str = "anchor", y: str = "y", current: str = "current", retrieved: str = "retrieved", folds: int = 3, seed: int = 0, *, stats: list[str], masks: list[str]) -> tuple[DataFrame, float]:
     """Conflict-aware arbitration, fitted on ``val`` and applied to ``df``.
 
-    Both tables have a vector ``features`` and a column ``anchor``. A gate learns
-    which probability to trust and a probe learns how reliable the gate's choice
-    is; both are cross-fitted on ``val`` so that the anchor's strength (21 values,
-    smallest Brier score, then the smallest) is chosen on rows not trained on.
+    Both tables have a vector ``features`` (``gate_features``), the columns of
+    ``stats`` and ``masks`` and a column ``anchor``. A gate learns which
+    probability to trust. A probe learns how reliable the gate's choice is, from
+    ``reliability_features`` of that choice. Both are cross-fitted on ``val``, in
+    folds stratified by ``y`` and no more than the rows of its smaller class, so
+    that the anchor's strength (21 values, smallest Brier score, then the
+    smallest) is chosen on rows not trained on; under two folds the gate is 0.5
+    and the trust the share of right choices.
     Returns ``df`` with full, no_gate, no_probe and no_anchor, and the strength.
     """
     def mixed(gate: Column, trust: Column, strength: Column | float, use_gate: bool = True) -> Column:
@@ -153,19 +168,28 @@ def arbitrated(val: DataFrame, df: DataFrame, order: list[str], anchor: str = "a
         s = strength * (1 - trust)
         return (1 - s) * fused + s * F.col(anchor)
 
+    def judged(rows: DataFrame) -> DataFrame:
+        return reliability_features(rows, current, retrieved, "__gate", stats, masks, "__reliability")
+
+    def mean_of(rows: DataFrame, column: str) -> float:
+        mean = rows.agg(F.avg(column)).first()[0]
+        return 0.5 if mean is None else float(mean)
+
     # The fits read these small tables many times; persisted rows can be computed anew if an executor is lost.
     target = val.withColumn("__gate_y", arbitration_target(y, current, retrieved)).persist()
-    mean = target.agg(F.avg("__gate_y")).first()[0]
-    share = F.lit(0.5 if mean is None else float(mean))
-    gated = cross_fitted(target, "__gate_y", order, folds, seed, "__gate").persist()
+    counts = [r[1] for r in target.groupBy(y).count().collect()]
+    folds = min(folds, *counts) if len(counts) == 2 else 0
+    gated = cross_fitted(target, "__gate_y", order, folds, seed, "__gate", 0.5, by=y, to_mean=True).drop("fold") if folds > 1 else target.withColumn("__gate", F.lit(0.5))
     right = ((F.col("__gate") * F.col(current) + (1 - F.col("__gate")) * F.col(retrieved) >= 0.5).cast("double") == F.col(y)).cast("double")
-    probed = cross_fitted(gated.withColumn("__right", right).drop("fold"), "__right", order, folds, seed + 1, "__trust").persist()
-    tried = probed.withColumn("strength", F.explode(F.array(*[F.lit(g) for g in GRID]))).withColumn("__p", mixed(F.col("__gate"), F.col("__trust"), F.col("strength")))
+    gated = judged(gated).withColumn("__right", right).persist()
+    usual = F.lit(mean_of(gated, "__right"))
+    probed = cross_fitted(gated, "__right", order, folds, seed + 1, "__trust", 0.5, "__reliability", y, True) if folds > 1 else gated.withColumn("__trust", usual)
+    tried = probed.persist().withColumn("strength", F.explode(F.array(*[F.lit(g) for g in GRID]))).withColumn("__p", mixed(F.col("__gate"), F.col("__trust"), F.col("strength")))
     scored = tried.groupBy("strength").agg(F.round(F.avg((F.col("__p") - F.col(y)) * (F.col("__p") - F.col(y))), 12).alias("brier"))
     best = scored.agg(F.min_by("strength", F.struct("brier", "strength"))).first()[0]
     strength = 0.0 if best is None else float(best)
-    gate, probe = fit_classifier(target, "__gate_y", 0.5), fit_classifier(probed.withColumnRenamed("weight", "__w") if "weight" in probed.columns else probed, "__right", 0.5)
-    out = predict(probe, predict(gate, df, "__gate", share), "__trust", F.lit(0.5))
+    gate, probe = fit_classifier(target, "__gate_y", 0.5), fit_classifier(gated, "__right", 0.5, features="__reliability")
+    out = predict(probe, judged(predict(gate, df, "__gate", F.lit(mean_of(target, "__gate_y")))), "__trust", usual)
     g, t = F.col("__gate"), F.col("__trust")
     made = {"full": mixed(g, t, strength), "no_gate": mixed(g, t, strength, False), "no_probe": mixed(g, F.lit(0.5), strength), "no_anchor": mixed(g, t, 0.0)}
-    return out.withColumns(made).drop("__gate", "__trust"), strength
+    return out.withColumns(made).drop("__gate", "__trust", "__reliability"), strength

@@ -501,7 +501,7 @@ def conflict_aware_arbitration(spark, sf_dir):
     rows = predictions(spark, sf_dir).where("y is not null").withColumns({"y": F.col("y").cast("double"), "current": F.col("p_size"), "retrieved": F.col("p_hash"), "anchor": F.lit(0.5), "mask": T.presence(F.col("lang")).cast("double")})
     ready = fuse.gate_features(rows.select("doc_id", "y", "current", "retrieved", "anchor", "mask"), "current", "retrieved", [], ["mask"])
     parts = split.split_random(ready, ["doc_id"], seed=6, train=0.5, val=0.2)
-    fused, _ = fuse.arbitrated(parts.where("split <> 'test'").drop("split"), parts.where("split = 'test'").drop("split"), ["doc_id"], folds=2)
+    fused, _ = fuse.arbitrated(parts.where("split <> 'test'").drop("split"), parts.where("split = 'test'").drop("split"), ["doc_id"], folds=2, stats=[], masks=["mask"])
     return rounded(fused.select("doc_id", "full", "no_gate", "no_probe", "no_anchor"))
 
 

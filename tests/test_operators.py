@@ -133,6 +133,21 @@ def test_ridge_equals_closed_form(spark):
     assert fuse.ridge(df, "label", 2.0).coefficients.toArray() == pytest.approx(exact, rel=1e-6)
 
 
+def test_arbitration_probe_sees_the_gated_choice(spark):
+    df = spark.createDataFrame([(1, 0.9, 0.2, 0.25, 3.0, 0.0)], "id long, p double, q double, g double, s double, m double")
+    got = fuse.reliability_features(df, "p", "q", "g", ["s"], ["m"]).first()["reliability"]
+    assert list(got) == pytest.approx([0.9, 0.2, 0.375, 0.25, 0.7, 0.25, 3.0, 0.0, 1.0])
+    # Both sides agree; right where they are sure, which is no line in either probability.
+    rows = [(i, float((v >= 0.5) == (abs(v - 0.5) > 0.25)), v, v + 0.001 * (i % 3 - 1), 0.5, 1.0) for i in range(120) for v in [((i * 37) % 100 + 0.5) / 100]]
+    ready = fuse.gate_features(spark.createDataFrame(rows, "id long, y double, current double, retrieved double, anchor double, mask double"), "current", "retrieved", [], ["mask"])
+    fused, strength = fuse.arbitrated(ready, ready, ["id"], folds=2, stats=[], masks=["mask"])
+    by = {r.id: r for r in fused.collect()}
+    moved = {i: abs(r.full - r.no_anchor) / abs(r.no_anchor - 0.5) for i, r in by.items() if abs(r.no_anchor - 0.5) > 0.01}
+    sure = [m for i, m in moved.items() if abs(by[i].current - 0.5) > 0.4]
+    unsure = [m for i, m in moved.items() if abs(by[i].current - 0.5) < 0.1]
+    assert strength > 0 and max(sure) < min(unsure)
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("ab c",), ("",), (None,)], "t string")
     got = df.select(T.presence(F.col("t")), T.char_ngrams(F.col("t"), 2, 3), T.shortened(F.col("t"), 80)).collect()
