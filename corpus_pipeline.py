@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens, ids included."""
-    return packing.packed(docs, **tokenizer(), with_ids=True)
+    return packing.packed(docs, **tokenizer(), with_ids=True, added_tokens=True)
 
 
 STAGES = [("langid", identify), ("near_dedup", deduplicate), ("pii", redact), ("mixing", mix), ("packing", pack)]

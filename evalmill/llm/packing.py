@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -59,11 +60,17 @@ class Tokens(dict):
     byte-level BPE vocabulary, so that parts can be encoded once and kept.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int) -> None:
+    def __init__(self, path: str, pattern: str, limit: int, added_tokens: bool = False) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
+        added = file.get("added_tokens", []) if added_tokens else []
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError("added tokens that take in or look at their neighbours are not supported")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.border = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
         to_byte = byte_of()
         ranks = {}
         for token, rank in vocabulary.items():
@@ -81,6 +88,12 @@ class Tokens(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        """Ids of a text; one that holds added tokens is encoded piece by piece between them."""
+        if not any(t in text for t in self.added):
+            return self.ordinary(text)
+        return b"".join(self.added[part] if part in self.added else self.ordinary(part) for part in self.border.split(text) if part)
+
+    def ordinary(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         # Other spaces beside a space bind with it; such texts are encoded part by part at the safe borders only.
         out, open_ = [], first
@@ -144,15 +157,20 @@ def _crc(ids: bytes) -> int:
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
-def packed(docs: DataFrame, path: str, pattern: str, settings: Packing = Packing(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, and the ids themselves if asked for."""
+def packed(docs: DataFrame, path: str, pattern: str, settings: Packing = Packing(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, and the ids themselves if asked for.
+
+    With ``added_tokens`` the literal of an added token of the file, such as
+    ``<|endoftext|>``, gets its id, as ``tokenizers`` does by default; otherwise
+    it is text like any other (``encode_special_tokens``).
+    """
     schema = _OUT + (", ids array<int>" if with_ids else "")
     full = settings.tokens
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 36
-        tokens = Tokens(path, pattern, settings.memo)
+        tokens = Tokens(path, pattern, settings.memo, added_tokens)
         end = np.array([settings.end_id], "<u4").tobytes()
         rows: list[tuple] = []
         held: list[tuple[int, tuple]] = []  # (length, (doc, start, doc_tokens, ids))

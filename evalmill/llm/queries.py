@@ -55,7 +55,7 @@ def tokenizer() -> dict[str, str]:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), **tokenizer())
+    return packing.packed(table(spark, sf_dir, "documents"), **tokenizer(), added_tokens=True)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,21 @@ def test_packing_equals_tokenizer(spark, odd, none):
     assert packing.packed(odd, **queries.tokenizer()).agg(F.sum("length")).first()[0] > 0 and packing.packed(none, **queries.tokenizer()).count() == 0
 
 
+def test_packing_query_and_pipeline_encode_added_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = dict(enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext|", "plain text"], 1))
+    ids = {k: np.array(t.encode(v, add_special_tokens=False).ids + [1], "<u4") for k, v in texts.items()}
+    assert list(ids[1]) == [64, 220, 50256, 275, 1]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    check_packing(queries.op8_packing(spark, str(tmp_path)).toPandas(), ids)
+    check_packing(pipeline.pack(spark, df, str(tmp_path)).toPandas(), ids)
+
+
 # WARC
 
 
