@@ -108,12 +108,9 @@ class Tokens(dict):
         return b"".join([*out, self[open_]])
 
 
-@dataclass(order=True)
+@dataclass
 class Sequence:
-    cost: float
-    number: int
-    room: int = field(compare=False)
-    pieces: list = field(compare=False, default_factory=list)
+    pieces: list = field(default_factory=list)
 
 
 def pack(pieces: list[tuple[int, tuple]], settings: Packing, count: int) -> tuple[list[Sequence], list[tuple[int, tuple, int]]]:
@@ -123,31 +120,23 @@ def pack(pieces: list[tuple[int, tuple]], settings: Packing, count: int) -> tupl
     """
     queue = [(-n, i, 0, key) for i, (n, key) in enumerate(pieces)]
     heapq.heapify(queue)
-    open_ = [Sequence(0.0, i, settings.tokens) for i in range(count)]
-    heapq.heapify(open_)
-    full: list[Sequence] = []
-    while queue and open_:
+    made = [Sequence() for _ in range(count)]
+    # A full sequence keeps room 0 and takes no piece, as pieces are never empty.
+    room, cost = np.full(count, settings.tokens), np.zeros(count)
+    left = count * settings.tokens
+    while queue and left:
         n, i, start, key = heapq.heappop(queue)
-        n, passed = -n, []
-        # The lowest cost with room enough; a few looks, as room shrinks while cost grows.
-        while open_ and open_[0].room < n and len(passed) < 32:
-            passed.append(heapq.heappop(open_))
-        if open_ and open_[0].room >= n:
-            best, put = heapq.heappop(open_), n
-        else:
-            best = max(passed, key=lambda s: (s.room, -s.number))
-            passed.remove(best)
-            put = best.room
-            heapq.heappush(queue, (put - n, i, start + put, key))
-        best.pieces.append((key, start, put))
-        best.room -= put
-        best.cost += settings.linear * put + settings.quadratic * put * put
-        for s in (*passed, best):
-            if s.room:
-                heapq.heappush(open_, s)
-            else:
-                full.append(s)
-    return full, [(-n, key, start) for n, _, start, key in queue]
+        put = -n
+        best = int(np.where(room >= put, cost, np.inf).argmin())
+        if room[best] < put:
+            best = int(room.argmax())
+            put = int(room[best])
+            heapq.heappush(queue, (put + n, i, start + put, key))
+        made[best].pieces.append((key, start, put))
+        room[best] -= put
+        left -= put
+        cost[best] += settings.linear * put + settings.quadratic * put * put
+    return made, [(-n, key, start) for n, _, start, key in queue]
 
 
 def _crc(ids: bytes) -> int:

@@ -263,6 +263,31 @@ def test_packing_equals_tokenizer(spark, odd, none):
     assert packing.packed(odd, **queries.tokenizer()).agg(F.sum("length")).first()[0] > 0 and packing.packed(none, **queries.tokenizer()).count() == 0
 
 
+def test_packing_cuts_only_what_fits_nowhere():
+    rng = np.random.default_rng(0)
+    lengths = np.minimum(2047, rng.lognormal(5.5, 1.0, 1500).astype(int) + 1)
+    settings = packing.Packing()
+    done, rest = packing.pack([(int(n), (i,)) for i, n in enumerate(lengths)], settings, int(lengths.sum()) // 2048)
+    assert all(sum(n for _, _, n in s.pieces) == 2048 for s in done)
+    parts = [p for s in done for p in s.pieces] + [(key, start, n) for n, key, start in rest]
+    for (i,) in {key for key, _, _ in parts}:
+        mine = sorted((start, n) for key, start, n in parts if key == (i,))
+        assert [a for a, _ in mine] == [0, *np.cumsum([n for _, n in mine])[:-1]] and sum(n for _, n in mine) == lengths[i]
+    # The same greedy choice over all open sequences, without any index.
+    queue, open_, cuts = sorted(((int(n), -i) for i, n in enumerate(lengths)), reverse=True), [[0.0, i, 2048] for i in range(len(done))], 0
+    while queue and (open_ := [s for s in open_ if s[2]]):
+        n, i = queue.pop(0)
+        fits = [s for s in open_ if s[2] >= n]
+        s = min(fits) if fits else max(open_, key=lambda s: (s[2], -s[1]))
+        put = min(n, s[2])
+        s[2] -= put
+        s[0] += settings.linear * put + settings.quadratic * put * put
+        if put < n:
+            cuts += 1
+            queue = sorted([*queue, (n - put, i)], reverse=True)
+    assert len(parts) - len(lengths) == cuts
+
+
 def test_packing_query_and_pipeline_encode_added_tokens(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
