@@ -13,9 +13,10 @@ a sequence, moves to the next; at a task's end it becomes sequences of power of
 two lengths, which need no padding.
 
 Defined results: a null text is an empty document, whose only id is the end id;
-repeated rows are packed one by one; the end id follows every document; an
-empty table gives no rows; other columns do not matter. Sequence ids are unique
-and depend on how the input is split into tasks.
+repeated rows are packed one by one; ids may be of any type, null too; equal
+lengths go in the order read; the end id follows every document; texts of any
+length are encoded in parts; an empty table gives no rows; other columns do not
+matter. Sequence ids are unique and depend on how the input is split into tasks.
 """
 
 from __future__ import annotations
@@ -24,26 +25,29 @@ import heapq
 import json
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 @dataclass(frozen=True)
 class Packing:
-    """window: documents dealt at once. linear, quadratic: cost of a token and of a pair of tokens of a piece."""
+    """window: documents dealt at once. linear, quadratic: cost of a token and of a pair of tokens of a piece. flush_bytes: ids given out at once."""
 
     tokens: int = 2048
     end_id: int = 1
     window: int = 1500
     linear: float = 1.0
     quadratic: float = 1 / 1024
-    memo: int = 300_000
+    flush_bytes: int = 1 << 22
 
 
 def byte_of() -> dict[str, int]:
@@ -53,59 +57,70 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Tokens(dict):
-    """Ids of the space-separated parts of texts, as little-endian unsigned 32-bit bytes.
+class Tokens:
+    """Ids of texts, as little-endian unsigned 32-bit bytes.
 
-    A single space between two visible characters always begins a token of a
-    byte-level BPE vocabulary, so that parts can be encoded once and kept.
+    With ``added_tokens`` a text is cut at the literals of the file's added
+    tokens, which have ids of their own. Long texts are encoded in parts: a
+    single space between two visible characters always begins a token of a
+    byte-level BPE vocabulary, and so does the last space of a run before one.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int, added_tokens: bool = False) -> None:
+    part = 1 << 18
+    border = re.compile(r"\S(?= \S)")
+    #: Runs that the pattern's look-ahead would go through character by character.
+    spaces = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
+
+    def __init__(self, path: str, pattern: str, added_tokens: bool = False) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        vocabulary = file["model"]["vocab"]
-        added = file.get("added_tokens", []) if added_tokens else []
+        added = file.get("added_tokens", [])
+        to_byte = byte_of()
+        own = {t["content"] for t in added}
+        ranks = {bytes(to_byte[c] for c in token): rank for token, rank in file["model"]["vocab"].items() if token and token not in own}
+        self.coder = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        if not added_tokens:
+            added = []
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens that take in or look at their neighbours are not supported")
         self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
-        self.border = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
-        to_byte = byte_of()
-        ranks = {}
-        for token, rank in vocabulary.items():
-            if all(c in to_byte for c in token) and len(token):
-                ranks[bytes(to_byte[c] for c in token)] = rank
-        special = b"<|endoftext|>"
-        ranks.pop(special, None)
-        self.coder = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.limit = limit
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self[part] = np.array(self.coder.encode_ordinary(part), "<u4").tobytes()
-        return ids
+        self.literals = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text; one that holds added tokens is encoded piece by piece between them."""
         if not any(t in text for t in self.added):
             return self.ordinary(text)
-        return b"".join(self.added[part] if part in self.added else self.ordinary(part) for part in self.border.split(text) if part)
+        return b"".join(self.added[part] if part in self.added else self.ordinary(part) for part in self.literals.split(text) if part)
 
     def ordinary(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        # Other spaces beside a space bind with it; such texts are encoded part by part at the safe borders only.
-        out, open_ = [], first
-        for part in rest:
-            if part and not part[0].isspace() and open_ and not open_[-1].isspace():
-                out.append(self[open_])
-                open_ = " " + part
-            else:
-                open_ += " " + part
-        if len(open_) > 200:
-            return b"".join([*out, np.array(self.coder.encode_ordinary(open_), "<u4").tobytes()])
-        return b"".join([*out, self[open_]])
+        if len(text) < 1000:
+            return self.plain(text)
+        out, at = [], 0
+        # A run of 2000 covers one of these slices.
+        long_run = any(text[i : i + 1000].isspace() for i in range(0, len(text), 1000))
+        for m in self.spaces.finditer(text) if long_run else ():
+            out += map(self.plain, self.parts(text[at : m.start()]))
+            # All of the run but its last space, which goes with what follows, is one token of the pattern.
+            at = m.end() - (m.end() < len(text))
+            out.append(np.array(self.coder._core_bpe.encode_single_piece(text[m.start() : at].encode()), "<u4").tobytes())
+        return b"".join([*out, *map(self.plain, self.parts(text[at:]))])
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.coder.encode_ordinary(text), "<u4").tobytes()
+
+    def parts(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > self.part and (m := self.border.search(text, at + self.part)):
+            yield text[at : m.end()]
+            at = m.end()
+        yield text[at:]
+
+
+@lru_cache(1)
+def coder_of(path: str, pattern: str, added_tokens: bool) -> Tokens:
+    """One for all tasks of a Python worker."""
+    return Tokens(path, pattern, added_tokens)
 
 
 @dataclass
@@ -139,85 +154,99 @@ def pack(pieces: list[tuple[int, tuple]], settings: Packing, count: int) -> tupl
     return made, [(-n, key, start) for n, _, start, key in queue]
 
 
-def _crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
+@dataclass
+class Packer:
+    """Packs the documents of one task; ``rows`` are what is ready, ``ready`` the bytes of their ids."""
+
+    settings: Packing
+    number: int
+    rows: list[tuple] = field(default_factory=list)
+    ready: int = 0
+    held: list[tuple[int, tuple]] = field(default_factory=list)  # (length, (doc, start, doc_tokens, ids))
+
+    def put(self, doc: object, start: int, ids: bytes, total: int, offset: int, size: int) -> None:
+        self.rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, self.number, offset, size, ids))
+        self.ready += len(ids) + 200
+
+    def add(self, doc: object, ids: bytes) -> Iterator[None]:
+        """Take one document in; yields wherever ``rows`` may be emptied."""
+        full, total = self.settings.tokens, len(ids) // 4
+        rest = total - total % full
+        for start in range(0, rest, full):
+            self.put(doc, start, ids[4 * start : 4 * (start + full)], total, 0, full)
+            self.number += 1
+            yield
+        if total % full:
+            self.held.append((total % full, (doc, rest, total, ids[4 * rest :])))
+        if len(self.held) >= self.settings.window:
+            self.deal()
+            yield
+
+    def deal(self) -> None:
+        full = self.settings.tokens
+        done, rest = pack(self.held, self.settings, sum(n for n, _ in self.held) // full)
+        for s in done:
+            at = 0
+            for (doc, start, total, ids), a, n in s.pieces:
+                self.put(doc, start + a, ids[4 * a : 4 * (a + n)], total, at, full)
+                at += n
+            self.number += 1
+        self.held = [(n, (doc, start + a, total, ids[4 * a :])) for n, (doc, start, total, ids), a in sorted(rest, key=lambda r: -r[0])]
+
+    def close(self) -> None:
+        """Deal what is held; the last tokens become sequences of power of two lengths."""
+        self.deal()
+        left, at = sum(n for n, _ in self.held), 0
+        size = 1 << (left.bit_length() - 1) if left else 0
+        queue = deque(self.held)
+        while queue:
+            n, (doc, start, total, ids) = queue.popleft()
+            take = min(n, size - at)
+            self.put(doc, start, ids[: 4 * take], total, at, size)
+            at += take
+            if take < n:
+                queue.appendleft((n - take, (doc, start + take, total, ids[4 * take :])))
+            if at == size:
+                self.number, left, at = self.number + 1, left - size, 0
+                size = 1 << (left.bit_length() - 1) if left else 0
 
 
-_OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
+_LONGS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
 def packed(docs: DataFrame, path: str, pattern: str, settings: Packing = Packing(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, and the ids themselves if asked for.
+    """Per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
-    With ``added_tokens`` the literal of an added token of the file, such as
-    ``<|endoftext|>``, gets its id, as ``tokenizers`` does by default; otherwise
-    it is text like any other (``encode_special_tokens``).
+    ``with_ids`` adds ``ids``, the piece's ids as little-endian unsigned 32-bit
+    bytes. With ``added_tokens`` the literal of an added token of the file, such
+    as ``<|endoftext|>``, gets its id, as ``tokenizers`` does by default;
+    otherwise it is text like any other (``encode_special_tokens``).
     """
-    schema = _OUT + (", ids array<int>" if with_ids else "")
-    full = settings.tokens
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = given.schema["id"].dataType
+    schema = ", ".join([f"`{id_col}` {id_type.simpleString()}", *(f"{n} long" for n in _LONGS), *(["ids binary"] if with_ids else [])])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 36
-        tokens = Tokens(path, pattern, settings.memo, added_tokens)
+        tokens = coder_of(path, pattern, added_tokens)
         end = np.array([settings.end_id], "<u4").tobytes()
-        rows: list[tuple] = []
-        held: list[tuple[int, tuple]] = []  # (length, (doc, start, doc_tokens, ids))
-
-        def put(doc: int | None, start: int, ids: bytes, total: int, offset: int, size: int) -> None:
-            row = (doc, start, len(ids) // 4, _crc(ids), total, number, offset, size)
-            rows.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if with_ids else row)
-
-        def deal(last: bool) -> None:
-            nonlocal held, number
-            have = sum(n for n, _ in held)
-            done, rest = pack(held, settings, have // full)
-            for s in done:
-                at = 0
-                for (doc, start, total, ids), a, n in s.pieces:
-                    put(doc, start + a, ids[4 * a : 4 * (a + n)], total, at, full)
-                    at += n
-                number += 1
-            held = [(n, (doc, start + a, total, ids[4 * a :])) for n, (doc, start, total, ids), a in sorted(rest, key=lambda r: -r[0])]
-            if last:
-                left, at = sum(n for n, _ in held), 0
-                size = 1 << (left.bit_length() - 1) if left else 0
-                while held:
-                    n, (doc, start, total, ids) = held.pop(0)
-                    take = min(n, size - at)
-                    put(doc, start, ids[: 4 * take], total, at, size)
-                    at += take
-                    if take < n:
-                        held.insert(0, (n - take, (doc, start + take, total, ids[4 * take :])))
-                    if at == size:
-                        number, left, at = number + 1, left - size, 0
-                        size = 1 << (left.bit_length() - 1) if left else 0
-
-        def flush() -> pd.DataFrame:
-            names = [c.split()[0] for c in schema.split(", ")]
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            rows.clear()
-            return out
-
-        for pdf in batches:
-            for doc, text in zip(pdf["id"], pdf["text"], strict=True):
-                ids = (tokens.encode(text) if text else b"") + end
-                total = len(ids) // 4
-                doc = None if pd.isna(doc) else int(doc)
-                for start in range(0, total - total % full, full):
-                    put(doc, start, ids[4 * start : 4 * (start + full)], total, 0, full)
-                    number += 1
-                if total % full:
-                    start = total - total % full
-                    held.append((total % full, (doc, start, total, ids[4 * start :])))
-                if len(held) >= settings.window:
-                    deal(False)
-                if len(rows) >= 5000:
-                    yield flush()
-        deal(True)
-        if rows:
+        packer = Packer(settings, (context.partitionId() if context else 0) << 36)
+
+        def flush() -> pa.RecordBatch:
+            doc, *longs, ids = zip(*packer.rows, strict=True)
+            columns = [pa.array(doc, to_arrow_type(id_type)), *(pa.array(v, pa.int64()) for v in longs), *([pa.array(ids, pa.binary())] if with_ids else [])]
+            packer.rows, packer.ready = [], 0
+            return pa.RecordBatch.from_arrays(columns, names=[id_col, *_LONGS, *(["ids"] if with_ids else [])])
+
+        for batch in batches:
+            docs_, texts = batch.column(0), batch.column(1)
+            for i in range(batch.num_rows):
+                text = texts[i].as_py()
+                for _ in packer.add(docs_[i].as_py(), (tokens.encode(text) if text else b"") + end):
+                    if packer.ready >= settings.flush_bytes:
+                        yield flush()
+        packer.close()
+        if packer.rows:
             yield flush()
 
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return given.mapInPandas(run, schema)
+    return given.mapInArrow(run, schema)

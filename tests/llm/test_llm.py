@@ -251,18 +251,34 @@ def test_packing_equals_tokenizer(spark, odd, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    strange = {10_001: "a  b\n\n c\t d   e  ", 10_002: " lead", 10_003: "x" * 5000, 10_004: "tab\t x", 10_005: "é  ü \x00 !! 12 3's", 10_006: None, 10_007: "<|endoftext|> z"}
+    strange = {10_001: "a  b\n\n c\t d   e  ", 10_002: " lead", 10_003: "x" * 5000, 10_004: "tab\t x", 10_005: "é  ü \x00 !! 12 3's", 10_006: None, 10_007: "<|endoftext|> z", 10_008: "a" + " " * 5000 + "b" + "\n" * 4000, 10_009: "\t" * 3000 + " c"}
     texts = docs_of(spark) | strange
     ids = {k: np.array(t.encode(v or "", add_special_tokens=False).ids + [1], "<u4") for k, v in texts.items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = packing.packed(df, **queries.tokenizer(), settings=packing.Packing(window=40)).toPandas()
+    got = packing.packed(df, **queries.tokenizer(), settings=packing.Packing(window=40, flush_bytes=5000), added_tokens=True, with_ids=True).toPandas()
+    assert [zlib.crc32(i) for i in got.ids] == list(got.ids_crc32)
     check_packing(got, ids)
     sizes = got.groupby("sequence_id").length.sum()
     assert sum(2048 - n for n in sizes if n & (n - 1)) == 0
+    named = df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).withColumn("length", F.lit(1))
+    assert packing.packed(named, **queries.tokenizer()).where("doc_id = 'd10006'").first().length == 1
     assert packing.packed(odd, **queries.tokenizer()).agg(F.sum("length")).first()[0] > 0 and packing.packed(none, **queries.tokenizer()).count() == 0
 
 
+def test_packing_ids_of_parts_equal_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    both = [packing.Tokens(**queries.tokenizer(), added_tokens=added) for added in (False, True)]
+    some, rng = ["a", " ", "  ", "\n", "\t", "\x1c", "\x85", " the", "'s", "12", "é", "!!", "\u3000", " " * 2100, "\n" * 2100, "<|endoftext|>"], np.random.default_rng(2)
+    for _ in range(500):
+        text = "".join(some[i] for i in rng.integers(0, len(some), 30))
+        for mine in both:
+            mine.part, t.encode_special_tokens = 50, not mine.added
+            assert np.frombuffer(mine.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_cuts_only_what_fits_nowhere():
     rng = np.random.default_rng(0)
     lengths = np.minimum(2047, rng.lognormal(5.5, 1.0, 1500).astype(int) + 1)
