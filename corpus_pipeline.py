@@ -50,7 +50,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens, ids included."""
+    """Pieces of documents in sequences of at most 2048 tokens, ids included (little-endian unsigned 32-bit bytes).
+
+    Null texts are empty documents; an empty table gives no pieces; other columns go.
+    """
     return packing.packed(docs, **tokenizer(), with_ids=True, added_tokens=True)
 
 
