@@ -5,13 +5,18 @@ many different words share, whose presence goes with the label. It becomes a
 trie; Levenshtein automata of its terms, run together over the trie, find
 misspelled forms too. The joint automaton is made deterministic while it runs,
 one state per set of (trie node, edits), so that a word costs one table lookup
-per character until it dies. A window around each hit tells quotation from
-abuse. A small logistic regression turns the hits of a document into a score.
+per character until it dies. Edits may fall on any letter, the first included;
+digits and signs inside a word stand for the letters they look like. Words that
+labelled clean documents hold are exceptions and never count as misspellings.
+A window around each hit tells quotation from abuse. A small logistic regression
+turns the hits of a document into a score; it is fitted on hits of a lexicon
+that was learned without the fold of the document.
 
 Defined results: null and empty texts, and any text without a hit, get the
 model's score for no hits; without labelled rows of both classes every score is
 0; repeated rows are judged one by one; conflicting labels of a document count
-as toxic; other columns never reach the score.
+as toxic; of equally near terms the longer wins, then the smaller; other columns
+never reach the score, and input columns named score or predicted may be there.
 """
 
 from __future__ import annotations
@@ -26,18 +31,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import cut, spread
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word may hold digits, and signs between letters or a sign that stands for its first letter.
+_WORD = re.compile(r"[@$]?[^\W_]+(?:[@$!*|]{1,2}[^\W_]+)*")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _QUOTES = "\"'«»‘’‚“”„‹›"
 PREFIX_LENGTHS = (4, 5, 6, 7, 8)
+#: The letters that a digit or sign looks like.
+ALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il"}
+
+Hit = tuple[str, float, int]  # term, weight, edits
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Terms with their log-odds; a term that ends in ``*`` matches by its beginning."""
+    """Terms with their log-odds; a term that ends in ``*`` matches by its beginning. Exceptions are not misspellings."""
 
     terms: tuple[tuple[str, float], ...]
+    exceptions: frozenset[str] = frozenset()
 
 
 class Automaton:
@@ -45,15 +57,13 @@ class Automaton:
 
     def __init__(self, lexicon: Lexicon, max_states: int = 200_000) -> None:
         self.children: list[dict[str, int]] = [{}]
+        self.allowed: list[int] = [0]  # edits that any term below a node may use
         self.word: dict[int, tuple[str, float]] = {}
         self.start: dict[int, tuple[str, float]] = {}
-        self.allowed: list[int] = [0]  # edits that any term below a node may use
-        self.max_states = max_states
+        self.max_states, self.exceptions = max_states, lexicon.exceptions
         for term, weight in lexicon.terms:
-            body, prefix = term.rstrip("*"), term.endswith("*")
-            edits = self.edits(body, prefix)
-            node = 0
-            for ch in body:
+            edits, node = self.edits(term), 0
+            for ch in term.rstrip("*"):
                 self.allowed[node] = max(self.allowed[node], edits)
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
@@ -61,88 +71,74 @@ class Automaton:
                     self.allowed.append(0)
                 node = self.children[node][ch]
             self.allowed[node] = max(self.allowed[node], edits)
-            (self.start if prefix else self.word)[node] = (term, weight)
+            (self.start if term.endswith("*") else self.word)[node] = (term, weight)
         self.reset()
 
     @staticmethod
-    def edits(body: str, prefix: bool) -> int:
-        """Beginnings match as they are; longer words bear more edits. The first letter always counts."""
-        return 0 if prefix or len(body) < 5 else 1 if len(body) < 9 else 2
+    def edits(term: str) -> int:
+        """Edits that a term bears: longer ones more, beginnings fewer."""
+        n = len(term.rstrip("*"))
+        return int(n >= 6) if term.endswith("*") else int(n >= 4) + (n >= 8)
 
     def reset(self) -> None:
         self.ids: dict[tuple, int] = {}
-        self.sets: list[tuple] = []
+        self.sets: list[tuple[dict[int, int], Hit | None]] = []
         self.next: list[dict[str, int]] = []
-        self.found: list[tuple[str, float, int] | None] = []
-        self.seen: dict[str, tuple[str, float, int] | None] = {}
-        self.root = self.state({(0, 0, None)})
+        self.found: list[Hit | None] = []
+        self.seen: dict[str, Hit | None] = {}
+        self.root = self.state({0: 0}, None)
 
-    def state(self, members: set) -> int:
-        """The number of a set of (node, edits, best prefix hit); -1 for the empty set."""
-        open_ = list(members)
+    @staticmethod
+    def nearer(a: Hit | None, b: Hit | None) -> Hit | None:
+        if a is None or b is None:
+            return a or b
+        return min(a, b, key=lambda h: (h[2], -len(h[0]), h[0]))
+
+    def state(self, members: dict[int, int], begun: Hit | None) -> int:
+        """The number of a set of trie nodes with the fewest edits each, and the best beginning so far; -1 for nothing."""
+        open_ = list(members.items())
         while open_:  # a letter of the term left out
-            node, used, hit = open_.pop()
-            if node and used < self.allowed[node]:
+            node, used = open_.pop()
+            if members[node] == used:
                 for child in self.children[node].values():
-                    if (more := (child, used + 1, hit)) not in members and self.allowed[child] > used:
-                        members.add(more)
-                        open_.append(more)
-        if not members:
+                    if used < self.allowed[child] and used + 1 < members.get(child, 9):
+                        members[child] = used + 1
+                        open_.append((child, used + 1))
+        hit = None
+        for node, used in members.items():
+            if (t := self.start.get(node)) and used <= self.edits(t[0]):
+                begun = self.nearer(begun, (*t, used))
+            if (t := self.word.get(node)) and used <= self.edits(t[0]):
+                hit = self.nearer(hit, (*t, used))
+        if not members and begun is None:
             return -1
-        key = tuple(sorted(members, key=repr))
+        key = (frozenset(members.items()), begun)
         if key not in self.ids:
             self.ids[key] = len(self.sets)
-            self.sets.append(key)
+            self.sets.append((members, begun))
             self.next.append({})
-            self.found.append(self.accept(key))
+            # A whole term is nearer than a beginning with as many edits.
+            self.found.append(begun if hit is None or (begun is not None and begun[2] < hit[2]) else hit)
         return self.ids[key]
 
-    def accept(self, key: tuple) -> tuple[str, float, int] | None:
-        hits = []
-        for node, used, hit in key:
-            if node in self.word and used <= self.edits(self.word[node][0], False):
-                hits.append((used, -len(self.word[node][0]), *self.word[node]))
-            if hit is not None:
-                hits.append((0.5, -len(hit[0]), *hit))
-        if not hits:
-            return None
-        used, _, term, weight = min(hits)
-        return term, weight, math.floor(used)
-
     def step(self, state: int, ch: str) -> int:
-        members: set = set()
-        for node, used, hit in self.sets[state]:
-            if node < 0:  # a term's beginning has matched; the rest is free
-                members.add((node, used, hit))
-                continue
+        members: dict[int, int] = {}
+        before, begun = self.sets[state]
+        like = ALIKE.get(ch, "")
+        for node, used in before.items():
             for letter, child in self.children[node].items():
-                if letter == ch:
-                    members.add((child, used, hit))
-                    if used == 0 and child in self.start:
-                        members.add((-1, 0, self.start[child]))
-                elif node and used < self.allowed[child]:
-                    members.add((child, used + 1, hit))
-            if node and used < self.allowed[node]:  # a letter too many
-                members.add((node, used + 1, hit))
-        longest = max((m for m in members if m[0] < 0), key=lambda m: len(m[2][0]), default=None)
-        live = {m for m in members if m[0] >= 0}
-        return self.state_with(live, longest)
-
-    def state_with(self, live: set, hit: tuple | None) -> int:
-        if hit is None:
-            return self.state(live)
-        open_ = self.state(live)
-        key = (*(self.sets[open_] if open_ >= 0 else ()), hit)
-        if key not in self.ids:
-            self.ids[key] = len(self.sets)
-            self.sets.append(key)
-            self.next.append({})
-            self.found.append(self.accept(key))
-        return self.ids[key]
-
-    def match(self, word: str) -> tuple[str, float, int] | None:
+                cost = used + (letter != ch and letter not in like)
+                if cost <= self.allowed[child] and cost < members.get(child, 9):
+                    members[child] = cost
+            if used < self.allowed[node] and used + 1 < members.get(node, 9):  # a letter too many
+                members[node] = used + 1
+        return self.state(members, begun)
+
+    def match(self, word: str) -> Hit | None:
         """The lexicon term that ``word`` stands for, its weight and the edits between, or None."""
         state = self.root
+        if state < 0:
+            return None
         for ch in word:
             step = self.next[state].get(ch)
             if step is None:
@@ -150,19 +146,29 @@ class Automaton:
             if step < 0:
                 return None
             state = step
-        return self.found[state]
+        hit = self.found[state]
+        return None if hit and hit[2] and word in self.exceptions else hit
+
+    def hit(self, word: str) -> Hit | None:
+        """Of a word with its digits and signs; failing that, of its runs of letters."""
+        if word.isalpha():
+            return self.match(word)
+        if not (parts := _LETTERS.findall(word)):
+            return None
+        found = self.match(word)
+        for part in parts if found is None else ():
+            found = self.nearer(found, self.match(part))
+        return found
 
-    def hits(self, words: set[str]) -> dict[str, tuple[str, float, int]]:
+    def hits(self, words: set[str]) -> dict[str, Hit]:
         if len(self.sets) > self.max_states or len(self.seen) > self.max_states:
             self.reset()
         out, seen = {}, self.seen
         for w in words:
-            if w in seen:
-                hit = seen[w]
-            else:
-                hit = seen[w] = self.match(w)
-            if hit is not None:
-                out[w] = hit
+            if w not in seen:
+                seen[w] = self.hit(w)
+            if seen[w] is not None:
+                out[w] = seen[w]
         return out
 
 
@@ -174,7 +180,7 @@ def quoted(text: str, start: int, end: int, window: int) -> bool:
 
 
 def features(text: str | None, automaton: Automaton, window: int = 80) -> list[float]:
-    """Of the hits that are not quoted: weight of the best, log count of exact and of misspelled ones; then the same of quoted ones in short."""
+    """Log counts of exact, misspelled and quoted hits; weights of the best hit that is not quoted and of the best that is."""
     out = [0.0] * 5
     lowered = (text or "").lower()
     hits = automaton.hits(set(_WORD.findall(lowered)))
@@ -227,54 +233,73 @@ def fit(
     sample_rows: int = 20_000,
     max_terms: int = 2000,
     min_evidence: float = 20.0,
+    tasks: int = 32,
 ) -> ToxicityModel:
     """Learn lexicon and weights from labelled rows where ``usable`` holds on the id.
 
     The sample is bounded: the ``sample_rows`` labelled ids with the smallest
-    seeded hash. A term needs a log-likelihood ratio of ``min_evidence``.
+    seeded hash. A term needs a log-likelihood ratio of ``min_evidence``; the
+    ``max_terms`` strongest are kept. Exceptions are words of the sample.
     """
-    spark = docs.sparkSession
     known = labels.where(usable & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
-    chosen = known.orderBy(spread(id_col, 23), id_col).limit(sample_rows)
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "toxic")
+    chosen = known.orderBy(spread(id_col, 23), id_col).limit(sample_rows).withColumn("fold", F.pmod(spread(id_col, 29), F.lit(2)).cast("int"))
+    # The sample is small beside the table, so that it is dealt to more tasks than its rows lay in.
+    texts = cut(docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "toxic", "fold").repartition(tasks))
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                words = {w for w in _WORD.findall((text or "").lower()) if len(w) > 2}
+            for text, toxic, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"], strict=True):
+                words = {w for w in _LETTERS.findall((text or "").lower()) if len(w) > 1}
                 starts = {w[:n] + "*" for w in words for n in PREFIX_LENGTHS if len(w) >= n}
-                rows += [(t, toxic, 1) for t in (*words, *starts, "")]
-            yield pd.DataFrame(rows, columns=["term", "toxic", "n"]).groupby("term", as_index=False).sum()
+                rows += [(t, toxic * (1 - fold), 1 - fold, toxic * fold, fold) for t in (*words, *starts, "")]
+            yield pd.DataFrame(rows, columns=["term", "pos0", "n0", "pos1", "n1"]).groupby("term", as_index=False).sum()
 
-    counted = texts.mapInPandas(terms, "term string, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("pos"), F.sum("n").alias("n"))
+    sums = [F.sum(c).alias(c) for c in ("pos0", "n0", "pos1", "n1")]
+    counted = cut(texts.mapInPandas(terms, "term string, pos0 long, n0 long, pos1 long, n1 long").groupBy("term").agg(*sums))
     total = counted.where("term = ''").first()
-    if total is None or not 0 < total["pos"] < total["n"]:
+    if total is None or not 0 < total["pos0"] + total["pos1"] < total["n0"] + total["n1"]:
         return ToxicityModel(Lexicon(()), (-30.0,))
-    pos, n = total["pos"], total["n"]
-    share = pos / n
 
-    def part(k: Column, p: Column | float) -> Column:
-        return F.when(k > 0, k * F.log(p)).otherwise(0.0)
+    def learned(pos: str, n: str) -> Lexicon:
+        """From the rows that two expressions over ``counted`` count."""
+        counts = counted.where("term <> ''").select("term", F.expr(pos).alias("pos"), F.expr(n).alias("n")).where("n > 0")
+        all_pos, all_n = (sum(total[c.strip()] for c in e.split("+")) for e in (pos, n))
+        if not 0 < all_pos < all_n:
+            return Lexicon(())
+        share = all_pos / all_n
+
+        def part(k: Column, p: Column | float) -> Column:
+            return F.when(k > 0, k * F.log(p)).otherwise(0.0)
+
+        hit, miss = F.col("pos"), F.col("n") - F.col("pos")
+        rate = hit / F.col("n")
+        evidence = 2 * (part(hit, rate) + part(miss, 1 - rate) - part(hit, F.lit(share)) - part(miss, F.lit(1 - share)))
+        odds = F.log((hit + 0.5) / (all_pos + 1)) - F.log((miss + 0.5) / (all_n - all_pos + 1))
+        best = counts.withColumn("g", evidence).withColumn("w", odds).where((F.col("g") >= min_evidence) & (rate >= 0.5 + share / 2)).orderBy(F.desc("g"), "term").limit(max_terms)
+        lexicon = Lexicon(tuple(sorted((r["term"], float(r["w"])) for r in best.select("term", "w").collect())))
+
+        def misread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            automaton = Automaton(lexicon)
+            for pdf in batches:
+                yield pdf[[bool(h and h[2]) for h in map(automaton.match, pdf["term"])]]
+
+        clean = counts.where(~F.col("term").endswith("*") & (rate < 0.5)).select("term")
+        return Lexicon(lexicon.terms, frozenset(r["term"] for r in clean.mapInPandas(misread, "term string").collect()))
 
-    hit, miss = F.col("pos"), F.col("n") - F.col("pos")
-    rate = hit / F.col("n")
-    evidence = 2 * (part(hit, rate) + part(miss, 1 - rate) - part(hit, F.lit(share)) - part(miss, F.lit(1 - share)))
-    odds = F.log((hit + 0.5) / (pos + 1)) - F.log((miss + 0.5) / (n - pos + 1))
-    best = counted.where("term <> ''").withColumn("g", evidence).withColumn("w", odds).where((F.col("g") >= min_evidence) & (rate >= 0.5 + share / 2)).orderBy(F.desc("g"), "term").limit(max_terms)
-    lexicon = Lexicon(tuple(sorted((r["term"], float(r["w"])) for r in best.select("term", "w").collect())))
+    without = {0: learned("pos1", "n1"), 1: learned("pos0", "n0")}
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = Automaton(lexicon)
+        automata = {fold: Automaton(lexicon) for fold, lexicon in without.items()}
         for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "x": [features(t, automaton) for t in pdf["text"]]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "x": [features(t, automata[f]) for t, f in zip(pdf["text"], pdf["fold"], strict=True)]})
 
     seen = texts.mapInPandas(measure, "toxic int, x array<double>").groupBy("x").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).orderBy("x").collect()
     x = np.array([r["x"] for r in seen for _ in range(2)], dtype=float)
     y = np.array([v for _ in seen for v in (1.0, 0.0)])
     weight = np.array([v for r in seen for v in (r["pos"], r["n"] - r["pos"])], dtype=int)
     w = logistic(np.repeat(x, weight, axis=0), np.repeat(y, weight))
-    return ToxicityModel(lexicon, tuple(float(v) for v in w))
+    return ToxicityModel(learned("pos0 + pos1", "n0 + n1"), tuple(float(v) for v in w))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

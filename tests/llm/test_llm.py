@@ -74,28 +74,57 @@ def test_topk_brute_force(spark):
 # toxicity
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
+def distance(term, word):
+    """Fewest edits from a term to a word; look-alikes of a letter cost nothing."""
+    row = list(range(len(word) + 1))
+    for i, x in enumerate(term, 1):
         last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        for j, y in enumerate(word, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y and x not in toxicity.ALIKE.get(y, "")))
     return row[-1]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("abcd", min_size=1, max_size=8))
+TERMS = ("abcab", "abcda", "dab", "bacdbacdb", "cabs", "lab*", "sadbac*")
+
+
+def best_term(word, exceptions=()):
+    """By brute force: of all terms within their edits the nearest, whole terms first, then the longest."""
+    found = []
+    for t in TERMS:
+        heads = [word[:n] for n in range(len(word) + 1)] if t.endswith("*") else [word]
+        edits = min(distance(t.rstrip("*"), h) for h in heads)
+        if edits <= toxicity.Automaton.edits(t) and not (edits and word in exceptions):
+            found.append((edits, t.endswith("*"), -len(t), t))
+    return (min(found)[3], min(found)[0]) if found else None
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("abcds5l1", min_size=1, max_size=9))
 def test_automaton_equals_edit_distance(word):
-    terms = ("abcab", "abcda", "dab", "bacdbacdb")
-    a = toxicity.Automaton(toxicity.Lexicon(tuple((t, 1.0) for t in terms)))
-    # The first letter always counts, so that edits are those of the rest.
-    want = [t for t in terms if t[0] == word[0] and distance(t[1:], word[1:]) <= a.edits(t, False)]
-    assert (a.match(word) is not None) == bool(want)
+    hit = AUTOMATON.match(word)
+    assert (hit and (hit[0], hit[2])) == best_term(word, ("abcdd",))
+
+
+AUTOMATON = toxicity.Automaton(toxicity.Lexicon(tuple((t, 1.0) for t in TERMS), frozenset(["abcdd"])))
+
+
+def test_automaton_misspellings():
+    a = toxicity.Automaton(toxicity.Lexicon((("idiot", 3.0), ("worthless", 3.0), ("scum", 3.0), ("stupid", 3.0)), frozenset(["scam"])))
+    for text in ("1diot", "ldiot", "diot", "id1ot", "idiot2", "w0rthless", "orthless", "wortless", "skum", "scm", "$tupid", "st*pid", "stup!d", "you!!scum", "5tup1d", "STUPID!!"):
+        assert toxicity.features(f"so {text} there", a)[3] > 0, text
+    for text in ("scam", "cu1ms", "st", "idol", "worthy", "12345", "!!", "stuff", ""):
+        assert toxicity.features(f"so {text} there", a) == [0.0] * 5, text
 
 
 def test_automaton_prefix_and_quotes():
     a = toxicity.Automaton(toxicity.Lexicon((("achl*", 2.0), ("idiot", 3.0))))
     assert a.match("achlich")[0] == "achl*" and a.match("ach") is None and a.match("idjot")[2] == 1
+    assert toxicity.features("", toxicity.Automaton(toxicity.Lexicon(()))) == toxicity.features("word", toxicity.Automaton(toxicity.Lexicon(()))) == [0.0] * 5
+    # Score of a document: exact counts by hand; quotation counts apart.
+    text = 'you idiot, idi0t and idjot; "idiot" he said'
+    assert toxicity.features(text, a) == [np.log1p(2), np.log1p(1), np.log1p(1), 3.0, 3.0]
+    model = toxicity.ToxicityModel(toxicity.Lexicon(()), (1.0, 2.0, -1.0, 0.5, 0.0, -1.0))
+    assert model.score([1.0, 0.5, 1.0, 2.0, 9.0]) == pytest.approx(1 / (1 + np.exp(-(1 + 1 - 1 + 1 - 1))))
     assert toxicity.features('they said "idiot" once', a)[2] > 0
     assert toxicity.features("you idiot", a)[0] > 0
 
