@@ -25,6 +25,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, spread
+from .minhash import Shingler, batches_of
 
 #: A word may hold digits, and signs between letters or a sign that stands for its first letter.
 _WORD = re.compile(r"[@$]?[^\W_]+(?:[@$!*|]{1,2}[^\W_]+)*")
@@ -55,12 +57,12 @@ class Lexicon:
 class Automaton:
     """The terms' Levenshtein automata over one trie, determinised as needed."""
 
-    def __init__(self, lexicon: Lexicon, max_states: int = 200_000) -> None:
+    def __init__(self, lexicon: Lexicon, max_states: int = 30_000, max_words: int = 200_000) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.allowed: list[int] = [0]  # edits that any term below a node may use
         self.word: dict[int, tuple[str, float]] = {}
         self.start: dict[int, tuple[str, float]] = {}
-        self.max_states, self.exceptions = max_states, lexicon.exceptions
+        self.max_states, self.max_words, self.exceptions = max_states, max_words, lexicon.exceptions
         for term, weight in lexicon.terms:
             edits, node = self.edits(term), 0
             for ch in term.rstrip("*"):
@@ -161,7 +163,7 @@ class Automaton:
         return found
 
     def hits(self, words: set[str]) -> dict[str, Hit]:
-        if len(self.sets) > self.max_states or len(self.seen) > self.max_states:
+        if len(self.sets) > self.max_states or len(self.seen) > self.max_words:
             self.reset()
         out, seen = {}, self.seen
         for w in words:
@@ -172,6 +174,12 @@ class Automaton:
         return out
 
 
+@lru_cache(2)
+def automaton_of(lexicon: Lexicon) -> Automaton:
+    """One for all tasks of a Python worker, with the states and words that it has seen."""
+    return Automaton(lexicon)
+
+
 def quoted(text: str, start: int, end: int, window: int) -> bool:
     """Whether marks of quotation stand on both sides within the window and the line, an odd number before."""
     left = text[max(0, start - window) : start].rpartition("\n")[2]
@@ -238,13 +246,25 @@ def fit(
     """Learn lexicon and weights from labelled rows where ``usable`` holds on the id.
 
     The sample is bounded: the ``sample_rows`` labelled ids with the smallest
-    seeded hash. A term needs a log-likelihood ratio of ``min_evidence``; the
+    seeded hash, of copies one. A term needs a log-likelihood ratio of ``min_evidence``; the
     ``max_terms`` strongest are kept. Exceptions are words of the sample.
     """
     known = labels.where(usable & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
-    chosen = known.orderBy(spread(id_col, 23), id_col).limit(sample_rows).withColumn("fold", F.pmod(spread(id_col, 29), F.lit(2)).cast("int"))
+    order = spread(id_col, 23)
+    chosen = known.withColumn("h", order).orderBy("h", id_col).limit(sample_rows)
     # The sample is small beside the table, so that it is dealt to more tasks than its rows lay in.
-    texts = cut(docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "toxic", "fold").repartition(tasks))
+    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "toxic", "h").repartition(tasks)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(3)
+        for pdf in batches:
+            given = pdf["text"].tolist()
+            least = [int(found.min() >> np.uint64(1)) if len(found) else -1 for part in batches_of(given) for found in shingler.sets(given[part])]
+            yield pdf.assign(key=least)
+
+    # Copies, exact or near, share their smallest shingle hash; they count once, as toxic if any is.
+    once = sample.mapInPandas(keyed, "text string, toxic int, h long, key long").groupBy("key").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct("h", "text")).alias("text"))
+    texts = cut(once.select("text", "toxic", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int").alias("fold")))
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -280,7 +300,7 @@ def fit(
         lexicon = Lexicon(tuple(sorted((r["term"], float(r["w"])) for r in best.select("term", "w").collect())))
 
         def misread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = Automaton(lexicon)
+            automaton = automaton_of(lexicon)
             for pdf in batches:
                 yield pdf[[bool(h and h[2]) for h in map(automaton.match, pdf["term"])]]
 
@@ -290,7 +310,7 @@ def fit(
     without = {0: learned("pos1", "n1"), 1: learned("pos0", "n0")}
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automata = {fold: Automaton(lexicon) for fold, lexicon in without.items()}
+        automata = {fold: automaton_of(lexicon) for fold, lexicon in without.items()}
         for pdf in batches:
             yield pd.DataFrame({"toxic": pdf["toxic"], "x": [features(t, automata[f]) for t, f in zip(pdf["text"], pdf["fold"], strict=True)]})
 
@@ -307,7 +327,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     given = docs.select(id_col, *keep, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = Automaton(model.lexicon)
+        automaton = automaton_of(model.lexicon)
         for pdf in batches:
             values = [model.score(features(t, automaton)) for t in pdf.pop("__text")]
             yield pdf.assign(score=values, predicted=[int(v >= 0.5) for v in values])

@@ -130,11 +130,14 @@ def test_automaton_prefix_and_quotes():
 
 
 def test_toxicity_learns(spark, odd, none):
-    texts = [(i, ("some plain words " * 4) + ("you grumblefoot" if i % 3 == 0 else "and more"), int(i % 3 == 0)) for i in range(300)]
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 12)) + (" you grumblefoot" if i % 3 == 0 else " and more"), int(i % 3 == 0)) for i in range(300)]
+    texts += [(200 + i, "a copy of plain words many times over", 1) for i in range(1, 400) if i % 100]
     df = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
     model = toxicity.fit(df, df.select("doc_id", "toxic"), F.col("doc_id") < 200)
-    wrong = toxicity.score(df.where("doc_id >= 200"), model).join(df, "doc_id").where("predicted <> toxic").count()
-    assert wrong == 0
+    assert not any(t.startswith(("copy", "plain", "times")) for t, _ in model.lexicon.terms)
+    scored = toxicity.score(df.where("doc_id >= 200 and text not like 'a copy%'").withColumn("score", F.lit("x")), model)
+    assert scored.join(df.where("text not like 'a copy%'"), "doc_id").where("predicted <> toxic").count() == 0
     assert {r.doc_id for r in toxicity.score(odd, model).collect()} == {r[0] for r in ODD}
     empty = toxicity.fit(none, df.select("doc_id", "toxic").limit(0), F.lit(True))
     assert toxicity.score(odd, empty).where("predicted = 1").count() == 0
