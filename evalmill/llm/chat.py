@@ -10,7 +10,7 @@ character of a control string.
 Defined results: null texts and roles are empty ones; unknown roles get a
 generic marker, carry no loss and make the order invalid; turns are ordered by
 turn, then role, then text, so that ties and repeated rows have one result;
-rows with a null conversation id form one conversation; a conversation must fit
+columns beside the four never matter; rows with a null conversation id form one conversation; a conversation must fit
 a row, as its output is one text; an empty table gives no rows.
 """
 
@@ -79,15 +79,31 @@ def format_chats(rows: DataFrame, template: Template = Template(), id_col: str =
         )
 
     parts = chats.select("id", F.flatten(F.transform("turns", three)).alias("parts"), valid_order(F.transform("turns", lambda t: t["role"])).alias("valid"))
-    start = F.lit(1)
-    none = F.expr("cast(array() as array<struct<start:int,length:int,loss:boolean>>)")
+    sized = parts.withColumn("lengths", F.transform("parts", lambda p: F.length(p["text"])))
+    laid = F.transform(
+        F.arrays_zip(running_starts(F.col("lengths")).alias("start"), F.col("parts").alias("part")),
+        lambda z: F.struct(z["start"].alias("start"), F.length(z["part"]["text"]).alias("length"), z["part"]["loss"].alias("loss")),
+    )
+    return sized.select(F.col("id").alias(id_col), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("formatted"), laid.alias("segments"), "valid")
 
-    def place(done: Column, part: Column) -> Column:
-        at = F.coalesce(F.element_at(done, -1)["start"] + F.element_at(done, -1)["length"], start)
-        return F.concat(done, F.array(F.struct(at.alias("start"), F.length(part["text"]).alias("length"), part["loss"].alias("loss"))))
 
-    laid = F.aggregate("parts", none, lambda done, part: F.when(F.size(done) == 0, F.array(F.struct(start.alias("start"), F.length(part["text"]).alias("length"), part["loss"].alias("loss")))).otherwise(place(done, part)))
-    return parts.select(F.col("id").alias(id_col), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("formatted"), laid.alias("segments"), "valid")
+def running_starts(lengths: Column) -> Column:
+    """Where each of consecutive pieces begins, from 1 on.
+
+    Sums run inside blocks of about the square root of the array's size, then
+    over the blocks, as a fold copies what it has gathered at every step.
+    """
+    n = F.size(lengths)
+    block = F.ceil(F.sqrt(F.greatest(n, F.lit(1)).cast("double"))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), block), lambda i: F.slice(lengths, i + 1, block))
+    inside = F.transform(blocks, lambda b: F.aggregate(b, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))))
+    first = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<array<int>>)").alias("starts"))
+
+    def shifted(done: Column, sums: Column) -> Column:
+        own = F.transform(F.slice(sums, 1, F.size(sums) - 1), lambda x: x + done["at"])
+        return F.struct((done["at"] + F.element_at(sums, -1)).alias("at"), F.concat(done["starts"], F.array(own)).alias("starts"))
+
+    return F.aggregate(inside, first, shifted, lambda done: F.flatten(done["starts"]))
 
 
 def read_back(chats: DataFrame, template: Template = Template(), id_col: str = "conv_id") -> DataFrame:
@@ -96,5 +112,7 @@ def read_back(chats: DataFrame, template: Template = Template(), id_col: str = "
     roles = F.regexp_extract_all("formatted", F.lit(pattern), F.lit(1))
     texts = F.regexp_extract_all("formatted", F.lit(pattern), F.lit(2))
     turns = F.transform(F.arrays_zip(roles.alias("role"), texts.alias("text")), lambda t: F.struct(unescaped(t["role"]).alias("role"), unescaped(t["text"]).alias("text")))
-    masked = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(F.substring(F.col("formatted"), s["start"], s["length"])))
+    # A turn is three segments, of which the second is its text: the parsed text is the masked one, without another cut from the start.
+    flags = F.transform(F.filter("segments", lambda s, i: i % 3 == 1), lambda s: s["loss"])
+    masked = F.transform(F.filter(F.arrays_zip(F.col("turns"), flags.alias("loss")), lambda z: z["loss"]), lambda z: z["turns"]["text"])
     return chats.withColumn("turns", turns).withColumn("loss_text", F.array_join(masked, ""))

@@ -1,6 +1,7 @@
 import hashlib
 import os
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -71,6 +72,22 @@ def test_topk_brute_force(spark):
     assert 1000 not in got and 900 not in got
 
 
+def test_topk_is_exact_for_large_components(spark):
+    rng = np.random.default_rng(6)
+    data = [(i, [float(x) for x in rng.normal(size=6) * 10.0 ** rng.integers(0, 19, 6)]) for i in range(120)]
+    data += [(200, [2.0**60] * 6), (300, [-1e300] + [0.0] * 5), (301, [1.7e308] * 6)] + [(302, [1.0] * 6)] * 30
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in data] + [(None, [1.0] * 6, "x", 1)], "vec_id long, embedding array<double>, id string, score int")
+    whole = [(i, [int(np.floor(1024 * x)) if abs(1024 * x) < 2**52 else int(min(max(1024 * x, -sys.float_info.max), sys.float_info.max)) for x in v]) for i, v in data]
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, query_block=2, candidate_block=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for i in (0, 100, 200, 300):
+        q = dict(whole)[i]
+        best = sorted((-min(max(sum(x * y for x, y in zip(q, w)), -(2**63)), 2**63 - 1), j) for j, w in whole if j != i)[:10]
+        assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
 # toxicity
 
 
@@ -385,6 +402,27 @@ def test_chat_round_trip(spark):
     assert got[None].valid and sum(s.length for s in got[1].segments) == len(got[1].formatted)
 
 
+def test_chat_long_and_odd(spark):
+    """Thousands of turns, repeated rows, ties and clashing names."""
+    turns = [(7, i, ("user", "assistant")[i % 2], f"text {i} " * (i % 5), "x", True) for i in range(6000)] + [(8, 0, "user", "a", "x", True)] * 2 + [(8, 0, "assistant", "b", "x", True), (9, 0, "assistant", "long " * 100_000, "x", False)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, segments string, valid boolean")
+    made = chat.format_chats(df)
+    got = {r.conv_id: r for r in chat.read_back(made).collect()}
+    assert got[7].valid and got[7].loss_text == "".join(t[3] for t in turns[:6000] if t[2] == "assistant")
+    at = 1
+    for s in got[7].segments:
+        assert s.start == at
+        at += s.length
+    assert at == len(got[7].formatted) + 1
+    assert "".join(chat_text(got[7], s) for s in got[7].segments if s.loss) == got[7].loss_text
+    assert [t.role for t in got[8].turns] == ["assistant", "user", "user"] and not got[8].valid and len(got[9].loss_text) == 500_000
+    assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
+
+
+def chat_text(row, segment):
+    return row.formatted[segment.start - 1 : segment.start - 1 + segment.length]
+
+
 # pipeline
 
 
