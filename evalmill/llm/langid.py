@@ -63,7 +63,8 @@ def fit(
 
     The sample is bounded: of each of the ``max_langs`` most frequent languages
     at most ``sample_docs`` documents, the one with the smallest seeded hash in
-    each of as many hash classes, and of each at most ``piece_chars`` characters.
+    each of as many hash classes (of a repeated id the least text), and of each at
+    most ``piece_chars`` characters.
     """
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     keyed = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spread(id_col, 11).alias("h"))
@@ -75,15 +76,15 @@ def fit(
         return LanguageModel((), **settings)
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(r["lang"], h) for r in rows for h in r["hs"]], "lang string, h long")
-    texts = keyed.join(F.broadcast(wanted), ["lang", "h"]).select("lang", "h", F.substring("text", 1, piece_chars).alias("piece")).dropDuplicates(["lang", "h"])
+    texts = keyed.join(F.broadcast(wanted), ["lang", "h"]).select("lang", "h", F.substring("text", 1, piece_chars).alias("piece")).groupBy("lang", "h").agg(F.min("piece").alias("piece"))
     pieces: dict[str, list[tuple[int, str]]] = {}
     for r in texts.collect():
         pieces.setdefault(r["lang"], []).append((r["h"], letters_only(r["piece"])))
     made = []
     for r in rows:
         content = "".join(p for _, p in sorted(pieces.get(r["lang"], []))).encode()[:dictionary_bytes]
-        if len(content) >= 8:  # zstandard takes no shorter content
-            made.append((r["lang"], content))
+        # zstandard takes no content under eight bytes
+        made.append((r["lang"], content * -(-8 // len(content))))
     return LanguageModel(tuple(made), **settings)
 
 

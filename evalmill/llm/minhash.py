@@ -13,6 +13,7 @@ members whose own hashes rule out any link there are left out before.
 
 Defined results: null and empty texts, and texts without words, are components
 of their own with 0 shingles; a text shorter than a shingle is one shingle;
+ids are whole numbers;
 rows with a null id take no part in links and are kept; repeated rows get equal
 results; an empty table gives no rows; other columns do not matter.
 """
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -193,6 +194,11 @@ def least_estimate(settings: NearDup) -> float:
     return j - settings.slack * math.sqrt(p * (1 - p) / MINIMA) / (1 - chance)
 
 
+def by_band(df: DataFrame) -> GroupedData:
+    """Grouped by band, and by a hash of it: a join on the band alone then deals both sides anew, so that AQE can split a hot bucket."""
+    return df.groupBy("band", F.hash("band").alias("__h"))
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, settings: NearDup, id_col: str, text_col: str) -> DataFrame:
     """id and the sorted shingle hashes of the documents whose id is in ``ids``."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(ids, "id")
@@ -240,7 +246,7 @@ def linkable_members(members: DataFrame, sets: DataFrame, settings: NearDup) ->
     alone = held.where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
     sized = sets.select("id", F.size("hashes").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("shared"))
     rows = members.join(sized, "id")
-    least = rows.groupBy("band").agg(F.min("n").alias("n_min"))
+    least = by_band(rows).agg(F.min("n").alias("n_min")).drop("__h")
     partner = F.greatest("n_min", "shared")
     possible = 100 * F.col("shared") >= settings.percent * (F.col("n") + partner - F.col("shared"))
     return rows.join(least, "band").where(possible).select("band", "id", "component", "n")
@@ -255,7 +261,7 @@ def across(members: DataFrame, sets: DataFrame, signed: DataFrame, settings: Nea
     bits first, then on the full sets. Only links leave a task, no pairs.
     """
     per = members.groupBy("band", "component").agg(F.sum("n").alias("n"))
-    size = per.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main_component"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("parts")).where("parts > 1")
+    size = by_band(per).agg(F.max_by("component", F.struct("n", "component")).alias("main_component"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("parts")).where("parts > 1").drop("__h")
     main = F.col("component") == F.col("main_component")
     main_blocks, rest_blocks = F.ceil(F.col("n_main") / settings.block), F.ceil((F.col("n_all") - F.col("n_main")) / settings.block)
     own = F.pmod(F.xxhash64("id"), F.when(main, main_blocks).otherwise(rest_blocks))
@@ -317,7 +323,7 @@ def near_duplicates(docs: DataFrame, settings: NearDup, id_col: str = "doc_id",
     rows = cut(rep_of.select("id", "n_shingles", "rep", F.when(is_rep, F.col("bits")).alias("bits"), F.when(is_rep, F.col("bands")).alias("bands")))
     reps = rows.where("id = rep").select("id", "bits", "bands")
     filed = reps.select("id", F.explode("bands").alias("band"))
-    buckets = filed.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = by_band(filed).agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n", "__h")
     starred = filed.join(buckets, "band").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     bits = reps.select("id", "bits")
     with_bits = starred.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
@@ -326,7 +332,7 @@ def near_duplicates(docs: DataFrame, settings: NearDup, id_col: str = "doc_id",
     parts = connected_components(links)
 
     parted = filed.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = parted.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("band")
+    split = by_band(parted).agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("band")
     members = cut(parted.join(split, "band"))
     sets = cut(shingle_sets(docs, members.select("id").distinct(), settings, id_col, text_col))
     links = links.union(across(linkable_members(members, sets, settings), sets, reps, settings))

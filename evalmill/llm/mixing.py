@@ -47,10 +47,20 @@ def golden_point(i: Column) -> Column:
     return F.pmod(low * float(_PHI) + F.pmod(high * step, F.lit(1.0)), F.lit(1.0))
 
 
-def numbered(docs: DataFrame, id_col: str, size: Column, source_col: str) -> DataFrame:
-    """id, source, size and the number of the row among those of its id."""
+def numbered(docs: DataFrame, id_col: str, size: Column, source_col: str, piece: int = 10_000) -> DataFrame:
+    """id, source, size, the number ``same`` among rows equal in these, and ``copy`` among the rows of the id.
+
+    Equal rows are counted before they are ordered, so that an id that many rows
+    repeat, or null, is ordered by its distinct sources and sizes alone.
+    """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
-    return narrow.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("source", "size")))
+    counted = narrow.groupBy("id", "source", "size").agg(F.count("*").alias("m"))
+    earlier = Window.partitionBy("id").orderBy("source", "size").rowsBetween(Window.unboundedPreceding, -1)
+    told = counted.withColumn("earlier", F.coalesce(F.sum("m").over(earlier), F.lit(0)))
+    one = F.lit(1).cast("long")
+    pieces = told.withColumn("done", F.explode(F.sequence(one - 1, F.col("m") - 1, F.lit(piece).cast("long"))))
+    each = pieces.withColumn("same", F.explode(F.sequence(F.col("done") + 1, F.least("m", F.col("done") + piece))))
+    return each.select("id", "source", "size", "same", (F.col("earlier") + F.col("same")).alias("copy"))
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...], max_passes: int) -> DataFrame:
@@ -82,12 +92,17 @@ def mix(
     chunk_rows: int = 500,
     seed: int = 7,
 ) -> DataFrame:
-    """Per document: id, copy, source, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    """Per document: id, copy, same, source, size, source_size, target, taken (words the mix takes, repeats counted).
+
+    ``copy`` numbers the rows of an id, ``same`` those of an id that have one
+    source and size. Chunks grow with the square root of the rows, so that
+    neither their number nor their size makes one task large.
+    """
     spark = docs.sparkSession
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("copy").cast("string")))
     rows = cut(numbered(docs, id_col, word_count(text_col), source_col).withColumn("key", key).withColumn("s", F.struct("source")))
     n = rows.count()
-    chunks = max(1, n // chunk_rows)
+    chunks = max(1, n // max(chunk_rows, math.isqrt(n)))
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("chunk", F.floor(place * chunks / (1 << 32)).cast("long"))
 
@@ -104,7 +119,7 @@ def mix(
     inside = Window.partitionBy("s", "chunk").orderBy("key", "id", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(chunk_table, ["s", "chunk"])
     at = F.col("at") + F.col("chunk_at")
-    placed = placed.select("id", "copy", "s", "size", "source_size", "target", at.alias("at"))
+    placed = placed.select("id", "copy", "same", "s", "size", "source_size", "target", at.alias("at"))
 
     # Documents cut at the block borders; one of size 0 has a single empty piece.
     last = F.floor((F.col("at") + F.greatest(F.col("size"), F.lit(1)) - 1) / block_words)
@@ -115,12 +130,13 @@ def mix(
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words, F.col("until"))
     words = F.coalesce(F.greatest(end - begin, F.lit(0)), F.lit(0))
     words = F.when(F.col("until").isNull(), 0).otherwise(words)
-    return both.groupBy("id", "copy", "s", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken")).select(F.col("id").alias(id_col), "copy", F.col("s.source").alias("source"), "size", "source_size", "target", "taken")
+    return both.groupBy("id", "copy", "same", "s", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken")).select(F.col("id").alias(id_col), "copy", "same", F.col("s.source").alias("source"), "size", "source_size", "target", "taken")
 
 
 def schedule(spark, sources: DataFrame, block_words: int, bins: int = 1024, chunk: int = 4096) -> DataFrame:
     """Filled slots: s, block, slot, and ``until``, the word of the source's stream that the slot stops at."""
     total = sources.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count("*")).first()
+    chunk = max(chunk, math.isqrt(total[0]))
     below = Window.orderBy(F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
     share = F.lit(float(max(total[0], 1)))
     lo = F.coalesce(F.sum("need").over(below), F.lit(0))

@@ -115,7 +115,7 @@ def compile_rules(rules: tuple[Rule, ...], named: dict[str, Column]) -> Column:
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """``docs`` with the base counts, ``base_failed`` and ``kept``."""
+    """``docs`` with the base counts, ``base_failed`` and ``kept``; an input column of such a name is replaced."""
     counted = docs.withColumns(measures(F.col(text_col)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & compile_rules(rules, ratios()))

@@ -134,7 +134,9 @@ def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     # Grouped by one column more than joined by, so that the join deals both sides anew and can split a hot digest.
     long_ = given.where(F.col("size") >= least_bytes).select("id", "digest", "size")
     firsts = long_.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    marked = given.join(firsts, F.when(F.col("size") >= least_bytes, F.col("digest")) == F.col("d"), "left")
+    # Small pages match no digest; their keys differ, so that they spread over tasks.
+    key = F.when(F.col("size") >= least_bytes, F.col("digest")).otherwise(F.concat_ws(" ", F.lit("small"), F.col("id").cast("string"), "url"))
+    marked = given.join(firsts, key == F.col("d"), "left")
     response = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     # Revisits carry no payload, so their text stays behind.
     rows = marked.select("id", "url", F.when(response.isNull(), F.col("html")).alias("html"), "digest", "size", response.alias("response"))
