@@ -17,7 +17,11 @@ from evalmill.llm.queries import tokenizer
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the compressors tell; the rejected ones go."""
+    """Documents whose language the compressors tell; the rejected ones go.
+
+    Null, empty and letterless texts are rejected; repeated rows and null ids are
+    judged row by row; an empty table stays empty.
+    """
     return langid.accepted(docs, langid.fit(docs, F.lit(True)))
 
 
@@ -29,23 +33,35 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dropped = minhash.near_duplicates(docs, minhash.NearDup()).where("not kept").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti")
     alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("__alone", alone).dropDuplicates(["doc_id", "__alone"]).select(*docs.columns)
+    # Of a repeated id the least row, whatever order the rows come in.
+    least = kept.groupBy("doc_id", alone.alias("__alone")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return least.select("__row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data replaced by its kind."""
+    """Every span of personal data replaced by its kind.
+
+    Null and empty texts stay; rows are judged one by one, repeated or without an
+    id alike; an empty table stays empty.
+    """
     return pii.redacted(docs).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, rounded to whole documents."""
+    """Documents as often as the mix takes them, rounded to whole documents.
+
+    Documents without words (null and empty texts too) are not taken; rows of one
+    id are told apart by source, size and text, equal ones count one by one; a
+    null id or source is a value like others; an empty table stays empty.
+    """
     size = F.col("size")
     rest = F.col("taken") % size
     times = F.when(size > 0, F.floor(F.col("taken") / size) + (2 * rest >= size).cast("long")).otherwise(0)
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), times.cast("int").alias("__times")).where("__times > 0")
-    order = Window.partitionBy("doc_id").orderBy("source", mixing.word_count("text"))
-    rows = docs.withColumn("__number", F.row_number().over(order))
-    same = rows["doc_id"].eqNullSafe(taken["__id"]) & (rows["__number"] == taken["__copy"])
+    taken = mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), F.col("same").alias("__same"), times.cast("int").alias("__times")).where("__times > 0")
+    keyed = docs.withColumn("__size", mixing.word_count("text"))
+    order = Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"), "text")
+    rows = keyed.withColumn("__number", F.row_number().over(order))
+    same = rows["doc_id"].eqNullSafe(taken["__id"]) & rows["source"].eqNullSafe(taken["__source"]) & (rows["__size"] == taken["__words"]) & (rows["__number"] == taken["__same"])
     return rows.join(taken, same).withColumn("__again", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
 
 
