@@ -84,7 +84,8 @@ def fit(
     for r in rows:
         content = "".join(p for _, p in sorted(pieces.get(r["lang"], []))).encode()[:dictionary_bytes]
         # zstandard takes no content under eight bytes
-        made.append((r["lang"], content * -(-8 // len(content))))
+        if content:
+            made.append((r["lang"], content * -(-8 // len(content))))
     return LanguageModel(tuple(made), **settings)
 
 

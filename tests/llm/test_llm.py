@@ -262,6 +262,96 @@ def test_pii_base_equals_regex(text):
     assert [s for s in pii.base_spans(text) if s[0] in ("email", "ip")] == want
 
 
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d if d < 10 else d - 9 for d in doubled) % 10 == 0
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "4111111111111112", "12", "+1", "+49 (30) 12", "3456-78", " ", "-", "(", ")", ".", "a", "+", "é"]), max_size=8).map("".join))
+def test_pii_card_and_phone_equal_regex(text):
+    want = []
+    for m in CARD.finditer(text):
+        digits = re.sub("[ -]", "", m[0])
+        if 16 <= len(digits) <= 19 and luhn(digits):
+            want.append(("card", *m.span()))
+    want += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    assert [s for s in pii.base_spans(text) if s[0] in ("card", "phone")] == want
+
+
+def planted_spans(rng):
+    """A text of one personal span or look-alike: text, kind, start, end, whether it is personal."""
+
+    def digits(n):
+        return "".join(map(str, rng.integers(0, 10, n)))
+
+    def pick(*some):
+        return some[rng.integers(len(some))]
+
+    def token(n):
+        return "".join("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGH"[i] for i in rng.integers(0, 44, n))
+
+    def iban(good):
+        body = digits(18)
+        check = 98 - int(body + "131400") % 97
+        return f"DE{check if good else (check + 1 + rng.integers(90)) % 98:02}{body}"
+
+    def ssn(good):
+        return f"{rng.integers(100, 600)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}" if good else f"{pick('000', '666', '9' + digits(2))}-{digits(2)}-0000"
+
+    kinds = {
+        "iban": lambda good: (pick("iban ", "account: ", "konto "), iban(True)) if good else (pick("serial ", "order ", "part no "), iban(False)),
+        "ssn": lambda good: (pick("ssn ", "social security ", "his ssn: "), ssn(True)) if good else (pick("order ", "article ", "invoice "), ssn(False)),
+        "secret": lambda good: (pick('token = "', 'api_key: "', "password='", 'auth_token = "'), token(pick(20, 32, 40))) if good else (pick('title = "', 'color: "', 'token = "', 'class = "'), pick("your_token_here", "background", "placeholder", "container")),
+        "local_phone": lambda good: (pick("call ", "phone: ", "tel "), f"({rng.integers(201, 989)}) {rng.integers(201, 999)}-{digits(4)}") if good else (pick("order ", "tracking ", "part no "), f"{pick('0', '1')}{digits(2)} {pick('0', '1')}{digits(2)} {digits(4)}"),
+        "obfuscated_email": lambda good: (pick("mail ", "contact ", "write to "), f"{pick('jo', 'ann', 'kim')}{digits(2)} [at] {pick('acme', 'site')} [dot] {pick('com', 'org', 'de')}") if good else (pick("section ", "version "), f"{pick('run', 'go')}{digits(2)} (at) {pick('noon', 'once')} (dot) {pick('local', 'test')}"),
+        "person": lambda good: (pick("signed by ", "name: ", "dear "), f"{pick('Dr. ', 'Mrs ', 'Herr ')}{pick(*pii.GIVEN)} {pick('Tarnow', 'Quillby', 'Obrecht')}") if good else (pick("the university ", "new street ", "section "), f"{pick('Martin', 'Paul', 'Charles')} {pick('Street', 'College', 'Bridge', 'Parkway')}"),
+    }
+    kind = pick(*kinds)
+    good = bool(rng.random() < 0.5)
+    before, value = kinds[kind](good)
+    before = f"lorem ipsum dolor {before}"
+    after = before[-1] + " sit" if kind == "secret" else pick(" sit", ". ", "\n")
+    return before + value + after, kind, len(before), len(before) + len(value), good
+
+
+def test_pii_held_out_precision_and_recall(spark):
+    rng = np.random.default_rng(8)
+    planted = []
+    for _ in range(3000):
+        planted.append(planted_spans(rng))
+    half = spark.createDataFrame([(i, p[0]) for i, p in enumerate(planted[:1500])], "doc_id long, text string")
+    model = pii.fit(pii.candidates(half))
+    counts = {k: [0, 0, 0] for k in pii.MORE}  # right, personal, found
+    for text, kind, start, end, good in planted[1500:]:
+        found = [s for s in pii.more_spans(text) if s[0] == kind and model.accepts(s[0], pii.votes(*s, text), pii.look(*s, text), 0.5)]
+        counts[kind][0] += good and (kind, start, end) in found
+        counts[kind][1] += good
+        counts[kind][2] += len(found)
+    for kind, (right, personal, found) in counts.items():
+        print(kind, "recall", right / personal, "precision", right / max(1, found))
+        assert right >= 0.9 * personal and right >= 0.85 * found, (kind, right, personal, found)
+    # Labelers that vote both ways have learned reliabilities of their own.
+    for kind, right in model.accuracy:
+        print(kind, right)
+        assert len({round(r[0], 2) for r in right} | {round(r[1], 2) for r in right}) >= 4
+
+
+def test_pii_em_finds_the_reliable_labelers():
+    rng = np.random.default_rng(9)
+    truth, counts = rng.random(20_000) < 0.3, {}
+    sure = np.array([[0.95, 0.9], [0.7, 0.75], [0.85, 0.6], [0.6, 0.95]])
+    for t in truth:
+        vote = tuple(int((rng.random() < s[0 if t else 1]) == t) for s in sure) + (-1, -1)
+        counts[vote] = counts.get(vote, 0) + 1
+    right, post = pii.em(list(counts.items()))
+    assert np.abs(np.array(right[:4]) - sure).max() < 0.05 and all(0 <= p <= 1 for p in post)
+
+
 def test_pii_spans_and_redaction(spark, odd, none):
     text = 'call +1 (212) 555-0100, mail é a.b@x.example.com card 4111 1111 1111 1111 ip 10.0.0.1 token = "24be64439e3e49cf46b2d7c90f3602a3" end'
     df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
