@@ -70,12 +70,41 @@ def stable_id(prefix: str, text: Column) -> Column:
     return F.concat(F.lit(prefix), F.pmod(F.xxhash64(text), F.lit(10_000_000_000)).cast("string"))
 
 
+def words(text: Column) -> Column:
+    """Runs of letters a-z and digits of the lower-cased text; empty for null."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def word_ngrams(text: Column, low: int, high: int) -> Column:
+    """All word n-grams of a text for low <= n <= high, in order of n."""
+    one = words(text)
+    grams, last = [], one
+    for n in range(1, high + 1):
+        if n > 1:
+            # Each gram grows by the word n - 1 places on, side by side, so that no gram is cut from the whole list.
+            last = F.filter(F.zip_with(last, F.slice(one, n, F.greatest(F.size(one), F.lit(1))), lambda g, w: F.concat(g, F.lit(" "), w)), lambda g: g.isNotNull())
+        if n >= low:
+            grams.append(last)
+    return F.concat(*grams)
+
+
+def hashed_counts(items: Column, buckets: int) -> Column:
+    """(bucket, n) of the items by hash bucket, in order of the bucket: sorted once, then the ends of equal runs."""
+    hashed = F.array_sort(F.transform(items, lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int")))
+    before = F.concat(F.array(F.lit(-1)), hashed)
+    pairs = F.zip_with(before, F.concat(hashed, F.array(F.lit(buckets))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    ends = F.filter(F.transform(pairs, lambda z, i: F.struct(z["p"].alias("bucket"), z["q"].alias("next"), i.alias("at"))), lambda z: z["bucket"] != z["next"])
+    later = F.slice(ends, 2, F.greatest(F.size(ends), F.lit(1)))
+    counts = F.zip_with(ends, later, lambda e, f: F.struct(f["bucket"].alias("bucket"), (f["at"] - e["at"]).alias("n")))
+    return F.filter(counts, lambda c: c["bucket"].isNotNull())
+
+
 def hashed_vector(items: Column, buckets: int) -> Column:
     """Counts of the items by hash bucket as a map bucket -> weight of length 1 (empty for no items)."""
-    hashed = F.transform(items, lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
-    counts = F.transform(F.array_distinct(hashed), lambda b: F.struct(b.alias("bucket"), F.size(F.filter(hashed, lambda h: h == b)).cast("double").alias("n")))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c["n"] * c["n"]))
-    return F.map_from_entries(F.transform(counts, lambda c: F.struct(c["bucket"], c["n"] / norm)))
+    counts = hashed_counts(items, buckets)
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c["n"].cast("double") * c["n"]))
+    # The norm is bound once, so that it isn't summed anew for every bucket.
+    return F.get(F.transform(F.array(norm), lambda z: F.map_from_entries(F.transform(counts, lambda c: F.struct(c["bucket"].alias("bucket"), (c["n"] / z).alias("w"))))), F.lit(0))
 
 
 def threshold_slug(value: Column) -> Column:

@@ -66,8 +66,8 @@ def label_by_quantile(df: DataFrame, group: str, value: str, order: list[str], l
     classes = labelled.groupBy(group).agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")).where("n_pos > 0 and n_neg > 0")
     rows = labelled.join(classes.select(group), group, "left_semi").drop("n_rows", "q_low", "q_high")
     if cap is not None:
-        place = Window.partitionBy(group, "label").orderBy(hash_order(seed, *order), *order)
-        rows = rows.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= cap).drop("__r")
+        placed = ranked(rows.withColumn("__u", hash_unit(seed, *order)), [group, "label"], "__u", *order, name="__r", order=F.asc(hash_order(seed, *order)))
+        rows = placed.where(F.col("__r") <= cap).drop("__r", "__u")
     return rows, policy.join(classes, group)
 
 
@@ -127,8 +127,13 @@ def evenly_spaced(df: DataFrame, group: str, value: str, order: list[str], most:
     placed = ranked(in_unit(df, [group], value, rising=True), [group], "__unit", *order, name="__r", order=F.asc_nulls_last(value))
     sized = joined(placed, df.groupBy(group).agg(F.count("*").alias("__n")), [group]).withColumn("__r", F.col("__r") - 1)
     m = F.least(F.col("__n"), F.lit(most))
-    wanted = F.when(m == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.bround(i * (F.col("__n") - 1) / (m - 1)).cast("long")))
-    return sized.where(F.array_contains(wanted, F.col("__r").cast("long"))).drop("__n", "__r", "__unit")
+    # Position i of m lies at i * step, rounded; only the whole numbers around r / step can fall on r.
+    step = (F.col("__n") - 1) / (m - 1)
+    near = F.floor(F.col("__r") / step)
+    hit = F.lit(False)
+    for d in (-1, 0, 1):
+        hit = hit | ((near + d).between(F.lit(0), m - 1) & (F.bround((near + d) * step) == F.col("__r")))
+    return sized.where(F.when(m == 1, F.col("__r") == 0).otherwise(hit)).drop("__n", "__r", "__unit")
 
 
 def balanced_cohort(df: DataFrame, group: str, year: str, kind: str, value: str, row_id: str, most_groups: int, most_rows: int, edges: tuple[int, ...] = (2014, 2019), seed: int = 0) -> tuple[DataFrame, DataFrame]:

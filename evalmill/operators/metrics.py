@@ -195,8 +195,9 @@ def bootstrap_difference(df: DataFrame, keys: list[str], id_col: str, y: str, p:
 def concordance(df: DataFrame, keys: list[str], id_col: str, y: str = "y", p: str = "p", block: int = 2048) -> DataFrame:
     """Concordance index per group over all pairs with y_i > y_j; a tied prediction counts one half; null without such pairs.
 
-    Quadratic by definition: rows are dealt to blocks, and each pair of blocks
-    is compared in one task of bounded size, so that no pair of rows leaves it.
+    Work grows with the square of a group: rows are dealt to blocks, and each pair
+    of blocks is compared in one task of bounded size, so that no pair of rows
+    leaves it. ``approximate_concordance`` draws pairs instead.
     """
     import numpy as np
     import pandas as pd

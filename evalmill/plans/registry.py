@@ -159,7 +159,7 @@ def sample_by_quota(spark, sf_dir):
 
 @query(f"""WITH {ACT}, p AS (SELECT row_id, context_id, row_number() OVER (PARTITION BY context_id ORDER BY value, row_id) - 1 AS r, count(*) OVER (PARTITION BY context_id) AS n FROM act),
   w AS (SELECT DISTINCT context_id, CASE WHEN least(n, 5) = 1 THEN 0 ELSE round_even(i * (n - 1) / (least(n, 5) - 1)::DOUBLE, 0) END::BIGINT AS r
-    FROM (SELECT DISTINCT context_id, n, unnest(range(least(n, 5))) AS i FROM p))
+    FROM (SELECT context_id, n, unnest(range(least(n, 5))) AS i FROM (SELECT DISTINCT context_id, n FROM p)))
   SELECT row_id, context_id FROM p JOIN w USING (context_id, r)""")
 def evenly_spaced(spark, sf_dir):
     rows = activities(spark, sf_dir).select("row_id", "context_id", "value")
@@ -526,7 +526,7 @@ def regression_frame(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import reports  # noqa: F401  registers its queries
+    from . import files, reports  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
