@@ -192,43 +192,83 @@ def bootstrap_difference(df: DataFrame, keys: list[str], id_col: str, y: str, p:
     return found.select(*keys, "metric", "n", "value_p", "value_q", "difference", F.col("i")[0].alias("low"), F.col("i")[1].alias("high"), "share_not_above_0", "share_not_below_0", "replicates")
 
 
-def concordance(df: DataFrame, keys: list[str], id_col: str, y: str = "y", p: str = "p", block: int = 2048) -> DataFrame:
+def _both_less(y, p, w) -> float:
+    """Weight of pairs with a smaller y and a smaller p on one side; equal p count one half. Sorts once per bit of the rank of y."""
+    import numpy as np
+
+    by_p = np.argsort(p, kind="stable")
+    place, w = np.unique(y, return_inverse=True)[1][by_p], w[by_p].astype(float)
+    p, total = np.unique(p[by_p], return_inverse=True)[1], 0.0
+    for bit in range(int(place.max()).bit_length() if len(place) else 0):
+        # Places that first differ in this bit: the lower half of a group against its upper half.
+        group = np.argsort(place >> (bit + 1), kind="stable")
+        g, v, upper = (place >> (bit + 1))[group], p[group], (place[group] >> bit & 1).astype(bool)
+        upto = np.concatenate([[0.0], np.cumsum(np.where(upper, 0.0, w[group]))])
+        fresh = np.concatenate([[True], g[1:] != g[:-1]])
+        run = fresh | np.concatenate([[True], v[1:] != v[:-1]])
+        starts = np.flatnonzero(run)
+        at = np.cumsum(run) - 1
+        base = upto[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        less, with_ties = upto[starts][at] - base, upto[np.append(starts[1:], len(v))][at] - base
+        total += float(np.sum((w[group] * (less + with_ties) / 2)[upper]))
+    return total
+
+
+def _in_ranges(df: DataFrame, keys: list[str], value: str, name: str, ranges: int, least: int) -> DataFrame:
+    """keys, value, its weight and its range by falling order: ranges of about equal weight; a value as heavy as a range has one (odd) for itself."""
+    counts = df.groupBy(*keys, value).agg(F.sum("__w").alias("__c"))
+    found = above(in_unit(counts, keys, value), keys, "__unit", {"__upto": F.col("__c")}, F.desc(value))
+    sizes = counts.groupBy(*keys).agg(F.greatest(F.lit(least), F.ceil(F.sum("__c") / ranges)).alias("__size"))
+    heavy = (F.col("__c") >= F.col("__size")).cast("long")
+    return joined(found, sizes, keys).select(*keys, value, "__c", (2 * F.floor((F.col("__upto") - F.col("__c")) / F.col("__size")) + heavy).alias(name))
+
+
+def concordance(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", ranges: int = 512, least: int = 4096) -> DataFrame:
     """Concordance index per group over all pairs with y_i > y_j; a tied prediction counts one half; null without such pairs.
 
-    Work grows with the square of a group: rows are dealt to blocks, and each pair
-    of blocks is compared in one task of bounded size, so that no pair of rows
-    leaves it. ``approximate_concordance`` draws pairs instead.
+    Rows with a null or NaN on a side take no part. Work is n log n: rows are
+    counted by (y, p) and both sides cut into ranges by rank. Pairs in one range
+    of y, and those in one range of p but not of y, are counted inside the range
+    by sorting; all others follow from the weights of the cells of the two
+    ranges. A task sees a range (1/``ranges`` of a group, or ``least`` rows) or a
+    group's cells, at most (2 * ``ranges``) squared.
     """
     import numpy as np
     import pandas as pd
 
-    seen = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*keys, id_col, F.col(y).cast("double").alias("__y"), F.col(p).cast("double").alias("__p"))
-    sizes = seen.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("__blocks"))
-    dealt = seen.join(sizes, keys).withColumn("__own", F.pmod(F.xxhash64(id_col), F.col("__blocks")))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1), lambda j: F.struct(F.least(F.col("__own"), j).alias("i"), F.greatest(F.col("__own"), j).alias("j")))
-    placed = dealt.withColumn("__at", F.explode(others)).groupBy(*keys, "__at").agg(F.collect_list(F.struct("__own", "__y", "__p")).alias("rows"))
-
-    def count(batches):
-        for pdf in batches:
-            found = []
-            for at, rows in zip(pdf["__at"], pdf["rows"], strict=True):
-                own, yy, pp = (np.array([r[c] for r in rows], float) for c in ("__own", "__y", "__p"))
-                a = own == at["i"]
-                b = own == at["j"]
-                up = yy[a][:, None] - yy[b][None]
-                d = pp[a][:, None] - pp[b][None]
-                if at["i"] == at["j"]:  # each pair is seen from both sides
-                    used, good, tied = up > 0, (up > 0) & (d > 0), (up > 0) & (d == 0)
-                else:
-                    used, good, tied = up != 0, up * d > 0, (up != 0) & (d == 0)
-                found.append((float(used.sum()), float(good.sum()) + 0.5 * float(tied.sum())))
-            out = pdf[keys].copy()
-            out["pairs"], out["good"] = [f[0] for f in found], [f[1] for f in found]
-            yield pd.DataFrame(out)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seen.schema.fields if f.name in keys)
-    parts = placed.mapInPandas(count, f"{kinds}, pairs double, good double")
-    return parts.groupBy(*keys).agg(F.when(F.sum("pairs") > 0, F.sum("good") / F.sum("pairs")).alias("ci"))
+    fy, fp = F.col(y).cast("double"), F.col(p).cast("double")
+    seen = df.where(fy.isNotNull() & fp.isNotNull() & ~F.isnan(fy) & ~F.isnan(fp)).groupBy(*keys, fy.alias("__y"), fp.alias("__p")).agg(F.count("*").alias("__w"))
+    sides = {side: _in_ranges(seen, keys, f"__{side}", f"__r{side}", ranges, least) for side in "yp"}
+    placed = seen
+    for side, table in sides.items():
+        placed = joined(placed, table.drop("__c"), [*keys, f"__{side}"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in seen.schema.fields if f.name in keys] + ["good double"])
+
+    def told(pdf: pd.DataFrame, good: float) -> pd.DataFrame:
+        return pdf.iloc[:1][keys].assign(good=float(good))
+
+    def in_y(pdf: pd.DataFrame) -> pd.DataFrame:
+        return told(pdf, _both_less(pdf["__y"].to_numpy(), pdf["__p"].to_numpy(), pdf["__w"].to_numpy()))
+
+    def in_p(pdf: pd.DataFrame) -> pd.DataFrame:
+        return told(pdf, _both_less(-pdf["__ry"].to_numpy(), pdf["__p"].to_numpy(), pdf["__w"].to_numpy()))
+
+    def of_cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        (rows, i), (columns, j) = (np.unique(pdf[c], return_inverse=True) for c in ("__ry", "__rp"))
+        grid = np.zeros((len(rows), len(columns)))
+        np.add.at(grid, (i, j), pdf["__w"].to_numpy())
+        higher = np.cumsum(grid, 0) - grid
+        tied = np.where(columns % 2 == 1, grid * higher, 0.0) / 2
+        return told(pdf, np.sum(grid * (np.cumsum(higher, 1) - higher)) + np.sum(tied))
+
+    cells = placed.groupBy(*keys, "__ry", "__rp").agg(F.sum("__w").alias("__w"))
+    good = placed.where("__ry % 2 = 0").groupBy(*keys, "__ry").applyInPandas(in_y, schema)
+    good = good.unionByName(placed.where("__rp % 2 = 0").groupBy(*keys, "__rp").applyInPandas(in_p, schema))
+    good = good.unionByName(cells.groupBy(*keys).applyInPandas(of_cells, schema)).groupBy(*keys).agg(F.sum("good").alias("__good"))
+    n, c = F.sum("__c").cast("double"), F.col("__c").cast("double")
+    pairs = sides["y"].groupBy(*keys).agg(((n * n - F.sum(c * c)) / 2).alias("__pairs"))
+    return joined(pairs, good, keys).select(*keys, F.when(F.col("__pairs") > 0, F.col("__good") / F.col("__pairs")).alias("ci"))
 
 
 def approximate_concordance(df: DataFrame, id_col: str, y: str, p: str, pairs: int = 200_000, seed: int = 0) -> DataFrame:

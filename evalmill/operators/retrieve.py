@@ -23,12 +23,12 @@ def _best(s: np.ndarray, rid: np.ndarray, k: int) -> np.ndarray:
     return best[np.lexsort((rid[best], -s[best]))][:k]
 
 
-def _in_blocks(queries: DataFrame, reference: DataFrame, id_col: str, vec_col: str, further: dict[str, Column], meet, schema: str, query_block: int, reference_block: int) -> DataFrame:
+def _in_blocks(queries: DataFrame, reference: DataFrame, id_col: str, vec_col: str, further: dict[str, Column], meet, schema: str, query_block: int, reference_block: int, kind: str = "array<double>") -> DataFrame:
     """Blocks of queries meet blocks of references as (id, v, further columns); block counts follow row counts."""
     def counted(df: DataFrame, block: int) -> int:
         return max(1, -(-df.count() // block))
 
-    rows = [d.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), *[c.alias(n) for n, c in further.items()]) for d in (queries, reference)]
+    rows = [d.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast(kind).alias("v"), *[c.alias(n) for n, c in further.items()]) for d in (queries, reference)]
     nq, nr = counted(rows[0], query_block), counted(rows[1], reference_block)
 
     def every(n: int) -> Column:
@@ -61,14 +61,33 @@ def top_k(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "sim")
 
 
-def set_top_k(queries: DataFrame, reference: DataFrame, id_col: str, set_col: str, k: int = 8) -> DataFrame:
-    """The k most similar other rows by Tanimoto similarity of two sets, over rows that share a member (inverted index)."""
-    def listed(d: DataFrame, name: str) -> DataFrame:
-        return d.select(F.col(id_col).alias(name), F.array_distinct(set_col).alias("s")).select(name, F.size("s").alias(f"n_{name}"), F.explode("s").alias("bit"))
+def set_top_k(queries: DataFrame, reference: DataFrame, id_col: str, set_col: str, k: int = 8, query_block: int = 1024, reference_block: int = 8192) -> DataFrame:
+    """The k most similar other rows by Tanimoto similarity of two sets, over rows that share a member.
 
-    shared = listed(queries, "query_id").join(listed(reference, "ref_id"), "bit").where("query_id <> ref_id")
-    counted = shared.groupBy("query_id", "ref_id", "n_query_id", "n_ref_id").agg(F.count("*").alias("both"))
-    return top_k(counted.withColumn("sim", F.col("both") / (F.col("n_query_id") + F.col("n_ref_id") - F.col("both"))), k)
+    Blocks of queries meet blocks of references; shared members are counted
+    inside, over lists of the rows that hold each, so that only a query's k best
+    of a block leave it. Null members do not count; ties go to the smaller id.
+    """
+    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            rid, sizes = r["id"].to_numpy(), r["v"].map(len).to_numpy()
+            codes, members = pd.factorize(np.concatenate([*r["v"], []]))
+            held = np.argsort(codes, kind="stable")
+            ends = np.searchsorted(codes[held], np.arange(len(members) + 1))
+            holders = np.repeat(np.arange(len(r)), sizes)[held]
+            names = pd.Index(members)
+            for one, v in zip(q["id"], q["v"], strict=True):
+                known = names.get_indexer(v) if len(v) else []
+                lists = [holders[ends[m] : ends[m + 1]] for m in known if m >= 0]
+                both = np.bincount(np.concatenate(lists), minlength=len(r)) if lists else np.zeros(len(r), int)
+                s = np.full(len(r), -np.inf)
+                np.divide(both, len(v) + sizes - both, out=s, where=(both > 0) & (rid != one))
+                out += [(one, rid[j], s[j]) for j in _best(s, rid, k)]
+        return pd.DataFrame(out, columns=["query_id", "ref_id", "sim"])
+
+    q, r = (d.withColumn(set_col, F.array_distinct(F.array_compact(F.col(set_col).cast("array<string>")))) for d in (queries, reference))
+    return top_k(_in_blocks(q, r, id_col, set_col, {}, meet, "query_id long, ref_id long, sim double", query_block, reference_block, "array<string>"), k)
 
 
 def label_summary(queries: DataFrame, near: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:

@@ -433,7 +433,7 @@ def text_functions(spark, sf_dir):
   FROM long JOIN (SELECT lang, model, y AS y2, p AS p2 FROM long) b USING (lang, model) WHERE y > y2 GROUP BY ALL)
   SELECT lang, model, round(ci, 6) AS ci FROM (SELECT DISTINCT lang, model FROM long WHERE y IS NOT NULL AND p IS NOT NULL) g LEFT JOIN c USING (lang, model)""")
 def concordance_index(spark, sf_dir):
-    return rounded(metrics.concordance(long_predictions(spark, sf_dir), ["lang", "model"], "doc_id"))
+    return rounded(metrics.concordance(long_predictions(spark, sf_dir), ["lang", "model"]))
 
 
 @query()

@@ -201,7 +201,7 @@ def test_concordance_over_blocks(spark):
     rows = [(r.y, r.p) for r in df.collect()]
     pairs = [(a, b) for a in rows for b in rows if a[0] > b[0]]
     want = sum(1.0 if a[1] > b[1] else 0.5 if a[1] == b[1] else 0.0 for a, b in pairs) / len(pairs)
-    assert metrics.concordance(df, ["k"], "id", block=8).first()["ci"] == pytest.approx(want)
+    assert metrics.concordance(df, ["k"], ranges=6, least=4).first()["ci"] == pytest.approx(want)
 
 
 def test_encoder_runs_once_per_text(spark):
@@ -234,3 +234,46 @@ def test_scaling_and_pairs(spark):
     df = spark.createDataFrame([(1, 0.0, "train"), (1, 10.0, "train"), (2, 15.0, "test")], "k int, v double, s string")
     assert sorted(r[0] for r in curate.scaled(df, ["v"], F.col("s") == "train").select("v").collect()) == [-1.0, 1.0, 2.0]
     assert sorted(values(curate.pair_values(df, "k", "s", "v", "v"), "k", "v")) == [(1, 10.0), (2, 15.0)]
+
+
+def test_concordance_equals_all_pairs(spark):
+    import random
+
+    draw = random.Random(5)
+    for kinds_y, kinds_p in ((2, 400), (400, 2), (40, 40), (400, 400), (1, 9)):
+        rows = [(draw.choice(["a", "b", None]), float(draw.randrange(kinds_y)), draw.randrange(kinds_p) / 7) for _ in range(300)] + [("a", None, 1.0), ("a", 1.0, None), ("c", 1.0, 0.5)]
+        rows += [("a", 0.0, 0.5)] * 60  # one value heavier than a range
+        found = dict(values(metrics.concordance(spark.createDataFrame(rows, "k string, y double, p double"), ["k"], ranges=9, least=3), "k", "ci"))
+        assert set(found) == {"a", "b", None, "c"}
+        for k, ci in found.items():
+            seen = [(y, p) for g, y, p in rows if g == k and y is not None and p is not None]
+            met = [1.0 if a[1] > b[1] else 0.5 if a[1] == b[1] else 0.0 for a in seen for b in seen if a[0] > b[0]]
+            assert ci == (pytest.approx(sum(met) / len(met)) if met else None)
+
+
+def test_quantiles_equal_sorted_rows(spark):
+    import numpy as np
+
+    from evalmill.operators.common import quantiles
+
+    draw = np.random.default_rng(3)
+    rows = [(str(k), float(v)) for k, n in (("a", 1), ("b", 2), ("c", 999), ("d", 40)) for v in draw.integers(0, 50, n)] + [("d", None), ("e", None), (None, 2.0)]
+    found = {r[0]: r[1:] for r in values(quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"lo": 0.3, "mid": 0.5, "top": 1.0}), "k", "lo", "mid", "top")}
+    assert set(found) == {"a", "b", "c", "d", None}
+    for k, got in found.items():
+        assert got == pytest.approx(tuple(np.quantile([v for g, v in rows if g == k and v is not None], [0.3, 0.5, 1.0])))
+
+
+def test_set_search_equals_all_pairs(spark):
+    import random
+
+    draw = random.Random(7)
+    rows = [(i, [draw.randrange(30) for _ in range(draw.randrange(9))]) for i in range(80)] + [(80, None), (81, []), (82, [None, 3])]
+    df = spark.createDataFrame(rows, "id long, s array<int>")
+    got = sorted(values(retrieve.set_top_k(df, df, "id", "s", 4, query_block=20, reference_block=30), "query_id", "rank", "ref_id", "sim"))
+    sets = {i: {m for m in s or [] if m is not None} for i, s in rows}
+    want = []
+    for a, one in sets.items():
+        near = sorted((-len(one & two) / len(one | two), b) for b, two in sets.items() if a != b and one & two)[:4]
+        want += [(a, r + 1, b, pytest.approx(-d)) for r, (d, b) in enumerate(near)]
+    assert got == want
