@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics, report
-from .common import joined
+from .common import joined, quantiles
 
 
 def conflict_report(df: DataFrame, keys: list[str], id_col: str, y: str, current: str, retrieved: str, fused: list[str], bins: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +27,8 @@ def conflict_report(df: DataFrame, keys: list[str], id_col: str, y: str, current
     long = base.unpivot([*keys, id_col, y, "conflict", "conflict_bin", "__current"], models, "model", "p").where("p is not null")
     by = [*keys, "conflict_bin", "model"]
     err = (F.col("__current") - F.col(y)) * (F.col("__current") - F.col(y))
-    sums = long.groupBy(*by).agg(F.avg("conflict").alias("mean_conflict"), F.median("conflict").alias("median_conflict"), F.avg("__current").alias("mean_current"), F.avg("p").alias("mean_p"), F.avg(err).alias("current_brier"))
+    sums = long.groupBy(*by).agg(F.avg("conflict").alias("mean_conflict"), F.avg("__current").alias("mean_current"), F.avg("p").alias("mean_p"), F.avg(err).alias("current_brier"))
+    sums = joined(sums, quantiles(long, by, "conflict", {"median_conflict": 0.5}), by, "left")
     out = joined(sums, metrics.evaluate(long, by, id_col, y), by).withColumn("brier_gain", F.col("current_brier") - F.col("brier"))
     family = F.when(F.col("model") == current, "current").when(F.col("model") == retrieved, "retrieved").otherwise("fused")
     return out.withColumn("family", family), binned.select(*keys, id_col, y, F.col(current).alias("current_p"), F.col(retrieved).alias("retrieved_p"), "conflict", "conflict_bin")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_order, hash_unit, in_unit, joined, ranked, require_columns
+from .common import hash_order, hash_unit, in_unit, joined, quantiles, ranked, require_columns
 
 
 def clean_measurements(df: DataFrame, value: str, required: list[str], kinds: list[str] | None = None, kind: str | None = None) -> DataFrame:
@@ -34,10 +34,20 @@ def nm_to_p(value: Column) -> Column:
     return F.when(value > 0, 9 - F.log10(value)).when(value.isNotNull(), F.raise_error(F.lit("a measurement must be positive")).cast("double"))
 
 
-def collapse_replicates(df: DataFrame, keys: list[str], value: str, year: str, order: str, describe: list[str]) -> DataFrame:
-    """One row per key: median value, median year rounded half to even, first non-null of each descriptive column, row count."""
+def collapse_replicates(df: DataFrame, keys: list[str], value: str, year: str, order: str, describe: list[str], large: int = 100_000) -> DataFrame:
+    """One row per key: median value, median year rounded half to even, first non-null of each descriptive column, row count.
+
+    Keys of more than ``large`` rows take their medians from ranks in two levels,
+    as a median in one aggregate holds all values of its key; the rows are the same.
+    """
     firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(year, order))).alias(c) for c in describe]
-    return df.groupBy(*keys).agg(F.median(value).alias(value), F.bround(F.median(year)).cast("int").alias(year), F.count("*").alias("n_replicates"), *firsts)
+    held = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > large).drop("__n")
+    few, many = joined(df, held, keys, "left_anti"), joined(df, held, keys, "left_semi")
+    out = many.groupBy(*keys).agg(F.count("*").alias("n_replicates"), *firsts)
+    for column in (value, year):
+        out = joined(out, quantiles(many, keys, column, {column: 0.5}), keys, "left")
+    out = few.groupBy(*keys).agg(F.median(value).alias(value), F.median(year).alias(year), F.count("*").alias("n_replicates"), *firsts).unionByName(out)
+    return out.select(*keys, value, F.bround(year).cast("int").alias(year), "n_replicates", *describe)
 
 
 def with_support(df: DataFrame, group: str, least: int) -> DataFrame:
@@ -59,9 +69,8 @@ def label_by_quantile(df: DataFrame, group: str, value: str, order: list[str], l
     and both classes; ``cap`` bounds the rows per class by hash order. Returns
     the rows and a policy table of the groups kept.
     """
-    q = F.percentile(value, F.array(F.lit(low), F.lit(high)))
-    policy = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n_rows"), q.alias("__q"))
-    policy = policy.select(group, "n_rows", F.col("__q")[0].alias("q_low"), F.col("__q")[1].alias("q_high")).where((F.col("n_rows") >= least_rows) & (F.col("q_high") - F.col("q_low") > least_gap))
+    seen = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    policy = seen.groupBy(group).agg(F.count("*").alias("n_rows")).join(quantiles(seen, [group], value, {"q_low": low, "q_high": high}), group).where((F.col("n_rows") >= least_rows) & (F.col("q_high") - F.col("q_low") > least_gap))
     labelled = df.join(policy, group).withColumn("label", F.when(F.col(value) >= F.col("q_high"), 1).when(F.col(value) <= F.col("q_low"), 0)).where("label is not null")
     classes = labelled.groupBy(group).agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")).where("n_pos > 0 and n_neg > 0")
     rows = labelled.join(classes.select(group), group, "left_semi").drop("n_rows", "q_low", "q_high")
@@ -74,7 +83,8 @@ def label_by_quantile(df: DataFrame, group: str, value: str, order: list[str], l
 def profile(df: DataFrame, keys: list[str], value: str, label: Column, year: str, entities: list[str]) -> DataFrame:
     """Per group: rows, label rate, first and last year, distinct entities, median, mean and sample deviation of the value."""
     distinct = [F.count_distinct(c).alias(f"n_{c}") for c in entities]
-    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.avg(label).alias("label_rate"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.median(value).alias("median_value"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("std_value"), *distinct)
+    plain = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.avg(label).alias("label_rate"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("std_value"), *distinct)
+    return joined(plain, quantiles(df, keys, value, {"median_value": 0.5}), keys, "left")
 
 
 def duplicate_counts(df: DataFrame, keys: dict[str, list[str]]) -> DataFrame:

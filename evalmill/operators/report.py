@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_unit, joined, ranked
+from .common import in_unit, joined, quantiles, ranked
 
 
 def summary(df: DataFrame, keys: list[str], metrics: list[str], sample: bool = False) -> DataFrame:
@@ -64,7 +64,7 @@ def equal_bins(df: DataFrame, keys: list[str], score: str, ties: list[str], bins
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds the quartile of the value in its group; equal edges count once."""
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).alias("__e"))
+    edges = quantiles(df, keys, value, {"__1": 0.25, "__2": 0.5, "__3": 0.75}).select(*keys, F.array_distinct(F.array("__1", "__2", "__3")).alias("__e"))
     return df.join(edges, keys).withColumn("quartile", 1 + F.size(F.filter("__e", lambda e: F.col(value) > e))).drop("__e")
 
 

@@ -33,7 +33,8 @@ def test_required_columns(spark):
 
 def test_replicates_take_first_described(spark):
     df = spark.createDataFrame([(1, 2.0, 2010, 1, None), (1, 4.0, 2011, 2, "b"), (1, 9.0, 2012, 3, "c")], "k int, v double, y int, o int, d string")
-    assert values(curate.collapse_replicates(df, ["k"], "v", "y", "o", ["d"]), "v", "y", "d", "n_replicates") == [(4.0, 2011, "b", 3)]
+    for large in (2, 100):
+        assert values(curate.collapse_replicates(df, ["k"], "v", "y", "o", ["d"], large), "v", "y", "d", "n_replicates") == [(4.0, 2011, "b", 3)]
 
 
 @pytest.mark.parametrize("n,sizes", [(10, {"train": 7, "val": 1, "test": 2}), (3, {"train": 1, "val": 1, "test": 1}), (1, {"train": 1})])
