@@ -16,6 +16,20 @@ def clean_measurements(df: DataFrame, value: str, required: list[str], kinds: li
     return out.where(F.col(kind).isin(kinds)) if kinds and kind else out
 
 
+def keep_trusted(df: DataFrame, value: str, among: dict[str, list] | None = None, flags: list[str] | None = None, blank: list[str] | None = None, filled: list[str] | None = None) -> DataFrame:
+    """Measurements that pass all rules: a finite positive value; each column of ``among`` holds one of its values
+    (relation, unit, organism, kind); no flag is set; ``blank`` texts (comments on validity) are null or blank;
+    ``filled`` ones are neither. A null fails ``among`` and ``filled`` and passes the others."""
+    out = clean_measurements(df, value, [])
+    text = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+    rules = [F.col(c).isin(list(v)) for c, v in (among or {}).items()]
+    rules += [~F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in flags or []]
+    rules += [text(c) == "" for c in blank or []] + [text(c) != "" for c in filled or []]
+    for rule in rules:
+        out = out.where(rule)
+    return out
+
+
 def label_with_gap(df: DataFrame, value: str, active: float, inactive: float | None = None, greater_is_better: bool = False) -> DataFrame:
     """Label 1 beyond the active threshold, 0 beyond the inactive one (ten times the active by default), rows between dropped."""
     inactive = 10 * active if inactive is None else inactive

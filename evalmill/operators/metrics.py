@@ -91,14 +91,13 @@ def risk_coverage(df: DataFrame, keys: list[str], id_col: str, y: str = "y", p:
     return run.select(*keys, id_col, "rank", (F.col("rank") / F.col("__n")).alias("coverage"), ((F.col("__in") + F.col("__before")) / F.col("rank")).alias("risk"))
 
 
-def classification(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def classification(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
     """Per group: Brier score, accuracy, balanced accuracy (null if one class), MCC (0 if undefined), prevalence."""
     hat = F.col(p) >= 0.5
     pos = F.col(y) == 1
-    t = usable(df, y, p).groupBy(*keys).agg(
-        F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"), F.avg(y).alias("prevalence"),
-        F.count_if(hat & pos).cast("double").alias("tp"), F.count_if(hat & ~pos).cast("double").alias("fp"), F.count_if(~hat & pos).cast("double").alias("fn"), F.count_if(~hat & ~pos).cast("double").alias("tn"),
-    )
+    w, gap = _times(weight), F.col(p) - F.col(y)
+    cells = {"tp": hat & pos, "fp": hat & ~pos, "fn": ~hat & pos, "tn": ~hat & ~pos}
+    t = usable(df, y, p).groupBy(*keys).agg((F.sum(w * gap * gap) / F.sum(w)).alias("brier"), (F.sum(w * F.col(y)) / F.sum(w)).alias("prevalence"), *[F.sum(F.when(c, w).otherwise(0)).cast("double").alias(n) for n, c in cells.items()])
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     both = ((tp + fn) > 0) & ((tn + fp) > 0)
     norm = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
@@ -134,17 +133,30 @@ def spearman(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
 
 
 def evaluate(df: DataFrame, keys: list[str], id_col: str, y: str = "y", p: str = "p") -> DataFrame:
-    """Ranking, calibration, risk at 80 % and classification metrics per group in one table."""
-    out = ranking(df, keys, y, p)
-    for part in (ece(df, keys, y, p), risk_at(df, keys, id_col, y=y, p=p), classification(df, keys, y, p)):
+    """Ranking, calibration, risk at 80 % and classification metrics per group in one table.
+
+    All but the risk, which needs an order of rows, come from one count of rows by label and probability.
+    """
+    counts = usable(df, y, p).groupBy(*keys, y, p).agg(F.count("*").alias("__w"))
+    out = ranking(counts, keys, y, p, "__w")
+    for part in (ece(counts, keys, y, p, "__w"), risk_at(df, keys, id_col, y=y, p=p), classification(counts, keys, y, p, "__w")):
         out = joined(out, part, keys)
     return out.withColumn("ap_lift", F.col("ap") - F.col("prevalence"))
 
 
+def _relabelled(df: DataFrame, value: str, thresholds: list[float]) -> DataFrame:
+    marked = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    return marked.withColumn("y", (F.col(value) >= F.col("threshold")).cast("int"))
+
+
 def threshold_sweep(df: DataFrame, keys: list[str], value: str, p: str, thresholds: list[float]) -> DataFrame:
     """Ranking metrics after relabelling by each threshold of the value."""
-    marked = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    return ranking(marked.withColumn("y", (F.col(value) >= F.col("threshold")).cast("int")), [*keys, "threshold"], "y", p)
+    return ranking(_relabelled(df, value, thresholds), [*keys, "threshold"], "y", p)
+
+
+def threshold_metrics(df: DataFrame, keys: list[str], id_col: str, value: str, p: str, thresholds: list[float]) -> DataFrame:
+    """All metrics of ``evaluate`` after relabelling by each threshold of the value."""
+    return evaluate(_relabelled(df, value, thresholds), [*keys, "threshold"], id_col, "y", p)
 
 
 def poisson_weight(seed: int, replicate: Column, id_col: str) -> Column:

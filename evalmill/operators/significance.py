@@ -65,11 +65,14 @@ def paired_tests(df: DataFrame, keys: list[str], seed: str, model: str, metric:
     return both.mapInPandas(run, f"{kinds}, n long, mean_delta double, p_t double, p_wilcoxon double")
 
 
-def cases(df: DataFrame, keys: list[str], id_col: str, model: str, y: str, p: str, n: int) -> DataFrame:
-    """Rows worth a look, by kind: the n largest errors and the n most confident wrong decisions of each model, the n widest disagreements between models."""
+def cases(df: DataFrame, keys: list[str], id_col: str, model: str, y: str, p: str, n: int, wide: float = 1.0) -> DataFrame:
+    """Rows worth a look, by kind: the n largest errors and the n most confident wrong decisions of each model, the n widest disagreements between models.
+
+    Models disagree where they decide differently or their predictions are ``wide`` or more apart.
+    """
     error = df.withColumn("size", F.abs(F.col(p) - F.col(y)))
     wrong = error.where((F.col(p) >= 0.5).cast("int") != F.col(y)).withColumn("size", F.abs(F.col(p) - 0.5))
-    spread = df.groupBy(*keys, id_col).agg((F.max(p) - F.min(p)).alias("size"), F.count_distinct(F.col(p) >= 0.5).alias("__classes")).where("__classes > 1").drop("__classes")
+    spread = df.groupBy(*keys, id_col).agg((F.max(p) - F.min(p)).alias("size"), F.count_distinct(F.col(p) >= 0.5).alias("__classes")).where((F.col("__classes") > 1) | (F.col("size") >= wide)).drop("__classes")
 
     def top(d: DataFrame, by: list[str], kind: str) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(F.desc("size"), id_col)

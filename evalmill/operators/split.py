@@ -90,6 +90,19 @@ def split_frame(df: DataFrame, mode: str, columns: list[str], **options) -> Data
     raise ValueError(f"no such split: {mode}")
 
 
+#: Names of the official splits and the columns that must be cold in each.
+OFFICIAL = {"random": (), "cold_drug": ("left",), "cold_target": ("right",), "cold_pair": ("left", "right"), "cold_drug_target": ("left", "right"), "pair_cold": ("left", "right")}
+
+
+def split_official(df: DataFrame, name: str, left: str, right: str, rows: list[str], **options) -> DataFrame:
+    """The official split of that name (case and outer blanks do not count): random by ``rows``, or cold in one or both entities."""
+    name = name.lower().strip()
+    if name not in OFFICIAL:
+        raise ValueError(f"no such split: {name}")
+    cold = [{"left": left, "right": right}[side] for side in OFFICIAL[name]]
+    return split_frame(df, ("random", "group", "pair")[len(cold)], cold or rows, **options)
+
+
 def overlap(df: DataFrame, entities: dict[str, list[str]]) -> DataFrame:
     """Per entity and pair of parts: distinct keys of each, common ones, Jaccard similarity (0 if both are empty).
 

@@ -189,6 +189,22 @@ def split_group_cold(spark, sf_dir):
     return split.split_by_group(activities(spark, sf_dir).select("row_id", "context_id"), "context_id", seed=2).select("row_id", "split")
 
 
+@query(f"""WITH {ACT}, g AS (SELECT DISTINCT left_id FROM act), h AS (SELECT DISTINCT right_id FROM act)
+  SELECT 'random' AS name, row_id, split FROM {_split_sql('act', "md5('6|' || row_id), row_id")} UNION ALL
+  SELECT 'cold_target', row_id, split FROM act JOIN {_split_sql('h', "md5('6|' || right_id), right_id")} USING (right_id) UNION ALL
+  SELECT 'cold_drug_target', row_id, x.split FROM act JOIN {_split_sql('g', "md5('6|' || left_id), left_id")} x USING (left_id) JOIN {_split_sql('h', "md5('7|' || right_id), right_id")} y USING (right_id) WHERE x.split = y.split""")
+def official_split_names(spark, sf_dir):
+    rows = activities(spark, sf_dir).select("row_id", "left_id", "right_id")
+    random, one, both = (split.split_official(rows, n, "left_id", "right_id", ["row_id"], seed=6).select(F.lit(n.strip().lower()).alias("name"), "row_id", "split") for n in ("random", " Cold_Target", "cold_drug_target"))
+    return random.unionByName(one).unionByName(both)
+
+
+@query(f"""WITH {ACT} SELECT row_id, value FROM act WHERE value > 0 AND kind IN ('A', 'N') AND status = 'F' AND year % 3 <> 0 AND trim(CASE WHEN row_id % 5 = 0 THEN 'doubtful' ELSE '  ' END) = '' AND trim(priority) <> ''""")
+def trusted_measurements(spark, sf_dir):
+    rows = activities(spark, sf_dir).withColumn("repeated", F.col("year") % 3 == 0).withColumn("comment", F.when(F.col("row_id") % 5 == 0, "doubtful").otherwise("  "))
+    return curate.keep_trusted(rows, "value", {"kind": ["A", "N"], "status": ["F"]}, ["repeated"], ["comment"], ["priority"]).select("row_id", "value")
+
+
 @query(f"""WITH {ACT}, g AS (SELECT DISTINCT left_id FROM act), h AS (SELECT DISTINCT right_id FROM act)
   SELECT row_id, x.split FROM act JOIN {_split_sql('g', "md5('4|' || left_id), left_id")} x USING (left_id) JOIN {_split_sql('h', "md5('5|' || right_id), right_id")} y USING (right_id) WHERE x.split = y.split""")
 def split_pair_cold(spark, sf_dir):
@@ -457,6 +473,12 @@ def case_mining(spark, sf_dir):
     return rounded(significance.cases(long_predictions(spark, sf_dir), ["lang"], "doc_id", "model", "y", "p", 3))
 
 
+@query(f"""WITH {PRED}, d AS (SELECT lang, doc_id, NULL::VARCHAR AS model, 'disagreement' AS kind, max(p) - min(p) AS size FROM long GROUP BY ALL HAVING count(DISTINCT p >= 0.5) > 1 OR max(p) - min(p) >= 0.4)
+  {CASE_TOP.format('d')}""")
+def wide_disagreements(spark, sf_dir):
+    return rounded(significance.cases(long_predictions(spark, sf_dir), ["lang"], "doc_id", "model", "y", "p", 3, wide=0.4).where("kind = 'disagreement'"))
+
+
 @query(f"""WITH {COS} SELECT query_id, round(avg((q.label = r.label)::INT), 6) AS share_label, round(avg((sim >= 0.5)::INT), 6) AS share_high
   FROM k JOIN v q ON q.vec_id = query_id JOIN v r ON r.vec_id = ref_id WHERE rank <= 8 GROUP BY 1""")
 def neighbour_exposure(spark, sf_dir):

@@ -104,6 +104,21 @@ def reliability_report(spark, sf_dir):
     return rounded(audit.reliability(long_predictions(spark, sf_dir), ["lang", "model"], "doc_id")[0].select("lang", "model", "n", "ap", "ap_lift", "ece", "risk"))
 
 
+@query(f"""WITH {PRED}, g AS (SELECT doc_id, threshold, p_hash AS p, (p_size >= threshold)::INT AS y FROM pred, (VALUES (0.1::DOUBLE), (0.3), (0.6)) v(threshold)),
+  t AS (SELECT threshold, p, sum(y) AS pos, count(*) AS k FROM g GROUP BY ALL), c AS (SELECT *, sum(pos) OVER w AS tp, sum(k) OVER w AS up FROM t WINDOW w AS (PARTITION BY threshold ORDER BY p DESC)),
+  a AS (SELECT threshold, sum(k)::BIGINT AS n, sum(pos) / sum(k) AS prevalence, CASE WHEN sum(pos) > 0 THEN sum(pos * tp / up) / sum(pos) END AS ap,
+    CASE WHEN sum(pos) > 0 AND sum(pos) < sum(k) THEN sum((k - pos) * (tp - pos / 2)) / (sum(pos) * (sum(k) - sum(pos))) END AS auroc FROM c GROUP BY ALL),
+  e AS (SELECT threshold, sum(n * abs(mp - rate)) / sum(n) AS ece FROM (SELECT threshold, {BIN} AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS rate FROM g GROUP BY ALL) GROUP BY ALL),
+  b AS (SELECT threshold, avg((p - y) * (p - y)) AS brier, avg(((p >= 0.5)::INT = y)::INT) AS accuracy FROM g GROUP BY ALL),
+  r AS (SELECT threshold, avg(wrong) AS risk FROM (SELECT threshold, ((p >= 0.5)::INT <> y)::INT AS wrong, row_number() OVER (PARTITION BY threshold ORDER BY greatest(p, 1 - p) DESC, doc_id) AS k,
+    count(*) OVER (PARTITION BY threshold) AS n FROM g) WHERE k <= greatest(1, floor(0.8::DOUBLE * n)) GROUP BY ALL)
+  SELECT threshold, n, round(auroc, 6) AS auroc, round(ap, 6) AS ap, round(ece, 6) AS ece, round(risk, 6) AS risk, round(brier, 6) AS brier, round(accuracy, 6) AS accuracy, round(prevalence, 6) AS prevalence
+  FROM a JOIN e USING (threshold) JOIN r USING (threshold) JOIN b USING (threshold)""")
+def threshold_metrics(spark, sf_dir):
+    found = metrics.threshold_metrics(predictions(spark, sf_dir), [], "doc_id", "p_size", "p_hash", [0.1, 0.3, 0.6])
+    return rounded(found.select("threshold", "n", "auroc", "ap", "ece", "risk", "brier", "accuracy", "prevalence"))
+
+
 @query(f"""WITH {ACT}, x AS (SELECT priority, year, kind, round(avg(value), 4) AS metric, count(*) AS tie, round(max(value), 4) AS top FROM act GROUP BY ALL),
   d AS (SELECT priority, year, max(metric) FILTER (kind = 'N') AS fixed_metric, max(tie) FILTER (kind = 'N') AS fixed_tie, arg_min(kind, (-metric, -tie, kind)) FILTER (kind IN ('A', 'R')) AS best_simple_model,
     arg_min(metric, (-metric, -tie, kind)) FILTER (kind IN ('A', 'R')) AS best_simple_metric, arg_min(kind, (-metric, -tie, kind)) AS best_model, arg_min(metric, (-metric, -tie, kind)) AS best_metric,
