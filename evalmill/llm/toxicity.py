@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -54,6 +55,10 @@ class Lexicon:
     exceptions: frozenset[str] = frozenset()
 
 
+#: Letters from which on a word's answer is not kept.
+LONG = 64
+
+
 class Automaton:
     """The terms' Levenshtein automata over one trie, determinised as needed."""
 
@@ -84,7 +89,7 @@ class Automaton:
 
     def reset(self) -> None:
         self.ids: dict[tuple, int] = {}
-        self.sets: list[tuple[dict[int, int], Hit | None]] = []
+        self.sets: list[tuple[bytes, Hit | None]] = []  # nodes with their edits, packed: a set may hold hundreds
         self.next: list[dict[str, int]] = []
         self.found: list[Hit | None] = []
         self.seen: dict[str, Hit | None] = {}
@@ -114,10 +119,10 @@ class Automaton:
                 hit = self.nearer(hit, (*t, used))
         if not members and begun is None:
             return -1
-        key = (frozenset(members.items()), begun)
+        key = (array("I", sorted(node << 2 | used for node, used in members.items())).tobytes(), begun)
         if key not in self.ids:
             self.ids[key] = len(self.sets)
-            self.sets.append((members, begun))
+            self.sets.append(key)
             self.next.append({})
             # A whole term is nearer than a beginning with as many edits.
             self.found.append(begun if hit is None or (begun is not None and begun[2] < hit[2]) else hit)
@@ -127,7 +132,8 @@ class Automaton:
         members: dict[int, int] = {}
         before, begun = self.sets[state]
         like = ALIKE.get(ch, "")
-        for node, used in before.items():
+        for packed in array("I", before):
+            node, used = packed >> 2, packed & 3
             for letter, child in self.children[node].items():
                 cost = used + (letter != ch and letter not in like)
                 if cost <= self.allowed[child] and cost < members.get(child, 9):
@@ -163,14 +169,18 @@ class Automaton:
         return found
 
     def hits(self, words: set[str]) -> dict[str, Hit]:
-        if len(self.sets) > self.max_states or len(self.seen) > self.max_words:
-            self.reset()
-        out, seen = {}, self.seen
+        out = {}
         for w in words:
-            if w not in seen:
-                seen[w] = self.hit(w)
-            if seen[w] is not None:
-                out[w] = seen[w]
+            if len(self.sets) > self.max_states or len(self.seen) > self.max_words:
+                self.reset()
+            if len(w) > LONG:  # read anew each time, so that long words fill no memory
+                hit = self.hit(w)
+            elif w in self.seen:
+                hit = self.seen[w]
+            else:
+                hit = self.seen[w] = self.hit(w)
+            if hit is not None:
+                out[w] = hit
         return out
 
 
