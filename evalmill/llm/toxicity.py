@@ -277,13 +277,24 @@ def fit(
     texts = cut(once.select("text", "toxic", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int").alias("fold")))
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[int]] = {}
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame([(t, *c) for t, c in held.items()], columns=["term", "pos0", "n0", "pos1", "n1"])
+
         for pdf in batches:
-            rows = []
-            for text, toxic, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"], strict=True):
+            for text, toxic, fold in zip(pdf["text"].tolist(), pdf["toxic"].tolist(), pdf["fold"].tolist(), strict=True):
                 words = {w for w in _LETTERS.findall((text or "").lower()) if len(w) > 1}
                 starts = {w[:n] + "*" for w in words for n in PREFIX_LENGTHS if len(w) >= n}
-                rows += [(t, toxic * (1 - fold), 1 - fold, toxic * fold, fold) for t in (*words, *starts, "")]
-            yield pd.DataFrame(rows, columns=["term", "pos0", "n0", "pos1", "n1"]).groupby("term", as_index=False).sum()
+                for t in (*words, *starts, ""):
+                    counts = held.setdefault(t, [0, 0, 0, 0])
+                    counts[2 * fold] += toxic
+                    counts[2 * fold + 1] += 1
+                if len(held) > 100_000:
+                    yield told()
+                    held.clear()
+        if held:
+            yield told()
 
     sums = [F.sum(c).alias(c) for c in ("pos0", "n0", "pos1", "n1")]
     counted = cut(texts.mapInPandas(terms, "term string, pos0 long, n0 long, pos1 long, n1 long").groupBy("term").agg(*sums))
