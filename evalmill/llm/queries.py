@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, minhash, mixing, packing, pii, quality, topk, toxicity, warc
+from . import chat, fingerprint, langid, minhash, mixing, packing, pii, quality, topk, toxicity, warc
 from .common import remainder, table
 
 
@@ -79,8 +79,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.compared(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.printed(F.col("sketch")).alias("fingerprint"),
+        fingerprint.printed(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_langid, op2_topk, op3_toxicity, op4_mixing, op5_minhash, op6_quality, op7_pii, op8_packing, op9_warc, op10_chat)
+    found = (op1_langid, op2_topk, op3_toxicity, op4_mixing, op5_minhash, op6_quality, op7_pii, op8_packing, op9_warc, op10_chat, op11_fingerprint)
     return {f.__name__: f for f in found}
 
 
@@ -187,5 +200,22 @@ FROM g
 """
 
 
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents),
+o AS (SELECT *, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next FROM d WINDOW o AS (ORDER BY doc_id DESC)),
+e AS (SELECT *, left(text, n_chars - n_chars // 2) || left(next, n_chars // 2) AS edited FROM o),
+a AS (SELECT doc_id, 0 AS k, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e UNION ALL SELECT doc_id, 2, next FROM e),
+w AS (SELECT doc_id, k, {_WORDS} AS w FROM a),
+f AS (SELECT doc_id, k, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+  ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: left(md5(array_to_string(w[i:i + 4], ' ')), 16)) END))[1:128] AS f FROM w),
+p AS (SELECT doc_id, max(f) FILTER (k = 0) AS a, max(f) FILTER (k = 1) AS b, max(f) FILTER (k = 2) AS c FROM f GROUP BY 1),
+u AS (SELECT *, list_sort(list_distinct(a || b))[1:128] AS ab, list_sort(list_distinct(a || c))[1:128] AS ac FROM p)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+  CASE WHEN len(ab) = 0 THEN 1.0 ELSE len(list_intersect(list_intersect(ab, a), b)) / len(ab) END::DOUBLE AS near_edited,
+  CASE WHEN len(ac) = 0 THEN 1.0 ELSE len(list_intersect(list_intersect(ac, a), c)) / len(ac) END::DOUBLE AS near_next
+FROM e JOIN u USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op4_mixing": OP4_SQL, "op5_minhash": OP5_SQL, "op6_quality": OP6_SQL, "op9_warc": OP9_SQL, "op10_chat": OP10_SQL}
+    return {"op2_topk": OP2_SQL, "op4_mixing": OP4_SQL, "op5_minhash": OP5_SQL, "op6_quality": OP6_SQL, "op9_warc": OP9_SQL, "op10_chat": OP10_SQL, "op11_fingerprint": OP11_SQL}
