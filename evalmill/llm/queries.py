@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, langid, minhash, mixing, packing, pii, quality, topk, toxicity, warc
+from . import chat, fingerprint, langid, minhash, mixing, packing, pii, quality, topk, toxicity, warc, whitening
 from .common import remainder, table
 
 
@@ -92,8 +92,13 @@ def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_langid, op2_topk, op3_toxicity, op4_mixing, op5_minhash, op6_quality, op7_pii, op8_packing, op9_warc, op10_chat, op11_fingerprint)
+    found = (op1_langid, op2_topk, op3_toxicity, op4_mixing, op5_minhash, op6_quality, op7_pii, op8_packing, op9_warc, op10_chat, op11_fingerprint, op12_whitening)
     return {f.__name__: f for f in found}
 
 
