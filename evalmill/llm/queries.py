@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, langid, minhash, mixing, packing, pii, quality, topk, toxicity, warc, whitening
+from . import chat, fingerprint, langid, minhash, mixing, packing, pii, quality, runs, topk, toxicity, warc, whitening
 from .common import remainder, table
 
 
@@ -97,8 +97,38 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit(vectors))
 
 
+def repeated_tail(text: Column, doc_id: Column) -> Column:
+    """The text, its words from a place on periodic in one document of ten."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def tail(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p))), " ")
+
+    edited = fingerprint.bound(words, lambda w: F.when(F.size(w) > 0, tail(w)))
+    return F.when(h % 10 == 0, edited).otherwise(text)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeated_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.find(docs).withColumn("longest", runs.longest(F.col("runs")))
+    told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"longest.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("longest.length") / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_langid, op2_topk, op3_toxicity, op4_mixing, op5_minhash, op6_quality, op7_pii, op8_packing, op9_warc, op10_chat, op11_fingerprint, op12_whitening)
+    found = (op1_langid, op2_topk, op3_toxicity, op4_mixing, op5_minhash, op6_quality, op7_pii, op8_packing, op9_warc, op10_chat, op11_fingerprint, op12_whitening, op13_runs)
     return {f.__name__: f for f in found}
 
 
@@ -222,5 +252,28 @@ FROM e JOIN u USING (doc_id)
 """
 
 
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w,
+    [4294967295] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS steps FROM documents),
+h AS (SELECT doc_id, w, len(w)::BIGINT AS n, xor(list_reduce(steps, lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295) AS h FROM d),
+a AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+e AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+  THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM a),
+s AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM e)),
+p AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+c AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 AS m FROM c GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, m + q AS length, min(q) AS period FROM m WHERE m >= greatest(12 - q, q) GROUP BY ALL),
+t AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told,
+    arg_max(struct_pack(start, length, period), (length, -start, -period)) AS top FROM r GROUP BY 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+o AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS told FROM (SELECT doc_id, unnest(w) AS v, unnest(range(n)) AS i FROM e) u ANTI JOIN x USING (doc_id, i) GROUP BY 1)
+SELECT e.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length, top.period::BIGINT AS period,
+  (1000 * top.length // top.period)::BIGINT AS exponent_milli, sha256(coalesce(t.told, '')) AS runs_sha256, sha256(coalesce(o.told, '')) AS collapsed_sha256
+FROM e LEFT JOIN t USING (doc_id) LEFT JOIN o ON o.doc_id = e.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op4_mixing": OP4_SQL, "op5_minhash": OP5_SQL, "op6_quality": OP6_SQL, "op9_warc": OP9_SQL, "op10_chat": OP10_SQL, "op11_fingerprint": OP11_SQL}
+    return {"op2_topk": OP2_SQL, "op4_mixing": OP4_SQL, "op5_minhash": OP5_SQL, "op6_quality": OP6_SQL, "op9_warc": OP9_SQL, "op10_chat": OP10_SQL, "op11_fingerprint": OP11_SQL, "op13_runs": OP13_SQL}
