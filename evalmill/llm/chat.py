@@ -106,13 +106,34 @@ def running_starts(lengths: Column) -> Column:
     return F.aggregate(inside, first, shifted, lambda done: F.flatten(done["starts"]))
 
 
+def masked(text: Column, segments: Column) -> Column:
+    """What the segments with loss cut out of the text, in their order.
+
+    Cut in two steps, as finding a place counts from the beginning: the stretch
+    of about as many segments as the root of their number, then each in its own.
+    """
+    wanted = F.filter(segments, lambda s: s["loss"])
+    n = F.size(wanted)
+    block = F.ceil(F.sqrt(F.greatest(n, F.lit(1)).cast("double"))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), block), lambda i: F.slice(wanted, i + 1, block))
+
+    def cut(part: Column) -> Column:
+        first = F.array_min(F.transform(part, lambda s: s["start"]))
+        end = F.array_max(F.transform(part, lambda s: s["start"] + s["length"]))
+        both = F.array(F.struct(F.substring(text, first, end - first).alias("text"), first.alias("first")))
+        return F.flatten(F.transform(both, lambda b: F.transform(part, lambda s: F.substring(b["text"], s["start"] - b["first"] + 1, s["length"]))))
+
+    return F.flatten(F.transform(blocks, cut))
+
+
 def read_back(chats: DataFrame, template: Template = Template(), id_col: str = "conv_id") -> DataFrame:
-    """Turns and loss text recovered from ``formatted`` and ``segments``: adds turns (role, text) and loss_text."""
+    """Turns and loss text recovered from ``formatted`` and ``segments``: adds turns (role, text) and loss_text.
+
+    Turns are parsed from the markers; the loss text is what the mask cuts out.
+    """
     pattern = f"(?s){_java(template.open)}(.*?){_java(template.close)}(.*?){_java(template.end)}"
     roles = F.regexp_extract_all("formatted", F.lit(pattern), F.lit(1))
     texts = F.regexp_extract_all("formatted", F.lit(pattern), F.lit(2))
     turns = F.transform(F.arrays_zip(roles.alias("role"), texts.alias("text")), lambda t: F.struct(unescaped(t["role"]).alias("role"), unescaped(t["text"]).alias("text")))
-    # A turn is three segments, of which the second is its text: the parsed text is the masked one, without another cut from the start.
-    flags = F.transform(F.filter("segments", lambda s, i: i % 3 == 1), lambda s: s["loss"])
-    masked = F.transform(F.filter(F.arrays_zip(F.col("turns"), flags.alias("loss")), lambda z: z["loss"]), lambda z: z["turns"]["text"])
-    return chats.withColumn("turns", turns).withColumn("loss_text", F.array_join(masked, ""))
+    loss = F.array_join(F.transform(masked(F.col("formatted"), F.col("segments")), unescaped), "")
+    return chats.withColumn("turns", turns).withColumn("loss_text", loss)

@@ -56,12 +56,12 @@ def fit(
     sample_docs: int = 64,
     piece_chars: int = 1024,
     dictionary_bytes: int = 32_768,
-    max_langs: int = 256,
+    max_langs: int | None = 256,
     **settings: float,
 ) -> LanguageModel:
     """Learn dictionaries from the rows of ``docs`` where ``usable`` holds.
 
-    The sample is bounded: of each of the ``max_langs`` most frequent languages
+    The sample is bounded: of each of the ``max_langs`` most frequent languages (None: of all)
     at most ``sample_docs`` documents, the one with the smallest seeded hash in
     each of as many hash classes (of a repeated id the least text), and of each at
     most ``piece_chars`` characters.
@@ -71,7 +71,8 @@ def fit(
     slot = F.pmod(F.col("h"), F.lit(sample_docs))
     firsts = keyed.groupBy("lang", slot.alias("slot")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
     chosen = firsts.groupBy("lang").agg(F.sum("n").alias("n"), F.collect_list("h").alias("hs"))
-    rows = chosen.orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    ordered = chosen.orderBy(F.desc("n"), "lang")
+    rows = (ordered if max_langs is None else ordered.limit(max_langs)).collect()
     if not rows:
         return LanguageModel((), **settings)
     spark = docs.sparkSession
@@ -129,9 +130,10 @@ def judged(model: LanguageModel, text: Column) -> Column:
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the id, the columns ``keep``, lang_pred, score, margin, rejected."""
-    return docs.select(id_col, *keep, judged(model, F.col(text_col)).alias("__judged")).select(id_col, *keep, "__judged.*")
+    found = docs.select(id_col, *keep, judged(model, F.col(text_col)).alias("judged"))
+    return found.select(id_col, *keep, *[found["judged"][n].alias(n) for n in ("lang_pred", "score", "margin", "rejected")])
 
 
 def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not rejected."""
-    return docs.withColumn("__judged", judged(model, F.col(text_col))).where("not __judged.rejected").drop("__judged")
+    return docs.where(~judged(model, F.col(text_col))["rejected"])

@@ -3,7 +3,8 @@
 Every document gets minima over its word shingles. Bands of whole minima make
 candidates; the low bits of all minima, packed into longs, estimate similarity
 by bit counts, corrected for chance collisions; links are confirmed on the full
-shingle sets (of 64-bit shingle hashes).
+shingle sets (of 64-bit shingle hashes; a word's hash has a random multiplier for
+each of its places, so that words built alike do not meet).
 
 Copies first collapse into classes by a digest of the set. In every band bucket
 all classes are then compared with its smallest one, which ties large groups
@@ -13,9 +14,9 @@ members whose own hashes rule out any link there are left out before.
 
 Defined results: null and empty texts, and texts without words, are components
 of their own with 0 shingles; a text shorter than a shingle is one shingle;
-ids are whole numbers;
-rows with a null id take no part in links and are kept; repeated rows get equal
-results; an empty table gives no rows; other columns do not matter.
+ids are whole numbers below 2**62; rows with a null id take no part in links and
+are kept; repeated rows get equal results; an id's different texts are linked
+each by itself; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -70,26 +71,25 @@ class Shingler:
         self.width, self.values = width, values
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
-        self.base = int(rng.integers(1 << 40, 1 << 62)) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
         self.weights = rng.integers(1, 1 << 63, width, dtype=np.uint64) | _U(1)
-        self.grow(1 << 20)
+        self.grow(1 << 10)
 
     def grow(self, n: int) -> None:
-        def powers(b: int) -> np.ndarray:
-            return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]))
-
-        self.up, self.down, self.size = powers(self.base), powers(self.inverse), n
+        """Random multipliers for the first ``n`` places of a word; a longer list begins with the shorter one."""
+        self.places = np.random.PCG64(20260303).random_raw(n) | _U(1)
 
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the words of a byte array."""
-        if len(data) > self.size:
-            self.grow(2 * len(data))
+        """Starts and hashes of the words of a byte array: each place of a word has a multiplier of its own."""
         word = ~self.space[data]
         edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[data] * self.up[: len(data)])])
-        return start, _mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
+        lengths = end - start
+        if len(lengths) and lengths.max() > len(self.places):
+            self.grow(2 * int(lengths.max()))
+        ends = np.cumsum(lengths)
+        place = np.arange(lengths.sum()) - np.repeat(ends - lengths, lengths)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[data[word]] * self.places[place])])
+        return start, _mix(total[ends] - total[ends - lengths] + lengths.astype(np.uint64))
 
     def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""
@@ -153,8 +153,14 @@ class Signer:
         return packed.view(np.int64).tolist(), keys.view(np.int64).tolist()
 
 
-def signatures(docs: DataFrame, settings: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n_shingles, digest of the set (d1, d2), packed bits, band keys."""
+def digest(found: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of shingle hashes."""
+    a, b = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
+    return int(a), int(b)
+
+
+def signatures(docs: DataFrame, settings: NearDup, id_col: str, text_col: str, carry: dict[str, Column]) -> DataFrame:
+    """Per row: id, n_shingles, digest of the set (d1, d2), packed bits, band keys, and the columns ``carry``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, signer = Shingler(settings.width), Signer(settings)
@@ -163,13 +169,14 @@ def signatures(docs: DataFrame, settings: NearDup, id_col: str, text_col: str) -
             rows = []
             for part in batches_of(texts):
                 for found in shingler.sets(texts[part]):
-                    digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
                     bits, keys = signer(found) if len(found) else (None, None)
-                    rows.append((len(found), int(digest[0]), int(digest[1]), bits, keys))
-            yield pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "bits", "bands"]).assign(id=pdf["id"].to_numpy())
+                    rows.append((len(found), *digest(found), bits, keys))
+            told = pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "bits", "bands"], index=pdf.index)
+            yield pd.concat([pdf.drop(columns="text"), told], axis=1)
 
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return given.mapInPandas(run, "n_shingles long, d1 long, d2 long, bits array<long>, bands array<long>, id long")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for n, c in carry.items()])
+    further = "".join(f", `{n}` {given.schema[n].dataType.simpleString()}" for n in carry)
+    return given.mapInPandas(run, f"id long{further}, n_shingles long, d1 long, d2 long, bits array<long>, bands array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -194,16 +201,18 @@ def least_estimate(settings: NearDup) -> float:
     return j - settings.slack * math.sqrt(p * (1 - p) / MINIMA) / (1 - chance)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, settings: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """id and the sorted shingle hashes of the documents whose id is in ``ids``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(ids, "id")
+def shingle_sets(docs: DataFrame, ids: DataFrame, nodes: DataFrame, settings: NearDup, id_col: str, text_col: str) -> DataFrame:
+    """id and the sorted shingle hashes of the classes whose id is in ``ids``; nodes (id, rep, d1, d2) says whose text, and of which set."""
+    wanted = ids.join(nodes.select("id", "rep", "d1", "d2"), "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("text is not null").join(wanted, "rep").select("id", "text", "d1", "d2")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(settings.width)
         for pdf in batches:
             texts_ = pdf["text"].tolist()
-            found = [s.view(np.int64) for part in batches_of(texts_) for s in shingler.sets(texts_[part])]
-            yield pd.DataFrame({"id": pdf["id"], "hashes": found})
+            found = [s for part in batches_of(texts_) for s in shingler.sets(texts_[part])]
+            own = [digest(s) == d for s, d in zip(found, zip(pdf["d1"], pdf["d2"], strict=True), strict=True)]
+            yield pd.DataFrame({"id": pdf["id"][own], "hashes": [s.view(np.int64) for s, o in zip(found, own, strict=True) if o]})
 
     return texts.mapInPandas(hashed, "id long, hashes array<long>")
 
@@ -215,10 +224,10 @@ def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(p) + len(q) - common)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, settings: NearDup, id_col: str, text_col: str) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, settings: NearDup, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(shingle_sets(docs, ids, settings, id_col, text_col))
+    sets = cut(shingle_sets(docs, ids, nodes, settings, id_col, text_col))
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -307,33 +316,58 @@ def across(members: DataFrame, sets: DataFrame, signed: DataFrame, settings: Nea
     return groups.mapInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, settings: NearDup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest linked id), kept (the row's id is that)."""
-    signed = cut(signatures(docs, settings, id_col, text_col))
-    linkable = signed.where("n_shingles > 0 and id is not null")
+#: Numbers of classes from here on are no ids.
+FRESH = 1 << 62
+
+
+def set_classes(linkable: DataFrame) -> DataFrame:
+    """Per distinct set (d1, d2): rep, the smallest id that has it; row, that id's first row; node, a number of its own.
+
+    The node is the rep. Where an id has several sets, only the one with the
+    smallest digest keeps it; the others get numbers from ``FRESH`` on.
+    """
     # Grouped by one column more than joined by, so that the join deals both sides anew and can split a hot digest.
-    classes = linkable.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep")).drop("n_shingles")
-    rep_of = linkable.join(classes, ["d1", "d2"])
-    is_rep = F.col("id") == F.col("rep")
-    rows = cut(rep_of.select("id", "n_shingles", "rep", F.when(is_rep, F.col("bits")).alias("bits"), F.when(is_rep, F.col("bands")).alias("bands")))
-    reps = rows.where("id = rep").select("id", "bits", "bands")
+    classes = linkable.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("id", "row")).alias("least")).select("d1", "d2", F.col("least.id").alias("rep"), F.col("least.row").alias("row"))
+    first = classes.groupBy("rep").agg(F.min(F.struct("d1", "d2")).alias("first"))
+    fresh = F.lit(FRESH) + F.pmod(F.xxhash64("d1", "d2"), F.lit(FRESH))
+    return classes.join(first, "rep").select("d1", "d2", "rep", "row", F.when(F.col("first") == F.struct("d1", "d2"), F.col("rep")).otherwise(fresh).alias("node"))
+
+
+def near_duplicates(docs: DataFrame, settings: NearDup, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest linked id), kept (the row's id is that), the columns ``carry`` of the row, group.
+
+    Rows of one id with different texts are documents of their own: ``group`` is
+    one number for each component, where these may share their smallest id.
+    """
+    carry = carry or {}
+    signed = cut(signatures(docs, settings, id_col, text_col, carry).withColumn("row", F.monotonically_increasing_id()))
+    linkable = signed.where("n_shingles > 0 and id is not null")
+    rep_of = linkable.withColumnRenamed("row", "own").join(set_classes(linkable), ["d1", "d2"])
+    is_rep = F.col("own") == F.col("row")
+    rows = cut(rep_of.select("id", *carry, "n_shingles", "node", "rep", "d1", "d2", F.when(is_rep, F.col("bits")).alias("bits"), F.when(is_rep, F.col("bands")).alias("bands")))
+    nodes = rows.where("bits is not null").select(F.col("node").alias("id"), "rep", "d1", "d2", "bits", "bands")
+    reps = nodes.select("id", "bits", "bands")
     filed = reps.select("id", F.explode("bands").alias("band"))
     buckets = filed.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     starred = filed.join(buckets, "band").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     bits = reps.select("id", "bits")
     with_bits = starred.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
     tested = cut(with_bits.where(estimate(F.col("x"), F.col("y")) >= least_estimate(settings)).select("a", "b").distinct())
-    links = cut(confirm(tested, docs, settings, id_col, text_col))
+    links = cut(confirm(tested, docs, nodes, settings, id_col, text_col))
     parts = connected_components(links)
 
     parted = filed.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = parted.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("band")
     members = cut(parted.join(split, "band"))
-    sets = cut(shingle_sets(docs, members.select("id").distinct(), settings, id_col, text_col))
+    sets = cut(shingle_sets(docs, members.select("id").distinct(), nodes, settings, id_col, text_col))
     links = links.union(across(linkable_members(members, sets, settings), sets, reps, settings))
     parts = connected_components(links)
 
-    found = rows.select("id", "n_shingles", "rep").join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    rest = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    all_ = found.select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).unionByName(rest)
-    return all_.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    found = rows.select("id", *carry, "n_shingles", "node", "rep").join(parts.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    # Only where an id has several sets may a component's smallest number not be its smallest id.
+    odd = found.where(F.col("node") >= FRESH).groupBy("group").agg(F.min("rep").alias("odd"))
+    found = found.join(odd, "group", "left").withColumn("component_id", F.least(F.when(F.col("group") < FRESH, F.col("group")), "odd"))
+    rest = signed.where("n_shingles = 0 or id is null").select("id", *carry, "n_shingles", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    all_ = found.select("id", *carry, "n_shingles", "component_id", "group").unionByName(rest)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return all_.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept, *carry, "group")

@@ -36,7 +36,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearDup(width=3, percent=85))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearDup(width=3, percent=85)).drop("group")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, spread
-from .minhash import Shingler, batches_of
+from .minhash import NearDup, near_duplicates
 
 #: A word may hold digits, and signs between letters or a sign that stands for its first letter.
 _WORD = re.compile(r"[@$]?[^\W_]+(?:[@$!*|]{1,2}[^\W_]+)*")
@@ -227,13 +227,14 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, the constant last and free."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40, weight: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic regression of weighted rows by Newton steps, the constant last and free."""
+    weight = np.ones(len(x)) if weight is None else weight
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad, hess = x.T @ (p - y) + penalty @ w, (x * (p * (1 - p))[:, None]).T @ x + penalty
+        grad, hess = x.T @ (weight * (p - y)) + penalty @ w, (x * (weight * p * (1 - p))[:, None]).T @ x + penalty
         step = np.linalg.solve(hess + 1e-9 * np.eye(len(w)), grad)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -241,6 +242,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
     return w
 
 
+#: A row that is no copy weighs this much; whole numbers add up alike in any order.
+UNIT = 1 << 20
+
+
+def weighed(sample: DataFrame, id_col: str, settings: NearDup = NearDup(width=3, percent=80)) -> DataFrame:
+    """Adds weight and fold: near copies (``settings``) share the weight of one row and a fold; every row stays, with its own label.
+
+    ids tell the rows apart.
+    """
+    near = near_duplicates(sample, settings, id_col).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__class"))
+    near = cut(near)
+    sizes = near.groupBy("__class").agg(F.count("*").alias("__copies"))
+    weight, fold = F.round(F.lit(UNIT) / F.col("__copies")).cast("long"), F.pmod(F.xxhash64("__class"), F.lit(2)).cast("int")
+    told = near.join(sizes, "__class").select("__id", F.greatest(weight, F.lit(1)).alias("weight"), fold.alias("fold"))
+    return sample.join(told, sample[id_col] == told["__id"]).drop("__id")
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -249,32 +267,24 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     sample_rows: int = 20_000,
-    max_terms: int = 2000,
+    max_terms: int | None = 2000,
     min_evidence: float = 20.0,
     tasks: int = 32,
 ) -> ToxicityModel:
     """Learn lexicon and weights from labelled rows where ``usable`` holds on the id.
 
     The sample is bounded: the ``sample_rows`` labelled ids with the smallest
-    seeded hash, of copies one. A term needs a log-likelihood ratio of ``min_evidence``; the
-    ``max_terms`` strongest are kept. Exceptions are words of the sample.
+    seeded hash, all of their rows; near copies together weigh as much as one. A term needs a
+    log-likelihood ratio of ``min_evidence``; the ``max_terms`` strongest are kept (None: all of
+    them). Exceptions are words of the sample.
     """
     known = labels.where(usable & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
     order = spread(id_col, 23)
     chosen = known.withColumn("h", order).orderBy("h", id_col).limit(sample_rows)
     # The sample is small beside the table, so that it is dealt to more tasks than its rows lay in.
-    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "toxic", "h").repartition(tasks)
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(3)
-        for pdf in batches:
-            given = pdf["text"].tolist()
-            least = [int(found.min() >> np.uint64(1)) if len(found) else -1 for part in batches_of(given) for found in shingler.sets(given[part])]
-            yield pdf.assign(key=least)
-
-    # Copies, exact or near, share their smallest shingle hash; they count once, as toxic if any is.
-    once = sample.mapInPandas(keyed, "text string, toxic int, h long, key long").groupBy("key").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct("h", "text")).alias("text"))
-    texts = cut(once.select("text", "toxic", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int").alias("fold")))
+    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "toxic").repartition(tasks)
+    sample = cut(sample.withColumn("row", F.monotonically_increasing_id()))
+    texts = cut(weighed(sample, "row").select("text", "toxic", "weight", "fold"))
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[int]] = {}
@@ -283,13 +293,13 @@ def fit(
             return pd.DataFrame([(t, *c) for t, c in held.items()], columns=["term", "pos0", "n0", "pos1", "n1"])
 
         for pdf in batches:
-            for text, toxic, fold in zip(pdf["text"].tolist(), pdf["toxic"].tolist(), pdf["fold"].tolist(), strict=True):
+            for text, toxic, weight, fold in zip(pdf["text"].tolist(), pdf["toxic"].tolist(), pdf["weight"].tolist(), pdf["fold"].tolist(), strict=True):
                 words = {w for w in _LETTERS.findall((text or "").lower()) if len(w) > 1}
                 starts = {w[:n] + "*" for w in words for n in PREFIX_LENGTHS if len(w) >= n}
                 for t in (*words, *starts, ""):
                     counts = held.setdefault(t, [0, 0, 0, 0])
-                    counts[2 * fold] += toxic
-                    counts[2 * fold + 1] += 1
+                    counts[2 * fold] += weight * toxic
+                    counts[2 * fold + 1] += weight
                 if len(held) > 100_000:
                     yield told()
                     held.clear()
@@ -304,8 +314,8 @@ def fit(
 
     def learned(pos: str, n: str) -> Lexicon:
         """From the rows that two expressions over ``counted`` count."""
-        counts = counted.where("term <> ''").select("term", F.expr(pos).alias("pos"), F.expr(n).alias("n")).where("n > 0")
-        all_pos, all_n = (sum(total[c.strip()] for c in e.split("+")) for e in (pos, n))
+        counts = counted.where("term <> ''").select("term", (F.expr(pos) / UNIT).alias("pos"), (F.expr(n) / UNIT).alias("n")).where("n > 0")
+        all_pos, all_n = (sum(total[c.strip()] for c in e.split("+")) / UNIT for e in (pos, n))
         if not 0 < all_pos < all_n:
             return Lexicon(())
         share = all_pos / all_n
@@ -317,7 +327,8 @@ def fit(
         rate = hit / F.col("n")
         evidence = 2 * (part(hit, rate) + part(miss, 1 - rate) - part(hit, F.lit(share)) - part(miss, F.lit(1 - share)))
         odds = F.log((hit + 0.5) / (all_pos + 1)) - F.log((miss + 0.5) / (all_n - all_pos + 1))
-        best = counts.withColumn("g", evidence).withColumn("w", odds).where((F.col("g") >= min_evidence) & (rate >= 0.5 + share / 2)).orderBy(F.desc("g"), "term").limit(max_terms)
+        best = counts.withColumn("g", evidence).withColumn("w", odds).where((F.col("g") >= min_evidence) & (rate >= 0.5 + share / 2)).orderBy(F.desc("g"), "term")
+        best = best if max_terms is None else best.limit(max_terms)
         lexicon = Lexicon(tuple(sorted((r["term"], float(r["w"])) for r in best.select("term", "w").collect())))
 
         def misread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,13 +344,13 @@ def fit(
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automata = {fold: automaton_of(lexicon) for fold, lexicon in without.items()}
         for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "x": [features(t, automata[f]) for t, f in zip(pdf["text"], pdf["fold"], strict=True)]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "weight": pdf["weight"], "x": [features(t, automata[f]) for t, f in zip(pdf["text"], pdf["fold"], strict=True)]})
 
-    seen = texts.mapInPandas(measure, "toxic int, x array<double>").groupBy("x").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).orderBy("x").collect()
+    seen = texts.mapInPandas(measure, "toxic int, weight long, x array<double>").groupBy("x").agg(F.sum(F.col("toxic") * F.col("weight")).alias("pos"), F.sum("weight").alias("n")).orderBy("x").collect()
     x = np.array([r["x"] for r in seen for _ in range(2)], dtype=float)
     y = np.array([v for _ in seen for v in (1.0, 0.0)])
-    weight = np.array([v for r in seen for v in (r["pos"], r["n"] - r["pos"])], dtype=int)
-    w = logistic(np.repeat(x, weight, axis=0), np.repeat(y, weight))
+    weight = np.array([v / UNIT for r in seen for v in (r["pos"], r["n"] - r["pos"])])
+    w = logistic(x, y, weight=weight)
     return ToxicityModel(learned("pos0 + pos1", "n0 + n1"), tuple(float(v) for v in w))
 
 

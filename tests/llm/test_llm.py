@@ -54,6 +54,20 @@ def test_langid_odd(spark, odd, none):
     assert langid.Judge(langid.LanguageModel(()))("text")[0] == "und"
 
 
+def test_langid_takes_all_languages_and_odd_columns(spark):
+    letters = [chr(97 + i) + chr(97 + j) for i in range(26) for j in range(11)]
+    df = spark.createDataFrame([(i, f"{w}{w} " * 12, w, i) for i, w in enumerate(letters)], "doc_id long, text string, lang string, __judged int")
+    assert len(langid.fit(df, F.lit(True)).dictionaries) == 256
+    few = df.where("doc_id < 3").union(df.where("doc_id < 3"))  # ties and repeated rows
+    model = langid.fit(few, F.lit(True), max_langs=None)
+    assert len(langid.fit(df, F.lit(True), max_langs=None).dictionaries) == 286 and len(model.dictionaries) == 3
+    got = langid.predict(few.union(df.where("doc_id = 0").withColumn("text", F.lit(None).cast("string"))), model, keep=("__judged",)).collect()
+    assert len(got) == 7 and all(r.lang_pred in (letters[r.doc_id], "und") and r["__judged"] == r.doc_id for r in got)
+    assert langid.accepted(few, model).columns == few.columns
+    sizes = {lang: len(c(langid.letters_only(few.where("doc_id = 1").first().text).encode())) for lang, c in zip(langid.Judge(model).langs, langid.Judge(model).compress, strict=True)}
+    assert min(sizes, key=sizes.get) == letters[1] == langid.Judge(model)(few.where("doc_id = 1").first().text)[0]
+
+
 # exact top-k
 
 
@@ -160,6 +174,25 @@ def test_toxicity_learns(spark, odd, none):
     assert toxicity.score(odd, empty).where("predicted = 1").count() == 0
 
 
+def test_toxicity_keeps_rows_that_share_a_footer(spark):
+    rng = np.random.default_rng(9)
+    footer = " this line stands under every text of the whole table and says nothing of what it holds"
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 40)) + footer for _ in range(300)]
+    copies = [texts[0] + f" end{i}" for i in range(7)]
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts + copies + ["", None])], "row long, text string, toxic int")
+    got = {r.row: r for r in toxicity.weighed(df, "row").collect()}
+    assert len(got) == 309 and all(got[i].toxic == i % 2 for i in got)
+    alike = {0, *range(300, 307)}
+    assert {i for i in got if got[i].weight == toxicity.UNIT} == set(got) - alike
+    assert {(got[i].weight, got[i].fold) for i in alike} == {(toxicity.UNIT // 8, got[0].fold)}
+
+
+def test_logistic_of_weights_equals_repeats():
+    rng = np.random.default_rng(2)
+    x, y, n = rng.normal(size=(40, 3)), rng.integers(0, 2, 40), rng.integers(1, 5, 40)
+    assert np.allclose(toxicity.logistic(x, y, weight=n), toxicity.logistic(np.repeat(x, n, axis=0), np.repeat(y, n)))
+
+
 # mixing
 
 
@@ -228,6 +261,38 @@ def test_minhash_odd(spark, odd, none):
     assert minhash.near_duplicates(none, minhash.NearDup()).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_built_alike_have_hashes_of_their_own():
+    one = thue_morse(1024)
+    words = [one, thue_morse(1024, "b", "a"), one + one, one[1:] + one[0], one[::-1], one[:512] * 2, "ab" * 512, "ba" * 512, "a" * 1024, "a" * 1023, "A" * 1022]
+    (hashes,) = minhash.Shingler(1).sets([" ".join(words)])
+    assert len(hashes) == len({w.lower() for w in words})
+    (alone,) = minhash.Shingler(1).sets([words[0]])
+    assert alone[0] in hashes and len(minhash.Shingler(1).places) == 1 << 10
+
+
+def test_minhash_links_no_different_words(spark):
+    texts = {1: thue_morse(1024), 2: thue_morse(1024, "b", "a"), 3: thue_morse(1024).upper(), 4: thue_morse(1024)[1:]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = minhash.near_duplicates(df, minhash.NearDup(width=3, percent=85)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 3, 85)
+
+
+def test_minhash_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b + " end"), (9, "c d e f g"), (9, a + " end"), (11, "c d e f g h " * 9), (12, "c d e f g h " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df, minhash.NearDup(), carry={"said": F.col("text")}).collect()
+    told = {(r.doc_id, r.said): (r.component_id, r.kept) for r in got}
+    assert told[5, a] == (1, False) and told[9, a + " end"] == (1, False)
+    assert told[5, b] == (5, True) and told[7, b + " end"] == (5, False) and told[9, "c d e f g"] == (9, True)
+    groups = {(r.doc_id, r.said): r.group for r in got}
+    assert groups[5, b] == groups[7, b + " end"] != groups[5, a] == groups[1, a] and len(got) == len(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7)]
     got = {r["id"]: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -509,6 +574,18 @@ def test_chat_long_and_odd(spark):
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_chat_loss_is_read_under_the_mask(spark):
+    turns = [(1, i, ("user", "assistant")[i % 2], f"turn <| {i}") for i in range(40)]
+    made = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    whole = chat.read_back(made).first().loss_text
+    assert whole == "".join(t[3] for t in turns[1::2])
+    for i, change in ((4, "s.start + 1"), (118, "s.start - 1"), (7, "0")):
+        moved = made.withColumn("segments", F.expr(f"transform(segments, (s, i) -> if(i = {i}, named_struct('start', {change}, 'length', s.length, 'loss', s.loss), s))"))
+        assert (chat.read_back(moved).first().loss_text != whole) == (i % 6 == 4)
+    nothing = made.withColumn("segments", F.expr("transform(segments, s -> named_struct('start', 1, 'length', 0, 'loss', s.loss))"))
+    assert chat.read_back(nothing).first().loss_text == ""
+
+
 def chat_text(row, segment):
     return row.formatted[segment.start - 1 : segment.start - 1 + segment.length]
 
@@ -529,6 +606,16 @@ def test_pipeline_stages(spark):
     assert pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_keeps_what_an_id_shares_with_a_copy(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a, {"k": 1}), (5, a, None), (5, b, {"k": 2}), (5, b, {"k": 3}), (8, b + " end", None), (9, "c d", None), (9, "c d", None), (None, a, None), (None, a, None), (3, None, None), (3, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    kept = [(r.doc_id, r.text, r.m) for r in pipeline.deduplicate(spark, docs, SF).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a, {"k": 1}), (5, b, {"k": 2}), (9, "c d", None), (None, a, None), (None, a, None), (3, None, None), (3, "", None)], key=repr)
+    assert pipeline.deduplicate(spark, docs.limit(0), SF).count() == 0
+
+
 def test_pipeline_odd_rows(spark, odd):
     pipeline = pytest.importorskip("corpus_pipeline")
     kept = pipeline.deduplicate(spark, odd, SF).collect()
@@ -537,4 +624,4 @@ def test_pipeline_odd_rows(spark, odd):
 
 
 def test_names():
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11)) and os.path.isdir(SF) and rows(["a"], [(1,)]) == [(1,)]
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14)) and os.path.isdir(SF) and rows(["a"], [(1,)]) == [(1,)]
