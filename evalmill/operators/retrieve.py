@@ -7,13 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined
+from .common import cut, joined
 from .metrics import evaluate
-
-
-def _unit(v: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+from .search import columns, in_shells, unit
 
 
 def _best(s: np.ndarray, rid: np.ndarray, k: int) -> np.ndarray:
@@ -23,19 +19,18 @@ def _best(s: np.ndarray, rid: np.ndarray, k: int) -> np.ndarray:
     return best[np.lexsort((rid[best], -s[best]))][:k]
 
 
-def _in_blocks(queries: DataFrame, reference: DataFrame, id_col: str, vec_col: str, further: dict[str, Column], meet, schema: str, query_block: int, reference_block: int, kind: str = "array<double>") -> DataFrame:
-    """Blocks of queries meet blocks of references as (id, v, further columns); block counts follow row counts."""
-    def counted(df: DataFrame, block: int) -> int:
-        return max(1, -(-df.count() // block))
-
-    rows = [d.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast(kind).alias("v"), *[c.alias(n) for n, c in further.items()]) for d in (queries, reference)]
-    nq, nr = counted(rows[0], query_block), counted(rows[1], reference_block)
+def _searched(queries: DataFrame, reference: DataFrame, id_col: str, vec_col: str, further: dict[str, Column], meet, schema: str, k: int, query_block: int, reference_block: int, per: tuple[str, ...] = (), kinds: int = 1) -> DataFrame:
+    """Queries meet references as (id, v, further columns): where these fill more than two blocks, through shells of angles that leave blocks out (``search``)."""
+    q, r = (columns(d, id_col, vec_col, further) for d in (queries, reference))
+    if r.count() > 2 * reference_block:
+        return in_shells(q, r, meet, schema, k, query_block, reference_block, per, kinds)
+    deals, parts = max(1, -(-q.count() // query_block)), 2
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = rows[0].select("id", "v", *further, F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb"), every(nr).alias("rb"))
-    right = rows[1].select("id", "v", *further, every(nq).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(deals)).cast("int")).withColumn("rb", every(parts))
+    right = r.withColumn("qb", every(deals)).withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, schema)
 
 
@@ -44,16 +39,16 @@ def cosine_top_k(queries: DataFrame, reference: DataFrame, id_col: str, vec_col:
     def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(r):
-            rid, ru = r["id"].to_numpy(), _unit(np.stack(r["v"].to_numpy()))
+            rid, ru = r["id"].to_numpy(), unit(np.stack(r["v"].to_numpy()))
             for start in range(0, len(q), 256):
                 part = q.iloc[start : start + 256]
-                sims = _unit(np.stack(part["v"].to_numpy())) @ ru.T
+                sims = unit(np.stack(part["v"].to_numpy())) @ ru.T
                 for i, one in enumerate(part["id"].to_numpy()):
                     s = np.where(rid == one, -np.inf, sims[i])
                     out += [(one, rid[j], s[j]) for j in _best(s, rid, k)]
         return pd.DataFrame(out, columns=["query_id", "ref_id", "sim"])
 
-    return top_k(_in_blocks(queries, reference, id_col, vec_col, {}, meet, "query_id long, ref_id long, sim double", query_block, reference_block), k)
+    return top_k(_searched(queries, reference, id_col, vec_col, {}, meet, "query_id long, ref_id long, sim double", k, query_block, reference_block), k)
 
 
 def top_k(near: DataFrame, k: int) -> DataFrame:
@@ -61,33 +56,51 @@ def top_k(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "sim")
 
 
-def set_top_k(queries: DataFrame, reference: DataFrame, id_col: str, set_col: str, k: int = 8, query_block: int = 1024, reference_block: int = 8192) -> DataFrame:
-    """The k most similar other rows by Tanimoto similarity of two sets, over rows that share a member.
+def _by_rarity(sets: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, n, m, df, pos) for each member m of each set: df rows of the reference hold it; pos counts from the rarest, from 1 on."""
+    each = sets.select("id", F.size("v").alias("n"), F.explode("v").alias("m")).join(held, "m", "left")
+    row = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "m")))
+    return each.groupBy("id", "n").agg(row.alias("row")).select("id", "n", F.posexplode("row").alias("at", "x")).select("id", "n", "x.m", "x.df", (F.col("at") + 1).alias("pos"))
 
-    Blocks of queries meet blocks of references; shared members are counted
-    inside, over lists of the rows that hold each, so that only a query's k best
-    of a block leave it. Null members do not count; ties go to the smaller id.
-    """
-    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(r):
-            rid, sizes = r["id"].to_numpy(), r["v"].map(len).to_numpy()
-            codes, members = pd.factorize(np.concatenate([*r["v"], []]))
-            held = np.argsort(codes, kind="stable")
-            ends = np.searchsorted(codes[held], np.arange(len(members) + 1))
-            holders = np.repeat(np.arange(len(r)), sizes)[held]
-            names = pd.Index(members)
-            for one, v in zip(q["id"], q["v"], strict=True):
-                known = names.get_indexer(v) if len(v) else []
-                lists = [holders[ends[m] : ends[m + 1]] for m in known if m >= 0]
-                both = np.bincount(np.concatenate(lists), minlength=len(r)) if lists else np.zeros(len(r), int)
-                s = np.full(len(r), -np.inf)
-                np.divide(both, len(v) + sizes - both, out=s, where=(both > 0) & (rid != one))
-                out += [(one, rid[j], s[j]) for j in _best(s, rid, k)]
-        return pd.DataFrame(out, columns=["query_id", "ref_id", "sim"])
 
-    q, r = (d.withColumn(set_col, F.array_distinct(F.array_compact(F.col(set_col).cast("array<string>")))) for d in (queries, reference))
-    return top_k(_in_blocks(q, r, id_col, set_col, {}, meet, "query_id long, ref_id long, sim double", query_block, reference_block, "array<string>"), k)
+def _set_similarity(pairs: DataFrame, q: DataFrame, r: DataFrame) -> DataFrame:
+    """query_id, ref_id, sim of distinct pairs, from the whole sets."""
+    left, right = q.select(F.col("id").alias("query_id"), F.col("v").alias("x")), r.select(F.col("id").alias("ref_id"), F.col("v").alias("y"))
+    both = pairs.join(left, "query_id").join(right, "ref_id").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.select("query_id", "ref_id", (F.col("common") / (F.size("x") + F.size("y") - F.col("common"))).alias("sim"))
+
+
+def set_top_k(queries: DataFrame, reference: DataFrame, id_col: str, set_col: str, k: int = 8, look: int = 64) -> DataFrame:
+    """The k most similar other rows by Tanimoto similarity of two sets; where fewer share a member, the smallest other ids follow with similarity 0.
+
+    An index from members to rows. Its rarest members (in at most ``look`` rows)
+    give each query some partners and so a floor, the k-th best of their
+    similarities. Two sets that reach it overlap by a number that follows from
+    their sizes, so that they share one of their rarest members each (the
+    prefix), and their sizes are near; only such pairs are compared. Null members
+    do not count; rows with a null set take no part; ties go to the smaller id.
+    """
+    q, r = (columns(d.withColumn(set_col, F.array_distinct(F.array_compact(F.col(set_col).cast("array<string>")))), id_col, set_col, {}, "array<string>") for d in (queries, reference))
+    held = r.select(F.explode("v").alias("m")).groupBy("m").agg(F.count("*").alias("df"))
+    asked, index = cut(_by_rarity(q, held)), _by_rarity(r, held).select(F.col("id").alias("ref_id"), F.col("n").alias("rn"), "m", F.col("pos").alias("rpos"))
+    index = cut(index)
+    other = F.col("id") != F.col("ref_id")
+    rare = asked.where(F.col("df").between(1, look)).join(index, "m").where(other).select(F.col("id").alias("query_id"), "ref_id").distinct()
+    first = top_k(_set_similarity(rare, q, r), k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("sim").alias("floor"))
+    floor, n, rn = F.coalesce("floor", F.lit(0.0)), F.col("n"), F.col("rn")
+    # The least overlap at the floor: with the smallest partner before the join, with this one after it.
+    prefix = F.col("pos") <= n - F.greatest(F.ceil(floor * n - 1e-9), F.lit(1)) + 1
+    overlap = F.greatest(F.ceil(floor / (1 + floor) * (n + rn) - 1e-9), F.lit(1))
+    within = (F.col("pos") <= n - overlap + 1) & (F.col("rpos") <= rn - overlap + 1) & (rn >= floor * n - 1e-9) & (rn * floor <= n + 1e-9)
+    pairs = asked.where("df > 0").join(first, "id", "left").where(prefix).join(index, "m").where(other & within).select(F.col("id").alias("query_id"), "ref_id").distinct()
+    near = cut(top_k(_set_similarity(pairs, q, r), k))
+    counts = near.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = q.select(F.col("id").alias("query_id")).join(counts, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    # A query passes over itself and its own neighbours at most: 2k rows are enough for all.
+    lowest = r.select(F.col("id").alias("ref_id")).orderBy("ref_id").limit(2 * k)
+    rest = short.join(F.broadcast(lowest), F.col("query_id") != F.col("ref_id")).join(near.select("query_id", "ref_id"), ["query_id", "ref_id"], "left_anti")
+    rest = rest.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("ref_id")) + F.col("n")).where(F.col("rank") <= k)
+    return near.unionByName(rest.select("query_id", F.col("rank").cast("int").alias("rank"), "ref_id", F.lit(0.0).alias("sim")))
 
 
 def label_summary(queries: DataFrame, near: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -115,11 +128,11 @@ def shortcut_scores(queries: DataFrame, reference: DataFrame, id_col: str, vec_c
     def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(r):
-            rid, ry, ru = r["id"].to_numpy(), r["y"].to_numpy(), _unit(np.stack(r["v"].to_numpy()))
+            rid, ry, ru = r["id"].to_numpy(), r["y"].to_numpy(), unit(np.stack(r["v"].to_numpy()))
             codes = {c: np.split(pd.factorize(pd.concat([q[c], r[c]]))[0], [len(q)]) for c in columns.values()}
             for start in range(0, len(q), 256):
                 part = q.iloc[start : start + 256]
-                sims = _unit(np.stack(part["v"].to_numpy())) @ ru.T
+                sims = unit(np.stack(part["v"].to_numpy())) @ ru.T
                 for i, one in enumerate(part["id"].to_numpy()):
                     s = np.where(rid == one, -np.inf, sims[i])
                     shared = {c: (b == a[start + i]) & (b >= 0) for c, (a, b) in codes.items()}
@@ -131,7 +144,7 @@ def shortcut_scores(queries: DataFrame, reference: DataFrame, id_col: str, vec_c
 
     y = F.col(label_col).cast("double")
     further = {"y": y, **{c: F.col(a).cast("string") for a, c in columns.items()}}
-    found = _in_blocks(queries, reference, id_col, vec_col, further, meet, "condition string, query_id long, ref_id long, sim double, y_r double", query_block, reference_block)
+    found = _searched(queries, reference, id_col, vec_col, further, meet, "condition string, query_id long, ref_id long, sim double, y_r double", k, query_block, reference_block, ("condition",), len(conditions))
     order = Window.partitionBy("condition", "query_id").orderBy(F.desc("sim"), "ref_id")
     near = found.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
     asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("query_id"), y.alias("y"), F.explode(F.array(*map(F.lit, conditions))).alias("condition"))

@@ -393,7 +393,7 @@ def _shortcut_scores(spark, sf_dir):
     return retrieve.shortcut_scores(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", "y", {"label": "label"}, 5, 0.5)
 
 
-@query(f"""WITH {COS}, b AS (SELECT query_id, ref_id, sim, (q.label < 5)::INT AS yq, (r.label < 5)::INT AS yr, q.label = r.label AS s, sim >= 0.5 AS h FROM k JOIN v q ON q.vec_id = query_id JOIN v r ON r.vec_id = ref_id WHERE rank <= 30),
+@query(f"""WITH {COS}, b AS (SELECT query_id, ref_id, sim, (q.label < 5)::INT AS yq, (r.label < 5)::INT AS yr, q.label = r.label AS s, sim >= 0.5 AS h FROM n JOIN v q ON q.vec_id = query_id JOIN v r ON r.vec_id = ref_id),
   c AS (SELECT 'original' AS condition, * FROM b UNION ALL SELECT 'no_same_label', * FROM b WHERE NOT s UNION ALL SELECT 'no_high_similarity', * FROM b WHERE NOT h UNION ALL SELECT 'no_shortcut', * FROM b WHERE NOT s AND NOT h),
   t AS (SELECT *, row_number() OVER (PARTITION BY condition, query_id ORDER BY sim DESC, ref_id) AS r FROM c),
   p AS (SELECT condition, query_id, count(*) AS n, avg(yr) AS m, avg((yr = yq)::INT) AS a FROM t WHERE r <= 5 GROUP BY ALL)
@@ -403,20 +403,43 @@ def shortcut_audit(spark, sf_dir):
     return rounded(t.drop("mean_sim"))
 
 
+@query(f"""WITH {COS}, b AS (SELECT query_id, ref_id, sim, (q.label < 5)::INT::DOUBLE AS y, (r.label < 5)::INT::DOUBLE AS yr, q.label = r.label AS l, query_id % 7 = ref_id % 7 AS g, sim >= 0.3 AS h
+    FROM n JOIN v q ON q.vec_id = query_id JOIN v r ON r.vec_id = ref_id),
+  c AS (SELECT unnest(list_filter(['original', CASE WHEN NOT l THEN 'no_same_label' END, CASE WHEN NOT g THEN 'no_same_group' END, CASE WHEN NOT (l AND g) THEN 'no_same_pair' END, CASE WHEN NOT h THEN 'no_high_similarity' END, CASE WHEN NOT (l OR g OR h) THEN 'no_shortcut' END], lambda x: x IS NOT NULL)) AS condition, * FROM b),
+  t AS (SELECT *, row_number() OVER (PARTITION BY condition, query_id ORDER BY sim DESC, ref_id) AS rank FROM c),
+  p AS (SELECT condition, query_id, y, count(*) AS n, avg(yr) AS score, avg((yr = y)::INT) AS agreement, avg(sim) AS mean_sim FROM t WHERE rank <= 5 GROUP BY ALL)
+  SELECT condition, query_id, y, n, round(score, 6) AS score, round(agreement, 6) AS agreement, round(mean_sim, 6) AS mean_sim FROM p
+  UNION ALL SELECT 'label_free', query_id, y, n, round(mean_sim, 6), round(agreement, 6), round(mean_sim, 6) FROM p WHERE condition = 'original'""")
+def shortcut_scores_by_attribute(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") < 5).cast("int")).withColumn("group", F.col("vec_id") % 7)
+    return rounded(retrieve.shortcut_scores(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", "y", {"label": "label", "group": "group", "pair": ("label", "group")}, 5, 0.3))
+
+
 @query()
 def shortcut_metrics(spark, sf_dir):
     return rounded(retrieve.shortcut_metrics(_shortcut_scores(spark, sf_dir)))
 
 
-@query(r"""WITH s AS (SELECT DISTINCT item_id, unnest(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)))) AS g FROM benchmark WHERE length(text) >= 3),
-  n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.item_id AS query_id, y.item_id AS ref_id, count(*) AS b FROM s x JOIN s y ON x.g = y.g AND x.item_id <> y.item_id GROUP BY ALL),
-  k AS (SELECT query_id, ref_id, b.b / (x.n + y.n - b.b) AS sim FROM b JOIN n x ON x.item_id = query_id JOIN n y ON y.item_id = ref_id)
-  SELECT query_id, rank::INT AS rank, ref_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, ref_id) AS rank FROM k) WHERE rank <= 5""")
+def _set_sql(table: str, key: str, value: str, where: str, k: int) -> str:
+    return f"""WITH i AS (SELECT {key} AS id, {value} AS s FROM {table}),
+  s AS (SELECT id, unnest(s) AS g FROM i), b AS (SELECT x.id AS query_id, y.id AS ref_id, count(*) AS b FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY ALL),
+  k AS (SELECT x.id AS query_id, y.id AS ref_id, coalesce(b.b / (len(x.s) + len(y.s) - b.b), 0.0) AS sim FROM i x JOIN i y ON x.id <> y.id LEFT JOIN b ON b.query_id = x.id AND b.ref_id = y.id WHERE {where})
+  SELECT query_id, rank::INT AS rank, ref_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, ref_id) AS rank FROM k) WHERE rank <= {k}"""
+
+
+@query(_set_sql("benchmark", "item_id", "list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)))", "true", 5))
 def set_neighbours(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").withColumn("s", T.char_ngrams(F.col("text"), 3, 3))
     return rounded(retrieve.set_top_k(items, items, "item_id", "s", 5))
 
 
+@query(_set_sql("benchmark", "item_id", "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 8))", "true", 8))
+def sparse_set_neighbours(spark, sf_dir):
+    """Sets of long words: many rows share none, so that neighbours of similarity 0 fill the lists."""
+    items = table(spark, sf_dir, "benchmark").withColumn("s", F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 8))
+    return rounded(retrieve.set_top_k(items, items, "item_id", "s", 8))
+
+
 @query(f"""WITH {PRED}, g AS (SELECT lang, y, a / 20.0::DOUBLE AS alpha, round((1 - a / 20.0::DOUBLE) * p_hash + a / 20.0::DOUBLE * p_size, 12) AS p FROM pred, range(21) r(a) WHERE y IS NOT NULL),
   t AS (SELECT lang, alpha, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM g GROUP BY ALL), c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM t WINDOW w AS (PARTITION BY lang, alpha ORDER BY p DESC)),
   s AS (SELECT lang, alpha, round(sum(pos * tp / (tp + fp)) / sum(pos), 9) AS ap FROM c GROUP BY ALL HAVING sum(pos) > 0)
