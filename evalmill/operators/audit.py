@@ -97,7 +97,7 @@ def threshold_grid(df: DataFrame, keys: list[str], part: str, id_col: str, value
     """
     spread = df.where(F.col(value).isNotNull()).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).withColumn("y", (F.col(value) >= F.col("threshold")).cast("int"))
     by = [*keys, "threshold"]
-    parts = spread.groupBy(*by, part).agg(F.count_distinct("y").alias("classes"), F.count("*").alias("n"), F.avg("y").alias("prevalence"))
+    parts = spread.groupBy(*by, part).agg((1 + (F.max("y") > F.min("y")).cast("int")).alias("classes"), F.count("*").alias("n"), F.avg("y").alias("prevalence"))
     failed = parts.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("classes") < 2, F.col(part)))), ",").alias("one_class_in")).where("one_class_in <> ''")
     valid = joined(spread.where(F.col(part) == test), failed.select(*by, F.lit(True).alias("__bad")), by, "left").where("__bad is null").drop("__bad")
     return metrics.evaluate(valid, by, id_col, "y", p), failed

@@ -8,8 +8,10 @@ the caller; all rows stay in Spark.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,18 +110,26 @@ def direct_regression(df: DataFrame, id_col: str, value: str, columns: tuple[str
     return fused.unpivot([id_col, part, value], ["ridge", "neighbours", "fused"], "model", "p")
 
 
-def run_grid(spark: SparkSession, cells: list[dict], folder: str, run: Callable[[dict], DataFrame]) -> DataFrame:
+def run_grid(spark: SparkSession, cells: list[dict], folder: str, run: Callable[[dict], DataFrame], together: int = 4) -> DataFrame:
     """Every cell's table in one long one, with the cell's fields as columns; finished cells (a _SUCCESS file) are not run again.
 
     A cell is one run of an experiment: split mode, seed, share of blanked
-    fields, threshold. Each is a Spark job of its own, written under ``folder``.
+    fields, threshold. Each is a Spark job of its own, written under ``folder``;
+    ``together`` of them are submitted at a time and share the cluster.
     """
+    def path(cell: dict) -> str:
+        return f"{folder}/{'_'.join(f'{k}={v}' for k, v in sorted(cell.items()))}"
+
+    def made(cell: dict) -> None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path(cell)}/_SUCCESS")
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            run(cell).write.mode("overwrite").parquet(path(cell))
+
+    with ThreadPoolExecutor(together) as pool:
+        for done in [pool.submit(inheritable_thread_target(made), cell) for cell in cells]:
+            done.result()
     out = None
     for cell in cells:
-        path = f"{folder}/{'_'.join(f'{k}={v}' for k, v in sorted(cell.items()))}"
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            run(cell).write.mode("overwrite").parquet(path)
-        part = spark.read.parquet(path).withColumns({k: F.lit(v) for k, v in cell.items()})
+        part = spark.read.parquet(path(cell)).withColumns({k: F.lit(v) for k, v in cell.items()})
         out = part if out is None else out.unionByName(part)
     return out

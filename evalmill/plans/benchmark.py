@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, curate, metrics, project, report, significance, split
-from ..operators.common import joined
+from ..operators.common import cut, joined
 
 
 @dataclass(frozen=True)
@@ -106,13 +106,75 @@ def consumer_splits(df: DataFrame, c: Columns, mode: str, most: dict[str, int],
     return out
 
 
+def grid_splits(df: DataFrame, c: Columns, seeds: list[int], train: float = 0.7, val: float = 0.15) -> DataFrame:
+    """``df`` once per split mode, with columns mode and parts, an array of (seed, split): every seed of every mode in one plan.
+
+    Each mode has units that stay together: rows of one identity, groups, years.
+    Their distinct texts are counted once and take their places for every seed
+    in two levels, first sizes of hash slots, then an order inside each; rows
+    meet their units by one join. Rows without a group or year are not in that
+    mode. The same parts as ``all_splits`` gives.
+    """
+    kinds = modes(c)
+
+    def unit(kind: str, columns: list[str]) -> Column:
+        text = F.concat_ws("|", *[F.col(x).cast("string") for x in columns])
+        return text if kind == "random" else F.when(F.col(columns[0]).isNotNull(), text)
+
+    named = [F.struct(F.lit(m).alias("mode"), unit(kind, columns).alias("unit")) for m, (kind, columns) in kinds.items()]
+    rows = df.withColumn("__at", F.explode(F.array(*named))).select(*df.columns, "__at.mode", F.col("__at.unit").alias("__unit")).where("__unit is not null")
+    of = {kind: F.col("mode").isin([m for m, (k, _) in kinds.items() if k == kind]) for kind in ("random", "time")}
+    # A repeated identity takes as many places as it has rows.
+    counts = rows.groupBy("mode", "__unit").agg(F.count("*").alias("__rows")).withColumn("__rows", F.when(of["random"], F.col("__rows")).otherwise(1))
+    drawn = counts.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    drawn = drawn.withColumn("__hash", F.md5(F.concat_ws("|", F.col("seed").cast("string"), "__unit")))
+    # Years have one slot, as there are few, and their own order.
+    drawn = cut(drawn.withColumns({"__slot": F.when(of["time"], 0).otherwise(F.conv(F.substring("__hash", 1, 3), 16, 10).cast("int")), "__year": F.when(of["time"], F.col("__unit").cast("double"))}))
+    run, earlier = Window.partitionBy("mode", "seed"), (Window.unboundedPreceding, -1)
+    sizes = drawn.groupBy("mode", "seed", "__slot").agg(F.sum("__rows").alias("__n"))
+    sizes = sizes.select("mode", "seed", "__slot", F.coalesce(F.sum("__n").over(run.orderBy("__slot").rowsBetween(*earlier)), F.lit(0)).alias("__before"), F.sum("__n").over(run).alias("__all"))
+    inside = F.coalesce(F.sum("__rows").over(Window.partitionBy("mode", "seed", "__slot").orderBy("__year", "__hash", "__unit").rowsBetween(*earlier)), F.lit(0))
+    placed = drawn.withColumn("__in", inside).join(sizes, ["mode", "seed", "__slot"])
+    place = F.struct("seed", (F.col("__in") + F.col("__before")).alias("first"), F.col("__all").alias("all"))
+    places = placed.groupBy("mode", "__unit").agg(F.array_sort(F.collect_list(place)).alias("__places"))
+    nth = F.row_number().over(Window.partitionBy("mode", "__unit").orderBy(F.xxhash64(*df.columns)))
+    told = rows.where(of["random"]).withColumn("__nth", nth).unionByName(rows.where(~of["random"]).withColumn("__nth", F.lit(1)))
+    parts = F.transform("__places", lambda x: F.struct(x["seed"].alias("seed"), split.part_of(x["first"] + F.col("__nth"), x["all"], train, val).alias("split")))
+    return told.join(places, ["mode", "__unit"]).select(*df.columns, "mode", parts.alias("parts"))
+
+
+def exploded(dealt: DataFrame) -> DataFrame:
+    """``grid_splits`` as a row per seed, with columns seed and split."""
+    columns = [x for x in dealt.columns if x != "parts"]
+    return dealt.withColumn("__part", F.explode("parts")).select(*columns, "__part.seed", "__part.split")
+
+
+def _narrow(df: DataFrame, c: Columns, *columns: str) -> DataFrame:
+    return df.select(*dict.fromkeys([*c.identity, c.context, c.year, *columns]))
+
+
 def evaluation_grid(df: DataFrame, c: Columns, p: str, thresholds: list[float], seeds: list[int]) -> tuple[DataFrame, DataFrame]:
-    """Metrics of a score on the test part over split mode, seed and threshold, and the cells that have a one-class part."""
-    out = None
-    for s in seeds:
-        part = all_splits(df, c, s).withColumn("seed", F.lit(s))
-        out = part if out is None else out.unionByName(part)
-    return audit.threshold_grid(out, ["mode", "seed"], "split", c.row_id, c.value, p, thresholds)
+    """Metrics of a score on the test part over split mode, seed and threshold, and the cells that have a one-class part.
+
+    The source is read once; what the metrics read again is in the shared folder.
+    """
+    dealt = cut(grid_splits(cut(_narrow(df, c, c.value, p)), c, seeds))
+    return audit.threshold_grid(exploded(dealt), ["mode", "seed"], "split", c.row_id, c.value, p, thresholds)
+
+
+def experiment_matrix(df: DataFrame, c: Columns, y: str, p: str, seeds: list[int], shares: list[float]) -> DataFrame:
+    """Metrics on the test part over split mode, seed and share of rows whose score is missing, all cells in one plan.
+
+    A missing score gives way to the share of ones in the cell's train part.
+    Which rows miss theirs follows from a hash of seed and row, so that a larger
+    share misses those of a smaller one too.
+    """
+    dealt = exploded(cut(grid_splits(cut(_narrow(df, c, y, p).where(F.col(y).isNotNull())), c, seeds)))
+    prior = dealt.where(F.col("split") == "train").groupBy("mode", "seed").agg(F.avg(F.col(y).cast("double")).alias("__prior"))
+    test = joined(dealt.where(F.col("split") == "test"), prior, ["mode", "seed"])
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.lit("missing"), F.col(c.row_id).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    cells = test.withColumn("missing", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("__p", F.when(draw < F.col("missing"), F.col("__prior")).otherwise(F.col(p)))
+    return metrics.evaluate(cut(cells.select("mode", "seed", "missing", c.row_id, F.col(y).alias("__y"), "__p")), ["mode", "seed", "missing"], c.row_id, "__y", "__p")
 
 
 def case_bundle(predictions: DataFrame, runs: DataFrame, grid: DataFrame, keys: list[str], id_col: str, n: int) -> dict[str, DataFrame]:

@@ -298,6 +298,33 @@ def evaluation_grid(spark, sf_dir):
     return rounded(benchmark.evaluation_grid(rows, ROLES, "p", [20000.0, 50000.0], [1])[0].select("mode", "seed", "threshold", "n", "n_pos", "brier"))
 
 
+def _grid_sql(seeds: list[int]) -> str:
+    """``dealt`` of every seed, as SPLITS has it for one."""
+    modes = {"random": ("act", "md5('{s}|' || row_id || '|' || left_id || '|' || right_id), row_id, left_id, right_id", None), "right_cold": ("gr", "md5('{s}|' || right_id), right_id", "right_id"),
+             "context_cold": ("gc", "md5('{s}|' || context_id), context_id", "context_id"), "temporal": ("gy", "year", "year")}
+    parts = []
+    for s in seeds:
+        for mode, (source, order, key) in modes.items():
+            dealt = _split_sql(source, order.format(s=s))
+            parts.append(f"SELECT '{mode}' AS mode, {s} AS seed, split, row_id, value, year FROM {dealt if key is None else f'act JOIN {dealt} USING ({key})'}")
+    return f"{ACT}, gr AS (SELECT DISTINCT right_id FROM act), gc AS (SELECT DISTINCT context_id FROM act), gy AS (SELECT DISTINCT year FROM act), dealt AS ({' UNION ALL '.join(parts)})"
+
+
+@query(f"""WITH {_grid_sql([1, 2, 45])}, x AS (SELECT mode, seed, split, row_id, (value <= 30000)::INT AS y, round(year / 2000.0::DOUBLE - 0.5, 6) AS p FROM dealt),
+  b AS (SELECT mode, seed, avg(y) AS prior FROM x WHERE split = 'train' GROUP BY ALL),
+  t AS (SELECT mode, seed, missing, y, CASE WHEN ('0x' || substr(md5(seed || '|missing|' || row_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < missing THEN prior ELSE p END AS p
+    FROM x JOIN b USING (mode, seed), (VALUES (0.0::DOUBLE), (0.35)) m(missing) WHERE split = 'test'),
+  c AS (SELECT mode, seed, missing, list_sum([(p >= e / 10.0::DOUBLE)::INT for e in range(1, 10)]) AS bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM t GROUP BY ALL),
+  e AS (SELECT mode, seed, missing, sum(n * gap) / sum(n) AS ece FROM c GROUP BY ALL),
+  r AS (SELECT mode, seed, missing, y, p, rank() OVER (PARTITION BY mode, seed, missing ORDER BY p) + (count(*) OVER (PARTITION BY mode, seed, missing, p) - 1) / 2 AS k FROM t),
+  a AS (SELECT mode, seed, missing, (sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auroc FROM r GROUP BY ALL)
+  SELECT mode, seed, missing, count(*) AS n, sum(y)::BIGINT AS n_pos, round(any_value(auroc), 6) AS auroc, round(any_value(ece), 6) AS ece, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(((p >= 0.5)::INT = y)::INT), 6) AS accuracy
+  FROM t JOIN e USING (mode, seed, missing) JOIN a USING (mode, seed, missing) GROUP BY ALL""")
+def experiment_matrix(spark, sf_dir):
+    rows = activities(spark, sf_dir).select(*KEPT, (F.col("value") <= 30000).cast("int").alias("y"), F.round(F.col("year") / 2000.0 - 0.5, 6).alias("p"))
+    return rounded(benchmark.experiment_matrix(rows, ROLES, "y", "p", [1, 2, 45], [0.0, 0.35]).select("mode", "seed", "missing", "n", "n_pos", "auroc", "ece", "brier", "accuracy"))
+
+
 @query(f"""WITH {PRED}, e AS (SELECT lang, 'error' AS kind, least(count(*), 3) AS n FROM long GROUP BY lang, model),
   w AS (SELECT lang, 'decision' AS kind, least(count(*), 3) AS n FROM long WHERE (p >= 0.5)::INT <> y GROUP BY lang, model),
   d AS (SELECT lang, 'disagreement' AS kind, least(count(*), 3) AS n FROM (SELECT lang, doc_id FROM long GROUP BY ALL HAVING count(DISTINCT p >= 0.5) > 1) GROUP BY lang)
