@@ -62,20 +62,32 @@ def fold_of(df: DataFrame, label: str, order: list[str], folds: int, seed: int =
     return placed.withColumn("fold", F.pmod(F.col("__place") - 1, F.lit(folds)).cast("int")).drop("__unit", "__place")
 
 
-def fit_calibrated(df: DataFrame, label: str, order: list[str], folds: int = 3, c: float = 1.0, seed: int = 0) -> list[tuple]:
-    """Per fold a class-balanced classifier of the other folds and a sigmoid of its margin, fitted on the fold; no more folds than rows of the smaller class, empty where that is under two."""
+def dealt(df: DataFrame, label: str, order: list[str], folds: int = 3, seed: int = 0) -> tuple[DataFrame, int]:
+    """``df`` with a column fold, and the number of folds: no more than rows of the smaller class, 0 where that is under two."""
     counts = [r[1] for r in df.groupBy(label).count().collect()]
     folds = min(folds, *counts) if len(counts) == 2 else 0
     if folds < 2:
-        return []
-    dealt = fold_of(df, label, order, folds, seed).persist()
+        return df.withColumn("fold", F.lit(0)), 0
+    return fold_of(df, label, order, folds, seed), folds
+
+
+def fit_folds(df: DataFrame, label: str, folds: int, c: float = 1.0) -> list[tuple]:
+    """Per fold a class-balanced classifier of the other folds and a sigmoid of its margin, fitted on the fold."""
     fitted = []
     for f in range(folds):
-        model = fit_classifier(dealt.where(F.col("fold") != f), label, c)
+        model = fit_classifier(df.where(F.col("fold") != f), label, c)
         if model is not None:
-            held = model.transform(dealt.where(F.col("fold") == f)).select(label, F.array(vector_to_array("rawPrediction")[1]).alias("m"))
+            held = model.transform(df.where(F.col("fold") == f)).select(label, F.array(vector_to_array("rawPrediction")[1]).alias("m"))
             fitted.append((model, LogisticRegression(featuresCol="m", labelCol=label, maxIter=40).fit(held.select(label, array_to_vector("m").alias("m")))))
-    dealt.unpersist()
+    return fitted
+
+
+def fit_calibrated(df: DataFrame, label: str, order: list[str], folds: int = 3, c: float = 1.0, seed: int = 0) -> list[tuple]:
+    """``fit_folds`` over a table that is dealt for it; empty where that can't be."""
+    rows, folds = dealt(df, label, order, folds, seed)
+    rows = rows.persist()
+    fitted = fit_folds(rows, label, folds, c)
+    rows.unpersist()
     return fitted
 
 
@@ -123,8 +135,12 @@ def best_candidate(df: DataFrame, keys: list[str], model: str, order: str, y: st
 
 
 def monotonic_bridge(train: DataFrame, df: DataFrame, x: str, y: str, name: str = "bridged") -> DataFrame:
-    """An isotonic map from score to measurement, held flat outside the range."""
-    model = IsotonicRegression(featuresCol=x, labelCol=y, predictionCol=name).fit(train.select(x, y))
+    """An isotonic map from score to measurement, held flat outside the range; the mean measurement where fewer than two scores differ."""
+    seen = train.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if seen.select(x).distinct().limit(2).count() < 2:
+        mean = seen.agg(F.avg(y)).first()[0]
+        return df.withColumn(name, F.lit(mean).cast("double"))
+    model = IsotonicRegression(featuresCol=x, labelCol=y, predictionCol=name).fit(seen.select(x, y))
     return model.transform(df)
 
 
