@@ -316,6 +316,27 @@ def across(members: DataFrame, sets: DataFrame, signed: DataFrame, settings: Nea
     return groups.mapInPandas(compare, "a long, b long")
 
 
+def star_pairs(reps: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b): a leads, as its smallest id, a band bucket that holds b too, and their bits put them at ``least`` or more. reps: id, bits, bands."""
+    filed = reps.select("id", F.explode("bands").alias("band"))
+    buckets = filed.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    starred = filed.join(buckets, "band").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    bits = reps.select("id", "bits")
+    with_bits = starred.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
+    return with_bits.where(estimate(F.col("x"), F.col("y")) >= least).select("a", "b").distinct()
+
+
+def copy_classes(docs: DataFrame, settings: NearDup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class): the smallest id that leads one of the row's buckets and is a near copy by its bits; itself if there is none.
+
+    An estimate in one step, for weights: no full sets, no chains of links. ids tell rows apart.
+    """
+    signed = cut(signatures(docs, settings, id_col, text_col, {}).select("id", "bits", "bands"))
+    near = star_pairs(signed.where("bits is not null"), settings.percent / 100).groupBy("b").agg(F.min("a").alias("class"))
+    found = signed.select("id").join(near.withColumnRenamed("b", "id"), "id", "left")
+    return found.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class"))
+
+
 #: Numbers of classes from here on are no ids.
 FRESH = 1 << 62
 
@@ -348,11 +369,7 @@ def near_duplicates(docs: DataFrame, settings: NearDup, id_col: str = "doc_id",
     nodes = rows.where("bits is not null").select(F.col("node").alias("id"), "rep", "d1", "d2", "bits", "bands")
     reps = nodes.select("id", "bits", "bands")
     filed = reps.select("id", F.explode("bands").alias("band"))
-    buckets = filed.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    starred = filed.join(buckets, "band").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    bits = reps.select("id", "bits")
-    with_bits = starred.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
-    tested = cut(with_bits.where(estimate(F.col("x"), F.col("y")) >= least_estimate(settings)).select("a", "b").distinct())
+    tested = cut(star_pairs(reps, least_estimate(settings)))
     links = cut(confirm(tested, docs, nodes, settings, id_col, text_col))
     parts = connected_components(links)
 

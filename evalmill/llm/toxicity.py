@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, spread
-from .minhash import NearDup, near_duplicates
+from .minhash import NearDup, copy_classes
 
 #: A word may hold digits, and signs between letters or a sign that stands for its first letter.
 _WORD = re.compile(r"[@$]?[^\W_]+(?:[@$!*|]{1,2}[^\W_]+)*")
@@ -251,8 +251,7 @@ def weighed(sample: DataFrame, id_col: str, settings: NearDup = NearDup(width=3,
 
     ids tell the rows apart.
     """
-    near = near_duplicates(sample, settings, id_col).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__class"))
-    near = cut(near)
+    near = cut(copy_classes(sample, settings, id_col).select(F.col(id_col).alias("__id"), F.col("class").alias("__class")))
     sizes = near.groupBy("__class").agg(F.count("*").alias("__copies"))
     weight, fold = F.round(F.lit(UNIT) / F.col("__copies")).cast("long"), F.pmod(F.xxhash64("__class"), F.lit(2)).cast("int")
     told = near.join(sizes, "__class").select("__id", F.greatest(weight, F.lit(1)).alias("weight"), fold.alias("fold"))
