@@ -96,13 +96,17 @@ def ranked(df: DataFrame, keys: list[str], score: str, *ties: str, name: str = "
     return found.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], (F.col("l.__in") + F.col("r.__n")).alias(name))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """keys and the exact quantiles of the non-null values, interpolated between neighbours; groups without values are absent.
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, __v and __c: the distinct non-null values of each group as doubles and their rows, counted once and kept in the shared folder."""
+    return cut(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c")))
+
+
+def quantiles_of(counts: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """keys, __n (rows) and the exact quantiles of ``value_counts``, interpolated between neighbours.
 
-    Distinct values are counted and placed in two levels as in ``above``, so that
-    no group's values meet in one buffer.
+    Values are placed in two levels as in ``above``, so that no group's values
+    meet in one buffer; all shares come from the same places.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
     placed = above(in_unit(counts, keys, "__v", rising=True), keys, "__unit", {"__upto": F.col("__c")}, F.asc("__v"))
     sized = joined(placed, counts.groupBy(*keys).agg(F.sum("__c").alias("__n")), keys)
     ends = []
@@ -110,5 +114,10 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
         at = (F.col("__n") - 1) * F.lit(float(share))
         ends += [F.min(F.when(F.col("__upto") > low, F.col("__v"))).alias(f"__{end}_{name}") for end, low in (("lo", F.floor(at)), ("hi", F.ceil(at)))]
         ends.append(F.first(at - F.floor(at)).alias(f"__at_{name}"))
-    found = sized.groupBy(*keys).agg(*ends)
-    return found.select(*keys, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__at_{n}")).alias(n) for n in shares])
+    found = sized.groupBy(*keys).agg(F.first("__n").alias("__n"), *ends)
+    return found.select(*keys, "__n", *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__at_{n}")).alias(n) for n in shares])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and the exact quantiles of the non-null values; groups without values are absent. ``df`` is evaluated once."""
+    return quantiles_of(value_counts(df, keys, value), keys, shares).drop("__n")

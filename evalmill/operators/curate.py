@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_order, hash_unit, in_unit, joined, quantiles, ranked, require_columns
+from .common import cut, hash_order, hash_unit, in_unit, joined, quantiles, quantiles_of, ranked, require_columns, value_counts
 
 
 def clean_measurements(df: DataFrame, value: str, required: list[str], kinds: list[str] | None = None, kind: str | None = None) -> DataFrame:
@@ -55,12 +55,16 @@ def collapse_replicates(df: DataFrame, keys: list[str], value: str, year: str, o
     as a median in one aggregate holds all values of its key; the rows are the same.
     """
     firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(year, order))).alias(c) for c in describe]
-    held = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > large).drop("__n")
-    few, many = joined(df, held, keys, "left_anti"), joined(df, held, keys, "left_semi")
-    out = many.groupBy(*keys).agg(F.count("*").alias("n_replicates"), *firsts)
-    for column in (value, year):
-        out = joined(out, quantiles(many, keys, column, {column: 0.5}), keys, "left")
-    out = few.groupBy(*keys).agg(F.median(value).alias(value), F.median(year).alias(year), F.count("*").alias("n_replicates"), *firsts).unionByName(out)
+    rows = cut(df.select(*dict.fromkeys([*keys, value, year, order, *describe])))  # read for the counts and for the medians
+    held = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > large).drop("__n"))
+    few, out = rows, None
+    if not held.isEmpty():
+        few, many = joined(rows, held, keys, "left_anti"), joined(rows, held, keys, "left_semi")
+        out = many.groupBy(*keys).agg(F.count("*").alias("n_replicates"), *firsts)
+        for column in (value, year):
+            out = joined(out, quantiles(many, keys, column, {column: 0.5}), keys, "left")
+    small = few.groupBy(*keys).agg(F.median(value).alias(value), F.median(year).alias(year), F.count("*").alias("n_replicates"), *firsts)
+    out = small if out is None else small.unionByName(out)
     return out.select(*keys, value, F.bround(year).cast("int").alias(year), "n_replicates", *describe)
 
 
@@ -83,15 +87,17 @@ def label_by_quantile(df: DataFrame, group: str, value: str, order: list[str], l
     and both classes; ``cap`` bounds the rows per class by hash order. Returns
     the rows and a policy table of the groups kept.
     """
-    seen = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    policy = seen.groupBy(group).agg(F.count("*").alias("n_rows")).join(quantiles(seen, [group], value, {"q_low": low, "q_high": high}), group).where((F.col("n_rows") >= least_rows) & (F.col("q_high") - F.col("q_low") > least_gap))
-    labelled = df.join(policy, group).withColumn("label", F.when(F.col(value) >= F.col("q_high"), 1).when(F.col(value) <= F.col("q_low"), 0)).where("label is not null")
-    classes = labelled.groupBy(group).agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")).where("n_pos > 0 and n_neg > 0")
-    rows = labelled.join(classes.select(group), group, "left_semi").drop("n_rows", "q_low", "q_high")
+    counts = value_counts(df.where(F.col(group).isNotNull()), [group], value)
+    policy = quantiles_of(counts, [group], {"q_low": low, "q_high": high}).withColumnRenamed("__n", "n_rows").where((F.col("n_rows") >= least_rows) & (F.col("q_high") - F.col("q_low") > least_gap))
+    # A value from the high quantile on is positive, whatever the low one is.
+    label = lambda v: F.when(v >= F.col("q_high"), 1).when(v <= F.col("q_low"), 0)
+    classes = counts.join(policy, group).groupBy(group).agg(*[F.sum(F.when(label(F.col("__v")) == y, F.col("__c")).otherwise(0)).alias(n) for n, y in (("n_pos", 1), ("n_neg", 0))]).where("n_pos > 0 and n_neg > 0")
+    policy = cut(policy.join(classes, group))  # a row per group
+    rows = df.join(policy.select(group, "q_low", "q_high"), group).withColumn("label", label(F.col(value))).where("label is not null").drop("q_low", "q_high")
     if cap is not None:
         placed = ranked(rows.withColumn("__u", hash_unit(seed, *order)), [group, "label"], "__u", *order, name="__r", order=F.asc(hash_order(seed, *order)))
         rows = placed.where(F.col("__r") <= cap).drop("__r", "__u")
-    return rows, policy.join(classes, group)
+    return rows, policy
 
 
 def profile(df: DataFrame, keys: list[str], value: str, label: Column, year: str, entities: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import above, in_unit, joined, ranked
+from .common import above, cut, in_unit, joined, ranked
 
 #: Edges of ten equal bins as floating-point multiples of 0.1.
 EDGES = tuple(i * 0.1 for i in range(1, 10))
@@ -250,10 +250,12 @@ def concordance(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", rang
 
     fy, fp = F.col(y).cast("double"), F.col(p).cast("double")
     seen = df.where(fy.isNotNull() & fp.isNotNull() & ~F.isnan(fy) & ~F.isnan(fp)).groupBy(*keys, fy.alias("__y"), fp.alias("__p")).agg(F.count("*").alias("__w"))
-    sides = {side: _in_ranges(seen, keys, f"__{side}", f"__r{side}", ranges, least) for side in "yp"}
+    seen = cut(seen)  # both sides' ranges, cells and pairs come from this count
+    sides = {side: cut(_in_ranges(seen, keys, f"__{side}", f"__r{side}", ranges, least)) for side in "yp"}
     placed = seen
     for side, table in sides.items():
         placed = joined(placed, table.drop("__c"), [*keys, f"__{side}"])
+    placed = cut(placed)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in seen.schema.fields if f.name in keys] + ["good double"])
 
