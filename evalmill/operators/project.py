@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require_columns
+from .common import cut, require_columns
 from .curate import nm_to_p
 
 
@@ -69,15 +69,49 @@ def id_text(column: Column, default: str = "") -> Column:
     return F.coalesce(column.cast("string"), F.lit(default))
 
 
-def with_predictions(df: DataFrame, predictions: DataFrame, row_id: str) -> DataFrame:
-    """Rows joined to their predictions on a row id; raises when a side has rows that the other lacks."""
+def with_predictions(df: DataFrame, predictions: DataFrame, row_id: str, unmatched: str = "raise") -> DataFrame:
+    """Rows joined to their predictions on a row id, clashing names with the suffix ``_pred``.
+
+    Where a side has rows that the other lacks: ``raise`` fails, ``keep`` keeps
+    every row of ``df``, with nulls for what it lacks, and drops predictions of no row.
+    """
     clash = [c for c in predictions.columns if c in df.columns and c != row_id]
-    right = predictions.withColumnsRenamed({c: f"{c}_pred" for c in clash}).withColumn("__right", F.lit(1))
-    both = df.withColumn("__left", F.lit(1)).join(right, row_id, "full")
+    right = predictions.withColumnsRenamed({c: f"{c}_pred" for c in clash})
+    if unmatched == "keep":
+        return df.join(right, row_id, "left")
+    both = df.withColumn("__left", F.lit(1)).join(right.withColumn("__right", F.lit(1)), row_id, "full")
     odd = F.when(F.col("__left").isNull() | F.col("__right").isNull(), F.raise_error(F.concat(F.lit("row without its counterpart: "), F.col(row_id).cast("string"))).cast("int")).otherwise(1)
     return both.withColumn("__ok", odd).where("__ok = 1").drop("__left", "__right", "__ok")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds the place of each row in an order, from 0 on without gaps.
+
+    Ranges of the order first, in as many parts as a shuffle has; a part's rows
+    are sorted and counted by themselves, and only the table of parts is ordered
+    whole. Rows are kept in the shared folder, so that their parts stay the same.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    # The upper bits name the part, the lower 33 the place in it.
+    dealt = dealt.withColumns({"__part": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return dealt.join(F.broadcast(starts), "__part").withColumn(name, F.col("__in") + F.col("__before")).drop("__at", "__part", "__in", "__before")
+
+
+def sample_ids(df: DataFrame, order: list[Column], prefix: str, name: str = "sample_id") -> DataFrame:
+    """Adds running ids ``{prefix}0``, ``{prefix}1``, ... in an order."""
+    return numbered(df, order, "__place").withColumn(name, F.concat(F.lit(prefix), F.col("__place").cast("string"))).drop("__place")
+
+
+def beside(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
+    """Two tables side by side, row by row in their orders, with a column position; raises where one has more rows."""
+    a, b = numbered(left, left_order), numbered(right, right_order)
+    return with_predictions(a, b, "position")
+
+
 def in_split(df: DataFrame, parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """Rows tagged by the part whose keys they match, on all keys at once."""
     tagged = None

@@ -117,6 +117,50 @@ def complete_run_folders(spark, sf_dir):
     return found.select(F.regexp_extract("run_dir", r"run=(\d+)", 1).cast("int").alias("region"), F.size("names").alias("n_files"), "bytes")
 
 
+@query("""WITH f AS (SELECT CASE WHEN n_nationkey % 3 > 0 THEN 'b' ELSE 'a' END AS name, n_regionkey, count(*) AS rows, sum(strlen(n_name || chr(10))) AS bytes FROM nation GROUP BY ALL)
+  SELECT n_regionkey::INT AS region, sum(rows)::BIGINT AS rows, sum(bytes)::BIGINT AS bytes FROM f GROUP BY 1 HAVING count(*) = 2 UNION ALL
+  SELECT 100 + n_regionkey::INT, sum(rows)::BIGINT, sum(bytes)::BIGINT FROM f WHERE n_regionkey <> 1 GROUP BY 1 HAVING count(*) = 2""")
+def runs_with_required_files(spark, sf_dir):
+    """Runs that hold both required files, with their rows; a second set of runs in which one run lacks a file."""
+    path = fresh(spark)
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"), F.col("n_regionkey").alias("run"), F.when(F.col("n_nationkey") % 3 > 0, "b").otherwise("a").alias("name"))
+    second = rows.withColumn("run", F.col("run") + 100).where("not (run = 101 and name = 'b')")
+    rows.unionByName(second).repartition("run", "name").write.partitionBy("run", "name").text(path)
+    # What a folder is called stands for the name of its file.
+    folder = F.regexp_extract("path", r"^(?:file:)?/*(.*)/[^/]+$", 1)
+    counts = scans.row_counts(spark, f"{path}/run=*").groupBy(folder.alias("path")).agg(F.sum("rows").alias("rows"))
+    files = scans.list_files(spark, f"{path}/run=*").withColumn("path", folder)
+    whole = scans.complete_runs(files, ["name=a", "name=b"]).select(F.regexp_extract("run_dir", r"run=(\d+)", 1).cast("int").alias("region"), "bytes")
+    told = counts.groupBy(F.regexp_extract("path", r"run=(\d+)", 1).cast("int").alias("region")).agg(F.sum("rows").alias("rows"))
+    return whole.join(told, "region").select("region", "rows", "bytes")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS position, o_orderkey, 'o' || (row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1) AS sample_id FROM orders")
+def running_numbers(spark, sf_dir):
+    """Places and running ids of orders by falling date."""
+    order = [F.desc("o_orderdate"), F.asc("o_orderkey")]
+    rows = project.sample_ids(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), order, "o")
+    return project.numbered(rows, order).select("position", "o_orderkey", "sample_id")
+
+
+@query("""SELECT a.position, c_custkey, o_orderkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer) a
+  JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS position FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT (SELECT count(*) FROM customer))) b USING (position)""")
+def rows_side_by_side(spark, sf_dir):
+    """Customers by balance beside as many orders by price, by position."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(customers.count())
+    found = project.beside(customers, orders, [F.asc("c_acctbal"), F.asc("c_custkey")], [F.asc("o_totalprice"), F.asc("o_orderkey")])
+    return found.select("position", "c_custkey", "o_orderkey")
+
+
+@query(f"WITH {PRED} SELECT doc_id, lang, CASE WHEN doc_id % 3 > 0 THEN p_hash END AS p FROM pred")
+def left_joined_predictions(spark, sf_dir):
+    """Rows beside predictions that some of them lack."""
+    rows = predictions(spark, sf_dir)
+    some = rows.where("doc_id % 3 > 0").select("doc_id", F.col("p_hash").alias("p")).union(spark.createDataFrame([(-5, 0.5)], "doc_id long, p double"))
+    return project.with_predictions(rows.select("doc_id", "lang"), some, "doc_id", "keep")
+
+
 @query("SELECT c_custkey, c_mktsegment AS split_mode, CASE WHEN c_custkey % 10 < 8 THEN 'train' WHEN c_custkey % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM customer")
 def split_sink(spark, sf_dir):
     path, place = fresh(spark), F.col("c_custkey") % 10

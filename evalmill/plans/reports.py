@@ -232,6 +232,19 @@ def main_table(spark, sf_dir):
     return rounded(audit.main_table(runs(spark, sf_dir), {"A": "Accepted", "N": "None yet"}, ["priority"], "kind", "year", ["metric"]), 4)
 
 
+@query(f"""WITH {PRED}, x AS (SELECT lang, threshold, p_hash AS p, (p_size >= threshold)::INT AS y FROM pred, (VALUES (0.1::DOUBLE), (0.3)) v(threshold)),
+  t AS (SELECT lang, threshold, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM x GROUP BY ALL), c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM t WINDOW w AS (PARTITION BY lang, threshold ORDER BY p DESC))
+  SELECT lang, 'p_hash' AS model, threshold, sum(pos + neg)::BIGINT AS n, sum(pos)::BIGINT AS n_pos, round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) END, 6) AS auroc,
+  round(CASE WHEN sum(pos) > 0 THEN sum(pos * tp / (tp + fp)) / sum(pos) END, 6) AS ap FROM c GROUP BY ALL""")
+def post_processed(spark, sf_dir):
+    """The threshold audit of the models that the main table shows."""
+    wide = predictions(spark, sf_dir)
+    long = wide.select("doc_id", "lang", F.col("p_size").alias("v"), "p_hash", F.lit(0.5).alias("hidden")).unpivot(["doc_id", "lang", "v"], ["p_hash", "hidden"], "model", "p")
+    scores = metrics.ranking(wide.where("y is not null"), ["lang"], "y", "p_hash").withColumns({"model": F.lit("p_hash"), "seed": F.lit(1)})
+    main, swept = benchmark.post_process(scores, long, {"p_hash": "by hash"}, ["lang"], "v", [0.1, 0.3])
+    return rounded(swept.join(main.select("lang", "model"), ["lang", "model"], "left"))
+
+
 @query(f"""WITH {ACT}, k AS (SELECT right_id FROM act GROUP BY 1 ORDER BY count(*) DESC, right_id LIMIT 5),
   l AS (SELECT row_id, left_id, right_id, (value <= 20000)::INT AS label FROM act WHERE right_id IN (FROM k) AND value > 0 AND (value <= 20000 OR value >= 40000)),
   d AS (SELECT * FROM l ORDER BY {_hashed(42)} LIMIT 400)

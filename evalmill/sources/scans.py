@@ -69,6 +69,12 @@ def list_files(spark: SparkSession, path: str, digest: bool = False) -> DataFram
     return files.select("path", "length", "modificationTime", *([F.sha2("content", 256).alias("sha256")] if digest else []))
 
 
+def row_counts(spark: SparkSession, path: str) -> DataFrame:
+    """path and rows (lines) of text files under a glob; files without lines are absent."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
+
+
 def complete_runs(files: DataFrame, required: list[str]) -> DataFrame:
     """Run directories that hold all required file names, with total size and the seconds between first and last write."""
     named = files.withColumn("run_dir", F.regexp_extract("path", r"^(.*)/[^/]+$", 1)).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
