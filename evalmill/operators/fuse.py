@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,19 @@ from .metrics import ranking
 GRID = tuple(i / 20 for i in range(21))
 
 
+def hashed_vectors(df: DataFrame, items: dict[str, str], buckets: int) -> DataFrame:
+    """Adds a sparse vector of length 1 for each named array column: counts of its items by hash bucket; the zero vector for none and for null.
+
+    ``items`` maps a new column to the array it comes from. The vectors stay
+    sparse up to the fit.
+    """
+    for name, column in items.items():
+        ready = df.withColumn("__items", F.coalesce(F.array_compact(F.col(column).cast("array<string>")), F.array().cast("array<string>")))
+        counted = HashingTF(numFeatures=buckets, inputCol="__items", outputCol="__counts").transform(ready)
+        df = Normalizer(p=2.0, inputCol="__counts", outputCol=name).transform(counted).drop("__items", "__counts")
+    return df
+
+
 def gate_features(df: DataFrame, p: str, q: str, stats: list[str], masks: list[str]) -> DataFrame:
     """Adds a vector ``features``: both probabilities, signed and absolute gap, neighbour statistics, masks, missing count."""
     missing = F.lit(len(masks)) - sum([F.col(m) for m in masks], F.lit(0))

@@ -15,9 +15,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 from . import fuse, metrics, retrieve
 from .common import cut, joined
@@ -139,10 +142,16 @@ def levels(table: dict[str, Node]) -> list[list[str]]:
 
 
 def as_vector(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Adds ``features`` from number and array columns; null numbers count as 0."""
-    kinds = dict(df.dtypes)
-    parts = [F.col(c).cast("array<double>") if kinds[c].startswith("array") else F.array(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in columns]
-    return df.withColumn("features", array_to_vector(F.concat(*parts)))
+    """Adds ``features`` from number, array and vector columns (sparse ones stay sparse); null numbers count as 0."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if any(isinstance(kinds[c], VectorUDT) for c in columns):
+        parts = {f"__f{i}": F.col(c) if isinstance(kinds[c], VectorUDT) else array_to_vector(_numbers(kinds[c], c)) for i, c in enumerate(columns)}
+        return VectorAssembler(inputCols=list(parts), outputCol="features").transform(df.withColumns(parts)).drop(*parts)
+    return df.withColumn("features", array_to_vector(F.concat(*[_numbers(kinds[c], c) for c in columns])))
+
+
+def _numbers(kind: DataType, column: str) -> Column:
+    return F.col(column).cast("array<double>") if isinstance(kind, ArrayType) else F.array(F.coalesce(F.col(column).cast("double"), F.lit(0.0)))
 
 
 def evidence_columns(table: dict[str, Node], name: str) -> list[str]:

@@ -1,8 +1,10 @@
 import math
 
 import pytest
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
+from evalmill.functions import text as T
 from evalmill.operators import fuse, retrieve, split, suite
 from evalmill.operators.common import cut
 
@@ -99,3 +101,23 @@ def test_bridge_of_constant_scores_is_the_mean(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 4.0), (None, 9.0)], "x double, y double")
     assert {r.bridged for r in fuse.monotonic_bridge(df, df.where("x is not null"), "x", "y").collect()} == {3.0}
     assert {r.bridged for r in fuse.monotonic_bridge(df.limit(0), df, "x", "y").collect()} == {None}
+
+
+def test_sparse_vectors_reach_a_fit(spark):
+    """Characters and words hashed (F1, F2), joined with masks (F3), in a suite."""
+    texts = [(i, f"{'bright' if i % 2 else 'dull'} thing number {i % 7}", i % 2, int(i % 3 > 0)) for i in range(80)] + [(80, None, 0, 0), (81, "", 1, 0)]
+    df = spark.createDataFrame(texts, "id long, text string, y int, mask int")
+    df = df.withColumn("split", F.when(F.col("id") % 4 < 2, "train").when(F.col("id") % 4 == 2, "val").otherwise("test"))
+    ready = df.withColumns({"chars": T.char_ngrams(F.col("text"), 2, 3), "words": T.word_ngrams(F.col("text"), 1, 2)})
+    ready = cut(fuse.hashed_vectors(ready, {"c": "chars", "w": "words"}, 1 << 12).drop("chars", "words"))
+    joint = suite.as_vector(ready, ("c", "w", "mask"))
+    rows = {r.id: r for r in joint.collect()}
+    assert rows[0].features.size == 2 * (1 << 12) + 1 and isinstance(rows[0].features, SparseVector)
+    assert abs(rows[0].c.norm(2) - 1) < 1e-12 and rows[80].c.numNonzeros() == rows[81].w.numNonzeros() == 0
+    # Equal up to the buckets' numbers: counts of distinct grams over their length.
+    for i in (0, 5):
+        words = texts[i][1].split()
+        grams = words + [" ".join(x) for x in zip(words, words[1:])]
+        assert sorted(rows[i].w.values) == pytest.approx([1 / math.sqrt(len(grams))] * len(grams))
+    got = suite.run_suite(ready, "id", "y", {"m": suite.Features(("c", "w", "mask"))}, folds=2).where("split = 'test' and id < 80").collect()
+    assert all((r.p > 0.5) == (r.y == 1) for r in got) and len(got) == 20
