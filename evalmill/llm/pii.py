@@ -47,6 +47,15 @@ _LOCAL_PHONE = re.compile(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ASSIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z_-]{2,40})[ \t]{0,3}[=:][ \t]{0,3}[\"']([^\"'\s]{8,200})[\"']")
 _OBFUSCATED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}){1,4}")
+#: Secrets without quotation marks only behind a name that says so.
+_BARE = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z_-]{0,40}(?:token|secret|password|passwd|pwd|key|auth|credentials?))[ \t]{0,3}[=:][ \t]{0,3}([A-Za-z0-9_+/.~!@#$%^&*-]{8,200})(?![^\s,;)\]}])", re.IGNORECASE)
+_NAME = r"(?:[A-Z]['’])?[^\W\d_a-zß-öø-ÿ][^\W\d_A-ZÀ-ÖØ-Þ][^\W\d_]{0,30}(?:-[^\W\d_]{1,30})?"
+_TITLED = re.compile(rf"(?<!\w)(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? {_NAME}(?: {_NAME}){{0,2}}(?!\w)")
+#: Phrases of the four languages that a full name follows.
+INTRODUCTIONS = ("my name is", "name is", "name:", "i am", "i'm", "signed", "signed by", "sincerely", "sincerely,", "regards,", "dear", "contact", "contact:", "attn:", "written by", "author:", "patient:", "ask for", "speak to", "speak with", "je m'appelle", "mon nom est", "cher", "chère", "signé", "signé par", "ich heiße", "mein name ist", "liebe", "lieber", "gezeichnet", "me llamo", "mi nombre es", "estimado", "estimada", "querido", "querida", "firmado", "firmado por")
+_TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr")
+_NAMED = ("token", "secret", "passw", "pwd", "key", "auth", "credential")
+_INTRODUCED = re.compile(rf"(?<!\w)(?:(?i:{'|'.join(map(re.escape, sorted(INTRODUCTIONS, key=len, reverse=True)))}))[ \t\n]{{1,2}}({_NAME}(?: (?:[A-Z]\. )?{_NAME}){{1,2}})(?!\w)")
 _PERSON = re.compile(r"(?<!\w)(?:(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? )?[A-ZÀ-Ý][a-zà-ÿ]{1,30} (?:[A-Z]\. )?[A-ZÀ-Ý][a-zà-ÿ]{1,30}(?!\w)")
 _HONORIFIC = re.compile(r"(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? ")
 
@@ -73,7 +82,7 @@ CONTEXT = {
     "iban": ("iban", "bank", "account", "konto", "transfer"),
     "local_phone": ("phone", "call", "tel", "mobile", "fax"),
     "obfuscated_email": ("mail", "contact", "write"),
-    "person": ("name", "mr", "mrs", "dr", "herr", "frau", "dear", "by ", "signed"),
+    "person": ("name", "mr", "mrs", "dr", "herr", "frau", "dear", "by ", "signed", "i am ", "i'm ", "sincerely", "regards", "contact", "attn", "author", "patient", "ask for", "speak ", "appelle", "nom est", "cher ", "chère ", "signé", "heiße", "liebe", "gezeichnet", "llamo", "nombre", "estimad", "querid", "firmado"),
     "secret": ("token", "secret", "password", "key", "auth"),
     "ssn": ("ssn", "social", "security"),
 }
@@ -138,18 +147,28 @@ def base_spans(text: str) -> list[Span]:
 
 def more_spans(text: str) -> list[Span]:
     """Candidates beside the base spans: matches that failed their check and are long enough to mean something, and further kinds."""
-    matches = base_matches(text)
+    matches, lowered = base_matches(text), text.lower()  # to see at once which patterns are worth a scan
     out = [s for s in matches if not checked(s[0], text[s[1] : s[2]]) and s[2] - s[1] >= (12 if s[0] == "card" else 7)]
     if "=" in text or ":" in text:
         out += [("secret", *m.span(2)) for m in _ASSIGNED.finditer(text)]
+        if any(n in lowered for n in _NAMED):
+            out += [("secret", *m.span(2)) for m in _BARE.finditer(text)]
     if "at" in text and ("[" in text or "(" in text):
         out += [("obfuscated_email", *m.span()) for m in _OBFUSCATED.finditer(text)]
     if _DIGIT.search(text):
         out += [("ssn", *m.span()) for m in _SSN.finditer(text)]
         out += [("iban", *m.span()) for m in _IBAN.finditer(text)]
         out += [("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
-    # Two capitals alone are no reason to look: one word must be a given name, or a title stand before.
-    out += [("person", *m.span()) for m in _PERSON.finditer(text) if _HONORIFIC.match(m[0]) or m[0].partition(" ")[0] in _GIVEN]
+    # Two capitals alone are no reason to look: a title or an introduction stands before, or a given name begins.
+    named = [m.span() for m in _TITLED.finditer(text)] if any(t in text for t in _TITLES) else []
+    if any(p in lowered for p in INTRODUCTIONS):
+        named += [m.span(1) for m in _INTRODUCED.finditer(text)]
+    named += [m.span() for m in _PERSON.finditer(text) if _HONORIFIC.match(m[0]) or m[0].partition(" ")[0] in _GIVEN]
+    last = 0
+    for start, end in sorted(set(named), key=lambda s: (s[0], -s[1])):
+        if start >= last:  # of overlapping ones the first and longest
+            out.append(("person", start, end))
+            last = end
     inside = sorted((a, b) for k, a, b in matches if checked(k, text[a:b]))
     starts = [a for a, _ in inside]
     ends = list(np.maximum.accumulate([b for _, b in inside])) if inside else []
@@ -175,7 +194,7 @@ def votes(kind: str, start: int, end: int, text: str) -> list[int]:
     if kind == "secret":
         classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
         shape = int(len(set(value)) >= 8 and classes >= 2 and len(value) >= 12)
-        name = re.search(r"([A-Za-z_-]+)[ \t]*[=:][ \t]*[\"']$", before)
+        name = re.search(r"([A-Za-z_-]+)[ \t]*[=:][ \t]*[\"']?$", before)
         gazetteer = int(bool(name) and any(s in name[1].lower() for s in SECRET_NAMES) and not any(p in value.lower() for p in PLACEHOLDERS))
     elif kind == "ssn":
         area, group, serial = value.split("-")
@@ -198,7 +217,8 @@ def votes(kind: str, start: int, end: int, text: str) -> list[int]:
     elif kind == "local_phone":
         gazetteer = int(digits[0] >= "2" and digits[3] >= "2")
     elif kind == "person":
-        gazetteer = int(_HONORIFIC.sub("", value).partition(" ")[0] in _GIVEN)
+        # A name that no list holds says nothing either way.
+        gazetteer = 1 if _HONORIFIC.sub("", value).partition(" ")[0] in _GIVEN else -1
         shape = 1 if _HONORIFIC.match(value) else 0 if value.split(" ")[-1] in PLACES else -1
     context = 1 if _CONTEXT[kind].search(line) else -1
     against = 0 if _AGAINST.search(line[-25:]) else -1
