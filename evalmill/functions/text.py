@@ -65,6 +65,14 @@ def seed_of(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"_s(\d+)(?:_|/|$)", 1), F.lit("")).cast("int")
 
 
+def run_name(path: Column) -> Column:
+    """Split and seed of a run directory named ``{split}_s{seed}``: struct<split, seed>, null where it is not."""
+    name = F.regexp_extract(path, r"([^/]+)/?$", 1)
+    split = F.regexp_extract(name, r"^(.+)_s(\d+)$", 1)
+    seed = F.nullif(F.regexp_extract(name, r"^(.+)_s(\d+)$", 2), F.lit("")).cast("int")
+    return F.when(seed.isNotNull(), F.struct(split.alias("split"), seed.alias("seed")))
+
+
 def stable_id(prefix: str, text: Column) -> Column:
     """A reproducible id from a text."""
     return F.concat(F.lit(prefix), F.pmod(F.xxhash64(text), F.lit(10_000_000_000)).cast("string"))

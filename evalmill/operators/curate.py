@@ -107,6 +107,16 @@ def profile(df: DataFrame, keys: list[str], value: str, label: Column, year: str
     return joined(plain, quantiles(df, keys, value, {"median_value": 0.5}), keys, "left")
 
 
+def missing_rates(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, column and the share of rows where it is null or, as text, empty or blank."""
+    def gone(c: str) -> Column:
+        return F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True)).cast("int")
+
+    rates = df.groupBy(*keys).agg(*[F.avg(gone(c)).alias(f"__r{i}") for i, c in enumerate(columns)])
+    told = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__r{i}").alias("missing")) for i, c in enumerate(columns)]))
+    return rates.withColumn("__x", told).select(*keys, "__x.column", "__x.missing")
+
+
 def duplicate_counts(df: DataFrame, keys: dict[str, list[str]]) -> DataFrame:
     """One row per named key: rows, distinct keys, duplicates (rows beyond the first of each key)."""
     parts = [df.groupBy(*[F.col(c) for c in cols]).agg(F.count("*").alias("n")).agg(F.lit(name).alias("key"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct")) for name, cols in keys.items()]

@@ -24,6 +24,24 @@ def regression_rows(df: DataFrame, value: str, label: str, raw_scale: bool = Fal
     return rows.where(F.col("__v") > 0).withColumn("y", nm_to_p(F.col("__v"))).withColumn("binary_label", F.col(label)).drop("__v")
 
 
+#: The columns that four consumers read, by what they hold.
+CONSUMERS = {
+    "molecule_scores": {"protein_id": "right", "protein_sequence": "right_text", "molecule_id": "left", "molecule_smiles": "left_text", "affinity_score": "y", "binary_label": "label", "sample_id": "sample", "drug_id": "left", "target_id": "right", "label_raw_nm": "raw"},
+    "keyed_affinities": {"drug_key": "left", "compound_iso_smiles": "left_text", "target_key": "right", "target_sequence": "right_text", "affinity": "y", "binary_label": "label", "sample_id": "sample", "drug_id": "left", "target_id": "right", "label_raw_nm": "raw"},
+    "affinities": {"drug_id": "left", "target_id": "right", "compound_iso_smiles": "left_text", "target_sequence": "right_text", "affinity": "y", "binary_label": "label", "sample_id": "sample", "label_raw_nm": "raw"},
+    "self_targets": {"compound_iso_smiles": "left_text", "target_smiles": "left_text", "target_sequence": "right_text", "affinity": "y", "binary_label": "label", "sample_id": "sample", "drug_id": "left", "target_id": "right", "label_raw_nm": "raw"},
+}
+#: Types of what they hold; all else is text.
+HELD_AS = {"y": "double", "raw": "double", "label": "int"}
+
+
+def for_consumer(df: DataFrame, consumer: str, roles: dict[str, str]) -> DataFrame:
+    """The columns that a consumer reads; ``roles`` names the columns of left, right, left_text, right_text, y, label, sample and raw."""
+    if consumer not in CONSUMERS:
+        raise ValueError(f"no such consumer: {consumer}")
+    return project(df, {name: F.col(roles[role]).cast(HELD_AS.get(role, "string")) for name, role in CONSUMERS[consumer].items()})
+
+
 def label_policy(df: DataFrame, policies: DataFrame, key: str, value: str) -> DataFrame:
     """Labels by a table of (key, active, inactive, greater_is_better); rows in the gap or without a policy are dropped."""
     rows = df.join(policies, key)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, joined
+from .curate import sample_rows
 from .metrics import evaluate
 from .search import columns, in_shells, unit
 
@@ -51,6 +52,11 @@ def cosine_top_k(queries: DataFrame, reference: DataFrame, id_col: str, vec_col:
     return top_k(_searched(queries, reference, id_col, vec_col, {}, meet, "query_id long, ref_id long, sim double", k, query_block, reference_block), k)
 
 
+def within_budget(reference: DataFrame, id_col: str, budget: int | None, seed: int = 0) -> DataFrame:
+    """At most ``budget`` reference rows (None: all), drawn by a seeded hash of their ids."""
+    return reference if budget is None else sample_rows(reference, budget, [id_col], seed)
+
+
 def top_k(near: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ref_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "sim")

@@ -354,7 +354,9 @@ def direct_regression(df: DataFrame, id_col: str, value: str, columns: tuple[str
     """id, part, value, model, p of a ridge regression, the neighbours' mean, and a linear fusion of both fitted on val.
 
     The penalty with the smallest RMSE on val is taken, the first on ties;
-    ``neighbours`` has query_id and predicted; rows without neighbours get the train mean.
+    ``neighbours`` has query_id and predicted, and the part's column where a row
+    stands in several parts (test, and test with blanks: clean and missing side by
+    side); rows without neighbours get the train mean.
     """
     rows = as_vector(df.where(F.col(value).isNotNull()).withColumn("label", F.col(value).cast("double")), columns)
     rows = cut(rows)  # read by every fit
@@ -366,8 +368,9 @@ def direct_regression(df: DataFrame, id_col: str, value: str, columns: tuple[str
         if best is None or (rmse is not None and rmse < best[0]):
             best = (float("inf") if rmse is None else rmse, model)
     mean = train.agg(F.avg("label").alias("__mean"))
-    near = neighbours.select(F.col("query_id").alias(id_col), "predicted")
-    both = joined(joined(best[1].transform(rest).withColumnRenamed("prediction", "ridge"), near, [id_col], "left"), mean, [])
+    keys = [id_col, part] if part in neighbours.columns else [id_col]
+    near = neighbours.withColumnRenamed("query_id", id_col).select(*keys, "predicted")
+    both = joined(joined(best[1].transform(rest).withColumnRenamed("prediction", "ridge"), near, keys, "left"), mean, [])
     both = as_vector(both.withColumn("neighbours", F.coalesce("predicted", "__mean")).drop("features"), ("ridge", "neighbours"))
     fusion = fuse.ridge(both.where(F.col(part) == "val").select("features", "label"), "label", 0.0)
     fused = fusion.transform(both).withColumnRenamed("prediction", "fused")

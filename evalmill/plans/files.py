@@ -270,6 +270,42 @@ def word_ngrams(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(grams).cast("long").alias("n_grams"), F.size(F.array_distinct(grams)).cast("long").alias("n_distinct"))
 
 
+@query("""SELECT DISTINCT path, CASE WHEN y % 2 = 0 THEN 'cold_' || lower(p) END AS split, CASE WHEN y % 2 = 0 THEN y END AS seed FROM (SELECT year(o_orderdate)::INT AS y, substr(o_orderpriority, 3) AS p,
+  CASE WHEN year(o_orderdate) % 2 = 0 THEN 'runs/cold_' || lower(substr(o_orderpriority, 3)) || '_s' || year(o_orderdate) || '/' ELSE 'runs/' || year(o_orderdate) END AS path FROM orders)""")
+def run_names(spark, sf_dir):
+    year = F.year("o_orderdate")
+    path = F.when(year % 2 == 0, F.concat(F.lit("runs/cold_"), F.lower(F.substring("o_orderpriority", 3, 40)), F.lit("_s"), year, F.lit("/"))).otherwise(F.concat(F.lit("runs/"), year))
+    told = table(spark, sf_dir, "orders").select(path.alias("path")).distinct().withColumn("run", T.run_name(F.col("path")))
+    return told.select("path", "run.split", "run.seed")
+
+
+@query("""SELECT o_orderpriority AS priority, unnest(['clerk', 'note']) AS "column", unnest([avg((length(trim(clerk)) = 0)::INT), avg((note IS NULL)::INT)]) AS missing FROM (
+  SELECT o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE o_orderstatus END AS clerk, CASE WHEN o_orderkey % 4 > 0 THEN o_totalprice END AS note FROM orders) GROUP BY 1""")
+def missing_rates(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("o_orderstatus")).alias("clerk"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_totalprice")).alias("note"))
+    return curate.missing_rates(rows, ["priority"], ["clerk", "note"])
+
+
+#: Where the columns of ``project.CONSUMERS`` come from here.
+_FROM = {"left": "l_partkey", "right": "l_suppkey", "left_text": "p_name", "right_text": "s_name", "y": "l_extendedprice", "label": "l_linenumber", "sample": "l_orderkey", "raw": "l_quantity"}
+
+
+def _consumer_query(consumer: str) -> None:
+    kinds = {"string": "VARCHAR", "double": "DOUBLE", "int": "INT"}
+    columns = ", ".join(f"{_FROM[role]}::{kinds[project.HELD_AS.get(role, 'string')]} AS {name}" for name, role in project.CONSUMERS[consumer].items())
+
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        return project.for_consumer(rows, consumer, _FROM)
+
+    run.__name__ = f"consumer_{consumer}"
+    query(f"SELECT {columns} FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")(run)
+
+
+for _consumer in project.CONSUMERS:
+    _consumer_query(_consumer)
+
+
 @query("SELECT DISTINCT 'runs/base_s' || year(o_orderdate) || '_x' AS path, year(o_orderdate)::INT AS seed FROM orders")
 def seed_of_path(spark, sf_dir):
     path = F.concat(F.lit("runs/base_s"), F.year("o_orderdate"), F.lit("_x"))

@@ -515,7 +515,17 @@ def neighbour_regression(spark, sf_dir):
     return rounded(fuse.neighbour_regression(near, v, "vec_id", "label"))
 
 
-@query()
+def _view_sql(name: str) -> str:
+    columns = ("mean_label", "std_label", "mean_sim", "max_sim", "n_ones", "weighted_label")
+    return ", ".join(f"round(coalesce({name[0]}.{c}, 0), 6) AS {name}_{c}" for c in columns)
+
+
+@query(f"""WITH v AS (SELECT vec_id, (label < 5)::INT::DOUBLE AS y, embedding::DOUBLE[] AS joint, CASE WHEN vec_id % 3 > 0 THEN embedding[1:16]::DOUBLE[] END AS head FROM embeddings),
+  n AS (SELECT 'joint' AS view, q.vec_id AS query_id, r.vec_id AS ref_id, r.y, list_cosine_similarity(q.joint, r.joint) AS sim FROM v q JOIN v r ON q.vec_id <> r.vec_id AND q.vec_id % 20 = 0 AND q.joint IS NOT NULL AND r.joint IS NOT NULL
+    UNION ALL SELECT 'head', q.vec_id, r.vec_id, r.y, list_cosine_similarity(q.head, r.head) FROM v q JOIN v r ON q.vec_id <> r.vec_id AND q.vec_id % 20 = 0 AND q.head IS NOT NULL AND r.head IS NOT NULL),
+  k AS (SELECT *, least(1, greatest(0, sim)) + 1e-6 AS w, row_number() OVER (PARTITION BY view, query_id ORDER BY sim DESC, ref_id) AS rank FROM n),
+  s AS (SELECT view, query_id, avg(y) AS mean_label, stddev_pop(y) AS std_label, avg(sim) AS mean_sim, max(sim) AS max_sim, sum(y) AS n_ones, sum(y * w) / sum(w) AS weighted_label FROM k WHERE rank <= 8 GROUP BY ALL)
+  SELECT vec_id AS query_id, {_view_sql('joint')}, {_view_sql('head')} FROM v LEFT JOIN s j ON j.view = 'joint' AND j.query_id = vec_id LEFT JOIN s h ON h.view = 'head' AND h.query_id = vec_id WHERE vec_id % 20 = 0""")
 def multi_view_neighbours(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") < 5).cast("int").alias("y"), "embedding", F.when(F.col("vec_id") % 3 > 0, F.slice("embedding", 1, 16)).alias("head"))
     return rounded(retrieve.multi_view(v.where("vec_id % 20 = 0"), v, "vec_id", "y", {"joint": "embedding", "head": "head"}))

@@ -121,3 +121,19 @@ def test_sparse_vectors_reach_a_fit(spark):
         assert sorted(rows[i].w.values) == pytest.approx([1 / math.sqrt(len(grams))] * len(grams))
     got = suite.run_suite(ready, "id", "y", {"m": suite.Features(("c", "w", "mask"))}, folds=2).where("split = 'test' and id < 80").collect()
     assert all((r.p > 0.5) == (r.y == 1) for r in got) and len(got) == 20
+
+
+def test_regression_of_clean_and_blanked_rows(spark):
+    df = spark.range(60).withColumns({"v": 2.0 * F.col("id") + 1, "x": F.col("id").cast("double")}).withColumn("split", F.when(F.col("id") % 3 == 0, "train").when(F.col("id") % 3 == 1, "val").otherwise("test"))
+    blank = df.where("split = 'test'").withColumns({"split": F.lit("missing"), "x": F.lit(0.0)})
+    near = df.select(F.col("id").alias("query_id"), "split", (F.col("v") + 20 * F.sin(F.col("id") * 1.7)).alias("predicted"))
+    near = near.unionByName(near.where("split = 'test'").withColumns({"split": F.lit("missing"), "predicted": F.lit(7.0)}))
+    got = suite.direct_regression(df.unionByName(blank), "id", "v", ("x",), near, alphas=(1e-6,)).collect()
+    assert len(got) == 3 * 60 and {r.p for r in got if r.split == "missing" and r.model == "neighbours"} == {7.0}
+    assert len({round(r.p, 6) for r in got if r.split == "missing" and r.model == "ridge"}) == 1
+
+
+def test_budget_of_references(spark):
+    df = spark.range(50).withColumnRenamed("id", "vec_id")
+    drawn = [sorted(r.vec_id for r in retrieve.within_budget(df.repartition(n), "vec_id", 12, 3).collect()) for n in (1, 5)]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 12 and retrieve.within_budget(df, "vec_id", None).count() == 50
