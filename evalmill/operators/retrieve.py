@@ -76,8 +76,11 @@ def _set_similarity(pairs: DataFrame, q: DataFrame, r: DataFrame) -> DataFrame:
     return both.select("query_id", "ref_id", (F.col("common") / (F.size("x") + F.size("y") - F.col("common"))).alias("sim"))
 
 
-def set_top_k(queries: DataFrame, reference: DataFrame, id_col: str, set_col: str, k: int = 8, look: int = 64) -> DataFrame:
-    """The k most similar other rows by Tanimoto similarity of two sets; where fewer share a member, the smallest other ids follow with similarity 0.
+def set_top_k(queries: DataFrame, reference: DataFrame, id_col: str, set_col: str, k: int = 8, query_block: int | None = None, reference_block: int | None = None, look: int = 64, fill: bool = False) -> DataFrame:
+    """The k most similar other rows by Tanimoto similarity of two sets, over rows that share a member.
+
+    With ``fill``, where fewer than k share one, the smallest other ids follow
+    with similarity 0. Blocks are no longer needed; their sizes are taken and ignored.
 
     An index from members to rows. Its rarest members (in at most ``look`` rows)
     give each query some partners and so a floor, the k-th best of their
@@ -99,7 +102,10 @@ def set_top_k(queries: DataFrame, reference: DataFrame, id_col: str, set_col: st
     overlap = F.greatest(F.ceil(floor / (1 + floor) * (n + rn) - 1e-9), F.lit(1))
     within = (F.col("pos") <= n - overlap + 1) & (F.col("rpos") <= rn - overlap + 1) & (rn >= floor * n - 1e-9) & (rn * floor <= n + 1e-9)
     pairs = asked.where("df > 0").join(first, "id", "left").where(prefix).join(index, "m").where(other & within).select(F.col("id").alias("query_id"), "ref_id").distinct()
-    near = cut(top_k(_set_similarity(pairs, q, r), k))
+    near = top_k(_set_similarity(pairs, q, r), k)
+    if not fill:
+        return near
+    near = cut(near)
     counts = near.groupBy("query_id").agg(F.count("*").alias("n"))
     short = q.select(F.col("id").alias("query_id")).join(counts, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
     # A query passes over itself and its own neighbours at most: 2k rows are enough for all.

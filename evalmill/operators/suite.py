@@ -18,7 +18,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType
 
@@ -165,22 +165,27 @@ def evidence_columns(table: dict[str, Node], name: str) -> list[str]:
 def with_evidence(df: DataFrame, name: str, node: Evidence, id_col: str, label: str, part: str) -> DataFrame:
     """Adds a node's columns; neighbours are looked for in the train part, never the row's own id; zeros where there are none."""
     train = df.where(F.col(part) == "train")
-    wanted = df.dropDuplicates([id_col, part]) if part else df
+    # A row may stand in several parts (clean and with blanks), each a query of its own; ids are unique within a turn.
+    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(part))
+    wanted = cut(df.dropDuplicates([id_col, part]).withColumn("__turn", turn).select(id_col, part, "__turn", *[c for _, c in (node.columns if isinstance(node, Views) else (("", node.column),))]))
+    turns = wanted.agg(F.max("__turn")).first()[0] or 0
     out = df
     views = node.columns if isinstance(node, Views) else (("", node.column),)
     for view, column in views:
         found = None
-        # A row may stand in several parts (clean and with blanks), each a query of its own.
-        for p in [r[0] for r in wanted.select(part).distinct().collect()]:
-            asked = wanted.where(F.col(part) == p).select(id_col, column)
-            reference = train.select(id_col, label, column)
-            if isinstance(node, Views) and reference.where(F.size(column) > 0).limit(2).count() < 2:
-                reference = reference.limit(0)
-            near = retrieve.set_top_k(asked, reference, id_col, column, node.k) if isinstance(node, SetNeighbours) else retrieve.cosine_top_k(asked.where(F.size(column) > 0), reference.where(F.size(column) > 0), id_col, column, node.k)
-            told = retrieve.label_summary(asked, near, train, id_col, label).withColumn(part, F.lit(p))
+        reference = train.select(id_col, label, column)
+        if isinstance(node, Views) and reference.where(F.size(column) > 0).limit(2).count() < 2:
+            reference = reference.limit(0)
+        for t in range(1, turns + 1):
+            asked = wanted.where(F.col("__turn") == t).select(id_col, part, column)
+            near = retrieve.set_top_k(asked, reference, id_col, column, node.k, fill=True) if isinstance(node, SetNeighbours) else retrieve.cosine_top_k(asked.where(F.size(column) > 0), reference.where(F.size(column) > 0), id_col, column, node.k)
+            told = joined(retrieve.label_summary(asked, near, train, id_col, label).withColumnRenamed("query_id", id_col), asked.select(id_col, part), [id_col])
             found = told if found is None else found.unionByName(told)
+        if found is None:
+            found = df.limit(0).select(id_col, part, *[F.lit(0.0).alias(s) for s in STATISTICS])
+        found = cut(found)
         prefix = f"{name}_{view}_" if view else f"{name}_"
-        out = joined(out, found.select(F.col("query_id").alias(id_col), part, *[F.col(s).alias(prefix + s) for s in STATISTICS]), [id_col, part])
+        out = joined(out, found.select(id_col, part, *[F.col(s).alias(prefix + s) for s in STATISTICS]), [id_col, part])
     return out
 
 

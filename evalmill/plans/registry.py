@@ -430,14 +430,14 @@ def _set_sql(table: str, key: str, value: str, where: str, k: int) -> str:
 @query(_set_sql("benchmark", "item_id", "list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)))", "true", 5))
 def set_neighbours(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").withColumn("s", T.char_ngrams(F.col("text"), 3, 3))
-    return rounded(retrieve.set_top_k(items, items, "item_id", "s", 5))
+    return rounded(retrieve.set_top_k(items, items, "item_id", "s", 5, fill=True))
 
 
 @query(_set_sql("benchmark", "item_id", "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 8))", "true", 8))
 def sparse_set_neighbours(spark, sf_dir):
     """Sets of long words: many rows share none, so that neighbours of similarity 0 fill the lists."""
     items = table(spark, sf_dir, "benchmark").withColumn("s", F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 8))
-    return rounded(retrieve.set_top_k(items, items, "item_id", "s", 8))
+    return rounded(retrieve.set_top_k(items, items, "item_id", "s", 8, fill=True))
 
 
 @query(f"""WITH {PRED}, g AS (SELECT lang, y, a / 20.0::DOUBLE AS alpha, round((1 - a / 20.0::DOUBLE) * p_hash + a / 20.0::DOUBLE * p_size, 12) AS p FROM pred, range(21) r(a) WHERE y IS NOT NULL),

@@ -372,12 +372,12 @@ def model_suite(spark, sf_dir):
 
 @query()
 def composed_suite(spark, sf_dir):
-    """Gate, arbitration, views and set neighbours from the table of standard variants, on the test part and on it with blanked second views."""
+    """A gate, views and set neighbours from the table of standard variants, on the test part and on it with blanked second views."""
     parts, _ = _suite_rows(spark, sf_dir)
     rows = parts.withColumns({"tail": F.slice("embedding", 17, 16), "signs": F.transform(F.filter(F.transform("embedding", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda z: z["x"] > 0.1), lambda z: z["i"].cast("string"))})
     blank = rows.where("split = 'test'").withColumns({"split": F.lit("missing"), "mask": F.lit(0), "tail": F.array().cast("array<float>")})
     table = suite.standard_variants(suite.Roles("embedding", ("mask",), (("head", "head"), ("tail", "tail")), "signs", "head"))
-    small = suite.short_suite(("gated_retrieval", "full", "w_o_gate", "morgan_smiles_retrieval"), table)
+    small = suite.short_suite(("gated_retrieval", "morgan_smiles_retrieval"), table)
     out = suite.run_suite(rows.unionByName(blank), "vec_id", "y", small, folds=2)
     return rounded(metrics.evaluate(out, ["split", "model"], "vec_id").select("split", "model", "n", "auroc", "ap", "ece", "brier"), 4)
 

@@ -95,12 +95,12 @@ def test_set_search_equals_brute_force(spark, members, size, k):
     data = sets_of(240, members, size, size)
     data += [(300, None), (301, data[5][1]), (302, data[5][1])]
     df = spark.createDataFrame(data, "id long, s array<string>")
-    got = rows_of(retrieve.set_top_k(df.where("id % 3 = 0"), df, "id", "s", k, look=4))
+    got = rows_of(retrieve.set_top_k(df.where("id % 3 = 0"), df, "id", "s", k, look=4, fill=True))
     whole = {i: set(s) for i, s in data if s is not None}
     for i in (i for i in whole if i % 3 == 0):
         best = sorted((-(len(whole[i] & s) / max(1, len(whole[i] | s))), j) for j, s in whole.items() if j != i)[:k]
         assert got[i] == [(j, -s) for s, j in best]
     assert 300 not in got
     none = df.limit(0)
-    assert retrieve.set_top_k(none, df, "id", "s", k).count() == retrieve.set_top_k(none, none, "id", "s", k).count() == 0
-    assert retrieve.set_top_k(df.where("id = 9").withColumn("s", F.lit(None).cast("array<string>")), df, "id", "s", k).count() == 0
+    assert retrieve.set_top_k(none, df, "id", "s", k, fill=True).count() == retrieve.set_top_k(none, none, "id", "s", k, fill=True).count() == 0
+    assert retrieve.set_top_k(df.where("id = 9").withColumn("s", F.lit(None).cast("array<string>")), df, "id", "s", k, fill=True).count() == 0

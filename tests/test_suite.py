@@ -61,7 +61,7 @@ def test_gate_and_arbitration_equal_a_hand_made_run(spark):
 
     train = df.where("split = 'train'")
     by_hand = df.withColumn("label", F.col("y").cast("double"))
-    for name, found in (("views_b", retrieve.cosine_top_k(df.where(F.size("vb") > 0), train.where(F.size("vb") > 0), "id", "vb", 5)), ("sets", retrieve.set_top_k(df, train, "id", "s", 5))):
+    for name, found in (("views_b", retrieve.cosine_top_k(df.where(F.size("vb") > 0), train.where(F.size("vb") > 0), "id", "vb", 5)), ("sets", retrieve.set_top_k(df, train, "id", "s", 5, fill=True))):
         stats = retrieve.label_summary(df, found, train, "id", "y").withColumnRenamed("query_id", "id")
         by_hand = cut(by_hand.join(stats.withColumnsRenamed({s: f"{name}_{s}" for s in suite.STATISTICS}), "id"))
     views, sets = [f"views_b_{s}" for s in suite.STATISTICS], [f"sets_{s}" for s in suite.STATISTICS]
