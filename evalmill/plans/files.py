@@ -235,7 +235,9 @@ def tagged_rows(spark, sf_dir):
 
 @query("SELECT l_partkey, arg_min(l_shipdate::DATE::VARCHAR, (l_orderkey, l_linenumber)) AS first_shipped FROM lineitem GROUP BY 1")
 def entity_table(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.struct("l_orderkey", "l_linenumber").alias("o"), F.to_date("l_shipdate").cast("string").alias("first_shipped"))
+    """Lines of equal numbers go by their place in the table, as SQL's first one does."""
+    order = F.struct("l_orderkey", "l_linenumber", "_metadata.file_path", "_metadata.row_index")
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", order.alias("o"), F.to_date("l_shipdate").cast("string").alias("first_shipped"))
     return curate.entity_table(rows, "l_partkey", "first_shipped", "o")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evalmill.functions import text as T
 from evalmill.operators import common, fuse
+from evalmill.plans import registry
 
 
 def grams(text, high):
@@ -42,3 +43,10 @@ def test_monotonic_bridge_is_monotone_and_flat_outside(spark):
 
 def test_checkpoint_folder_is_kept(spark):
     assert common.shared_folder(spark) == common.shared_folder(spark)
+
+
+def test_entity_ties_go_to_the_first_row_of_the_table(spark, tmp_path):
+    rows = [(k, o, 1, f"2000-01-{d:02}") for k in range(20) for o, d in ((7, 9), (7, 3), (8, 1), (7, 5))]
+    spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_shipdate string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = registry.queries()["entity_table"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(k, "2000-01-09") for k in range(20)]
