@@ -6,10 +6,10 @@ Predictions are long: key columns, a label 0/1 (``y``), a probability in [0, 1]
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import above, cut, in_unit, joined, ranked
+from .common import above, cut, few, in_unit, joined, ranked
 
 #: Edges of ten equal bins as floating-point multiples of 0.1.
 EDGES = tuple(i * 0.1 for i in range(1, 10))
@@ -58,12 +58,25 @@ def _confident(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def risk_at(df: DataFrame, keys: list[str], id_col: str, coverage: float = 0.8, rounding: str = "floor", y: str = "y", p: str = "p") -> DataFrame:
-    """Error rate of the most confident share of each group: ``max(1, floor)`` or ceiling of coverage times n; ties by id."""
-    placed = ranked(_confident(df, y, p), keys, "__conf", id_col)
-    size = placed.groupBy(*keys).agg(F.count("*").alias("__n"))
+    """Error rate of the most confident share of each group: ``max(1, floor)`` or ceiling of coverage times n; ties by id.
+
+    Counts by confidence tell where the share ends; only rows of that one
+    confidence are ordered by id.
+    """
+    rows = _confident(df, y, p)
+    counts = cut(rows.groupBy(*keys, "__conf").agg(F.count("*").alias("__k"), F.sum("__wrong").alias("__bad")))
+    size = counts.groupBy(*keys).agg(F.sum("__k").alias("__n"))
     share = F.lit(coverage) * F.col("__n")
     keep = F.greatest(F.lit(1), F.floor(share) if rounding == "floor" else F.ceil(share))
-    return joined(placed, size, keys).where(F.col("rank") <= keep).groupBy(*keys).agg(F.avg("__wrong").alias("risk"))
+    placed = joined(above(counts, keys, "__conf", {"__upto": F.col("__k")}), size.withColumn("__keep", keep).drop("__n"), keys)
+    end = (F.col("__upto") >= F.col("__keep")) & (F.col("__upto") - F.col("__k") < F.col("__keep"))
+    whole = F.col("__upto") < F.col("__keep")
+    told = few(placed.groupBy(*keys).agg(F.max("__keep").alias("__keep"), F.sum(F.when(whole, F.col("__bad")).otherwise(0)).alias("__sure"), F.max(F.when(end, F.col("__conf"))).alias("__at"), (F.max("__keep") - F.sum(F.when(whole, F.col("__k")).otherwise(0))).alias("__take")))
+    last = joined(rows, told, keys).where(F.col("__conf") == F.col("__at"))
+    order = Window.partitionBy(*keys).orderBy(id_col)
+    first = last.select(*keys, id_col, "__wrong", "__take").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("__take"))
+    tied = first.groupBy(*keys).agg(F.sum("__wrong").alias("__tied"))
+    return joined(told, tied, keys).select(*keys, ((F.col("__sure") + F.col("__tied")) / F.col("__keep")).alias("risk"))
 
 
 def weighted_risk_at(df: DataFrame, keys: list[str], id_col: str, weight: str, coverage: float = 0.8, y: str = "y", p: str = "p") -> DataFrame:
@@ -78,8 +91,6 @@ def weighted_risk_at(df: DataFrame, keys: list[str], id_col: str, weight: str, c
 
 def risk_coverage(df: DataFrame, keys: list[str], id_col: str, y: str = "y", p: str = "p") -> DataFrame:
     """Per row in order of confidence: coverage and the error rate so far."""
-    from pyspark.sql import Window
-
     placed = ranked(_confident(df, y, p), keys, "__conf", id_col)
     # Errors so far: whole blocks of positions first, then inside the block.
     block = placed.withColumn("__block", F.floor((F.col("rank") - 1) / 4096))
@@ -287,8 +298,6 @@ def concordance(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", rang
 
 def approximate_concordance(df: DataFrame, id_col: str, y: str, p: str, pairs: int = 200_000, seed: int = 0) -> DataFrame:
     """Concordance over pairs of rows drawn by hash: every row meets, in each of some rounds, the next row of a seeded hash order in its bucket."""
-    from pyspark.sql import Window
-
     seen = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(id_col, F.col(y).alias("__y"), F.col(p).alias("__p"))
     n = max(seen.count(), 1)
     rounds = max(1, -(-pairs // n))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
-from .common import hash_order, hash_unit, joined, ranked
+from .common import cut, hash_order, hash_unit, joined, ranked
 
 PARTS = ("train", "val", "test")
 
@@ -19,20 +23,91 @@ def part_of(position: Column, n: Column, train: float, val: float) -> Column:
     return F.when(position <= n_train, "train").when(position <= n_train + n_val, "val").otherwise("test")
 
 
-def _positions(keys: DataFrame, order: list[Column]) -> DataFrame:
-    """Positions of rows in a global order without one task for all: sorted ranges, their sizes, positions inside."""
-    spread = keys.withColumn("__slot", F.conv(F.substring(order[0], 1, 3), 16, 10).cast("int"))
-    sizes = spread.groupBy("__slot").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__slot", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    inside = Window.partitionBy("__slot").orderBy(*order)
-    return spread.withColumn("__in", F.row_number().over(inside)).join(sizes, "__slot").withColumn("__at", F.col("__in") + F.col("__before"))
+@dataclass(frozen=True)
+class Ends:
+    """Where train and val end in a hash order of ``n`` rows: the last row's hash of each, the rows before that hash and those that have it; a part that takes all the rest has None."""
+
+    n: int
+    last: tuple[str | None, str | None]
+    before: tuple[int, int]
+    held: tuple[int, int]
+    at: tuple[int, int]
+
+    @property
+    def torn(self) -> list[str]:
+        """Hashes whose rows fall in two parts."""
+        return [h for h, b, k, at in zip(self.last, self.before, self.held, self.at, strict=True) if h is not None and b + k > at]
+
+
+def sizes(n: int, train: float, val: float) -> tuple[int, int]:
+    """The sizes that ``part_of`` gives to train and val."""
+    n_train, n_val = max(1, math.floor(n * train)), max(1, math.floor(n * val))
+    n_train = min(n_train, n - 2) if n >= 3 else n_train
+    return n_train, min(n_val, n - n_train - 1) if n >= 3 else n_val
+
+
+def ends(df: DataFrame, hashes: dict[int, Column], train: float, val: float) -> dict[int, Ends]:
+    """The ends of train and val in the order of each hash, from two passes that send counts alone.
+
+    The first pass counts rows by the first three digits, the second the hashes
+    of the slots in which a part ends: 1/4096 of the rows each.
+    """
+    named = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), h.alias("hash")) for s, h in hashes.items()]))
+    spread = df.select(named.alias("__x")).select("__x.seed", "__x.hash").withColumn("slot", F.substring("hash", 1, 3))
+    counted: dict[int, list] = {s: [] for s in hashes}
+    for r in spread.groupBy("seed", "slot").agg(F.count("*").alias("n")).orderBy("seed", "slot").collect():
+        counted[r["seed"]].append((r["slot"], r["n"]))
+    wanted, n = {}, {s: sum(k for _, k in rows) for s, rows in counted.items()}
+    for s, rows in counted.items():
+        a, b = sizes(n[s], train, val)
+        for which, at in enumerate((a, a + b)):
+            before = 0
+            for slot, k in rows:
+                if before < at <= before + k:
+                    wanted[s, which] = (slot, before, at)
+                before += k
+    found = {}
+    if wanted:
+        table = [(s, slot, which, at - before) for (s, which), (slot, before, at) in wanted.items()]
+        asked = F.broadcast(df.sparkSession.createDataFrame(table, "seed long, slot string, which int, place long"))
+        alike = spread.join(asked, ["seed", "slot"]).groupBy("seed", "which", "place", "hash").agg(F.count("*").alias("k"))
+        upto = F.sum("k").over(Window.partitionBy("seed", "which").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0))
+        for r in alike.withColumn("upto", upto).where("upto >= place and upto - k < place").collect():
+            found[r["seed"], r["which"]] = (r["hash"], wanted[r["seed"], r["which"]][1] + r["upto"] - r["k"], r["k"])
+    out = {}
+    for s in hashes:
+        last, before, held = zip(*[found.get((s, which), (None, 0, 0)) for which in (0, 1)], strict=True)
+        a, b = sizes(n[s], train, val)
+        out[s] = Ends(n[s], last, before, held, (a, a + b))
+    return out
+
+
+def dealt_to(h: Column, e: Ends, nth: Column, train: float, val: float) -> Column:
+    """The part of a row by its hash; rows of a hash that falls in two parts go by ``nth``, their place from 1 on."""
+    out = F
+    for last, before in zip(e.last, e.before, strict=True):
+        if last in e.torn:
+            out = out.when(h == last, part_of(F.lit(before) + nth, F.lit(e.n), train, val))
+    for last, name in zip(e.last, PARTS, strict=False):
+        out = out.when(F.lit(True) if last is None else h <= last, name)
+    return out.otherwise("test")
+
+
+def _by_hash(df: DataFrame, h: Column, e: Ends, place: Column, train: float, val: float) -> DataFrame:
+    """``df`` with a column split; only rows of a hash that falls in two parts are shuffled, to take their ``place`` there."""
+    rows = df.withColumn("__h", h)
+    if not e.torn:
+        return rows.withColumn("split", dealt_to(F.col("__h"), e, F.lit(1), train, val)).drop("__h")
+    torn = F.col("__h").isin(e.torn)
+    placed = rows.where(torn).withColumn("__nth", place).unionByName(rows.where(~torn).withColumn("__nth", F.lit(1)))
+    return placed.withColumn("split", dealt_to(F.col("__h"), e, F.col("__nth"), train, val)).drop("__h", "__nth")
 
 
 def split_random(df: DataFrame, order: list[str], seed: int = 0, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """``df`` with a column split of exact floor sizes in hash order."""
-    placed = _positions(df, [hash_order(seed, *order), *[F.col(c) for c in order]])
-    return placed.withColumn("split", part_of(F.col("__at"), F.col("__all"), train, val)).select(*df.columns, "split")
+    """``df`` with a column split of exact floor sizes in hash order; it is evaluated three times, and its rows stay where they are."""
+    h = hash_order(seed, *order)
+    place = F.row_number().over(Window.partitionBy("__h").orderBy(*order))
+    return _by_hash(df, h, ends(df, {seed: h}, train, val)[seed], place, train, val)
 
 
 def too_few(df: DataFrame, column: str) -> bool:
@@ -49,8 +124,12 @@ def split_by_group(df: DataFrame, group: str, seed: int = 0, train: float = 0.7,
     known = df.where(F.col(group).isNotNull())
     if rows and too_few(known, group):
         return split_random(known, rows, seed, train, val)
-    placed = _positions(known.select(group).distinct(), [hash_order(seed, group), F.col(group)])
-    return df.join(placed.withColumn("split", part_of(F.col("__at"), F.col("__all"), train, val)).select(group, "split"), group)
+    # Zeros of both signs are one group.
+    named = known.withColumn("__g", F.when(F.col(group) == 0, F.lit(0.0)).otherwise(F.col(group)).cast(known.schema[group].dataType)) if isinstance(known.schema[group].dataType, FractionalType) else known.withColumn("__g", F.col(group))
+    h = hash_order(seed, "__g")
+    found = ends(cut(named.select("__g").distinct()), {seed: h}, train, val)[seed]
+    place = F.dense_rank().over(Window.partitionBy("__h").orderBy("__g"))
+    return _by_hash(named, h, found, place, train, val).drop("__g")
 
 
 def split_by_pair(df: DataFrame, first: str, second: str, seed: int = 0, train: float = 0.7, val: float = 0.15) -> DataFrame:

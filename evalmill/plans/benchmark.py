@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, curate, metrics, project, report, significance, split
-from ..operators.common import cut, joined
+from ..operators.common import cut, hash_order, joined
+from ..operators.split import ends
 
 
 @dataclass(frozen=True)
@@ -106,41 +107,70 @@ def consumer_splits(df: DataFrame, c: Columns, mode: str, most: dict[str, int],
     return out
 
 
+#: How ``coded`` writes a part; a row that is not in a mode has a dash.
+LETTERS = {"train": "t", "val": "v", "test": "x"}
+
+
+def coded(df: DataFrame, c: Columns, seeds: list[int], train: float = 0.7, val: float = 0.15) -> DataFrame:
+    """``df`` with ``__code``: a letter for the row's part in every seed of every mode, seeds of the first mode first.
+
+    Rows stay where they are: of each mode and seed only the hashes at which train
+    and val end are sought, among rows (random), or distinct groups or years. Rows
+    of one identity that fall in two parts go by a hash of all their columns.
+    """
+    columns, letters = df.columns, []
+    number = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(*columns)))
+    rows = df.withColumns({"__id": F.concat_ws("|", *[F.col(x).cast("string") for x in c.identity]), "__nth": F.lit(1)})
+    for kind, group in modes(c).values():
+        if kind == "random":
+            hashes = {s: hash_order(s, "__id") for s in seeds}
+            found = ends(rows, hashes, train, val)
+            torn = sum([hashes[s].isin(found[s].torn).cast("int") for s in seeds if found[s].torn], F.lit(0)) > 0
+            if any(e.torn for e in found.values()):
+                rows = rows.where(torn).withColumn("__nth", number).unionByName(rows.where(~torn))
+            letters += [split.dealt_to(hashes[s], found[s], F.col("__nth"), train, val) for s in seeds]
+            continue
+        key = group[0]
+        known = df.where(F.col(key).isNotNull()).select(key).distinct()
+        if kind == "group":
+            hashes = {s: hash_order(s, key) for s in seeds}
+            found = ends(cut(known.select(F.col(key).cast("string").alias(key)).distinct()), hashes, train, val)
+            part = [split.dealt_to(hashes[s], found[s], F.lit(1), train, val) for s in seeds]
+        else:  # years: few, in their own order, the same for every seed
+            years = [r[0] for r in known.orderBy(key).collect()]
+            n_train, n_val = split.sizes(len(years), train, val)
+            named = F.when(F.col(key).isin(years[:n_train]), "train").when(F.col(key).isin(years[n_train : n_train + n_val]), "val").otherwise("test")
+            part = [named for _ in seeds]
+        letters += [F.when(F.col(key).isNotNull(), x) for x in part]
+    letter = F.create_map(*[F.lit(x) for pair in LETTERS.items() for x in pair])
+    return rows.withColumn("__code", F.concat(*[F.coalesce(letter[x], F.lit("-")) for x in letters])).drop("__id", "__nth")
+
+
+def decoded(df: DataFrame, c: Columns, seeds: list[int], only: str | None = None) -> DataFrame:
+    """``coded`` rows as a row per mode and seed, with columns mode, seed and split; of one part where it is named."""
+    cells = [(m, s) for m in modes(c) for s in seeds]
+    letters = [F.substring("__code", i + 1, 1) for i in range(len(cells))]
+    kept = [x == LETTERS[only] if only else x != "-" for x in letters]
+    at = F.explode(F.array(*[F.when(k, i) for i, k in enumerate(kept)]))
+    name = F.create_map(*[F.lit(x) for part, letter in LETTERS.items() for x in (letter, part)])
+    split_name = F.lit(only) if only else name[F.expr("substring(__code, __at + 1, 1)")]
+    mode, seed = (F.array(*[F.lit(x) for x in side])[F.col("__at")] for side in zip(*cells, strict=True))
+    rows = df.withColumn("__at", at).where("__at is not null")
+    return rows.select(*[x for x in df.columns if x != "__code"], mode.alias("mode"), seed.alias("seed"), split_name.alias("split"))
+
+
 def grid_splits(df: DataFrame, c: Columns, seeds: list[int], train: float = 0.7, val: float = 0.15) -> DataFrame:
     """``df`` once per split mode, with columns mode and parts, an array of (seed, split): every seed of every mode in one plan.
 
-    Each mode has units that stay together: rows of one identity, groups, years.
-    Their distinct texts are counted once and take their places for every seed
-    in two levels, first sizes of hash slots, then an order inside each; rows
-    meet their units by one join. Rows without a group or year are not in that
-    mode. The same parts as ``all_splits`` gives.
+    Rows without a group or year are not in that mode. The same parts as ``all_splits`` gives.
     """
-    kinds = modes(c)
-
-    def unit(kind: str, columns: list[str]) -> Column:
-        text = F.concat_ws("|", *[F.col(x).cast("string") for x in columns])
-        return text if kind == "random" else F.when(F.col(columns[0]).isNotNull(), text)
-
-    named = [F.struct(F.lit(m).alias("mode"), unit(kind, columns).alias("unit")) for m, (kind, columns) in kinds.items()]
-    rows = df.withColumn("__at", F.explode(F.array(*named))).select(*df.columns, "__at.mode", F.col("__at.unit").alias("__unit")).where("__unit is not null")
-    of = {kind: F.col("mode").isin([m for m, (k, _) in kinds.items() if k == kind]) for kind in ("random", "time")}
-    # A repeated identity takes as many places as it has rows.
-    counts = rows.groupBy("mode", "__unit").agg(F.count("*").alias("__rows")).withColumn("__rows", F.when(of["random"], F.col("__rows")).otherwise(1))
-    drawn = counts.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    drawn = drawn.withColumn("__hash", F.md5(F.concat_ws("|", F.col("seed").cast("string"), "__unit")))
-    # Years have one slot, as there are few, and their own order.
-    drawn = cut(drawn.withColumns({"__slot": F.when(of["time"], 0).otherwise(F.conv(F.substring("__hash", 1, 3), 16, 10).cast("int")), "__year": F.when(of["time"], F.col("__unit").cast("double"))}))
-    run, earlier = Window.partitionBy("mode", "seed"), (Window.unboundedPreceding, -1)
-    sizes = drawn.groupBy("mode", "seed", "__slot").agg(F.sum("__rows").alias("__n"))
-    sizes = sizes.select("mode", "seed", "__slot", F.coalesce(F.sum("__n").over(run.orderBy("__slot").rowsBetween(*earlier)), F.lit(0)).alias("__before"), F.sum("__n").over(run).alias("__all"))
-    inside = F.coalesce(F.sum("__rows").over(Window.partitionBy("mode", "seed", "__slot").orderBy("__year", "__hash", "__unit").rowsBetween(*earlier)), F.lit(0))
-    placed = drawn.withColumn("__in", inside).join(sizes, ["mode", "seed", "__slot"])
-    place = F.struct("seed", (F.col("__in") + F.col("__before")).alias("first"), F.col("__all").alias("all"))
-    places = placed.groupBy("mode", "__unit").agg(F.array_sort(F.collect_list(place)).alias("__places"))
-    nth = F.row_number().over(Window.partitionBy("mode", "__unit").orderBy(F.xxhash64(*df.columns)))
-    told = rows.where(of["random"]).withColumn("__nth", nth).unionByName(rows.where(~of["random"]).withColumn("__nth", F.lit(1)))
-    parts = F.transform("__places", lambda x: F.struct(x["seed"].alias("seed"), split.part_of(x["first"] + F.col("__nth"), x["all"], train, val).alias("split")))
-    return told.join(places, ["mode", "__unit"]).select(*df.columns, "mode", parts.alias("parts"))
+    name = F.create_map(*[F.lit(x) for part, letter in LETTERS.items() for x in (letter, part)])
+    told = []
+    for i, mode in enumerate(modes(c)):
+        parts = [F.struct(F.lit(s).alias("seed"), name[F.substring("__code", i * len(seeds) + j + 1, 1)].alias("split")) for j, s in enumerate(seeds)]
+        told.append(F.struct(F.lit(mode).alias("mode"), F.array(*parts).alias("parts")))
+    each = coded(df, c, seeds, train, val).withColumn("__x", F.explode(F.array(*told)))
+    return each.select(*df.columns, "__x.mode", "__x.parts").where(F.col("parts")[0]["split"].isNotNull())
 
 
 def exploded(dealt: DataFrame) -> DataFrame:
@@ -158,8 +188,8 @@ def evaluation_grid(df: DataFrame, c: Columns, p: str, thresholds: list[float],
 
     The source is read once; what the metrics read again is in the shared folder.
     """
-    dealt = cut(grid_splits(cut(_narrow(df, c, c.value, p)), c, seeds))
-    return audit.threshold_grid(exploded(dealt), ["mode", "seed"], "split", c.row_id, c.value, p, thresholds)
+    dealt = cut(coded(cut(_narrow(df, c, c.value, p)), c, seeds).select(c.row_id, c.value, p, "__code"))
+    return audit.threshold_grid(decoded(dealt, c, seeds), ["mode", "seed"], "split", c.row_id, c.value, p, thresholds)
 
 
 def experiment_matrix(df: DataFrame, c: Columns, y: str, p: str, seeds: list[int], shares: list[float]) -> DataFrame:
@@ -169,12 +199,12 @@ def experiment_matrix(df: DataFrame, c: Columns, y: str, p: str, seeds: list[int
     Which rows miss theirs follows from a hash of seed and row, so that a larger
     share misses those of a smaller one too.
     """
-    dealt = exploded(cut(grid_splits(cut(_narrow(df, c, y, p).where(F.col(y).isNotNull())), c, seeds)))
-    prior = dealt.where(F.col("split") == "train").groupBy("mode", "seed").agg(F.avg(F.col(y).cast("double")).alias("__prior"))
-    test = joined(dealt.where(F.col("split") == "test"), prior, ["mode", "seed"])
+    dealt = cut(coded(cut(_narrow(df, c, y, p).where(F.col(y).isNotNull())), c, seeds).select(c.row_id, y, p, "__code"))
+    prior = decoded(dealt, c, seeds, "train").groupBy("mode", "seed").agg(F.avg(F.col(y).cast("double")).alias("__prior"))
+    test = joined(decoded(dealt, c, seeds, "test"), F.broadcast(prior), ["mode", "seed"])  # a row per mode and seed
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.lit("missing"), F.col(c.row_id).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     cells = test.withColumn("missing", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("__p", F.when(draw < F.col("missing"), F.col("__prior")).otherwise(F.col(p)))
-    return metrics.evaluate(cut(cells.select("mode", "seed", "missing", c.row_id, F.col(y).alias("__y"), "__p")), ["mode", "seed", "missing"], c.row_id, "__y", "__p")
+    return metrics.evaluate(cells.select("mode", "seed", "missing", c.row_id, F.col(y).alias("__y"), "__p"), ["mode", "seed", "missing"], c.row_id, "__y", "__p")
 
 
 def case_bundle(predictions: DataFrame, runs: DataFrame, grid: DataFrame, keys: list[str], id_col: str, n: int) -> dict[str, DataFrame]:
