@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, require_columns
+from .common import cut, few, require_columns
 from .curate import nm_to_p
 
 
@@ -43,8 +43,11 @@ def for_consumer(df: DataFrame, consumer: str, roles: dict[str, str]) -> DataFra
 
 
 def label_policy(df: DataFrame, policies: DataFrame, key: str, value: str) -> DataFrame:
-    """Labels by a table of (key, active, inactive, greater_is_better); rows in the gap or without a policy are dropped."""
-    rows = df.join(policies, key)
+    """Labels by a table of (key, active, inactive, greater_is_better); rows in the gap or without a policy are dropped.
+
+    A short table goes to every task, so that the rows of a frequent key are not sorted in one.
+    """
+    rows = df.join(few(policies), key)
     up = F.col("greater_is_better")
     yes = F.when(up, F.col(value) >= F.col("active")).otherwise(F.col(value) <= F.col("active"))
     no = F.when(up, F.col(value) <= F.col("inactive")).otherwise(F.col(value) >= F.col("inactive"))
