@@ -2,11 +2,12 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from evalmill.operators import common, metrics, split
+from evalmill.operators import common, metrics, project, retrieve, search, split
 from evalmill.plans import benchmark
 
 
@@ -67,3 +68,50 @@ def test_risk_orders_one_confidence(spark):
             n = len(own) * 0.55
             keep = max(1, int(n) if rounding == "floor" else -int(-n // 1))
             assert got[g] == pytest.approx(sum(w for *_, w in own[:keep]) / keep)
+
+
+def test_sets_of_few_members_meet_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    data = [(i, [str(m) for m in np.flatnonzero(rng.random(12) < 0.5)]) for i in range(260)] + [(400, ["other"]), (401, None), (402, [])]
+    df = spark.createDataFrame(data, "id long, s array<string>")
+    asked = df.where("id % 2 = 0")
+    joined = retrieve.set_top_k(asked, df, "id", "s", 5, fill=True).collect()
+    used = []
+    dense = retrieve._dense_sets
+    monkeypatch.setattr(retrieve, "_dense_sets", lambda *a: used.append(1) or dense(*a, block=50))
+    assert sorted(retrieve.set_top_k(asked, df, "id", "s", 5, fill=True, least=0).collect()) == sorted(joined)
+    assert used
+
+
+def test_frames_to_blocks_are_bounded(spark, monkeypatch):
+    """However many blocks a row goes to, a task holds few of its copies."""
+    seen = []
+    monkeypatch.setattr(search, "SENT", 10)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(3).normal(size=(400, 4)))], "id long, v array<double>")
+
+    class Caught:
+        """Runs what a table is asked to do on the driver, and keeps the sizes of its frames."""
+
+        def __init__(self, df):
+            self.df, self.schema = df, df.schema
+
+        def mapInPandas(self, f, kind):
+            if "deal" in kind:
+                seen.extend(len(p) for p in f(iter([self.df.toPandas()])))
+            return self.df.mapInPandas(f, kind)
+
+    shells = search.shells_of(df, 20)
+    meet = lambda q, r: q[["id"]].assign(n=len(r))
+    everywhere = lambda pdf: np.ones((len(pdf), len(shells.parts)), bool)
+    met = search._met(Caught(df), Caught(df), shells, everywhere, meet, "id long, n long", 8, False)
+    assert max(seen) <= 10 and sum(seen) > 10 * 400
+    # Every query meets every reference once.
+    assert {r["s"] for r in met.groupBy("id").agg(F.sum("n").alias("s")).collect()} == {400}
+
+
+def test_a_short_policy_table_leaves_rows_in_place(spark):
+    df = spark.range(1000).select((F.col("id") % 2).cast("string").alias("k"), F.col("id").cast("double").alias("v"))
+    policy = spark.createDataFrame([("0", 100.0, 500.0, False), ("1", 900.0, 300.0, True)], "k string, active double, inactive double, greater_is_better boolean")
+    got = project.label_policy(df, policy, "k", "v")
+    assert "SortMergeJoin" not in plan(got) and "hashpartitioning" not in plan(got)
+    assert Counter(r["label"] for r in got.collect()) == {1: 51 + 50, 0: 250 + 150}
