@@ -6,6 +6,8 @@ Predictions are long: key columns, a label 0/1 (``y``), a probability in [0, 1]
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,30 +183,204 @@ def poisson_weight(seed: int, replicate: Column, id_col: str) -> Column:
     return count
 
 
+def _poisson_weights(ids, starts):
+    """``poisson_weight`` of long ids (rows) and replicates (columns). ``starts``: Spark's hashes of seed and replicate, into which each id is mixed as ``xxhash64`` does."""
+    import numpy as np
+
+    one, two, three, four, five = (np.uint64(k) for k in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x, by: int):
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    mixed = (starts.astype(np.int64).view(np.uint64) + five + np.uint64(8))[None, :] ^ (turned(ids.astype(np.int64).view(np.uint64) * two, 31) * one)[:, None]
+    mixed = turned(mixed, 27) * one + four
+    for by, times in ((33, two), (29, three)):
+        mixed = (mixed ^ (mixed >> np.uint64(by))) * times
+    drawn = (mixed ^ (mixed >> np.uint64(32))) & np.uint64((1 << 40) - 1)
+    total, term, count = 0.0, 0.36787944117144233, np.zeros(drawn.shape)
+    for k in range(1, 10):
+        total += term
+        term /= k
+        count += drawn >= np.uint64(math.ceil(total * (1 << 40)))
+    return count
+
+
 BOOTSTRAPPED = ("ap", "auroc", "ece", "risk", "brier")
+#: Rows that a task of the bootstrap weighs together (of one range of values up to twice as many), and replicates at a time.
+WEIGHED, ABREAST = 2048, 128
+
+
+class _Replicates:
+    """The sums of all replicates over a few rows at a time, as arrays with a place per replicate; place 0 is the observed table, where each row counts once."""
+
+    def __init__(self, starts: list[int]):
+        self.starts, self.n = starts, len(starts) + 1
+
+    def weights(self, ids, places):
+        import numpy as np
+
+        w, drawn = np.ones((len(ids), len(places))), places > 0
+        w[:, drawn] = _poisson_weights(ids, np.array(self.starts, dtype=np.int64)[places[drawn] - 1])
+        return w
+
+    def slices(self, places=None):
+        import numpy as np
+
+        places = np.arange(self.n) if places is None else places
+        return [places[i : i + ABREAST] for i in range(0, len(places), ABREAST)]
+
+    def summed(self, ids, columns):
+        """Weighted sums of each column: an array of columns by places."""
+        import numpy as np
+
+        return np.concatenate([columns.T @ self.weights(ids, at) for at in self.slices()], axis=1)
+
+    def by_bin(self, keys: list[str]):
+        """Of one range (or a part of it): per bin weights, positives, sums of values and of squared errors."""
+        import numpy as np
+
+        def told(pdf):
+            y, v, bins = (pdf[c].to_numpy() for c in ("__y", "__v", "__tenth"))
+            found = np.unique(bins)
+            inside = (bins[:, None] == found[None, :]).astype(float)
+            wanted = {"w": np.ones(len(y)), "pos": y, "sum_v": v, "sum_e": (v - y) ** 2}
+            out = pdf.loc[[pdf.index[0]] * len(found), keys].reset_index(drop=True).assign(__tenth=found)
+            sums = self.summed(pdf["__key"].to_numpy(), np.concatenate([inside * x[:, None] for x in wanted.values()], axis=1))
+            return out.assign(**{n: list(part) for n, part in zip(wanted, np.split(sums, len(wanted)))})
+
+        return told
+
+    def in_order(self, keys: list[str]):
+        """Of one range: its part of AUROC's pairs and of AP's steps, given the positives and negatives above it."""
+        import numpy as np
+
+        def told(pdf, before):
+            if pdf.empty:
+                return pdf[keys].assign(pairs=[], steps=[])
+            pdf = pdf.sort_values("__v", ascending=False, kind="stable")
+            ids, y, v = (pdf[c].to_numpy() for c in ("__key", "__y", "__v"))
+            fresh = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            upto = np.zeros((2, self.n))
+            upto[:, before["__b"].to_numpy() + 1] = before[["tp", "fp"]].to_numpy().T
+            pairs, steps = np.zeros(self.n), np.zeros(self.n)
+            for at in self.slices():
+                w = self.weights(ids, at)
+                pos = np.add.reduceat(w * y[:, None], fresh, axis=0)
+                neg = np.add.reduceat(w, fresh, axis=0) - pos
+                tp, fp = np.cumsum(pos, 0) + upto[0, at], np.cumsum(neg, 0) + upto[1, at]
+                pairs[at] = np.sum(neg * (tp - pos / 2), 0)
+                steps[at] = np.sum(pos * tp / np.maximum(tp + fp, 1), 0)
+            return pdf.iloc[:1][keys].assign(pairs=[pairs], steps=[steps])
+
+        return told
+
+    def errors(self, keys: list[str]):
+        """Of one block in order of confidence: weights and weights of wrong rows."""
+        import numpy as np
+
+        def told(pdf):
+            w, bad = self.summed(pdf["__key"].to_numpy(), np.stack([np.ones(len(pdf)), pdf["__wrong"].to_numpy()], axis=1))
+            return pdf.iloc[:1][keys].assign(w=[w], bad=[bad])
+
+        return told
+
+    def at_end(self, keys: list[str]):
+        """Of the block where the share of some replicates ends: the wrong weight among the first ``take`` of each."""
+        import numpy as np
+        import pandas as pd
+
+        def told(pdf, ends):
+            if pdf.empty or ends.empty:
+                return pdf.iloc[:0][keys].assign(__b=[], last=[])
+            pdf = pdf.sort_values("__rank")
+            ids, wrong = (pdf[c].to_numpy() for c in ("__key", "__wrong"))
+            places, take, out = ends["__b"].to_numpy() + 1, ends["take"].to_numpy(), []
+            for at in self.slices(np.arange(len(places))):
+                w = self.weights(ids, places[at])
+                out.append(wrong @ np.clip(take[at] - (np.cumsum(w, 0) - w), 0, w))
+            return pd.concat([pdf.iloc[:1][keys]] * len(places), ignore_index=True).assign(__b=places - 1, last=np.concatenate(out))
+
+        return told
+
+
+def _spread(df: DataFrame, names: list[str]) -> DataFrame:
+    """Arrays with a place per replicate as a row per replicate; -1 is the observed table."""
+    other = [c for c in df.columns if c not in names]
+    rows = df.select(*other, F.posexplode(F.arrays_zip(*names)).alias("__at", "__z"))
+    return rows.select(*other, (F.col("__at") - 1).alias("__b"), *[F.col("__z")[n].alias(n) for n in names])
 
 
 def bootstrap_difference(df: DataFrame, keys: list[str], id_col: str, y: str, p: str, q: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
     """Per group and metric (AUPRC, AUROC, ECE, risk at 80 %, Brier): n, both observed values, their difference (q less p), its 95 % percentile interval, shares of replicates at or below and at or above 0, replicates used.
 
     A replicate counts each row by a Poisson weight, the same for both sides;
-    those with one class are left out.
+    those with one class are left out. Ids that are not longs draw by their hash.
+
+    Rows are ordered once for all replicates: by value into ranges (a value as
+    heavy as a range has its own, in parts), by confidence and id into blocks. A
+    task draws the weights of one range or block for all replicates, so that only
+    sums per range and replicate are shuffled. AP and the end of the risk's share
+    need what lies above a range: running sums over ranges, then a second draw.
     """
-    rows = usable(usable(df, y, p), y, q).select(*keys, F.col(id_col).alias("__id"), F.col(y).alias("__y"), F.col(p).cast("double").alias("__p"), F.col(q).cast("double").alias("__q"))
-    # Replicate -1 is the observed table.
-    drawn = rows.withColumn("__b", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
-    drawn = drawn.withColumn("__w", F.when(F.col("__b") == -1, 1).otherwise(poisson_weight(seed, F.col("__b"), "__id"))).where("__w > 0")
+    rows = usable(usable(df, y, p), y, q)
+    number = F.col(id_col) if dict(df.dtypes)[id_col] == "bigint" else F.xxhash64(id_col)
+    rows = rows.select(*keys, F.col(id_col).alias("__id"), F.coalesce(number, F.lit(0)).alias("__key"), F.col(y).cast("double").alias("__y"), F.col(p).cast("double").alias("__p"), F.col(q).cast("double").alias("__q"))
     sides = F.explode(F.array(F.struct(F.lit("p").alias("side"), F.col("__p").alias("v")), F.struct(F.lit("q").alias("side"), F.col("__q").alias("v"))))
-    long = drawn.withColumn("__s", sides).select(*keys, "__id", "__y", "__w", "__b", F.col("__s.side").alias("__side"), F.col("__s.v").alias("__v"))
-    by = [*keys, "__b", "__side"]
-    gap = F.col("__v") - F.col("__y")
-    made = ranking(long, by, "__y", "__v", "__w")
-    brier = long.groupBy(*by).agg((F.sum(F.col("__w") * gap * gap) / F.sum("__w")).alias("brier"))
-    for part in (ece(long, by, "__y", "__v", "__w"), weighted_risk_at(long, by, "__id", "__w", y="__y", p="__v"), brier):
-        made = joined(made, part, by)
+    long = rows.withColumn("__s", sides).select(*keys, "__id", "__key", "__y", F.col("__s.side").alias("__side"), F.col("__s.v").alias("__v"))
+    long = cut(_confident(long, "__y", "__v").withColumn("__tenth", bin_of(F.col("__v"))))
+    by = [*keys, "__side"]
+    # Ranges of as many rows, however many ranges that makes.
+    ranges = _in_ranges(long.withColumn("__w", F.lit(1)), by, "__v", "__range", math.inf, WEIGHED)
+    placed = ranked(joined(long, ranges, [*by, "__v"]), by, "__conf", "__id", name="__rank")
+    alone = F.col("__range") % 2 == 1
+    part = F.when(alone, F.pmod("__rank", F.ceil(F.col("__c") / WEIGHED))).otherwise(F.lit(0))
+    placed = cut(placed.withColumns({"__part": part, "__block": F.floor((F.col("__rank") - 1) / WEIGHED)}).drop("__id", "__conf", "__c"))
+
+    hashes = [F.xxhash64(F.lit(seed), F.lit(b)) for b in range(replicates)]
+    drawn = _Replicates(list(df.sparkSession.range(1).select(F.array(*hashes)).first()[0]) if hashes else [])
+    typed = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields}
+
+    def schema(names: list[str], *more: str) -> str:
+        return ", ".join([typed[n] for n in names] + list(more))
+
+    # Rows are few bytes for the work on them: a fixed number of tasks, which AQE leaves as it is.
+    dealt = lambda d, *columns: d.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    arrays = lambda *names: [f"{n} array<double>" for n in names]
+    told = ["w", "pos", "sum_v", "sum_e"]
+    within = [*by, "__range"]
+    sums = dealt(placed, *within, "__part").groupBy(*within, "__part").applyInPandas(drawn.by_bin(within), schema([*within, "__tenth"], *arrays(*told)))
+    sums = cut(_spread(sums, told).groupBy(*within, "__b", "__tenth").agg(*[F.sum(n).alias(n) for n in told]))
+    by_b = [*by, "__b"]
+    gap = F.abs(F.col("sum_v") - F.col("pos"))
+    bins = sums.where("w > 0").groupBy(*by_b, "__tenth").agg(*[F.sum(n).alias(n) for n in told])
+    made = bins.groupBy(*by_b).agg(F.sum("w").cast("long").alias("n"), F.sum("pos").alias("n_pos"), (F.sum(gap) / F.sum("w")).alias("ece"), (F.sum("sum_e") / F.sum("w")).alias("brier"))
+
+    # What lies above each range: positives and negatives.
+    higher = Window.partitionBy(*by_b).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    of_range = sums.groupBy(*within, "__b").agg(F.sum("pos").alias("pos"), F.sum(F.col("w") - F.col("pos")).alias("neg"))
+    of_range = cut(of_range.withColumns({"tp": F.coalesce(F.sum("pos").over(higher), F.lit(0.0)), "fp": F.coalesce(F.sum("neg").over(higher), F.lit(0.0))}))
+    mixed = dealt(placed.where(~alone), *within).groupBy(*within).cogroup(dealt(of_range.where(~alone), *within).groupBy(*within)).applyInPandas(drawn.in_order(by), schema(by, *arrays("pairs", "steps")))
+    tp, fp = F.col("tp") + F.col("pos"), F.col("fp") + F.col("neg")
+    heavy = of_range.where(alone & (F.col("pos") + F.col("neg") > 0)).select(*by_b, (F.col("neg") * (tp - F.col("pos") / 2)).alias("pairs"), (F.col("pos") * tp / (tp + fp)).alias("steps"))
+    ranks = _spread(mixed, ["pairs", "steps"]).unionByName(heavy).groupBy(*by_b).agg(F.sum("pairs").alias("pairs"), F.sum("steps").alias("steps"))
+
+    # The block of confidences in which the share of each replicate ends.
+    within = [*by, "__block"]
+    blocks = dealt(placed, *within).groupBy(*within).applyInPandas(drawn.errors(within), schema(within, *arrays("w", "bad")))
+    every = Window.partitionBy(*by_b)
+    upto = {"upto": F.sum("w").over(every.orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)), "keep": F.greatest(F.lit(1), F.floor(F.lit(0.8) * F.sum("w").over(every))).cast("double")}
+    blocks = cut(_spread(blocks, ["w", "bad"]).withColumns(upto))
+    ends = blocks.where((F.col("upto") >= F.col("keep")) & (F.col("upto") - F.col("w") < F.col("keep"))).select(*within, "__b", (F.col("keep") - F.col("upto") + F.col("w")).alias("take"))
+    last = joined(placed, ends.select(*within).distinct(), within, "left_semi").groupBy(*within).cogroup(ends.groupBy(*within)).applyInPandas(drawn.at_end(by), schema(by, "__b int", "last double"))
+    sure = blocks.groupBy(*by_b).agg(F.max("keep").alias("keep"), F.sum(F.when(F.col("upto") < F.col("keep"), F.col("bad")).otherwise(0.0)).alias("sure"))
+    risk = joined(sure, last, by_b).select(*by_b, ((F.col("sure") + F.col("last")) / F.col("keep")).alias("risk"))
+
+    n_neg = F.col("n") - F.col("n_pos")
+    made = joined(joined(made, ranks, by_b), risk, by_b)
+    made = made.withColumns({"auroc": F.when((F.col("n_pos") > 0) & (n_neg > 0), F.col("pairs") / (F.col("n_pos") * n_neg)), "ap": F.when(F.col("n_pos") > 0, F.col("steps") / F.col("n_pos"))})
     both = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in BOOTSTRAPPED]))
     # A replicate without two classes has no AUROC; the observed values stay.
-    tall = made.where("__b = -1 or auroc is not null").withColumn("__m", both).select(*by, "n", F.col("__m.metric").alias("metric"), F.col("__m.value").alias("value"))
+    tall = made.where("__b = -1 or auroc is not null").withColumn("__m", both).select(*by_b, "n", F.col("__m.metric").alias("metric"), F.col("__m.value").alias("value"))
     sided = [F.max(F.when(F.col("__side") == side, F.col("value"))).alias(f"value_{side}") for side in "pq"]
     pairs = tall.groupBy(*keys, "metric", "__b").agg(F.max("n").alias("n"), *sided).withColumn("d", F.col("value_q") - F.col("value_p"))
     seen, d = F.col("__b") == -1, F.when(F.col("__b") >= 0, F.col("d"))
@@ -237,7 +413,7 @@ def _both_less(y, p, w) -> float:
     return total
 
 
-def _in_ranges(df: DataFrame, keys: list[str], value: str, name: str, ranges: int, least: int) -> DataFrame:
+def _in_ranges(df: DataFrame, keys: list[str], value: str, name: str, ranges: float, least: int) -> DataFrame:
     """keys, value, its weight and its range by falling order: ranges of about equal weight; a value as heavy as a range has one (odd) for itself."""
     counts = df.groupBy(*keys, value).agg(F.sum("__w").alias("__c"))
     found = above(in_unit(counts, keys, value), keys, "__unit", {"__upto": F.col("__c")}, F.desc(value))

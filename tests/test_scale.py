@@ -115,3 +115,28 @@ def test_a_short_policy_table_leaves_rows_in_place(spark):
     got = project.label_policy(df, policy, "k", "v")
     assert "SortMergeJoin" not in plan(got) and "hashpartitioning" not in plan(got)
     assert Counter(r["label"] for r in got.collect()) == {1: 51 + 50, 0: 250 + 150}
+
+
+def test_bootstrap_shuffles_no_replicates_of_rows(spark, monkeypatch):
+    """Sums of ranges and blocks go to other tasks, not rows times replicates; ties, hot values, null keys and texts as ids included."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), "a" if i % 3 else None, int(rng.random() < 0.4), 0.5 if i % 2 else float(rng.integers(0, 40)) / 39, float(rng.random())) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, k string, y int, p double, q double")
+    monkeypatch.setattr(metrics, "WEIGHED", 50)
+    spread, sent = metrics._spread, []
+    monkeypatch.setattr(metrics, "_spread", lambda d, names: sent.append(d.count()) or spread(d, names))
+    got = {(r.k, r.metric): r for r in metrics.bootstrap_difference(df, ["k"], "id", "y", "p", "q", replicates=30).collect()}
+    assert len(sent) == 3 and max(sent) < 150
+    drawn = df.withColumn("b", F.explode(F.sequence(F.lit(-1), F.lit(29)))).withColumn("w", F.when(F.col("b") < 0, 1).otherwise(metrics.poisson_weight(0, F.col("b"), "id"))).where("w > 0").persist()
+    want = {}
+    for side in "pq":
+        by = ["k", "b"]
+        for m, part in {"auroc": metrics.ranking(drawn, by, "y", side, "w"), "ap": metrics.ranking(drawn, by, "y", side, "w"), "ece": metrics.ece(drawn, by, "y", side, "w"), "brier": metrics.classification(drawn, by, "y", side, "w"), "risk": metrics.weighted_risk_at(drawn, by, "id", "w", y="y", p=side)}.items():
+            want |= {(r.k, m, side, r.b): r[m] for r in part.collect()}
+    for (k, m), r in got.items():
+        assert (r.value_p, r.value_q) == pytest.approx((want[k, m, "p", -1], want[k, m, "q", -1]))
+        d = [want[k, m, "q", b] - want[k, m, "p", b] for b in range(30)]
+        assert (r.low, r.high) == pytest.approx(tuple(np.percentile(d, [2.5, 97.5]))) and r.replicates == 30
+    assert len(got) == 10
+    named = metrics.bootstrap_difference(df.withColumn("id", F.concat(F.lit("t"), "id")), ["k"], "id", "y", "p", "q", replicates=3).collect()
+    assert {r.replicates for r in named} == {3}
