@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash_order, hash_unit, in_unit, joined, quantiles, quantiles_of, ranked, require_columns, value_counts
+from .common import crowded, cut, hash_order, hash_unit, in_unit, joined, quantiles, quantiles_of, ranked, require_columns, value_counts
 
 
 def clean_measurements(df: DataFrame, value: str, required: list[str], kinds: list[str] | None = None, kind: str | None = None) -> DataFrame:
@@ -51,23 +51,38 @@ def nm_to_p(value: Column) -> Column:
 def collapse_replicates(df: DataFrame, keys: list[str], value: str, year: str, order: str, describe: list[str], large: int = 100_000) -> DataFrame:
     """One row per key: median value, median year rounded half to even, first non-null of each descriptive column, row count.
 
-    Keys of more than ``large`` rows take their medians from ranks in two levels,
-    as a median in one aggregate holds all values of its key; the rows are the same.
+    The rows of a key are ordered by value and by year after one shuffle (sorts
+    spill, no buffer holds a key); keys of more than ``large`` rows take their
+    medians from ranks in two levels instead. The rows are the same. ``df`` is
+    evaluated twice, first for its keys alone.
     """
-    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(year, order))).alias(c) for c in describe]
-    rows = cut(df.select(*dict.fromkeys([*keys, value, year, order, *describe])))  # read for the counts and for the medians
-    held = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > large).drop("__n"))
-    few, out = rows, None
-    if not held.isEmpty():
-        few, many = joined(rows, held, keys, "left_anti"), joined(rows, held, keys, "left_semi")
-        out = many.groupBy(*keys).agg(F.count("*").alias("n_replicates"), *firsts)
+    rows = df.select(*dict.fromkeys([*keys, value, year, order, *describe]))
+    held = crowded(rows.select(*keys), keys, large)
+    small, out = rows, None
+    if held is not None:
+        rows = cut(rows)
+        small, many = joined(rows, held, keys, "left_anti"), joined(rows, held, keys, "left_semi")
+        out = many.groupBy(*keys).agg(F.count("*").alias("n_replicates"), *_firsts(year, order, describe))
         for column in (value, year):
             out = joined(out, quantiles(many, keys, column, {column: 0.5}), keys, "left")
-    small = few.groupBy(*keys).agg(F.median(value).alias(value), F.median(year).alias(year), F.count("*").alias("n_replicates"), *firsts)
-    out = small if out is None else small.unionByName(out)
+    placed, medians = small, []
+    for i, column in enumerate((value, year)):
+        own = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(column))
+        # Non-null values come first: the middle one or two of them.
+        placed = placed.withColumn(f"__r{i}", F.row_number().over(own))
+    counted = placed.withColumns({f"__n{i}": F.count(c).over(Window.partitionBy(*keys)) for i, c in enumerate((value, year))})
+    for i, column in enumerate((value, year)):
+        middle = F.col(f"__r{i}").between(F.floor((F.col(f"__n{i}") + 1) / 2), F.floor(F.col(f"__n{i}") / 2) + 1)
+        medians.append(F.avg(F.when(middle, F.col(column).cast("double"))).alias(column))
+    plain = counted.groupBy(*keys).agg(*medians, F.count("*").alias("n_replicates"), *_firsts(year, order, describe))
+    out = plain if out is None else plain.unionByName(out)
     return out.select(*keys, value, F.bround(year).cast("int").alias(year), "n_replicates", *describe)
 
 
+def _firsts(year: str, order: str, describe: list[str]) -> list[Column]:
+    return [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(year, order))).alias(c) for c in describe]
+
+
 def with_support(df: DataFrame, group: str, least: int) -> DataFrame:
     """Rows of groups that have at least ``least`` rows."""
     held = df.groupBy(group).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(group)
@@ -89,6 +104,7 @@ def label_by_quantile(df: DataFrame, group: str, value: str, order: list[str], l
     """
     counts = value_counts(df.where(F.col(group).isNotNull()), [group], value)
     policy = quantiles_of(counts, [group], {"q_low": low, "q_high": high}).withColumnRenamed("__n", "n_rows").where((F.col("n_rows") >= least_rows) & (F.col("q_high") - F.col("q_low") > least_gap))
+    policy = cut(policy)  # the classes are counted by it and joined to it
     # A value from the high quantile on is positive, whatever the low one is.
     label = lambda v: F.when(v >= F.col("q_high"), 1).when(v <= F.col("q_low"), 0)
     classes = counts.join(policy, group).groupBy(group).agg(*[F.sum(F.when(label(F.col("__v")) == y, F.col("__c")).otherwise(0)).alias(n) for n, y in (("n_pos", 1), ("n_neg", 0))]).where("n_pos > 0 and n_neg > 0")

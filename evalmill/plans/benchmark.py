@@ -61,7 +61,7 @@ def context_subset(df: DataFrame, contexts: DataFrame, texts: DataFrame, c: Colu
 def build(df: DataFrame, c: Columns, describe: list[str], low: float, high: float, least_rows: int, least_gap: float, cap: int | None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The benchmark table: replicates collapsed, labels inside each context by quantile; and the policy row of each context."""
     clean = curate.clean_measurements(df, c.value, [c.left, c.right, c.context])
-    one = curate.collapse_replicates(clean, [c.left, c.right, c.context], c.value, c.year, c.row_id, describe)
+    one = cut(curate.collapse_replicates(clean, [c.left, c.right, c.context], c.value, c.year, c.row_id, describe))  # read for the quantiles and for the rows
     return curate.label_by_quantile(one, c.context, c.value, [c.left, c.right], low, high, least_rows, least_gap, cap, seed)
 
 

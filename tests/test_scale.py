@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from evalmill.operators import common, metrics, project, retrieve, search, split
+from evalmill.operators import common, curate, metrics, project, retrieve, search, split
 from evalmill.plans import benchmark
 
 
@@ -140,3 +140,29 @@ def test_bootstrap_shuffles_no_replicates_of_rows(spark, monkeypatch):
     assert len(got) == 10
     named = metrics.bootstrap_difference(df.withColumn("id", F.concat(F.lit("t"), "id")), ["k"], "id", "y", "p", "q", replicates=3).collect()
     assert {r.replicates for r in named} == {3}
+
+
+def _told(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_crowded_keys_are_counted_in_full_buckets_only(spark):
+    df = spark.range(900).select(F.when(F.col("id") < 300, 0).when(F.col("id") < 500, None).otherwise(F.col("id")).alias("k"))
+    assert common.crowded(df, ["k"], 300) is None
+    assert {r["k"] for r in common.crowded(df, ["k"], 199, buckets=2).collect()} == {0, None}
+
+
+def test_replicates_and_quantiles_order_small_groups_after_one_shuffle(spark):
+    """No aggregate holds the values of a key and small groups have no ranges of ranks; both ways give the same rows."""
+    rows = [(i % 7 or None, float(i * 37 % 101) if i % 5 else None, 1990 + i * 13 % 17 if i % 11 else None, i, "d" if i % 3 else None) for i in range(400)] + [(100 + i % 90, float(i % 8), 2000, i, "e") for i in range(130)]
+    df = spark.createDataFrame(rows, "k int, v double, y int, o int, d string").repartition(4)
+    one = curate.collapse_replicates(df, ["k"], "v", "y", "o", ["d"])
+    text = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "median" not in text and "percentile" not in text
+    want = df.groupBy("k").agg(F.median("v").alias("v"), F.bround(F.median("y")).cast("int").alias("y"), F.count("*").alias("n_replicates"), F.min_by("d", F.when(F.col("d").isNotNull(), F.struct("y", "o"))).alias("d"))
+    assert _told(one) == _told(want) == _told(curate.collapse_replicates(df, ["k"], "v", "y", "o", ["d"], large=20))
+    counts = common.value_counts(df, ["k"], "v")
+    shares = {"lo": 0.3, "hi": 0.7}
+    got = common.quantiles_of(counts, ["k"], shares)
+    assert "__bin" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert _told(got) == _told(common.quantiles_of(counts, ["k"], shares, large=5))
