@@ -117,9 +117,20 @@ def label_by_quantile(df: DataFrame, group: str, value: str, order: list[str], l
 
 
 def profile(df: DataFrame, keys: list[str], value: str, label: Column, year: str, entities: list[str]) -> DataFrame:
-    """Per group: rows, label rate, first and last year, distinct entities, median, mean and sample deviation of the value."""
-    distinct = [F.count_distinct(c).alias(f"n_{c}") for c in entities]
-    plain = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.avg(label).alias("label_rate"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("std_value"), *distinct)
+    """Per group: rows, label rate, first and last year, distinct entities, median, mean and sample deviation of the value.
+
+    Entities are told apart in an aggregate of their own, whose rows hold a group
+    and one entity and none of the other sums, so that a task keeps little of each.
+    """
+    plain = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.avg(label).alias("label_rate"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("std_value"))
+    names = [f"n_{c}" for c in entities]
+    if entities:
+        types = dict(df.dtypes)
+        same = len({types[c] for c in entities}) == 1
+        seen = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col(c) if same else F.col(c).cast("string")).alias("e")) for i, c in enumerate(entities)]))
+        apart = df.select(*keys, seen.alias("__s")).select(*keys, F.col("__s.i").alias("__i"), F.col("__s.e").alias("__e")).where("__e is not null").distinct()
+        plain = joined(plain, apart.groupBy(*keys).agg(*[F.count_if(F.col("__i") == i).alias(n) for i, n in enumerate(names)]), keys, "left")
+    plain = plain.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in names})
     return joined(plain, quantiles(df, keys, value, {"median_value": 0.5}), keys, "left")
 
 

@@ -166,3 +166,13 @@ def test_replicates_and_quantiles_order_small_groups_after_one_shuffle(spark):
     got = common.quantiles_of(counts, ["k"], shares)
     assert "__bin" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert _told(got) == _told(common.quantiles_of(counts, ["k"], shares, large=5))
+
+
+def test_profile_tells_entities_apart_by_narrow_rows(spark):
+    rows = [("a" if i % 4 else None, float(i), 2000 + i % 3, i % 5 or None, f"x{i % 7}") for i in range(60)] + [("none", 1.0, 1999, None, None)]
+    df = spark.createDataFrame(rows, "k string, v double, y int, e long, f string")
+    got = curate.profile(df, ["k"], "v", (F.col("v") < 9).cast("int"), "y", ["e", "f"])
+    wide = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "__e" in x and "Aggregate" in x]
+    assert wide and not any("avg" in x for x in wide) and "Expand" not in plan(got)
+    want = df.groupBy("k").agg(F.count_distinct("e"), F.count_distinct("f"), F.median("v"))
+    assert _told(got.select("k", F.col("n_e").alias("a"), F.col("n_f").alias("b"), F.col("median_value").alias("c"))) == _told(want.toDF("k", "a", "b", "c"))
