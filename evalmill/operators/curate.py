@@ -51,7 +51,8 @@ def nm_to_p(value: Column) -> Column:
 def collapse_replicates(df: DataFrame, keys: list[str], value: str, year: str, order: str, describe: list[str], large: int = 100_000) -> DataFrame:
     """One row per key: median value, median year rounded half to even, first non-null of each descriptive column, row count.
 
-    The rows of a key are ordered by value and by year after one shuffle (sorts
+    A row whose key's hash no other row has is its own result. Of the others the
+    rows of a key are ordered by value and by year after the same shuffle (sorts
     spill, no buffer holds a key); keys of more than ``large`` rows take their
     medians from ranks in two levels instead. The rows are the same. ``df`` is
     evaluated twice, first for its keys alone.
@@ -65,18 +66,27 @@ def collapse_replicates(df: DataFrame, keys: list[str], value: str, year: str, o
         out = many.groupBy(*keys).agg(F.count("*").alias("n_replicates"), *_firsts(year, order, describe))
         for column in (value, year):
             out = joined(out, quantiles(many, keys, column, {column: 0.5}), keys, "left")
+    by, one = keys, None
+    if not any("collate" in t for c, t in rows.dtypes if c in keys):  # texts that a collation calls equal may differ in their hash
+        alike = Window.partitionBy("__h")
+        told = small.withColumn("__h", F.xxhash64(*keys)).withColumns({"__s": F.count("*").over(alike), "__o": F.max(order).over(alike)})
+        # A lone row's order is the largest; asking for it makes both parts need the same columns, so that they share a shuffle.
+        lone = told.where((F.col("__s") == 1) & F.col("__o").eqNullSafe(F.col(order)))
+        one = lone.select(*keys, *[F.col(c).cast("double").alias(c) for c in (value, year)], F.col("__s").alias("n_replicates"), *describe)
+        by, small = ["__h", *keys], told.where(F.col("__s") > 1)
     placed, medians = small, []
     for i, column in enumerate((value, year)):
-        own = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(column))
+        own = Window.partitionBy(*by).orderBy(F.asc_nulls_last(column))
         # Non-null values come first: the middle one or two of them.
         placed = placed.withColumn(f"__r{i}", F.row_number().over(own))
-    counted = placed.withColumns({f"__n{i}": F.count(c).over(Window.partitionBy(*keys)) for i, c in enumerate((value, year))})
+    counted = placed.withColumns({f"__n{i}": F.count(c).over(Window.partitionBy(*by)) for i, c in enumerate((value, year))})
     for i, column in enumerate((value, year)):
         middle = F.col(f"__r{i}").between(F.floor((F.col(f"__n{i}") + 1) / 2), F.floor(F.col(f"__n{i}") / 2) + 1)
         medians.append(F.avg(F.when(middle, F.col(column).cast("double"))).alias(column))
-    plain = counted.groupBy(*keys).agg(*medians, F.count("*").alias("n_replicates"), *_firsts(year, order, describe))
-    out = plain if out is None else plain.unionByName(out)
-    return out.select(*keys, value, F.bround(year).cast("int").alias(year), "n_replicates", *describe)
+    plain = counted.groupBy(*by).agg(*medians, F.count("*").alias("n_replicates"), *_firsts(year, order, describe)).select(*keys, value, year, "n_replicates", *describe)
+    for part in (one, out):
+        plain = plain if part is None else plain.unionByName(part)
+    return plain.select(*keys, value, F.bround(year).cast("int").alias(year), "n_replicates", *describe)
 
 
 def _firsts(year: str, order: str, describe: list[str]) -> list[Column]:

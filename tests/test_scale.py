@@ -168,6 +168,25 @@ def test_replicates_and_quantiles_order_small_groups_after_one_shuffle(spark):
     assert _told(got) == _told(common.quantiles_of(counts, ["k"], shares, large=5))
 
 
+def test_lone_replicates_are_not_ordered(spark):
+    """A key of one row passes by the orders of values and years, and its part and theirs read one shuffle; (1, null) and (null, 1) have one hash."""
+    rows = [(i, i % 3, float(i), 1990 + i % 9, i, None if i % 4 else "d") for i in range(300)] + [(7, 1, 5.0, None, 900, "e"), (7, 1, None, 1980, None, "f")]
+    rows += [(1, None, 3.0, 2001, 901, "g"), (None, 1, 4.0, 2002, 902, "h"), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, m int, v double, y int, o int, d string").repartition(4)
+    one = curate.collapse_replicates(df, ["k", "m"], "v", "y", "o", ["d"])
+    want = df.groupBy("k", "m").agg(F.median("v").alias("v"), F.bround(F.median("y")).cast("int").alias("y"), F.count("*").alias("n_replicates"), F.min_by("d", F.when(F.col("d").isNotNull(), F.struct("y", "o"))).alias("d"))
+    assert _told(one) == _told(want)
+    assert "ReusedExchange" in one._jdf.queryExecution().executedPlan().toString()
+    lone = one._jdf.queryExecution().optimizedPlan().children().apply(1).toString()
+    assert "row_number" not in lone and "Aggregate" not in lone
+
+
+def test_replicates_of_collated_keys_meet(spark):
+    rows = [("a", 1.0, 2000, 1, "x"), ("A", 3.0, 2002, 2, "y"), ("b", 5.0, 2004, 3, "z")]
+    df = spark.createDataFrame(rows, "k string, v double, y int, o int, d string").withColumn("k", F.collate("k", "UTF8_LCASE"))
+    assert sorted((r["v"], r["y"], r["n_replicates"], r["d"]) for r in curate.collapse_replicates(df, ["k"], "v", "y", "o", ["d"]).collect()) == [(2.0, 2001, 2, "x"), (5.0, 2004, 1, "z")]
+
+
 def test_profile_tells_entities_apart_by_narrow_rows(spark):
     rows = [("a" if i % 4 else None, float(i), 2000 + i % 3, i % 5 or None, f"x{i % 7}") for i in range(60)] + [("none", 1.0, 1999, None, None)]
     df = spark.createDataFrame(rows, "k string, v double, y int, e long, f string")
