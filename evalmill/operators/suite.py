@@ -364,7 +364,7 @@ def direct_regression(df: DataFrame, id_col: str, value: str, columns: tuple[str
     side); rows without neighbours get the train mean.
     """
     rows = as_vector(df.where(F.col(value).isNotNull()).withColumn("label", F.col(value).cast("double")), columns)
-    rows = cut(rows)  # read by every fit
+    rows = cut(rows.select(*dict.fromkeys([id_col, part, value, "label", "features"])))  # read by every fit
     train, rest = rows.where(F.col(part) == "train"), rows.where(F.col(part) != "train")
     best = None
     for a in alphas:
@@ -374,7 +374,7 @@ def direct_regression(df: DataFrame, id_col: str, value: str, columns: tuple[str
             best = (float("inf") if rmse is None else rmse, model)
     mean = train.agg(F.avg("label").alias("__mean"))
     keys = [id_col, part] if part in neighbours.columns else [id_col]
-    near = neighbours.withColumnRenamed("query_id", id_col).select(*keys, "predicted")
+    near = cut(neighbours.withColumnRenamed("query_id", id_col).select(*keys, "predicted"))  # a search, read by the fusion's fit and by its output
     both = joined(joined(best[1].transform(rest).withColumnRenamed("prediction", "ridge"), near, keys, "left"), mean, [])
     both = as_vector(both.withColumn("neighbours", F.coalesce("predicted", "__mean")).drop("features"), ("ridge", "neighbours"))
     fusion = fuse.ridge(both.where(F.col(part) == "val").select("features", "label"), "label", 0.0)

@@ -350,9 +350,7 @@ def case_counts(spark, sf_dir):
 
 def _suite_rows(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "label", (F.col("label") < 5).cast("int").alias("y"), "embedding", F.slice("embedding", 1, 16).alias("head"), (F.col("vec_id") % 7 > 0).cast("int").alias("mask"))
-    parts = split.split_random(v, ["vec_id"], seed=8)
-    near = retrieve.cosine_top_k(parts, parts.where("split = 'train'"), "vec_id", "embedding", 8)
-    return parts, near
+    return split.split_random(v, ["vec_id"], seed=8)
 
 
 VARIANTS = {
@@ -364,7 +362,8 @@ VARIANTS = {
 
 @query()
 def model_suite(spark, sf_dir):
-    parts, near = _suite_rows(spark, sf_dir)
+    parts = _suite_rows(spark, sf_dir)
+    near = retrieve.cosine_top_k(parts, parts.where("split = 'train'"), "vec_id", "embedding", 8)
     stats = retrieve.label_summary(parts, near, parts.select("vec_id", "y"), "vec_id", "y").withColumnRenamed("query_id", "vec_id")
     out = suite.run_suite(parts.join(stats, "vec_id"), "vec_id", "y", suite.short_suite(("average", "selected"), VARIANTS), folds=2)
     return rounded(metrics.evaluate(out, ["split", "model"], "vec_id").select("split", "model", "n", "auroc", "ap", "ece", "brier"), 4)
@@ -373,7 +372,7 @@ def model_suite(spark, sf_dir):
 @query()
 def composed_suite(spark, sf_dir):
     """A gate, views and set neighbours from the table of standard variants, on the test part and on it with blanked second views."""
-    parts, _ = _suite_rows(spark, sf_dir)
+    parts = _suite_rows(spark, sf_dir)
     rows = parts.withColumns({"tail": F.slice("embedding", 17, 16), "signs": F.transform(F.filter(F.transform("embedding", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda z: z["x"] > 0.1), lambda z: z["i"].cast("string"))})
     blank = rows.where("split = 'test'").withColumns({"split": F.lit("missing"), "mask": F.lit(0), "tail": F.array().cast("array<float>")})
     table = suite.standard_variants(suite.Roles("embedding", ("mask",), (("head", "head"), ("tail", "tail")), "signs", "head"))
@@ -384,7 +383,9 @@ def composed_suite(spark, sf_dir):
 
 @query()
 def direct_regression(spark, sf_dir):
-    parts, near = _suite_rows(spark, sf_dir)
+    parts = _suite_rows(spark, sf_dir)
+    # What is predicted is every row outside train, from neighbours in all of train.
+    near = retrieve.cosine_top_k(parts.where("split <> 'train'"), parts.where("split = 'train'"), "vec_id", "embedding", 8)
     means = fuse.neighbour_regression(near, parts, "vec_id", "label")
     out = suite.direct_regression(parts, "vec_id", "label", ("embedding",), means)
     return rounded(metrics.regression(out, ["split", "model"], "label", "p"), 4)
