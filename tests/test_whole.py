@@ -6,7 +6,7 @@ from oracle import SF
 from evalmill.plans import registry
 
 
-@pytest.mark.parametrize("name", ["cosine_neighbours", "neighbour_exposure", "neighbour_labels"])
+@pytest.mark.parametrize("name", ["cosine_neighbours", "neighbour_exposure", "neighbour_labels", "neighbour_regression"])
 def test_every_row_is_asked_for(spark, name):
     rows = registry.table(spark, SF, "embeddings").where("embedding is not null").select("vec_id").collect()
     asked = registry.queries()[name](spark, SF).select("query_id").distinct().collect()
