@@ -11,3 +11,9 @@ def test_every_row_is_asked_for(spark, name):
     rows = registry.table(spark, SF, "embeddings").where("embedding is not null").select("vec_id").collect()
     asked = registry.queries()[name](spark, SF).select("query_id").distinct().collect()
     assert sorted(r[0] for r in asked) == sorted(r[0] for r in rows)
+
+
+@pytest.mark.parametrize("name", ["shortcut_audit"])
+def test_every_row_is_audited(spark, name):
+    rows = registry.table(spark, SF, "embeddings").where("embedding is not null").count()
+    assert {r.n_queries for r in registry.queries()[name](spark, SF).collect()} == {rows}
