@@ -13,7 +13,7 @@ def test_every_row_is_asked_for(spark, name):
     assert sorted(r[0] for r in asked) == sorted(r[0] for r in rows)
 
 
-@pytest.mark.parametrize("name", ["shortcut_audit"])
+@pytest.mark.parametrize("name", ["shortcut_audit", "shortcut_metrics"])
 def test_every_row_is_audited(spark, name):
     rows = registry.table(spark, SF, "embeddings").where("embedding is not null").count()
     assert {r.n_queries for r in registry.queries()[name](spark, SF).collect()} == {rows}
